@@ -8,13 +8,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, packing, token_files
+from . import bpe, common, exact, packing, shards, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(documents(spark, sf_dir))
+
+
+OP4_SQL = r"""
+WITH d AS (
+    SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+    FROM documents
+), g AS (
+    SELECT text_sha256, first(doc_id ORDER BY n DESC, doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+"""
+
+
+def op6_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file of the table arrives by itself, in up to eight arrivals; the rows are read back by the manifest."""
+    docs = documents(spark, sf_dir)
+    files = sorted(docs.inputFiles())
+    step = -(-len(files) // 8)
+    arrivals = [spark.read.schema(docs.schema).parquet(*files[i : i + step]) for i in range(0, len(files), step)]
+    table = shards.shard(docs, common.new_path(spark, "shards"), arrivals, target_bytes=128 << 20)
+    rows = sum(s.rows for s in table.manifest())
+    return table.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"), F.lit(rows).cast("long").alias("manifest_rows"))
+
+
+OP6_SQL = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, count(*) OVER () AS manifest_rows FROM documents"
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     out = bpe.decode_ids(bpe.encode_texts(documents(spark, sf_dir), ranks), ranks)
@@ -34,9 +63,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_bloom_dedup": op4_bloom_dedup,
+    "op6_tiered_shards": op6_tiered_shards,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_bloom_dedup": OP4_SQL,
+    "op6_tiered_shards": OP6_SQL,
+}

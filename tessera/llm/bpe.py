@@ -176,10 +176,17 @@ def decode_flat(ids: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.nda
     return blob[np.arange(ends[-1]) + np.repeat(begin[ids] - ends[:-1], n)], ends[offsets]
 
 
-def encode_texts(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, ``ids`` array<int>. A null text is empty; empty texts have no ids. Repeated rows are encoded
-    each; other columns don't count. ranks: a tiktoken rank file that each machine has."""
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values from their bytes and where each begins, with the end."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def encode_texts(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
+    """Per row: ``id_col``, ``ids`` array<int>, and in ``decoded_col``, if it is named, the bytes that these ids give back.
+    A null text is empty; empty texts have no ids. Repeated rows are encoded each; other columns don't count; an empty
+    table gives no rows. ranks: a tiktoken rank file that each machine has."""
+    decoded = [T.StructField(decoded_col, T.BinaryType())] if decoded_col else []
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), *decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks)
@@ -188,7 +195,8 @@ def encode_texts(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
             for texts in chunks(batch.column(1).to_pylist()):
                 ids, offsets = own.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(texts)), lists], [id_col, "ids"])
+                back = [binaries(*decode_flat(ids, offsets, ranks))] if decoded_col else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(texts)), lists, *back], schema.names)
                 done += len(texts)
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
@@ -204,8 +212,7 @@ def decode_ids(df: DataFrame, ranks: str, ids_col: str = "ids", out_col: str = "
             lists = batch.column(kept.index(ids_col))
             n = np.diff(lists.offsets.to_numpy()) * lists.is_valid().to_numpy(zero_copy_only=False)
             ids = lists.flatten().to_numpy(zero_copy_only=False)
-            data, ends = decode_flat(ids, np.append(0, np.cumsum(n)), ranks)
-            out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, out.cast(pa.binary())], [*kept, out_col])
+            out = binaries(*decode_flat(ids, np.append(0, np.cumsum(n)), ranks))
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*kept, out_col])
 
     return df.select(kept).mapInArrow(run, schema)

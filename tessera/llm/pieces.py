@@ -26,7 +26,7 @@ NONE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_PREFIX, IN_WHITE, LACKS1, LACKS2 = r
 WHITE_POINTS = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Letters after a quote that make a contraction.
 ONE_LETTER, TWO_LETTERS = ["s", "t", "m", "d"], ["re", "ve", "ll"]
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 
 @cache

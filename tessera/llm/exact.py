@@ -51,8 +51,8 @@ def cells_of(column: pa.Array, cells: int) -> np.ndarray:
     return (words[:, :HASHES] & np.uint64(cells - 1)).astype(np.int64)
 
 
-def repeated_cells(slim: DataFrame, cells: int) -> np.ndarray:
-    """Bits of the cells that two rows or more hit. What comes to the driver has ``cells`` bits, whatever the number of rows."""
+def repeated_cells(slim: DataFrame, cells: int, least: int = 2) -> np.ndarray:
+    """Bits of the cells that ``least`` (1 or 2) rows or more hit. What comes to the driver has ``cells`` bits, whatever the number of rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(cells, np.uint8)
@@ -67,7 +67,7 @@ def repeated_cells(slim: DataFrame, cells: int) -> np.ndarray:
         counts = np.zeros(min(cells, BLOCK), np.uint16)
         for x in table.column("counts"):
             counts += np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
-        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(counts > 1).tobytes()], pa.binary())})
+        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(counts >= least).tobytes()], pa.binary())})
 
     bits = np.zeros(cells // 8, np.uint8)
     counted = slim.select("digest").coalesce(COUNTERS).mapInArrow(count, "block int, counts binary")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact, packing, shards, token_files
+from . import bpe, common, exact, near, packing, shards, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.jaccard_components(documents(spark, sf_dir), width=4, num=85, den=100)
+
+
 def op6_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each file of the table arrives by itself, in up to eight arrivals; the rows are read back by the manifest."""
     docs = documents(spark, sf_dir)
@@ -46,7 +50,7 @@ OP6_SQL = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, count(*)
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = bpe.decode_ids(bpe.encode_texts(documents(spark, sf_dir), ranks), ranks)
+    out = bpe.encode_texts(documents(spark, sf_dir), ranks, decoded_col="decoded")
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -64,6 +68,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bloom_dedup": op4_bloom_dedup,
+    "op5_ngram_join": op5_ngram_join,
     "op6_tiered_shards": op6_tiered_shards,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_harmonic_packing": op8_harmonic_packing,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact, near, packing, shards, token_files, vectors
+from . import bpe, common, exact, lm, near, packing, shards, token_files, vectors
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir), folds=10)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "tokens")
     token_files.write_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=0)
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_tiered_shards": op6_tiered_shards,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_harmonic_packing": op8_harmonic_packing,
+    "op9_katz_scores": op9_katz_scores,
     "op10_token_files": op10_token_files,
 }
 

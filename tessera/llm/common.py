@@ -47,3 +47,11 @@ def remainder(doc_id: str, n: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_text(df: DataFrame, kept: list[str], text_col: str) -> tuple[DataFrame, int]:
+    """The columns ``kept`` as c0, c1, ..., so that no name clashes, and after them the text if it isn't among them; the text's place."""
+    cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
+    if text_col in kept:
+        return df.select(cols), kept.index(text_col)
+    return df.select(*cols, F.col(text_col).alias("text")), len(kept)

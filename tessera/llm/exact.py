@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, written
+from .common import WHITE, with_text, written
 
 HASHES = 4
 BLOCK = 1 << 16
@@ -31,18 +31,20 @@ HOT_SHARE = 1e-3
 
 def digests(df: DataFrame, id_col: str, text_col: str, kept: list[str] | None = None) -> DataFrame:
     """id, n_code_points and digest (SHA-256 of the text without white space), after the columns ``kept``."""
-    kept = kept or []
+    kept = kept or [id_col]
     fields = [T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(kept)]
+    id_at = kept.index(id_col)
+    rows, at = with_text(df, kept, text_col)
     schema = T.StructType([*fields, T.StructField("id", df.schema[id_col].dataType), T.StructField("n_code_points", T.LongType()), T.StructField("digest", T.BinaryType())])
     white = WHITE.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pc.fill_null(batch.column(batch.num_columns - 1), "")
+            texts = pc.fill_null(batch.column(at), "")
             data = [hashlib.sha256(x.translate(None, white)).digest() for x in texts.cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pc.utf8_length(texts).cast(pa.int64()), pa.array(data, pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], batch.column(id_at), pc.utf8_length(texts).cast(pa.int64()), pa.array(data, pa.binary())], schema.names)
 
-    return df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def cells_of(column: pa.Array, cells: int) -> np.ndarray:
@@ -94,7 +96,7 @@ def flagged(df: DataFrame, bits: np.ndarray) -> DataFrame:
 
 def plan(df: DataFrame, id_col: str, text_col: str, most_cells: int) -> tuple[DataFrame, np.ndarray, DataFrame, DataFrame]:
     """Digests of all rows with may_repeat; the filter's bits; groups of the rows that may repeat; the hot ones of these."""
-    slim = written(digests(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "digests")
+    slim = written(digests(df, id_col, text_col).drop("c0").withColumn("row", F.monotonically_increasing_id()), "digests")
     rows = slim.count()
     bits = repeated_cells(slim, min(most_cells, 1 << max(16, (16 * rows).bit_length())))
     slim = flagged(slim, bits)

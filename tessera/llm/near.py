@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import partitions, written
 from .components import components, forest
-from .exact import cells_of, repeated_cells
+from .exact import cells_of, flagged, repeated_cells
 
 #: Shingles of a chunk: what a task holds at once.
 CHUNK = 1_500_000
@@ -451,3 +451,19 @@ def jaccard_components(df: DataFrame, width: int = 5, num: int = 80, den: int =
     out = seen.where("hot IS NOT NULL").select("id", "n", F.col("hot").alias("least")).unionByName(rest.select("id", "n", "least"))
     component = F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def without_near_copies(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", filter_cells: int = 1 << 26) -> DataFrame:
+    """One row of each component, with all columns: that of the smallest id. Rules as in ``jaccard_components``; ids name documents,
+    so that rows with the same id stay or go together, and rows with null ids go if another row is in their component. Only
+    rows that a Bloom filter of the ids that go may have are shuffled."""
+    found = written(jaccard_components(df, width, num, den, id_col, text_col, filter_cells), "components")
+    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone")).distinct()
+    digest = lambda c: F.unhex(F.sha2(F.coalesce(F.col(c).cast("string"), F.lit("")), 256)).alias("digest")
+    cells = min(filter_cells, 1 << max(16, (16 * gone.count()).bit_length()))
+    bits = repeated_cells(gone.select(digest("gone")), cells, 1)
+    names = {f"c{i}": c for i, c in enumerate(df.columns)}
+    rows = flagged(df.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()]).withColumn("digest", digest(f"c{df.columns.index(id_col)}")), bits)
+    own = F.col(f"c{df.columns.index(id_col)}")
+    stay = rows.where("NOT may_repeat").unionByName(rows.where("may_repeat").join(gone, own.eqNullSafe(F.col("gone")), "left_anti"))
+    return stay.select(*names).withColumnsRenamed(names)

@@ -16,9 +16,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import with_text
 from .pieces import chunks
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -340,10 +340,12 @@ def find(df: DataFrame, tagged: DataFrame | None = None, id_col: str = "doc_id",
 
     span_type = to_arrow_type(SPANS)
 
+    source, at = with_text(df, kept, text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
         for batch in batches:
-            done, column = 0, batch.column(batch.num_columns - 1)
+            done, column = 0, batch.column(at)
             for texts in chunks(column.to_pylist()):
                 spans, hidden = [], []
                 for i, (text, extra) in enumerate(zip(texts, found_spans(texts, field), strict=True)):
@@ -354,11 +356,11 @@ def find(df: DataFrame, tagged: DataFrame | None = None, id_col: str = "doc_id",
                     if redacted_col:
                         hidden.append(redacted(text, own) if column[done + i].is_valid else None)
                 last = [pa.array(hidden, pa.string())] if redacted_col else []
-                yield pa.RecordBatch.from_arrays([*(c.slice(done, len(texts)) for c in batch.columns[:-1]), pa.array(spans, span_type), *last], schema.names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(done, len(texts)) for c in batch.columns[: len(kept)]), pa.array(spans, span_type), *last], schema.names)
                 done += len(texts)
 
-    out = df.select(*[F.col(c).alias(n) for c, n in zip(kept, names, strict=True)], F.col(text_col).alias("text")).mapInArrow(run, schema)
-    return out.withColumnsRenamed(dict(zip(names, kept, strict=True)) | ({"redacted": redacted_col} if redacted_col else {}))
+    found = source.mapInArrow(run, schema)
+    return found.withColumnsRenamed(dict(zip(names, kept, strict=True)) | ({"redacted": redacted_col} if redacted_col else {}))
 
 
 def redacted(text: str, spans: list[tuple[int, int, int, bool]]) -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder
+from .common import remainder, with_text
 from .near import Words, mixed
 from .pieces import chunks
 
@@ -184,14 +184,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = [f"c{i}" for i in range(len(kept))]
     schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, kept, strict=True)] + [T.StructField("score", T.DoubleType())])
 
+    rows, at = with_text(docs, kept, text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages, own = Passages(), shared.value
         for batch in batches:
             done = 0
-            for texts in chunks(batch.column(batch.num_columns - 1).to_pylist()):
+            for texts in chunks(batch.column(at).to_pylist()):
                 s = own.scores(*passages(texts))
-                yield pa.RecordBatch.from_arrays([*(c.slice(done, len(texts)) for c in batch.columns[:-1]), pa.array(s.astype(float))], schema.names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(done, len(texts)) for c in batch.columns[: len(kept)]), pa.array(s.astype(float))], schema.names)
                 done += len(texts)
 
-    out = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, names, strict=True)], F.col(text_col).alias("text")).mapInArrow(run, schema)
-    return out.withColumnsRenamed(dict(zip(names, kept, strict=True)))
+    return rows.mapInArrow(run, schema).withColumnsRenamed(dict(zip(names, kept, strict=True)))

@@ -1,4 +1,6 @@
 """Queries over whole tables, each with the same rows in DuckDB's SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import corpus, math
+
+QUERIES = corpus.QUERIES | math.QUERIES
+ORACLES = corpus.ORACLES | math.ORACLES

@@ -37,14 +37,26 @@ BITS = 56
 
 
 def discounts(n: list[int]) -> list[float]:
-    """Factors for counts 1 to MOST from the numbers n[r] of things seen r times, r to MOST + 1; where these give none
-    between 0 and 1, all are (r - 1/2) / r."""
-    try:
+    """Factors for counts 1 to MOST from the numbers n[r] of things seen r times, r to MOST + 1.
+
+    Katz's formula is applied to the numbers as they are, and, if that gives a factor that isn't between 0 and 1 (copies of
+    documents make them uneven), to numbers smoothed by a line through their logarithms; else all are (r - 1/2) / r.
+    """
+
+    def katz(n: list[float]) -> list[float]:
         top = (MOST + 1) * n[MOST + 1] / n[1]
-        d = [((r + 1) * n[r + 1] / (n[r] * r) - top) / (1 - top) for r in range(1, MOST + 1)]
-    except ZeroDivisionError:
-        d = []
-    return d if d and all(0 < x < 1 for x in d) else [(r - 0.5) / r for r in range(1, MOST + 1)]
+        return [((r + 1) * n[r + 1] / (n[r] * r) - top) / (1 - top) for r in range(1, MOST + 1)]
+
+    known = [r for r in range(1, MOST + 2) if n[r] > 0]
+    tries = [n] if len(known) == MOST + 1 else []
+    if len(known) > 1:
+        slope, level = np.polyfit(np.log(known), np.log([n[r] for r in known]), 1)
+        tries.append([0.0, *(float(np.exp(level + slope * np.log(r))) for r in range(1, MOST + 2))])
+    for own in tries:
+        d = katz(own) if own[1] != (MOST + 1) * own[MOST + 1] else [1.0]
+        if all(0 < x < 1 for x in d):
+            return d
+    return [(r - 0.5) / r for r in range(1, MOST + 1)]
 
 
 @dataclass(frozen=True)
@@ -215,7 +227,7 @@ def bigrams(df: DataFrame, folds: int, buckets: int, uni: Unigrams, hot: dict[in
         cut = [0, *np.searchsorted(hs, np.array([-(-(i << BITS) // buckets) for i in range(1, buckets)], np.uint64)).tolist(), len(hs)]
         out += [(CONTEXTS, -1, b, squeezed(hs[x:y], *(v[x:y] for v in parts)), None) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
         base, own_log = np.log10(c + 0.1), np.where((c > 0) & (pw != END), np.log10(np.maximum(c, 1)), 0.0)
-        big, at = np.where(r > MOST, np.log10(np.maximum(r, 1)), 0.0), 0
+        big, at, unseen = np.where(r > MOST, np.log10(np.maximum(r, 1)), 0.0), 0, []
         for row, x in zip(rows, own, strict=True):
             i = np.repeat(which[at : at + len(x[2])], x[3])
             at += len(x[2])
@@ -223,11 +235,12 @@ def bigrams(df: DataFrame, folds: int, buckets: int, uni: Unigrams, hot: dict[in
             ints = [c[i] > 0, *(r[i] == k for k in range(1, MOST + 1)), r[i] > MOST]
             out.append((SUMS, row["chunk"], -1, squeezed(*per_document(docs, ints, [base[i], big[i] - own_log[i]])), row["info"]))
             un = np.flatnonzero(r[i] == 0)
-            if len(un):
-                un = un[np.argsort(ph[i[un]], kind="stable")]
-                hu, du, pu = ph[i[un]], docs[un], np.log10(p[i[un]])
-                cut = [0, *np.searchsorted(hu, np.array([-(-(k << BITS) // buckets) for k in range(1, buckets)], np.uint64)).tolist(), len(hu)]
-                out += [(UNSEEN, row["chunk"], b, squeezed(hu[a:z], du[a:z].astype(np.uint16), pu[a:z].astype(np.float32)), None) for b, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
+            unseen.append((ph[i[un]], docs[un].astype(np.uint16), np.log10(p[i[un]]).astype(np.float32), np.full(len(un), row["chunk"])))
+        hu, du, pu, cu = (np.concatenate(x) for x in zip(*unseen, strict=True))
+        order = np.argsort(hu, kind="stable")
+        hu, du, pu, cu = hu[order], du[order], pu[order], cu[order]
+        cut = [0, *np.searchsorted(hu, np.array([-(-(k << BITS) // buckets) for k in range(1, buckets)], np.uint64)).tolist(), len(hu)]
+        out += [(UNSEEN, -1, b, squeezed(hu[a:z], du[a:z], pu[a:z], cu[a:z]), None) for b, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
         return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], MET.names)
 
     return df.mapInArrow(send, BLOBS).groupBy("bucket").applyInArrow(meet, MET)
@@ -251,14 +264,17 @@ def backed_off(met: DataFrame, d: list[float], uni: Unigrams, share: float) -> D
         left = sum((1 - d[k - 1]) * k * of[k - 1] for k in range(1, MOST + 1)) + share * of[MOST]
         alpha = left / np.maximum(count, 1) / np.maximum(1 - of[MOST + 1], uni.unknown)
         out = [(CONTEXTS, -1, rows[0]["bucket"], squeezed(h, count, alpha))]
-        for r in rows:
-            if r["kind"] == UNSEEN:
-                hu, docs, p = unsqueezed(r["data"])
-                at = np.minimum(np.searchsorted(h, hu), max(0, len(h) - 1))
-                there = (h[at] == hu) if len(h) else np.zeros(len(hu), bool)
-                # a token's sum had its context's count taken off, which doesn't apply here
-                value = p + np.where(there, np.log10(np.where(there, alpha[at] * count[at], 1)), 0.0) if len(h) else p.astype(float)
-                out.append((SUMS, r["chunk"], -1, squeezed(*per_document(docs.astype(np.int64), [], [value]))))
+        asked = [unsqueezed(r["data"]) for r in rows if r["kind"] == UNSEEN]
+        if asked:
+            hu, docs, p, chunk = (np.concatenate(x) for x in zip(*asked, strict=True))
+            value = p.astype(float)
+            if len(h):  # a token's sum had its context's count taken off, which doesn't apply here
+                at = np.minimum(np.searchsorted(h, hu), len(h) - 1)
+                value += np.where(h[at] == hu, np.log10(alpha[at] * count[at]), 0.0)
+            order = np.argsort(chunk, kind="stable")
+            start = runs(chunk[order])
+            for own in np.split(order, start[1:]):
+                out.append((SUMS, int(chunk[own[0]]), -1, squeezed(*per_document(docs[own].astype(np.int64), [], [value[own]]))))
         return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["kind", "chunk", "bucket", "data"])
 
     asked = met.where(F.col("kind").isin(CONTEXTS, UNSEEN)).select("kind", "chunk", "bucket", "data")

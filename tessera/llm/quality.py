@@ -8,8 +8,6 @@ on a bounded sample of labelled documents and applied to every whole text.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import remainder, with_text
-from .near import Words, mixed
+from .near import mixed
 from .pieces import chunks
 
 PASSAGE = 64
@@ -31,26 +29,60 @@ SAMPLE = 4000
 HIDDEN = 16
 
 
-def kinds(word: bytes) -> list[float]:
-    """Of one word: size, letters, upper case, digits, marks, others; and its shape's place among SHAPES."""
-    n = len(word)
-    letters, upper = sum(c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" or c > 127 for c in word), sum(65 <= c <= 90 for c in word)
-    digits, marks = sum(48 <= c <= 57 for c in word), sum(c in b".,;:!?" for c in word)
-    shape = re.sub(rb"([aA09])\1+", rb"\1", re.sub(rb"[0-9]", b"0", re.sub(rb"[A-Z]", b"A", re.sub(rb"[a-z\x80-\xff]+", b"a", word))))
-    out = [1.0, n, letters / n, upper / n, digits / n, marks / n, (n - letters - digits - marks) / n, float(n > 14), float(n <= 2), float(upper == n), float(letters == 0)]
-    places = [0.0] * SHAPES
-    places[zlib.crc32(shape) % SHAPES] = 1.0
-    return out + places
+#: Classes of bytes: lower-case and beyond ASCII, upper case, digits, marks, others.
+LOWER, UPPER, DIGIT, MARK, SIGN = range(5)
+CLASSES = np.full(256, SIGN, np.uint8)
+CLASSES[[*range(97, 123), *range(128, 256)]] = LOWER
+CLASSES[65:91] = UPPER
+CLASSES[48:58] = DIGIT
+CLASSES[[ord(c) for c in ".,;:!?"]] = MARK
+
+
+def kinds(words: list[bytes]) -> np.ndarray:
+    """Of each word: 1, size, shares of letters, upper case, digits, marks and others, whether it is long, short, all upper case,
+    without letters; and its shape's place among SHAPES, by a hash of its bytes with runs of letters or digits as one."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    begin = np.cumsum(size) - size
+    of = CLASSES[raw]
+    lower, upper, digits, marks = (np.add.reduceat((of == k).astype(np.int32), begin) for k in (LOWER, UPPER, DIGIT, MARK))
+    letters = lower + upper
+    out = np.zeros((len(words), 11 + SHAPES), np.float32)
+    out[:, 0], out[:, 1], out[:, 7], out[:, 8], out[:, 9], out[:, 10] = 1, size, size > 14, size <= 2, upper == size, letters == 0
+    for k, x in enumerate((letters, upper, digits, marks, size - letters - digits - marks)):
+        out[:, 2 + k] = x / size
+    shape = np.where(of < MARK, of, raw).astype(np.uint64) + np.uint64(1)
+    starts = np.zeros(len(raw), bool)
+    starts[begin] = True
+    kept = starts | (of >= MARK)
+    kept[1:] |= of[1:] != of[:-1]
+    at = np.cumsum(kept) - 1
+    first = at[begin]
+    place = np.arange(at[-1] + 1) - np.repeat(first, np.diff(np.append(first, at[-1] + 1)))
+    hashed = np.add.reduceat(mixed(shape[kept] * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)), first)
+    out[np.arange(len(words)), 11 + (mixed(hashed) % np.uint64(SHAPES)).astype(np.int64)] = 1
+    return out
 
 
 WIDTH = 11 + SHAPES + 5
 
 
+def first_seen(marks: np.ndarray) -> np.ndarray:
+    """Which marks have no equal before them, by their upper bits, with places in the lower: one sort of numbers."""
+    bits = np.uint64(max(1, (len(marks) - 1).bit_length()))
+    keys = np.sort((marks >> bits << bits) | np.arange(len(marks), dtype=np.uint64))
+    top = keys >> bits
+    new = np.ones(len(keys), bool)
+    new[1:] = top[1:] != top[:-1]
+    out = np.zeros(len(marks), bool)
+    out[(keys[new] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] = True
+    return out
+
+
 class Passages:
     """Encodes texts: a row of WIDTH numbers for each passage."""
 
     def __init__(self) -> None:
-        self.hashes = Words()
         self.start()
 
     def start(self) -> None:
@@ -63,12 +95,12 @@ class Passages:
         words = [w for s in split for w in s]
         if self.used > CACHED_WORDS:
             self.start()
-        for w in set(words).difference(self.at):
-            if self.used == len(self.rows):
+        if new := list(set(words).difference(self.at)):
+            self.at.update(zip(new, range(self.used, self.used + len(new)), strict=True))
+            while self.used + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.at[w] = self.used
-            self.rows[self.used] = kinds(w)
-            self.used += 1
+            self.rows[self.used : self.used + len(new)] = kinds(new)
+            self.used += len(new)
         n = np.fromiter(map(len, split), np.int64, len(split))
         many = np.maximum(1, -(-n // PASSAGE))
         first = np.cumsum(many) - many
@@ -86,16 +118,13 @@ class Passages:
         out[rows, : 11 + SHAPES] = total / size[:, None]
         out[rows, 0] = np.log1p(size)
         share = lambda flag: np.add.reduceat(flag.astype(np.float32), begin) / size
-        h = self.hashes(words)
+        h = mixed(which.astype(np.uint64) + np.uint64(1))
         same = np.zeros(len(words), bool)
         same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
         out[rows, -5] = share(same)
         for k, place, own in ((1, -4, passage), (1, -3, doc), (4, -2, doc)):  # distinct words of the passage; new words and new runs of four of the document
             g = h if k == 1 else h * np.uint64(3) + np.roll(h, -1) * np.uint64(5) + np.roll(h, -2) * np.uint64(7) + np.roll(h, -3) * np.uint64(11)
-            mark = mixed(g ^ mixed(own.astype(np.uint64)))
-            new = np.zeros(len(words), bool)
-            new[np.unique(mark, return_index=True)[1]] = True
-            out[rows, place] = share(new)
+            out[rows, place] = share(first_seen(mixed(g ^ mixed(own.astype(np.uint64)))))
         out[rows, -1] = np.log1p(n[doc[begin]])
         return out, first
 
@@ -169,7 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").orderBy("id", F.xxhash64("text")).limit(2 * sample).collect()
     if not rows:
         return Model(np.zeros(WIDTH), np.ones(WIDTH), [np.zeros(s) for s in ((WIDTH, HIDDEN), HIDDEN, (HIDDEN, HIDDEN), (HIDDEN, HIDDEN), HIDDEN, HIDDEN, 1)])
-    x, first = Passages()([r["text"] for r in rows])
+    passages, parts = Passages(), []
+    for texts in chunks(r["text"] for r in rows):
+        parts.append(passages(texts))
+    x = np.concatenate([p[0] for p in parts])
+    before = np.cumsum([0, *(len(p[0]) for p in parts[:-1])])
+    first = np.concatenate([p[1] + n for p, n in zip(parts, before, strict=True)])
     return train(x, first, np.array([float(r["label"] > 0) for r in rows]))
 
 

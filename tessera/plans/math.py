@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ids
 from tessera.functions import text as t
-from tessera.operators import chat, decoding, longctx, metrics, planning
+from tessera.operators import chat, configs, decoding, longctx, metrics, planning
 from tessera.operators.ordering import id_block, ordinal
 
 from . import sql
@@ -366,6 +366,48 @@ def role_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(F.broadcast(labels), "role").groupBy((F.col("turn") % 2).alias("odd"), "role").agg(F.count(F.lit(1)).alias("messages"), F.sum(t.char_count("content")).alias("tokens"), F.max("label").cast("long").alias("label_tokens"))
 
 
+@query("""
+WITH c AS (SELECT 'v' || vec_id AS name, list_transform(embedding, lambda x: round(1 + abs(x::DOUBLE), 4)) AS f, 'explicit' AS source, 0 AS part FROM embeddings WHERE label = 0
+    UNION ALL SELECT 'u' || r_regionkey, list_transform(range(0, 32), lambda i: 2.0 + r_regionkey), 'uniform', 1 FROM region)
+SELECT name, source, part, len(f) AS factors, list_min(f) AS least, list_max(f) AS most FROM c
+""")
+def factor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings").where("label = 0").select(F.concat(F.lit("v"), "vec_id").alias("name"), F.transform("embedding", lambda x: F.round(1 + F.abs(x.cast("double")), 4)).alias("long_factors"), F.lit("explicit").alias("source"))
+    key = F.col("r_regionkey")
+    uniform = table(spark, sf_dir, "region").select(F.concat(F.lit("u"), key.cast("string")).alias("name"), F.array_repeat(2.0 + key, 32).alias("long_factors"), F.lit("uniform").alias("source"))
+    return configs.candidates(given, uniform).select("name", "source", "part", F.size("long_factors").cast("long").alias("factors"), F.array_min("long_factors").alias("least"), F.array_max("long_factors").alias("most"))
+
+
+@query(f"""
+WITH n AS (SELECT max({sql.chars(sql.strip('text'))} + 1) AS longest FROM documents WHERE {sql.strip('text')} <> ''),
+c AS (SELECT n_nationkey AS id, CAST(CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_nationkey * 4000 END AS INT) AS reach, n_nationkey % 2 = 0 AS known FROM nation)
+SELECT id, known AND (reach IS NULL OR reach >= longest) AS reuse,
+    round(CASE WHEN known AND (reach IS NULL OR reach >= longest) THEN 3.0 ELSE greatest(greatest(longest, 16384) / 4096, 1.0) END, 6) AS factor,
+    CAST(CASE WHEN known AND reach >= longest THEN reach ELSE longest END AS BIGINT) AS factor_length
+FROM c, n
+""")
+def factors_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .corpus import length_scan
+
+    key = F.col("n_nationkey")
+    own = table(spark, sf_dir, "nation").select(
+        key.alias("id"), F.when(key % 3 != 0, key * 4000).cast("int").alias("longrope2_factor_max_sequence_length"), F.when(key % 2 == 0, F.array_repeat(F.lit(3.0), 32)).alias("longrope2_long_factors"),
+        F.lit(16384).alias("longrope2_target_length"), F.lit(4096).alias("original_max_len"), F.lit(64).alias("head_dim"),
+    )
+    out = configs.factors_due(own, length_scan(spark, sf_dir))
+    return out.select("id", "reuse", rounded(F.col("factors")[0], "factor"), F.col("factor_length").cast("long").alias("factor_length"))
+
+
+@query("""
+WITH v AS (SELECT c_custkey, (['0,1', ' 2 , 3,,', '-1', '', 'none', NULL])[c_custkey % 6 + 1] AS v FROM customer)
+SELECT c_custkey, CASE WHEN v IS NULL THEN NULL WHEN trim(v) IN ('', '-1', 'none', 'None') THEN '' ELSE array_to_string(list_filter(list_transform(string_split(v, ','), lambda x: trim(x)), lambda x: x <> ''), '|') END AS devices FROM v
+""")
+def visible_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = F.array(*map(F.lit, ["0,1", " 2 , 3,,", "-1", "", "none", None]))
+    own = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(values, (F.col("c_custkey") % 6 + 1).cast("int")).alias("v"))
+    return own.select("c_custkey", F.array_join(configs.visible_devices(F.col("v")), "|").alias("devices"))
+
+
 @query("""
 SELECT l_returnflag, l_linestatus, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY ALL
 """)

@@ -141,3 +141,24 @@ def test_planning(spark):
     assert sorted((r["first"], r["last"]) for r in planning.ranges(placed, "layer", "device").collect()) == [(0, 1), (2, 3)]
     chosen = planning.window_choice(layers, "layer", [4, 8], [0.0, 1.0], "s")
     assert {r.window_length for r in chosen.collect()} == {8}
+
+
+def test_configs(spark, tmp_path):
+    from tessera.operators import configs
+
+    row = (2, 4, 2, 8, None, 1e4, 128, 256, [2.0], None, ["attention", "retnet"], None, "mixed", "dynamic")
+    df = spark.createDataFrame([row], configs.CONFIG)
+    own = configs.checked(df).first()
+    assert own.hidden_size == 32 and own.longrope2_long_factors == [2.0] * 4
+    configs.write_config(df, str(tmp_path / "c"))
+    assert configs.read_config(spark, str(tmp_path / "c")).first().asDict() == df.first().asDict()
+    with pytest.raises(Exception, match="num_layers"):
+        configs.checked(df.withColumn("num_layers", F.lit(3))).collect()
+    one = spark.createDataFrame([("a", [1.0], "x")], "name string, long_factors array<double>, source string")
+    with pytest.raises(Exception, match="single"):
+        configs.candidates(one, one).collect()
+    sweep = spark.createDataFrame([("a", "ok", 0.5, None, [(1024, 12.0), (2048, None)]), ("b", "error", 1.0, 1.0, [])], "name string, status string, needle double, retrieval double, ppl array<struct<window_size:int,perplexity:double>>")
+    assert [tuple(r) for r in configs.sweep_rows(sweep).collect()] == [("a", "ok", "0.5", "-", "1024:12, 2048:overflow"), ("b", "error", "-", "-", "-")]
+    assert [tuple(r) for r in configs.summary(sweep, [("no", "x"), ("needle", "x"), ("name", "n"), ("status", "n")]).collect()] == [(0.5, "a"), (1.0, "b")]
+    text = configs.decoded(spark.createDataFrame([([1, 2],)], "ids array<int>"), "ids", F.create_map(F.lit(1), F.lit("a"), F.lit(2), F.lit("b"))).first()
+    assert (text.text, text.tokens) == ("ab", 2)

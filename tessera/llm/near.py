@@ -31,12 +31,12 @@ from .components import components, forest
 from .exact import cells_of, flagged, repeated_cells
 
 #: Shingles of a chunk: what a task holds at once.
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Bytes of sets that one block holds; larger ones are searched pair of parts by pair of parts.
 BLOCK_BYTES = 32 << 20
 #: Bits of a hash that are compared in the first step.
 SHORT_BITS = 48
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 DIVIDE = 0.01
 
 

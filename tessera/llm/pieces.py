@@ -189,7 +189,7 @@ class PieceEncoder:
     Of the pieces seen, ``most`` are kept with their ids in arrays sorted by key; beyond that the cache starts anew.
     """
 
-    def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
+    def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 500_000):
         self.merge, self.most = merge, most
         self.clear()
 

@@ -23,7 +23,7 @@ from .pieces import chunks
 
 PASSAGE = 64
 SHAPES = 24
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 4000
 HIDDEN = 16

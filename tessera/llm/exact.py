@@ -29,20 +29,26 @@ COUNTERS = 64
 HOT_SHARE = 1e-3
 
 
-def digests(df: DataFrame, id_col: str, text_col: str, kept: list[str] | None = None) -> DataFrame:
-    """id, n_code_points and digest (SHA-256 of the text without white space), after the columns ``kept``."""
+def digests(df: DataFrame, id_col: str, text_col: str, kept: list[str] | None = None, bits: np.ndarray | None = None) -> DataFrame:
+    """id, n_code_points and digest (SHA-256 of the text without white space), after the columns ``kept``; with a filter's bits,
+    may_repeat as well, in the same pass."""
     kept = kept or [id_col]
     fields = [T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(kept)]
     id_at = kept.index(id_col)
     rows, at = with_text(df, kept, text_col)
     schema = T.StructType([*fields, T.StructField("id", df.schema[id_col].dataType), T.StructField("n_code_points", T.LongType()), T.StructField("digest", T.BinaryType())])
-    white = WHITE.encode()
+    white, shared = WHITE.encode(), None
+    if bits is not None:
+        schema.add("may_repeat", T.BooleanType())
+        shared = df.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(batch.column(at), "")
             data = [hashlib.sha256(x.translate(None, white)).digest() for x in texts.cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], batch.column(id_at), pc.utf8_length(texts).cast(pa.int64()), pa.array(data, pa.binary())], schema.names)
+            digest = pa.array(data, pa.binary())
+            may = [may_have(shared.value, digest)] if shared else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], batch.column(id_at), pc.utf8_length(texts).cast(pa.int64()), digest, *may], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -53,6 +59,12 @@ def cells_of(column: pa.Array, cells: int) -> np.ndarray:
     return (words[:, :HASHES] & np.uint64(cells - 1)).astype(np.int64)
 
 
+def may_have(bits: np.ndarray, column: pa.Array) -> pa.Array:
+    """Whether all cells of each digest are set."""
+    hit = cells_of(column, 8 * len(bits))
+    return pa.array(((bits[hit >> 3] >> (7 - (hit & 7)).astype(np.uint8)) & 1).all(1))
+
+
 def repeated_cells(slim: DataFrame, cells: int, least: int = 2) -> np.ndarray:
     """Bits of the cells that ``least`` (1 or 2) rows or more hit. What comes to the driver has ``cells`` bits, whatever the number of rows."""
 
@@ -81,15 +93,12 @@ def repeated_cells(slim: DataFrame, cells: int, least: int = 2) -> np.ndarray:
 
 def flagged(df: DataFrame, bits: np.ndarray) -> DataFrame:
     """Adds may_repeat, by the column digest."""
-    shared, cells, names = df.sparkSession.sparkContext.broadcast(bits), 8 * len(bits), df.columns
+    shared, names = df.sparkSession.sparkContext.broadcast(bits), df.columns
     at = names.index("digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            hit = cells_of(batch.column(at), cells)
-            may = ((own[hit >> 3] >> (7 - (hit & 7)).astype(np.uint8)) & 1).all(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may)], [*names, "may_repeat"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, may_have(shared.value, batch.column(at))], [*names, "may_repeat"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("may_repeat", T.BooleanType())]))
 
@@ -132,7 +141,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_cells: int = 1 << 26) -> DataFrame:
     """The rows that stay, with all their columns; rules as in ``exact_groups``. Rows that can't repeat aren't shuffled."""
     _, bits, groups, hot = plan(df, id_col, text_col, most_cells)
-    rows = flagged(digests(df, id_col, text_col, df.columns), bits)
+    rows = digests(df, id_col, text_col, df.columns, bits)
     alone, repeated = rows.where("NOT may_repeat"), in_groups(rows.where("may_repeat"), groups, hot)
     stays = repeated.where(F.col("id").eqNullSafe(F.col("keep_id"))).withColumn("least", -F.col("n_code_points"))
     stays = stays.groupBy("digest").agg(F.min_by(F.struct(*[f"c{i}" for i in range(len(df.columns))]), "least").alias("x"))

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import partitions, written
 from .components import components, forest
-from .exact import cells_of, flagged, repeated_cells
+from .exact import flagged, may_have, repeated_cells
 
 #: Shingles of a chunk: what a task holds at once.
 CHUNK = 500_000
@@ -214,18 +214,17 @@ def shared_counts(df: DataFrame, width: int, buckets: int) -> DataFrame:
 
 def candidate_sets(df: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
     """key, n and hashes of the sets whose keys the filter ``wanted`` may have, each once."""
-    shared, cells = df.sparkSession.sparkContext.broadcast(wanted), 8 * len(wanted)
+    shared = df.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, bits = Words(), set(), shared.value
+        words, seen = Words(), set()
         for _, texts in chunked(batches):
             flat, bounds = sets_of(*shingles(texts, width, words), len(texts))
             parts = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             keys = [key_of(p) if len(p) else None for p in parts]
-            hit = cells_of(pa.array([hashlib.sha256(b"%d" % (k or 0)).digest() for k in keys]), cells)
-            may = ((bits[hit >> 3] >> (7 - (hit & 7)).astype(np.uint8)) & 1).all(1)
+            may = may_have(shared.value, pa.array([hashlib.sha256(b"%d" % (k or 0)).digest() for k in keys]))
             out = []
-            for i in np.flatnonzero(may).tolist():
+            for i in np.flatnonzero(may.to_numpy(zero_copy_only=False)).tolist():
                 if keys[i] is not None and keys[i] not in seen:
                     seen.add(keys[i])
                     out.append((keys[i], len(parts[i]), parts[i].tobytes()))

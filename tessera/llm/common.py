@@ -45,6 +45,16 @@ def remainder(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: What Python workers are started with, so that freed arrays go back to the system at once and not only when the worker ends.
+FRUGAL = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+def frugal(spark: SparkSession) -> None:
+    """Sets FRUGAL for Python workers of operators that are called after this, where the session hasn't set its own."""
+    for name, value in FRUGAL.items():
+        spark.sparkContext.environment.setdefault(name, value)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

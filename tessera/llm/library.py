@@ -1,8 +1,13 @@
-"""Ids by the tokenizers library, for byte-level BPE files: the library encodes each distinct piece, and equal pieces of a batch share its ids."""
+"""Ids by the tokenizers library, for byte-level BPE files: the library encodes each distinct piece, and equal pieces of a batch share its ids.
+
+``encoder`` takes a text as plain characters. ``text_encoder`` gives the ids of the library's plain call without template tokens:
+the file's added tokens are found first, and have their own ids.
+"""
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +38,53 @@ class LibraryMerger:
         return np.concatenate(ids), np.concatenate(counts)
 
 
+class TextEncoder:
+    """Whole texts to ids, with the file's added tokens. Texts are cut at these before the piece scan; what is between two of them is a text
+    of its own to the library, and so here. Added tokens that take white space or need word borders leave their texts to the library."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.own = encoder(path)
+        added = self.own.merge.own.get_added_tokens_decoder()
+        self.ids = {t.content: i for i, t in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.ids, key=len, reverse=True))) + ")")
+        simple = all(not (t.single_word or t.lstrip or t.rstrip) for t in added.values()) and len({t.normalized for t in added.values()}) < 2
+        self.plain = None if simple else Tokenizer.from_file(path)
+
+    def parts(self, text: str) -> list:
+        """Texts at even places, ids of tokens between them."""
+        if not any(t in text for t in self.ids):
+            return [text]
+        if self.plain is None:
+            out: list = self.cut.split(text)
+            out[1::2] = [self.ids[t] for t in out[1::2]]
+        else:
+            ids = self.plain.encode(text, add_special_tokens=False).ids
+            out = [""] * (2 * len(ids) + 1)
+            out[1::2] = ids
+        return out
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array, and where each text's begin in it, with the end."""
+        parts = [self.parts(t) for t in texts]
+        many = np.fromiter((len(p) // 2 for p in parts), np.int64, len(parts))
+        if not many.any():
+            return self.own.encode(texts)
+        ids, offsets = self.own.encode([x for p in parts for x in p[::2]])
+        last = np.cumsum(many + 1)
+        followed = np.delete(offsets[1:], last - 1)
+        tokens = np.array([x for p in parts for x in p[1::2]], ids.dtype)
+        return np.insert(ids, followed, tokens), np.append(0, offsets[last] + np.cumsum(many))
+
+
 @lru_cache(2)
 def encoder(path: str) -> PieceEncoder:
     """One of each worker, kept from task to task."""
     return PieceEncoder(LibraryMerger(path))
+
+
+@lru_cache(2)
+def text_encoder(path: str) -> TextEncoder:
+    """One of each worker, kept from task to task."""
+    return TextEncoder(path)

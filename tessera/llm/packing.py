@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
-from .library import encoder
+from .library import text_encoder
 from .pieces import chunks
 
 #: What one more cut costs, in ids of padding.
@@ -54,7 +54,7 @@ def pieces_of(df: DataFrame, tokenizer: str, capacity: int, end_id: int | None,
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "task", "rank")] + [T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rest, task = encoder(tokenizer), cuts(capacity), TaskContext.get().partitionId()
+        own, rest, task = text_encoder(tokenizer), cuts(capacity), TaskContext.get().partitionId()
         before = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             done = 0

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import partitions
-from .library import encoder
+from .library import text_encoder
 from .packing import with_end
 from .pieces import chunks
 
@@ -69,7 +69,7 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, end_id: int | None =
     rows = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("data", T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, codec = encoder(tokenizer), pa.Codec("zstd", 1)
+        own, codec = text_encoder(tokenizer), pa.Codec("zstd", 1)
         for batch in batches:
             done = 0
             for texts in chunks(batch.column(1).to_pylist()):

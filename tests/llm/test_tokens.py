@@ -146,3 +146,38 @@ def test_token_file_edges(spark, tmp_path):
     assert not [p for p in (tmp_path / "t").iterdir() if p.name.startswith(".")]
     token_files.write_tokens(df.limit(0), JSON, str(tmp_path / "e"))
     assert token_files.read_tokens(spark, str(tmp_path / "e")).count() == 0
+
+
+MARKED = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n", "it's <|endoftext|>'s <|endoftext", " \n <|endoftext|> \n ", "<|<|endoftext|>|>"]
+
+
+def test_added_tokens_are_the_librarys(tmp_path):
+    rnd = random.Random(3)
+    texts = odd_texts(300) + MARKED + ["<|endoftext|>".join(odd_texts(rnd.randrange(1, 6), i)) for i in range(300)]
+    plain = Tokenizer.from_file(JSON)
+    assert plain.encode(MARKED[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    told = json.loads(open(JSON).read())
+    told["added_tokens"][0] |= {"lstrip": True, "rstrip": True}
+    (tmp_path / "strips.json").write_text(json.dumps(told))
+    for path in (JSON, str(tmp_path / "strips.json")):
+        plain = Tokenizer.from_file(path)
+        ids, offsets = library.text_encoder(path).encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, offsets = library.text_encoder(JSON).encode(["", ""])
+    assert len(ids) == 0 and offsets.tolist() == [0, 0, 0]
+
+
+def test_added_tokens_are_packed_and_written(spark, tmp_path):
+    plain = Tokenizer.from_file(JSON)
+    df = spark.createDataFrame(list(enumerate([*MARKED, "plain"])), "doc_id long, text string")
+    full = [plain.encode(t, add_special_tokens=False).ids + [1] for t in [*MARKED, "plain"]]
+    got = {i: {} for i in range(len(full))}
+    for r in packing.pack(df, JSON, capacity=8, end_id=1).collect():
+        got[r.doc_id][r.start] = np.frombuffer(r.ids, "<u4").tolist()
+        assert r.doc_tokens == len(full[r.doc_id])
+    assert [[x for _, p in sorted(own.items()) for x in p] for own in got.values()] == full
+    token_files.write_tokens(df, JSON, str(tmp_path / "t"), end_id=1, parts=2)
+    at = 0
+    for r in sorted(token_files.read_tokens(spark, str(tmp_path / "t")).collect()):
+        assert (r.start, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist()) == (at, len(full[r.doc_id]), full[r.doc_id])
+        at += r.n_tokens

@@ -2,7 +2,7 @@
 
 The field's tags begin or go on with one of KINDS, or are outside. Features are of a word's shape and marks, at its place and
 its neighbours'; weights of features and of neighbouring tags are learned from a small table of tagged words by the gradient of
-its likelihood. Decoding is Viterbi over batches of windows of words of equal length, in numpy. An entity has, in reach of
+its likelihood. Decoding is Viterbi over whole stretches of words, all of a batch side by side, in numpy. An entity has, in reach of
 three words, one with a digit, an at sign, a bracket or a plus; other words are outside any. What the field finds must pass the
 checks of its kind, and counts where no pattern has found anything.
 """
@@ -24,8 +24,6 @@ from .pieces import chunks
 KINDS = ["email", "ip", "card", "phone"]
 TAGS = ["O"] + [f"{x}-{k}" for k in KINDS for x in "BI"]
 REACH = 3
-#: Words of a window at most; a longer stretch of such words is cut there.
-WINDOW = 256
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 NUMBERS = re.compile(r"[0-9.]*[0-9]\.[0-9][0-9.]*")
@@ -134,6 +132,23 @@ class Field:
             out[:, t - 1] = back[np.arange(n), t, out[:, t]]
         return out
 
+    def decode_all(self, scores: np.ndarray, firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The best tags of sequences of any lengths, given one after another: scores is (words, tags), firsts where they begin."""
+        order = np.argsort(-lengths, kind="stable")
+        firsts, lengths = firsts[order], lengths[order]
+        longer = np.searchsorted(-lengths, -np.arange(lengths[0])).tolist()  # sequences that have a word t
+        best, back, out = scores[firsts] + self.moves[0], np.zeros(scores.shape, np.int8), np.zeros(len(scores), np.int8)
+        for t in range(1, len(longer)):
+            at = firsts[: longer[t]] + t
+            step = best[: longer[t], :, None] + self.moves[None, 1:]
+            back[at] = step.argmax(1)
+            best[: longer[t]] = step.max(1) + scores[at]
+        out[firsts + lengths - 1] = best.argmax(1)
+        for t in range(len(longer) - 1, 0, -1):
+            at = firsts[: longer[t]] + t
+            out[at - 1] = back[at, out[at]]
+        return out
+
 
 def allowed() -> np.ndarray:
     """0 for moves between tags that can be, else a large negative; first row: from the start."""
@@ -295,15 +310,14 @@ def found_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int
     if not len(at):
         return out
     new = np.flatnonzero(np.r_[True, (np.diff(at) > 1) | (np.diff(doc[at]) > 0)])
-    long = np.diff(np.append(new, len(at)))
-    firsts = np.concatenate([np.arange(n, n + c, WINDOW) for n, c in zip(new.tolist(), long.tolist(), strict=True)])
-    lengths = np.diff(np.append(firsts, len(at)))
     words = [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
     own = field.emissions(words)
-    tags = np.zeros(len(at), np.int8)
-    for n in np.unique(lengths).tolist():
-        rows = firsts[lengths == n][:, None] + np.arange(n)
-        tags[rows] = field.decode(placed(own[rows]))
+    scores, inner = own[:, 0].copy(), np.ones(len(at), bool)  # as placed(), over stretches one after another
+    inner[new] = False
+    later = np.flatnonzero(inner)
+    scores[later] += own[later - 1, 1]
+    scores[later - 1] += own[later, 2]
+    tags = field.decode_all(scores, new, np.diff(np.append(new, len(at))))
     for i in np.flatnonzero(tags % 2 == 1).tolist():
         j = i + 1
         while j < len(tags) and tags[j] == tags[i] + 1 and at[j] == at[j - 1] + 1:

@@ -113,6 +113,24 @@ def test_field_adds_unusual_forms(field):
     assert got == [[("phone", "(555) 123-4567"), ("phone", "555-123-4567")], [("email", "anna.me [at] mail [dot] example [dot] com")], [], [], []]
 
 
+def test_long_stretches_are_decoded_whole(field):
+    rnd = random.Random(4)
+    digits = lambda k: "".join(rnd.choice("23456789") for _ in range(k))
+    phones = [f"({digits(3)}) {digits(3)}-{digits(4)}" for _ in range(700)]
+    texts = ["\n".join(f"Name {p}" for p in phones), "no mark here", "\n".join(f"Name {p}" for p in phones[:60]), "call (555) 123-4567 now"]
+    got = [[t[a:b] for a, k, b in own if pii.KINDS[k] == "phone"] for t, own in zip(texts, pii.found_spans(texts, field))]
+    assert got == [phones, [], phones[:60], ["(555) 123-4567"]]
+
+
+def test_decoding_together_is_decoding_alone(field):
+    rnd = random.Random(6)
+    some = [w for words, _ in pii.examples(100, 5) for w in words]
+    lengths = np.array([1, 3, 900, 1, 257, 40, 900])
+    scores = [pii.placed(field.emissions([rnd.choice(some) for _ in range(n)])[None])[0] for n in lengths]
+    whole = field.decode_all(np.concatenate(scores), np.cumsum(lengths) - lengths, lengths)
+    assert whole.tolist() == [x for s in scores for x in field.decode(s[None])[0].tolist()]
+
+
 def test_personal_data_edges(spark):
     df = spark.createDataFrame([(1, "é x a@b.co y 1.2.3.4", "k"), (1, None, None), (None, "", "k"), (2, "w " * 20000 + "a@b.co", None)], "doc_id long, text string, redacted string")
     out = pii.find(df, kept=df.columns[:2], redacted_col="hidden").collect()

@@ -124,7 +124,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, codewords: int | None =
     spark = df.sparkSession
     rows = distinct_vectors(df, id_col, vec_col)
     groups = rows.where("vec IS NOT NULL").groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    groups = written(groups.select("rep", "copies", "vec", F.size("vec").alias("dim")), "vectors")
+    groups = written(groups.select(F.monotonically_increasing_id().alias("num"), "rep", "copies", "vec", F.size("vec").alias("dim")), "vectors")
     dims = [r["dim"] for r in groups.select("dim").distinct().collect()]
     found = spark.createDataFrame([], "id long, n long, a long, b long")
     for dim in dims:
@@ -132,8 +132,10 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, codewords: int | None =
     found = written(found, "found")
     roots = components(found.where("a IS NOT NULL").select("a", "b"))
     counts = found.where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n"))
-    known = groups.join(counts, F.col("rep") == F.col("id"), "left").drop("id").join(roots, F.col("rep") == F.col("node"), "left")
-    known = written(known.select("vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"), "copies"), "known")
+    least = roots.join(groups, F.col("node") == F.col("num")).groupBy("root").agg(F.min("rep").alias("least"))
+    roots = roots.join(least, "root").select("node", "least")
+    known = groups.join(counts, F.col("num") == F.col("id"), "left").drop("id").join(roots, F.col("num") == F.col("node"), "left")
+    known = written(known.select("vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"), "copies"), "known")
     hot = known.where(F.col("copies") > max(1000, rows.count() * 1e-3))  # fewer than 1000 rows
     hot = F.broadcast(hot.select("vec", F.col("n_links").alias("hot_links"), F.col("component_id").alias("hot_component")))
     seen = rows.join(hot, "vec", "left")
@@ -144,9 +146,9 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, codewords: int | None =
 
 
 def links_of(groups: DataFrame, dim: int, cosine: float, codewords: int | None, recall: float, sample: int) -> DataFrame:
-    """Of vectors of one length: id, n (copies of other vectors that it links with), in other rows a, b (links that give the components)."""
+    """Of vectors of one length, by their numbers: id, n (copies of other vectors that it links with), in other rows a, b (links that give the components)."""
     spark = groups.sparkSession
-    some = groups.orderBy(F.xxhash64("rep")).limit(sample).select("vec").toPandas()["vec"]
+    some = groups.orderBy(F.xxhash64("rep"), F.xxhash64("vec")).limit(sample).select("vec").toPandas()["vec"]
     x = np.stack(some.to_numpy()).astype(float)
     k = codewords or int(min(1024, max(8, 2 ** round(np.log2(np.sqrt(groups.count()) / 4)))))
     index = spark.sparkContext.broadcast(fit(x / np.linalg.norm(x, axis=1, keepdims=True), cosine, k, recall))
@@ -162,45 +164,45 @@ def links_of(groups: DataFrame, dim: int, cosine: float, codewords: int | None,
             if batch.num_rows:
                 x = unit(batch.column(2))
                 home, seen = own.cells(x), own.visits(x)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(home, pa.int64()), pa.array(seen, pa.list_(pa.int64())), pa.array(list(x), pa.list_(pa.float64()))], ["rep", "copies", "home", "cells", "unit"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(home, pa.int64()), pa.array(seen, pa.list_(pa.int64())), pa.array(list(x), pa.list_(pa.float64()))], ["num", "copies", "home", "cells", "unit"])
 
-    placed = written(groups.select("rep", "copies", "vec").mapInArrow(visit, "rep long, copies long, home long, cells array<long>, unit array<double>"), "placed")
+    placed = written(groups.select("num", "copies", "vec").mapInArrow(visit, "num long, copies long, home long, cells array<long>, unit array<double>"), "placed")
     # cells are cut so that no task compares more than SIDE indexed vectors with about SIDE queries
     asked = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("query_parts"))
     cells = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("index_parts")).join(asked, "cell")
     cells = F.broadcast(cells)  # at most codewords ** 2 rows
-    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("num"), F.col(n)).cast("int")
     indexed = placed.withColumn("cell", F.col("home")).join(cells, "cell").withColumn("i", part("index_parts")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
     queries = placed.withColumn("cell", F.explode("cells")).join(cells, "cell").withColumn("j", part("query_parts")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("index_parts") - 1)))
-    cols = ["cell", "i", "j", "rep", "copies", "home", "cells", "unit"]
+    cols = ["cell", "i", "j", "num", "copies", "home", "cells", "unit"]
     dealt = indexed.select(*cols, F.lit(False).alias("asks")).unionByName(queries.select(*cols[:-2], F.lit(None).cast("array<long>").alias("cells"), "unit", F.lit(True).alias("asks")))
 
     def compare(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
-        rep, copies, home = (table.column(c).to_numpy() for c in ("rep", "copies", "home"))
+        num, copies, home = (table.column(c).to_numpy() for c in ("num", "copies", "home"))
         x = np.asarray(table.column("unit").combine_chunks().flatten()).reshape(-1, dim)
         q, y = np.flatnonzero(asks), np.flatnonzero(~asks)
         homes, home_of = np.unique(home, return_inverse=True)
-        mutual = np.zeros((len(rep), len(homes)), bool)  # an indexed vector visits a query's cell, and so finds the link as well
+        mutual = np.zeros((len(num), len(homes)), bool)  # an indexed vector visits a query's cell, and so finds the link as well
         for i, own in zip(y.tolist(), table.column("cells").take(pa.array(y)).to_pylist(), strict=True):
             mutual[i] = np.isin(homes, own)
-        count, a, b = np.zeros(len(rep), np.int64), [], []
+        count, a, b = np.zeros(len(num), np.int64), [], []
         for s in range(0, len(q), 512):
             for t in range(0, len(y), 1024):
                 p, r = np.nonzero(x[q[s : s + 512]] @ x[y[t : t + 1024]].T >= cosine)
                 p, r = q[p + s], y[r + t]
-                apart = rep[p] != rep[r]
+                apart = num[p] != num[r]
                 p, r = p[apart], r[apart]
                 np.add.at(count, p, copies[r])
                 alone = ~mutual[r, home_of[p]]
                 np.add.at(count, r[alone], copies[p[alone]])
                 if len(p):
-                    a_, b_ = forest(rep[p], rep[r])
+                    a_, b_ = forest(num[p], num[r])
                     a.append(a_)
                     b.append(b_)
         ends = forest(np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
         hit = np.flatnonzero(count)
-        columns = [(rep[hit], 0), (count[hit], 0), (ends[0], 1), (ends[1], 1)]
+        columns = [(num[hit], 0), (count[hit], 0), (ends[0], 1), (ends[1], 1)]
         none = [pa.nulls(len(ends[0]), pa.int64()), pa.nulls(len(hit), pa.int64())]
         return pa.table({c: pa.concat_arrays([none[1], pa.array(v)] if last else [pa.array(v), none[0]]) for c, (v, last) in zip("id n a b".split(), columns, strict=True)})
 

@@ -150,3 +150,10 @@ def test_vector_edges(spark):
     got = sorted(map(tuple, vectors.near_duplicates(df).collect()))
     assert got == [(1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (7, 3, 1, False), (7, 3, 1, False), (8, 0, 8, True), (9, 0, 9, True), (10, 0, 10, True)]
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_vectors_without_an_id_of_their_own(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (None, [0.0, 1.0]), (2, [0.01, 1.0]), (None, [-1.0, 0.0]), (3, [0.0, -1.0]), (3, [-0.7, -0.7])]
+    got = [tuple(r) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    want = [(1, 1, 1, True), (1, 1, 1, True), (None, 1, 2, None), (2, 1, 2, True), (None, 0, None, None), (3, 0, 3, True), (3, 0, 3, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -3,7 +3,7 @@
 Code points become symbols by a class table. A piece can start at a character or not according to a small automaton; each
 symbol is a function from state to state, and functions compose associatively, so that the state before each character
 comes from a blocked scan over a table of compositions. Equal pieces of a batch are encoded once, and a bounded cache
-keeps them between batches.
+keeps them between batches; what shares a key with another piece is told apart from it by its characters.
 """
 
 from __future__ import annotations
@@ -183,10 +183,27 @@ def chunks(texts: Iterable[str | None]) -> Iterator[list[str]]:
         yield out
 
 
+def alike(points: np.ndarray, begin: np.ndarray, size: np.ndarray, others: np.ndarray, other_begin: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether each piece (``begin`` and ``size`` in ``points``, one after another) has the characters of another one in ``others``."""
+    at = np.arange(len(points)) + np.repeat(other_begin - begin, size)
+    differs = others[np.minimum(at, len(others) - 1)] != points
+    return (size == other_size) & ~np.logical_or.reduceat(differs, begin)
+
+
+def appended(store: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``store``, larger if it must be, with ``more`` after its first ``used`` values."""
+    while used + len(more) > len(store):
+        store = np.concatenate([store, np.zeros_like(store)])
+    store[used : used + len(more)] = more
+    return store
+
+
 class PieceEncoder:
     """Encodes texts piece by piece. merge: gets distinct pieces, gives all their ids in one array, and how many each has.
 
-    Of the pieces seen, ``most`` are kept with their ids in arrays sorted by key; beyond that the cache starts anew.
+    Of the pieces seen, ``most`` are kept with their ids in arrays sorted by key; beyond that the cache starts anew. Keys only
+    say where to look: each piece is compared, character by character, with the one whose ids it would get, and is merged by
+    itself if they differ.
     """
 
     def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 500_000):
@@ -194,20 +211,21 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.size, self.text_at, self.text_size = (np.zeros(0, np.int64) for _ in range(4))
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.points, self.points_used = np.zeros(1 << 16, np.uint32), 0
 
     def learn(self, new_keys: np.ndarray, pieces: list[str]) -> None:
-        if len(self.keys) + len(pieces) > self.most:
-            self.clear()
         ids, size = self.merge(pieces)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        at = self.used + np.cumsum(size) - size
-        self.used += len(ids)
+        points = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+        text_size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        new = [self.used + np.cumsum(size) - size, size, self.points_used + np.cumsum(text_size) - text_size, text_size]
+        self.ids, self.used = appended(self.ids, self.used, ids), self.used + len(ids)
+        self.points, self.points_used = appended(self.points, self.points_used, points), self.points_used + len(points)
         order = np.argsort(both := np.concatenate([self.keys, new_keys]), kind="stable")
-        self.keys, self.at, self.size = both[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        self.keys = both[order]
+        self.at, self.size, self.text_at, self.text_size = (np.concatenate(x)[order] for x in zip((self.at, self.size, self.text_at, self.text_size), new, strict=True))
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the cache, and which are there."""
@@ -223,17 +241,32 @@ class PieceEncoder:
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         begin = starts(points, bounds[:-1][lengths > 0])
+        length = np.diff(np.append(begin, len(points)))
         distinct, first, which = np.unique(keys(points, begin), return_index=True, return_inverse=True)
+        odd = ~alike(points, begin, length, points, begin[first][which], length[first][which])
         at, known = self.find(distinct)
+        cut = lambda x: [joined[a : a + n] for a, n in zip(begin[x].tolist(), length[x].tolist(), strict=True)]
         if not known.all():
-            stop = np.append(begin, len(points))
             new = np.flatnonzero(~known)
             if len(self.keys) + len(new) > self.most:  # the cache starts anew, so all of this batch is new
                 self.clear()
-                new = np.arange(len(distinct))
-            self.learn(distinct[new], [joined[a:b] for a, b in zip(stop[first[new]].tolist(), stop[first[new] + 1].tolist(), strict=True)])
+                new, known = np.arange(len(distinct)), np.zeros(len(distinct), bool)
+            self.learn(distinct[new], cut(first[new]))
             at, _ = self.find(distinct)
-        size, source = self.size[at][which], self.at[at][which]
+        if known.any():
+            old = np.flatnonzero(known)
+            n = length[first[old]]
+            to = np.cumsum(n) - n
+            own = points[np.arange(n.sum()) + np.repeat(begin[first[old]] - to, n)]
+            known[old] = ~alike(own, to, n, self.points, self.text_at[at[old]], self.text_size[at[old]])  # now: has another's key
+            odd |= known[which]
+        size, source, ids = self.size[at][which], self.at[at][which], self.ids
+        if odd.any():
+            pieces = cut(np.flatnonzero(odd))
+            place = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
+            more, n = self.merge(list(place))
+            own = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
+            size[odd], source[odd], ids = n[own], (len(ids) + np.cumsum(n) - n)[own], np.concatenate([ids, more])
         ends = np.cumsum(size)
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(source - (ends - size), size)]
+        ids = ids[np.arange(ends[-1]) + np.repeat(source - (ends - size), size)]
         return ids, np.append(0, ends)[np.searchsorted(begin, bounds)]

@@ -32,9 +32,7 @@ def reference():
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    own = Tokenizer.from_file(JSON)
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(JSON)
 
 
 def test_pieces_are_the_patterns_matches():
@@ -61,7 +59,7 @@ def test_scans_of_any_width_agree():
 
 def test_ids_are_the_librarys(reference, tokenizer):
     texts = odd_texts()
-    for own, encode in ((bpe.encoder(RANKS), reference.encode_ordinary), (library.encoder(JSON), lambda t: tokenizer.encode(t, add_special_tokens=False).ids)):
+    for own, encode in ((bpe.encoder(RANKS), reference.encode_ordinary), (library.text_encoder(JSON), lambda t: tokenizer.encode(t, add_special_tokens=False).ids)):
         ids, offsets = own.encode(texts)
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [encode(t) for t in texts]
 
@@ -72,6 +70,33 @@ def test_cache_starts_anew(reference):
         assert own.encode([t])[0].tolist() == reference.encode_ordinary(t)
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+@pytest.mark.parametrize("together", [True, False])
+def test_pieces_with_one_key_have_their_own_ids(reference, together):
+    """Such a word and its complement have the same polynomial modulo 2^64 from some length on."""
+    texts = [t for n in (1024, 2048, 4096) for t in (thue_morse(n), thue_morse(n, "b", "a"), "x " + thue_morse(n, "b", "a"))]
+    last = [pieces.keys(np.frombuffer(t.encode("utf-32-le"), np.uint32), np.array([0])) for t in texts[-3:-1]]
+    assert last[0] == last[1]
+    plain = Tokenizer.from_file(JSON)
+    for merge, encode in ((bpe.Merger(bpe.load_ranks(RANKS)), reference.encode_ordinary), (library.LibraryMerger(JSON), lambda t: plain.encode(t, add_special_tokens=False).ids)):
+        own = pieces.PieceEncoder(merge)
+        for _ in range(2):
+            for some in [texts] if together else [[t] for t in texts]:
+                ids, offsets = own.encode(some)
+                assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [encode(t) for t in some]
+
+
+def test_all_keys_alike(reference, monkeypatch):
+    monkeypatch.setattr(pieces, "keys", lambda points, begin: np.zeros(len(begin), np.uint64))
+    own, texts = pieces.PieceEncoder(bpe.Merger(bpe.load_ranks(RANKS))), odd_texts(100)
+    for some in (texts, texts[::-1]):
+        ids, offsets = own.encode(some)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [reference.encode_ordinary(t) for t in some]
+
+
 def test_encode_and_decode_rows(spark, reference):
     df = spark.createDataFrame(ROWS, SCHEMA)
     encoded = bpe.encode_texts(df, RANKS, decoded_col="back")

@@ -1,16 +1,19 @@
-"""A bigram language model with Katz backoff, learned from some documents and applied to all of them.
+"""An n-gram language model with Katz backoff, learned from some documents and applied to all of them.
 
-Seen bigrams have Good-Turing discounted counts; a context's weight gives unseen words what that leaves, in proportion to
-their discounted unigram probability, so that each context's probabilities sum to one over the vocabulary and one unknown word:
+Seen n-grams have Good-Turing discounted counts; a context's weight gives unseen words what that leaves, in proportion to
+their probability of the next lower order, so that each context's probabilities sum to one over the vocabulary and one unknown word:
 
     P(w | h) = d(r) * r / c(h)          where h w was seen r times
-             = alpha(h) * P(w)          else; alpha(h) = (1 - sum of P(seen | h)) / (1 - sum of P(seen))
+             = alpha(h) * P(w | h')     else, h' being h without its first word; alpha(h) = (1 - sum of P(seen | h)) / (1 - sum of P(seen | h'))
 
-Tokens go to buckets by the word that they are (frequent words' tokens by the word before them, so that no bucket is large),
-in chunks where equal bigrams are one. A bucket has all of a word's counts, so that it knows P(w) and r. What it sends on are
-sums for each document, parts of contexts' sums, and the tokens that were never seen after their context; contexts are
-summed in buckets of their own, where their weights are applied to these tokens. Unigrams and contexts with
-their weights are written as tables partitioned by bucket.
+A context that was never seen has alpha(h) = 1. Counts above MOST are left whole, as Katz has it; where a context has only such
+counts, one is added to c(h), and unseen words share it.
+
+Texts are tokenised once, in chunks that are written as a table. For each order, a chunk asks the buckets of its distinct n-grams
+for their counts, and sends what it has of them; a bucket, some hundred thousand n-grams, sums them, writes counts and contexts as tables
+of the model, and replies. There are as many buckets as the number of tokens asks for. A context that holds more than
+a quarter of a bucket is split by the word after it, and its parts are summed by themselves. With all replies a chunk
+evaluates each of its tokens from the highest order down.
 """
 
 from __future__ import annotations
@@ -26,14 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, partitions, written
+from .common import frugal, new_path, partitions, written
 from .near import BLOBS, Words, blobs, chunked, mixed, rows_of, squeezed, unsqueezed
 
 #: Counts up to this are discounted by Good-Turing.
 MOST = 5
-END, START = 1, 2
+END = 1  # the hash of a text's end
 SHIFT = np.uint64(8)  # hashes of 56 bits
 BITS = 56
+#: Places for ids that are no word's: what was not seen in training, and what is before a text.
+UNKNOWN, START = -1, -2
+#: Distinct n-grams of chunks that one bucket is to have.
+BUCKET = 500_000
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -59,6 +66,11 @@ def discounts(n: list[int]) -> list[float]:
     return [(r - 0.5) / r for r in range(1, MOST + 1)]
 
 
+def kept(d: tuple[float, ...], r: np.ndarray) -> np.ndarray:
+    """Discounted counts."""
+    return np.array([0.0, *d, 1.0])[np.minimum(r, MOST + 1)] * r
+
+
 @dataclass(frozen=True)
 class Unigrams:
     """Numbers of training tokens, distinct words and documents, and what gives P(w) by w's count."""
@@ -66,7 +78,7 @@ class Unigrams:
     tokens: int
     words: int
     documents: int
-    factors: tuple[float, ...]
+    d: tuple[float, ...]
     total: float
     unknown: float
 
@@ -75,27 +87,17 @@ class Unigrams:
         d = discounts(n)
         left = sum(n[r] * r * (1 - d[r - 1]) for r in range(1, MOST + 1))
         total = tokens if left else tokens + 1
-        return cls(tokens, words, documents, (0.0, *d), float(total), (left or 1) / total)
+        return cls(tokens, words, documents, tuple(d), float(total), (left or 1) / total)
 
     def p(self, c: np.ndarray) -> np.ndarray:
-        factor = np.append(self.factors, 1.0)[np.minimum(c, MOST + 1)]
-        return np.where(c > 0, factor * c / self.total, self.unknown)
-
-
-def tokens_of(ids: list, texts: list[str | None], folds: int, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words and ends, of what is before each, their documents, and which documents are held out."""
-    split = [(t or "").encode().lower().split() for t in texts]
-    n = np.fromiter(map(len, split), np.int64, len(split)) + 1
-    w = np.full(n.sum(), END, np.uint64)
-    ends = np.cumsum(n) - 1
-    inner = np.ones(len(w), bool)
-    inner[ends] = False
-    w[inner] = (words([x for s in split for x in s]) >> SHIFT) | np.uint64(4)
-    before = np.empty_like(w)
-    before[1:] = w[:-1]
-    before[np.append(0, ends[:-1] + 1)] = START
-    held = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % folds == 0 for i in ids])
-    return w, before, np.repeat(np.arange(len(texts)), n), held
+        return np.where(c > 0, kept(self.d, c) / self.total, self.unknown)
+
+
+def left_over(d: tuple[float, ...], n: list[np.ndarray], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What contexts leave to unseen words, and what their counts are divided by, from n[r - 1] words seen r times after them."""
+    left = sum((1 - d[r]) * (r + 1) * n[r] for r in range(MOST))
+    total = count + (left == 0)
+    return np.where(left == 0, 1, left) / np.maximum(total, 1), total
 
 
 def runs(*columns: np.ndarray) -> np.ndarray:
@@ -111,220 +113,354 @@ def summed(x: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, start) if len(start) else x[:0]
 
 
-def unigrams(df: DataFrame, folds: int, buckets: int, path: str) -> tuple[Unigrams, dict[int, int]]:
-    """Counts of all training words, as a table at ``path``; their numbers, and words with over a quarter of a bucket, at most four of each."""
+def joined(parts: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
+    return np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task, c = Words(), TaskContext.get().partitionId(), 0
-        for ids, texts in chunked(batches):
-            w, _, docs, held = tokens_of(ids, texts, folds, words)
-            w, n = np.unique(w[~held[docs]], return_counts=True)
-            yield blobs(w, [n.astype(np.uint32)], buckets, task << 24 | c, b"%d" % (~held).sum(), BITS)
-            c += 1
 
-    def count(table: pa.Table) -> pa.Table:
-        rows = rows_of(table)
-        own = [unsqueezed(r["data"]) for r in rows]
-        w, n = (np.concatenate([x[i] for x in own]) for i in range(2))
-        order = np.argsort(w, kind="stable")
-        w, n = w[order], n[order].astype(np.int64)
-        start = runs(w)
-        w, n = w[start], summed(n, start)
-        many = np.flatnonzero(n * 4 > max(n.sum(), 1))
-        return pa.table({
-            "bucket": pa.array([rows[0]["bucket"]], pa.int32()), "words": pa.array([squeezed(w)], pa.binary()), "counts": pa.array([squeezed(n)], pa.binary()),
-            "of_count": pa.array([np.bincount(np.minimum(n, MOST + 2), minlength=MOST + 3).tolist()], pa.list_(pa.int64())), "tokens": pa.array([int(n.sum())]),
-            "documents": pa.array([sum(int(r["info"] or 0) for r in rows)]), "hot": pa.array([w[many].astype(np.int64).tolist()], pa.list_(pa.int64())), "hot_counts": pa.array([n[many].tolist()], pa.list_(pa.int64())),
-        })
-
-    schema = "bucket int, words binary, counts binary, of_count array<long>, tokens long, documents long, hot array<long>, hot_counts array<long>"
-    table = written(df.mapInArrow(send, BLOBS).groupBy("bucket").applyInArrow(count, schema), "unigrams", path)
-    of_count, tokens, documents, hot = np.zeros(MOST + 3, np.int64), 0, 0, {}
-    for r in table.drop("words", "counts").collect():  # a row for each bucket
-        of_count += np.array(r["of_count"])
-        tokens, documents = tokens + r["tokens"], documents + r["documents"]
-        hot |= dict(zip(r["hot"], r["hot_counts"], strict=True))
-    return Unigrams.of(tokens, documents, of_count.tolist(), int(of_count[1:].sum())), hot
-
-
-#: kind: sums of documents (by chunk), parts of contexts and unseen tokens (by bucket of the context), numbers of bigrams by count.
-SUMS, CONTEXTS, UNSEEN, NUMBERS = range(4)
-MET = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("info", T.BinaryType())])
-
-
-def short(x: np.ndarray) -> np.ndarray:
-    """To 24 bits after the point, which leaves bytes that compress."""
-    return np.round(x * 2.0**24) / 2.0**24
-
-
-def per_document(docs: np.ndarray, ints: list[np.ndarray], floats: list[np.ndarray]) -> list[np.ndarray]:
-    """Documents that occur, and sums over their tokens."""
-    place = np.unique(docs)
-    size = int(place[-1]) + 1 if len(place) else 0
-    of = lambda x: np.bincount(docs, x, size)[place]
-    return [place.astype(np.uint16), *(of(x).astype(np.uint32) for x in ints), *(short(of(x)) for x in floats)]
-
-
-def bigrams(df: DataFrame, folds: int, buckets: int, uni: Unigrams, hot: dict[int, int]) -> DataFrame:
-    """Rows of MET from all tokens."""
-    hot_words = np.array(sorted(hot), np.uint64)
-    hot_counts = np.array([hot[int(w)] for w in hot_words], np.int64)
+CHUNKS = "chunk long, info binary, words binary, tokens binary, n_words long, n_tokens long, trained long, documents long"
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task, c = Words(), TaskContext.get().partitionId(), 0
+
+def tokenized(df: DataFrame, folds: int) -> DataFrame:
+    """Chunks of (id, text): info (ids, which are held out, numbers of tokens), words (hashes of distinct ones, the most frequent first,
+    with their numbers in training), tokens (places in words; each text ends with END)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, task, c = Words(), TaskContext.get().partitionId(), 0
         for ids, texts in chunked(batches):
-            w, before, docs, held = tokens_of(ids, texts, folds, words)
+            split = [(t or "").encode().lower().split() for t in texts]
+            n = np.fromiter(map(len, split), np.int64, len(split)) + 1
+            w = np.full(n.sum(), END, np.uint64)
+            inner = np.ones(len(w), bool)
+            inner[np.cumsum(n) - 1] = False
+            w[inner] = (hashes([x for s in split for x in s]) >> SHIFT) | np.uint64(4)
+            del split
+            held = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % folds == 0 for i in ids])
+            w, place, many = np.unique(w, return_inverse=True, return_counts=True)
+            order = np.argsort(-many, kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            place = rank[place]
+            trained = ~np.repeat(held, n)
+            learned = np.bincount(place[trained], minlength=len(w))
             info = pa.BufferOutputStream()
-            table = pa.table({"id": pa.array(ids), "held": held, "n": np.bincount(docs, minlength=len(texts))})
+            table = pa.table({"id": pa.array(ids), "held": held, "n": n})
             with pa.ipc.new_stream(info, table.schema) as out:
                 out.write_table(table)
-            route = np.where(np.isin(w, hot_words), mixed(before) >> SHIFT, w) if len(hot_words) else w
-            bucket = (((route >> np.uint64(BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint16 if buckets < 65536 else np.int64)
-            order = np.lexsort((docs, before, w, bucket))
-            w, before, docs, bucket = w[order], before[order], docs[order], bucket[order]
-            pair = runs(bucket, w, before)
-            occurs = np.diff(np.append(pair, len(w)))
-            learned = summed((~held[docs]).astype(np.int64), pair)
-            word = runs(bucket[pair], w[pair])
-            followers = np.diff(np.append(word, len(pair)))
-            out = []
-            for b in range(buckets):
-                x, y = np.searchsorted(bucket, [b, b + 1])
-                if x == y and b:
-                    continue
-                p, q = np.searchsorted(pair, [x, y])
-                u, v = np.searchsorted(word, [p, q])
-                data = squeezed(w[pair[word[u:v]]], followers[u:v].astype(np.uint32), before[pair[p:q]].astype(np.int64), occurs[p:q].astype(np.uint32), learned[p:q].astype(np.uint32), docs[x:y].astype(np.uint16))
-                out.append((b, data, info.getvalue().to_pybytes() if b == 0 else None))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([task << 24 | c] * len(out)), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], BLOBS.names)
+            row = [task << 24 | c, info.getvalue().to_pybytes(), squeezed(w[order].astype(np.int64), learned), squeezed(place.astype(np.uint32)), len(w), len(place), int(trained.sum()), int((~held).sum())]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [f.split()[0] for f in CHUNKS.split(", ")])
             c += 1
 
-    def meet(table: pa.Table) -> pa.Table:
+    return df.mapInArrow(run, CHUNKS)
+
+
+#: What buckets make. REPLIES go to chunks; NUMBERS are of n-grams by count; GRAMS are contexts with the words seen after them and their counts;
+#: CONTEXTS have numbers of words by count and the words' sum of lower probabilities; ASKED are split contexts that a chunk has.
+REPLIES, NUMBERS, GRAMS, CONTEXTS, ASKED = "replies", "numbers", "grams", "contexts", "asked"
+LONGS = T.ArrayType(T.LongType(), False)
+MET = T.StructType([
+    T.StructField("kind", T.StringType()), T.StructField("chunk", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("context", T.LongType()),
+    T.StructField("total", T.LongType()), T.StructField("split", T.BooleanType()), T.StructField("lower", T.DoubleType()), T.StructField("words", LONGS), T.StructField("counts", LONGS),
+])
+ARROW = pa.schema([
+    ("kind", pa.string()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("context", pa.int64()), ("total", pa.int64()), ("split", pa.bool_()), ("lower", pa.float64()),
+    ("words", pa.list_(pa.field("element", pa.int64(), False))), ("counts", pa.list_(pa.field("element", pa.int64(), False))),
+])
+
+
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.astype(np.int64)))
+
+
+def met(kind: str, n: int, **columns: object) -> pa.Table:
+    own = {"kind": pa.array([kind] * n, pa.string()), **columns}
+    arrays = []
+    for f in ARROW:
+        x = own.get(f.name)
+        x = pa.nulls(n, f.type) if x is None else x if isinstance(x, pa.Array) else pa.array(x, f.type)
+        arrays.append(x.cast(f.type))
+    return pa.Table.from_arrays(arrays, schema=ARROW)
+
+
+def count_words(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Counts of words by ranges of their hashes: a word's id is its place in its bucket times ``buckets``, plus the bucket."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w, n = unsqueezed(data)
+                order = np.argsort(w)
+                yield blobs(w[order].astype(np.uint64), [n[order].astype(np.uint32)], buckets, chunk, None, BITS)
+
+    def count(table: pa.Table) -> pa.Table:
+        rows = rows_of(table)
+        bucket, own = rows[0]["bucket"], [unsqueezed(r["data"]) for r in rows]
+        w, which = np.unique(np.concatenate([x[0] for x in own]), return_inverse=True)
+        c = np.bincount(which, np.concatenate([x[1] for x in own]), len(w)).astype(np.int64)
+        replies, at = [], 0
+        for x in own:
+            i = which[at : at + len(x[0])]
+            at += len(i)
+            replies.append(squeezed(c[i], i.astype(np.uint32)))
+        seen = c > 0
+        return pa.concat_tables([
+            met(REPLIES, len(rows), chunk=[r["chunk"] for r in rows], bucket=[bucket] * len(rows), data=replies),
+            met(NUMBERS, 1, counts=[np.bincount(np.minimum(c[seen], MOST + 2), minlength=MOST + 3).tolist()]),
+            met(GRAMS, 1, bucket=[bucket], words=lists(w[seen], np.array([seen.sum()])), counts=lists(c[seen], np.array([seen.sum()])), data=[squeezed(np.flatnonzero(seen) * buckets + bucket)]),
+        ])
+
+    return chunks.select("chunk", "words").mapInArrow(send, BLOBS).groupBy("bucket").applyInArrow(count, MET)
+
+
+@dataclass(frozen=True)
+class Order:
+    """What is known of an order: its buckets and discounts."""
+
+    buckets: int
+    d: tuple[float, ...] = ()
+
+
+class Chunk:
+    """A chunk's tokens, and what the orders' replies say of them."""
+
+    def __init__(self, table: pa.Table, uni: Unigrams, orders: list[Order]):
+        self.uni, self.orders, self.table = uni, orders, table
+        row = self.part(0)[0]
+        self.chunk, self.info = row["chunk"], row["info"]
+        w, _ = unsqueezed(row["words"])
+        place = unsqueezed(row["data"])[0].astype(np.int64)
+        replies = [(r["bucket"], *unsqueezed(r["data"])) for r in sorted(self.part(1), key=lambda r: r["bucket"])]
+        order = np.argsort(w)
+        c, ids = np.empty(len(w), np.int64), np.empty(len(w), np.int64)
+        c[order] = joined([x[1] for x in replies])
+        ids[order] = joined([x[2].astype(np.int64) * orders[0].buckets + x[0] for x in replies])
+        ids[c == 0] = UNKNOWN
+        self.c, self.ids = c[place], ids[place]
+        ends = w[place] == END
+        self.first = np.append(True, ends[:-1])
+        self.count = self.c  # of the n-gram of the last order that ends at a token
+        self.log = np.log10(uni.p(self.c))  # of the probability of the last order
+        self.key = np.zeros(len(place), np.uint64)  # of the context of the last order
+        self.before = self.ids
+        self.total = np.zeros(len(place), np.int64)  # what the lower order's counts are divided by
+
+    def part(self, kind: int) -> list[dict]:
+        import pyarrow.compute as pc
+
+        return rows_of(self.table.filter(pc.equal(self.table.column("part"), kind)))
+
+    def grams(self, k: int) -> None:
+        """Distinct n-grams of order k, in the order in which they are sent, and which of them each token ends."""
+        self.before = np.append(START, self.before[:-1])
+        self.before[self.first] = START
+        self.key = (self.before + 3).astype(np.uint64) if k == 2 else mixed(self.key * np.uint64(0x9E3779B97F4A7C15) + (self.before + 3).astype(np.uint64)) >> np.uint64(1)
+        seen = np.append(0, self.count[:-1])  # how often the context was
+        seen[self.first] = self.uni.documents
+        self.seen = seen
+        asks = np.flatnonzero(seen > 0)
+        words = np.where(self.count[asks] > 0, self.ids[asks], UNKNOWN)
+        key, context = np.unique(self.key[asks], return_inverse=True)
+        word, short = np.unique(words, return_inverse=True)
+        pair, gram = np.unique(context.astype(np.uint64) << np.uint64(32) | short.astype(np.uint64), return_inverse=True)
+        some = np.zeros(len(pair), np.int64)
+        some[gram] = asks  # a token that ends it
+        key, word = key[(pair >> np.uint64(32)).astype(np.int64)], word[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        parts = -(-4 * seen[some] // BUCKET)
+        of = np.where((parts > 1) & (word >= 0), mixed(word.astype(np.uint64)) % np.maximum(parts, 1).astype(np.uint64), 0).astype(np.uint64)
+        bucket = (mixed(key * np.uint64(0xD6E8FEB86659FD93) + of) % np.uint64(self.orders[k - 1].buckets)).astype(np.int64)
+        order = np.lexsort((word, key, bucket))
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        self.asks, self.gram = asks, rank[gram]
+        self.sent_bucket, self.sent_key, self.sent_word, self.sent_token, self.split = bucket[order], key[order], word[order], some[order], parts[order] > 1
+
+    def ask(self, k: int, trained: np.ndarray) -> list[tuple[int, bytes]]:
+        """What goes to each bucket of order k."""
+        self.grams(k)
+        learned = np.bincount(self.gram[trained[self.asks]], minlength=len(self.sent_key))
+        valid, start = self.sent_word >= 0, runs(self.sent_bucket, self.sent_key)
+        out = []
+        edges = [*runs(self.sent_bucket[start]).tolist(), len(start)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            x, y = start[a], start[b] if b < len(start) else len(self.sent_key)
+            own, head = np.flatnonzero(valid[x:y]) + x, start[a:b]
+            followers = summed(valid[x:y].astype(np.uint32), head - x).astype(np.uint32)
+            word = self.sent_word[own]
+            data = squeezed(
+                self.sent_key[head], followers, self.seen[self.sent_token[head]], self.total[self.sent_token[head]], self.split[head],
+                word.astype(np.uint32) if not len(word) or word.max() < 1 << 32 else word, learned[own].astype(np.uint32), self.count[self.sent_token[own]],
+            )
+            out.append((int(self.sent_bucket[x]), data))
+        return out
+
+    def hear(self, k: int) -> None:
+        """Takes the replies of order k: counts, and probabilities."""
+        self.grams(k)
+        replies = [unsqueezed(r["data"]) for r in sorted(self.part(k), key=lambda r: r["bucket"])]
+        valid, start = self.sent_word >= 0, runs(self.sent_bucket, self.sent_key)
+        r = np.zeros(len(self.sent_key), np.int64)
+        r[valid] = joined([x[0] for x in replies])
+        n = [joined([x[1 + i] for x in replies]) for i in range(MOST)]
+        lower = joined([x[1 + MOST] for x in replies], np.float64)
+        if self.split.any():  # these have only a part of their context's numbers
+            rows = [x for x in self.part(-k) if x["context"] is not None]
+            rows.sort(key=lambda x: x["context"])
+            known, split = np.array([x["context"] for x in rows], np.uint64), self.split[start]
+            at = np.searchsorted(known, self.sent_key[start][split])
+            for i in range(MOST):
+                n[i][split] = np.array([x["counts"][i] for x in rows], np.int64)[at]
+            lower[split] = np.array([x["lower"] for x in rows])[at]
+        size = np.diff(np.append(start, len(r)))
+        d = self.orders[k - 1].d
+        left, total = left_over(d, n, self.seen[self.sent_token[start]])
+        alpha = np.log10(left) - np.log10(np.maximum(1 - lower, self.uni.unknown if k == 2 else 1e-300))
+        count, log, totals = np.zeros(len(self.ids), np.int64), self.log.copy(), np.zeros(len(self.ids), np.int64)
+        own, a, t = r[self.gram], np.repeat(alpha, size)[self.gram], np.repeat(total, size)[self.gram]
+        with np.errstate(divide="ignore"):
+            log[self.asks] = np.where(own > 0, np.log10(kept(d, own)) - np.log10(t), a + self.log[self.asks])
+        count[self.asks], totals[self.asks] = own, t
+        self.count, self.log, self.total = count, log, totals
+
+
+GROUPED = "chunk long, part int, bucket int, data binary, words binary, info binary, context long, lower double, counts array<long>"
+
+
+def count_grams(grouped: DataFrame, k: int, uni: Unigrams, orders: list[Order]) -> DataFrame:
+    """Counts of the n-grams of order k, by buckets of their contexts."""
+    lower_d = orders[k - 2].d
+
+    def send(table: pa.Table) -> pa.Table:
+        own = Chunk(table, uni, orders)
+        for i in range(2, k):
+            own.hear(i)
+        info = pa.ipc.open_stream(own.info).read_all()
+        rows = own.ask(k, ~np.repeat(info.column("held").to_numpy(zero_copy_only=False), info.column("n").to_numpy()))
+        return pa.table([pa.array([b for b, _ in rows], pa.int32()), pa.array([own.chunk] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary()), pa.nulls(len(rows), pa.binary())], BLOBS.names)
+
+    def count(table: pa.Table) -> pa.Table:
         rows = rows_of(table)
         own = [unsqueezed(r.pop("data")) for r in rows]
-        w = np.concatenate([np.repeat(x[0], x[1]) for x in own])
-        h = np.concatenate([x[2] for x in own]).astype(np.uint64)
-        learned = np.concatenate([x[4] for x in own]).astype(np.int64)
-        order = np.lexsort((h, w))
-        pair = runs(w[order], h[order])
-        which = np.empty(len(w), np.int64)
-        which[order] = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(w))))
-        r, pw, ph = summed(learned[order], pair), w[order][pair], h[order][pair]
-        word = runs(pw)
-        c = np.repeat(summed(r, word), np.diff(np.append(word, len(pw))))
-        if len(hot_words):
-            at = np.minimum(np.searchsorted(hot_words, pw), len(hot_words) - 1)
-            c = np.where(hot_words[at] == pw, hot_counts[at], c)
-        p = uni.p(c)
-        seen = r > 0
-        out = [(NUMBERS, -1, -1, squeezed(np.bincount(np.minimum(r[seen], MOST + 2), minlength=MOST + 3)), None)]
-        order = np.flatnonzero(seen)[np.argsort(ph[seen], kind="stable")]
-        start = runs(ph[order])
-        rs = r[order]
-        parts = [summed(np.where(rs == k, 1, 0), start).astype(np.uint32) for k in range(1, MOST + 1)]
-        parts += [summed(np.where(rs > MOST, rs, 0), start), summed(p[order], start)]
-        hs = ph[order][start]
-        cut = [0, *np.searchsorted(hs, np.array([-(-(i << BITS) // buckets) for i in range(1, buckets)], np.uint64)).tolist(), len(hs)]
-        out += [(CONTEXTS, -1, b, squeezed(hs[x:y], *(v[x:y] for v in parts)), None) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
-        base, own_log = np.log10(c + 0.1), np.where((c > 0) & (pw != END), np.log10(np.maximum(c, 1)), 0.0)
-        big, at, unseen = np.where(r > MOST, np.log10(np.maximum(r, 1)), 0.0), 0, []
+        sent = np.concatenate([x[0] for x in own])
+        key, context = np.unique(sent, return_inverse=True)
+        of = joined([np.repeat(x[0], x[1]) for x in own], np.uint64)
+        of, word = np.searchsorted(key, of), joined([x[5] for x in own])
+        order = np.lexsort((word, of))
+        pair = runs(of[order], word[order])
+        which = np.empty(len(word), np.int64)
+        which[order] = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(word))))
+        first = order[pair]
+        r = summed(joined([x[6] for x in own])[order], pair)
+        before = joined([x[7] for x in own])[first]  # counts of the lower order
+        of, word = of[first], word[first]
+        del order, first
+        some = np.zeros(len(key), np.int64)
+        some[context] = np.arange(len(sent))
+        total, split = joined([x[2] for x in own])[some], joined([x[4] for x in own], bool)[some]
+        p = uni.p(before) if k == 2 else kept(lower_d, before) / np.maximum(joined([x[3] for x in own])[some], 1)[of]
+        seen = np.flatnonzero(r > 0)
+        n = [np.bincount(of[r == i], minlength=len(key)) for i in range(1, MOST + 1)]
+        lower = np.bincount(of[seen], p[seen], len(key))
+        replies, asked, at, place = [], [], 0, 0
         for row, x in zip(rows, own, strict=True):
-            i = np.repeat(which[at : at + len(x[2])], x[3])
-            at += len(x[2])
-            docs = x[5].astype(np.int64)
-            ints = [c[i] > 0, *(r[i] == k for k in range(1, MOST + 1)), r[i] > MOST]
-            out.append((SUMS, row["chunk"], -1, squeezed(*per_document(docs, ints, [base[i], big[i] - own_log[i]])), row["info"]))
-            un = np.flatnonzero(r[i] == 0)
-            unseen.append((ph[i[un]], docs[un].astype(np.uint16), np.log10(p[i[un]]).astype(np.float32), np.full(len(un), row["chunk"])))
-        hu, du, pu, cu = (np.concatenate(x) for x in zip(*unseen, strict=True))
-        order = np.argsort(hu, kind="stable")
-        hu, du, pu, cu = hu[order], du[order], pu[order], cu[order]
-        cut = [0, *np.searchsorted(hu, np.array([-(-(k << BITS) // buckets) for k in range(1, buckets)], np.uint64)).tolist(), len(hu)]
-        out += [(UNSEEN, -1, b, squeezed(hu[a:z], du[a:z], pu[a:z], cu[a:z]), None) for b, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
-        return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], MET.names)
-
-    return df.mapInArrow(send, BLOBS).groupBy("bucket").applyInArrow(meet, MET)
-
-
-def backed_off(met: DataFrame, d: list[float], uni: Unigrams, share: float) -> DataFrame:
-    """Contexts with their weights (by bucket), and the sums of unseen tokens (by chunk)."""
-
-    def weigh(table: pa.Table) -> pa.Table:
-        rows = rows_of(table)
-        parts = [unsqueezed(r["data"]) for r in rows if r["kind"] == CONTEXTS]
-        h, of = np.zeros(0, np.uint64), [np.zeros(0)] * (MOST + 2)
-        if parts:
-            h = np.concatenate([x[0] for x in parts])
-            order = np.argsort(h, kind="stable")
-            h = h[order]
-            start = runs(h)
-            of = [summed(np.concatenate([x[k] for x in parts])[order].astype(float), start) for k in range(1, MOST + 3)]
-            h = h[start]
-        count = sum(k * of[k - 1] for k in range(1, MOST + 1)) + of[MOST]
-        left = sum((1 - d[k - 1]) * k * of[k - 1] for k in range(1, MOST + 1)) + share * of[MOST]
-        alpha = left / np.maximum(count, 1) / np.maximum(1 - of[MOST + 1], uni.unknown)
-        out = [(CONTEXTS, -1, rows[0]["bucket"], squeezed(h, count, alpha))]
-        asked = [unsqueezed(r["data"]) for r in rows if r["kind"] == UNSEEN]
-        if asked:
-            hu, docs, p, chunk = (np.concatenate(x) for x in zip(*asked, strict=True))
-            value = p.astype(float)
-            if len(h):  # a token's sum had its context's count taken off, which doesn't apply here
-                at = np.minimum(np.searchsorted(h, hu), len(h) - 1)
-                value += np.where(h[at] == hu, np.log10(alpha[at] * count[at]), 0.0)
-            order = np.argsort(chunk, kind="stable")
-            start = runs(chunk[order])
-            for own in np.split(order, start[1:]):
-                out.append((SUMS, int(chunk[own[0]]), -1, squeezed(*per_document(docs[own].astype(np.int64), [], [value[own]]))))
-        return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["kind", "chunk", "bucket", "data"])
-
-    asked = met.where(F.col("kind").isin(CONTEXTS, UNSEEN)).select("kind", "chunk", "bucket", "data")
-    return asked.groupBy("bucket").applyInArrow(weigh, "kind int, chunk long, bucket int, data binary")
-
-
-def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
+            i, j = which[at : at + len(x[5])], context[place : place + len(x[0])]
+            at, place = at + len(i), place + len(j)
+            replies.append(squeezed(r[i], *(v[j].astype(np.uint32) for v in n), lower[j]))
+            if x[4].any():
+                asked.append((row["chunk"], x[0][x[4]].astype(np.int64)))
+        followers = np.bincount(of[seen], minlength=len(key))
+        has = followers > 0
+        keys = pa.array(key.astype(np.int64))
+        return pa.concat_tables([
+            met(REPLIES, len(rows), chunk=[x["chunk"] for x in rows], bucket=[x["bucket"] for x in rows], data=replies),
+            met(NUMBERS, 1, counts=[np.bincount(np.minimum(r[seen], MOST + 2), minlength=MOST + 3).tolist()]),
+            met(GRAMS, int(has.sum()), context=keys.filter(pa.array(has)), words=lists(word[seen], followers[has]), counts=lists(r[seen], followers[has])),
+            met(CONTEXTS, len(key), context=keys, total=pa.array(total), split=pa.array(split), lower=pa.array(lower), counts=lists(np.stack(n, 1).ravel(), np.full(len(key), MOST))),
+            met(ASKED, len(asked), chunk=[c for c, _ in asked], words=lists(joined([x for _, x in asked]), np.array([len(x) for _, x in asked], np.int64))),
+        ])
+
+    return grouped.groupBy("chunk").applyInArrow(send, BLOBS).groupBy("bucket").applyInArrow(count, MET)
+
+
+def stored(df: DataFrame, path: str) -> dict[str, DataFrame]:
+    """Rows of MET as a table partitioned by kind, and each kind of it."""
+    df.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    schema = T.StructType([f for f in MET.fields if f.name != "kind"] + [MET["kind"]])
+    table = df.sparkSession.read.schema(schema).parquet(path)
+    return {k: table.where(F.col("kind") == k) for k in (REPLIES, NUMBERS, GRAMS, CONTEXTS, ASKED)}
+
+
+def numbers(made: dict[str, DataFrame]) -> list[int]:
+    """How many n-grams have each count."""
+    out = np.zeros(MOST + 3, np.int64)
+    for r in made[NUMBERS].select("counts").collect():  # a row for each bucket
+        out += np.array(r["counts"])
+    return out.tolist()
+
+
+def weighed(contexts: DataFrame, d: tuple[float, ...], least: float) -> DataFrame:
+    """Contexts, split ones summed, with their backoff weights."""
+    sums = [F.sum(F.col("counts")[i]).alias(f"n{i}") for i in range(MOST)]
+    whole = contexts.where("NOT split").select("context", "total", "lower", *[F.col("counts")[i].alias(f"n{i}") for i in range(MOST)])
+    split = contexts.where("split").groupBy("context").agg(F.first("total").alias("total"), F.sum("lower").alias("lower"), *sums)
+    left = sum(F.lit((1 - d[i]) * (i + 1)) * F.col(f"n{i}") for i in range(MOST))
+    out = whole.unionByName(split).withColumn("left", left).withColumn("divisor", F.col("total") + F.when(F.col("left") == 0, 1).otherwise(0))
+    left = F.when(F.col("left") == 0, 1.0).otherwise(F.col("left")) / F.col("divisor")
+    return out.select("context", "total", "divisor", (left / F.greatest(1 - F.col("lower"), F.lit(least))).alias("alpha"))
+
+
+def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, order: int = 2) -> DataFrame:
     """Per row: ``id_col``, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
-    Learns from rows whose crc32 of the id as text isn't 0 modulo ``folds``, and scores all. Words are what is between white
-    space (space, tab to return), A-Z lower-cased; each text has an end, which is a token. A null or empty text has only
-    its end. Rows with the same id or text count each; null ids count as the empty text. Without training rows each word is
-    unknown, with probability 1. An empty table gives no rows. Words are told apart by 55-bit hashes.
-    model_path: where the tables ``unigrams`` and ``contexts`` are written; by default in the shared folder.
+    Learns n-grams of up to ``order`` words from rows whose crc32 of the id as text isn't 0 modulo ``folds``, and scores all. Words are
+    what is between white space (space, tab to return), A-Z lower-cased; each text has an end, which is a token. A null or empty
+    text has only its end. Rows with the same id or text count each; null ids count as the empty text. Without training rows
+    each word is unknown, with probability 1. An empty table gives no rows. Words are told apart by 55-bit hashes, contexts of
+    two words or more by 63-bit ones.
+    model_path: where the model's tables are written, by default in the shared folder: ``order=k/kind=grams`` has contexts (for k = 1 none)
+    with the words seen after them and their counts, and ``weights/order=k`` contexts' totals, divisors and backoff weights; words of k = 1
+    are hashes, whose ids (unpacked from ``data``) are the words of higher orders.
     """
     spark = df.sparkSession
-    buckets, path = partitions(spark), model_path or new_path(spark, "katz")
+    frugal(spark)
+    least, path = partitions(spark), model_path or new_path(spark, "katz")
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = own.schema.fields[0].dataType
-    uni, hot = unigrams(own, folds, buckets, f"{path}/unigrams")
-    met = written(bigrams(own, folds, buckets, uni, hot), "bigrams")
-    of_count = np.zeros(MOST + 3, np.int64)
-    for r in met.where(F.col("kind") == NUMBERS).select("data").collect():  # a row for each bucket
-        of_count += unsqueezed(r["data"])[0]
-    d = discounts(of_count.tolist())
-    share = (1 - d[-1]) / (MOST + 1)  # of higher counts, so that no context leaves nothing
-    second = written(backed_off(met, d, uni, share), "contexts", f"{path}/contexts")
-    log_seen = np.log10([d[k - 1] * k for k in range(1, MOST + 1)] + [1 - share])
-    first_context, per_token = np.log10(max(uni.documents, 1)), np.log10(uni.tokens + 0.1 * (uni.words + 1))
+    chunks = written(tokenized(own, folds), "chunks")
+    sizes = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "trained", "documents")]).first()
+    orders = [Order(max(least, -(-sizes["n_words"] // BUCKET)))]
+    made = [stored(count_words(chunks, orders[0].buckets), f"{path}/order=1")]
+    of_count = numbers(made[0])
+    uni = Unigrams.of(sizes["trained"], sizes["documents"], of_count, sum(of_count))
+    orders[0] = Order(orders[0].buckets, uni.d)
+    none = {"words": "binary", "info": "binary", "context": "long", "lower": "double", "counts": "array<long>"}
+    blank = lambda *names: [F.lit(None).cast(none[c]).alias(c) for c in names]
+    grouped = chunks.select("chunk", F.lit(0).alias("part"), F.lit(None).cast("int").alias("bucket"), F.col("tokens").alias("data"), "words", "info", *blank("context", "lower", "counts"))
+    answers = lambda x, k: x.select("chunk", F.lit(k).alias("part"), "bucket", "data", *blank(*none))
+    grouped = grouped.unionByName(answers(made[0][REPLIES], 1))
+    for k in range(2, order + 1):
+        orders.append(Order(max(least, -(-sizes["n_tokens"] // BUCKET))))
+        now = stored(count_grams(grouped, k, uni, orders), f"{path}/order={k}")
+        orders[-1] = Order(orders[-1].buckets, tuple(discounts(numbers(now))))
+        now[CONTEXTS].transform(weighed, orders[-1].d, uni.unknown if k == 2 else 1e-300).write.option("compression", "zstd").parquet(f"{path}/weights/order={k}")
+        parts = now[CONTEXTS].where("split").groupBy("context").agg(F.sum("lower").alias("lower"), F.array(*[F.sum(F.col("counts")[i]) for i in range(MOST)]).alias("counts"))
+        asked = now[ASKED].select("chunk", F.explode("words").alias("context")).distinct().join(parts, "context")
+        asked = asked.select("chunk", F.lit(-k).alias("part"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("data"), *blank("words", "info"), "context", "lower", "counts")
+        grouped = grouped.unionByName(answers(now[REPLIES], k)).unionByName(asked)
+    per_token = np.log10(uni.tokens + 0.1 * (uni.words + 1))
     from pyspark.sql.pandas.types import to_arrow_type
 
-    out_id, tokens = to_arrow_type(id_type), uni.tokens
+    out_id = to_arrow_type(id_type)
 
-    def gather(table: pa.Table) -> pa.Table:
-        rows = rows_of(table)
-        info = pa.ipc.open_stream(next(r["info"] for r in rows if r["info"] is not None)).read_all()
+    def evaluate(table: pa.Table) -> pa.Table:
+        own = Chunk(table, uni, orders)
+        for k in range(2, order + 1):
+            own.hear(k)
+        info = pa.ipc.open_stream(own.info).read_all()
         n = info.column("n").to_numpy()
-        known, base, total = np.zeros(len(n), np.int64), np.zeros(len(n)), np.zeros(len(n))
-        total -= first_context
-        for r in rows:
-            place, *x = unsqueezed(r["data"])
-            if len(x) > 1:
-                known[place] += x[0].astype(np.int64)
-                base[place] += x[MOST + 2]
-                total[place] += x[MOST + 3] + sum(log_seen[k] * x[k + 1] for k in range(MOST + 1))
-            else:
-                total[place] += x[0]
-        return pa.table([info.column("id").cast(out_id), info.column("held"), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base - n * per_token), pa.array(total)], out_names)
+        of = lambda x: np.add.reduceat(x, np.cumsum(n) - n)
+        base = of(np.log10(own.c + 0.1)) - n * per_token
+        return pa.table([info.column("id").cast(out_id), info.column("held"), pa.array(n), pa.array(of((own.c > 0).astype(np.int64))), pa.array(np.full(len(n), uni.tokens)), pa.array(base), pa.array(of(own.log))], out_names)
 
     out_names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = T.StructType([T.StructField("id", id_type), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in out_names[2:5]], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    sums = met.where(F.col("kind") == SUMS).select("chunk", "data", "info").unionByName(second.where(F.col("kind") == SUMS).select("chunk", "data", F.lit(None).cast("binary").alias("info")))
-    return sums.groupBy("chunk").applyInArrow(gather, schema).withColumnRenamed("id", id_col)
+    return grouped.groupBy("chunk").applyInArrow(evaluate, schema).withColumnRenamed("id", id_col)

@@ -140,9 +140,11 @@ def rows_of(table: pa.Table) -> list[dict]:
 
 def blobs(h: np.ndarray, columns: list[np.ndarray], buckets: int, chunk: int, info: bytes | None, bits: int = 64) -> pa.RecordBatch:
     """A chunk's ascending hashes and what goes with them, cut into ranges of the hashes; info goes with the first."""
-    cut = np.searchsorted(h, np.array([-(-(i << bits) // buckets) for i in range(1, buckets)], np.uint64))
-    bounds = [0, *cut.tolist(), len(h)]
-    rows = [(b, squeezed(h[x:y], *(c[x:y] for c in columns))) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x or (b == 0 and info is not None)]
+    bounds = np.concatenate([[0], np.searchsorted(h, np.array([-(-(i << bits) // buckets) for i in range(1, buckets)], np.uint64)), [len(h)]])
+    used = np.flatnonzero(np.diff(bounds)).tolist()
+    if info is not None and used[:1] != [0]:
+        used = [0, *used]
+    rows = [(b, squeezed(h[x:y], *(c[x:y] for c in columns))) for b in used for x, y in [bounds[b : b + 2].tolist()]]
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([info if r[0] == 0 else None for r in rows], pa.binary())], BLOBS.names
     )

@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import random
@@ -139,38 +140,111 @@ def test_personal_data_edges(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
-def test_scores_by_brute_force(spark):
-    rows = {r.doc_id: r.text for r in queries.documents(spark, SMALL).collect()}
-    tokens = {i: (t or "").encode().lower().split() + [None] for i, t in rows.items()}
+def good_turing(counts):
+    """Katz's factors for counts 1 to 5, from the numbers of things seen 1 to 6 times, or from a line through their logarithms."""
+    n = {r: sum(c == r for c in counts) for r in range(1, 7)}
+
+    def factors(n):
+        whole = 6 * n[6] / n[1]
+        return {r: ((r + 1) * n[r + 1] / n[r] / r - whole) / (1 - whole) for r in range(1, 6)}
+
+    if all(n.values()) and n[1] != 6 * n[6] and all(0 < x < 1 for x in factors(n).values()):
+        return factors(n)
+    own = [r for r in n if n[r]]
+    if len(own) > 1:
+        x, y = [math.log(r) for r in own], [math.log(n[r]) for r in own]
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sum((a - mx) ** 2 for a in x)
+        d = factors({r: math.exp(my + slope * (math.log(r) - mx)) for r in range(1, 7)})
+        if all(0 < v < 1 for v in d.values()):
+            return d
+    return {r: (r - 0.5) / r for r in range(1, 6)}
+
+
+class Katz:
+    """The model by its definition, over dictionaries."""
+
+    def __init__(self, texts, order):
+        self.order, self.n, self.after = order, [None], [None]
+        for k in range(1, order + 1):
+            n = Counter(g for t in texts for g in self.grams(t, k))
+            self.n.append(n)
+            after = defaultdict(list)
+            for g in n:
+                after[g[:-1]].append(g)
+            self.after.append(after)
+        self.d = [None] + [good_turing(list(n.values())) for n in self.n[1:]]
+        self.tokens = sum(self.n[1].values())
+        self.left1 = sum(r * (1 - self.d[1].get(r, 1)) for r in self.n[1].values())
+        self.total1 = self.tokens + (self.left1 == 0)
+        self.divisor, self.left, self.alpha = (functools.cache(f) for f in (self.divisor, self.left, self.alpha))
+
+    @staticmethod
+    def grams(tokens, k):
+        padded = ["<start>"] * (k - 1) + tokens
+        return [tuple(padded[i : i + k]) for i in range(len(tokens))]
+
+    def seen(self, g):
+        """Probability of a seen n-gram's last word."""
+        r, k = self.n[len(g)][g], len(g)
+        if k == 1:
+            return self.d[1].get(r, 1) * r / self.total1
+        return self.d[k].get(r, 1) * r / self.divisor(g[:-1])
+
+    def divisor(self, h):
+        c = sum(self.n[len(h) + 1][g] for g in self.after[len(h) + 1][h])
+        return c + (self.left(h) == 0)
+
+    def left(self, h):
+        return sum(self.n[len(h) + 1][g] * (1 - self.d[len(h) + 1].get(self.n[len(h) + 1][g], 1)) for g in self.after[len(h) + 1][h])
+
+    def alpha(self, h):
+        return ((self.left(h) or 1) / self.divisor(h)) / (1 - sum(self.seen(g[1:]) for g in self.after[len(h) + 1][h]))
+
+    def p(self, g):
+        if self.n[len(g)][g]:
+            return self.seen(g)
+        if len(g) == 1:
+            return (self.left1 or 1) / self.total1
+        return (self.alpha(g[:-1]) if g[:-1] in self.after[len(g)] else 1) * self.p(g[1:])
+
+
+@pytest.mark.parametrize("order,bucket", [(2, 500_000), (3, 2000), (2, 300)])
+def test_scores_by_brute_force(spark, monkeypatch, tmp_path, order, bucket):
+    """Small buckets have contexts that are split."""
+    monkeypatch.setattr(lm, "BUCKET", bucket)
+    docs = queries.documents(spark, SMALL)
+    tokens = {r.doc_id: (r.text or "").encode().lower().split() + [None] for r in docs.collect()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
-    c, two, context = Counter(), Counter(), Counter()
-    for i, own in tokens.items():
-        if not held[i]:
-            c.update(own)
-            for a, b in zip([0, *own[:-1]], own):
-                two[a, b] += 1
-                context[a] += 1
-    of_count = lambda x: [0] + [Counter(x.values())[k] for k in range(1, lm.MOST + 2)]
-    n, v = sum(c.values()), len(c)
-    uni, d = lm.Unigrams.of(n, sum(not h for h in held.values()), of_count(c), v), lm.discounts(of_count(two))
-    share = (1 - d[-1]) / (lm.MOST + 1)
-    p = {w: float(uni.p(np.array([k]))[0]) for w, k in c.items()}
-    assert abs(sum(p.values()) + uni.unknown - 1) < 1e-9
-    factor = lambda r: d[r - 1] if r <= lm.MOST else 1 - share
-    after = defaultdict(list)
-    for (a, b), r in two.items():
-        after[a].append((b, r))
-    alpha = {a: (1 - sum(factor(r) * r for _, r in f) / context[a]) / (1 - sum(p[b] for b, _ in f)) for a, f in after.items()}
-    for a, f in after.items():  # each context's probabilities sum to one
-        assert abs(sum(factor(r) * r for _, r in f) / context[a] + alpha[a] * (1 - sum(p[b] for b, _ in f)) - 1) < 1e-9
-    for r in queries.op9_katz_scores(spark, SMALL).collect():
-        own, score = tokens[r.doc_id], 0.0
-        for a, b in zip([0, *own[:-1]], own):
-            k = two[a, b]
-            score += math.log10(factor(k) * k / context[a] if k else alpha.get(a, 1.0) * p.get(b, uni.unknown))
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(own), sum(c[w] > 0 for w in own), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own), abs=1e-5)
-        assert r.score == pytest.approx(score, abs=1e-3)
+    own = Katz([t for i, t in tokens.items() if not held[i]], order)
+    n, v, c, cache = own.tokens, len(own.n[1]), own.n[1], {}
+    words = list(c)
+    assert abs(sum(own.p(w) for w in words) + own.p(("new",)) - 1) < 1e-9
+    for h in list(own.after[order])[:: max(1, len(own.after[order]) // 7)]:  # a context's probabilities sum to one
+        assert abs(sum(own.p(h + w) for w in words) + own.p(h + ("new",)) - 1) < 1e-9
+    rows = (lm.score(docs, model_path=str(tmp_path / "model"), order=order) if (order, bucket) != (2, 500_000) else queries.op9_katz_scores(spark, SMALL)).collect()
+    for r in rows:
+        t = tokens[r.doc_id]
+        for g in own.grams(t, order):
+            if g not in cache:
+                cache[g] = math.log10(own.p(g))
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(c[(w,)] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[(w,)] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel=1e-9)
+        assert r.score == pytest.approx(sum(cache[g] for g in own.grams(t, order)), rel=1e-9)
+    if bucket == 2000:  # the model's tables have all counts and weights
+        for k in (2, 3):
+            grams = spark.read.parquet(str(tmp_path / f"model/order={k}/kind=grams")).selectExpr("explode(counts) AS r").groupBy("r").count()
+            assert {r["r"]: r["count"] for r in grams.collect()} == Counter(own.n[k].values())
+            weights = [(r.total, r.alpha) for r in spark.read.parquet(str(tmp_path / f"model/weights/order={k}")).collect()]
+            some = sorted((sum(own.n[k][g] for g in gs), own.alpha(h)) for h, gs in own.after[k].items())
+            assert len(some) == len(weights) and np.allclose(sorted(weights), some, rtol=1e-9)
+
+
+def test_model_beats_words_alone(spark):
+    """Held-out texts are likelier by the model than by words alone, and more so with a longer context."""
+    docs = queries.documents(spark, SF)
+    sums = [lm.score(docs, order=k).where("held_out").selectExpr("sum(score)", "sum(base_score)").first() for k in (1, 2)]
+    assert sums[1][0] > sums[0][0] and sums[1][0] > sums[1][1]
 
 
 def test_score_edges(spark):

@@ -10,10 +10,10 @@ A context that was never seen has alpha(h) = 1. Counts above MOST are left whole
 counts, one is added to c(h), and unseen words share it.
 
 Texts are tokenised once, in chunks that are written as a table. For each order, a chunk asks the buckets of its distinct n-grams
-for their counts, and sends what it has of them; a bucket, some hundred thousand n-grams, sums them, writes counts and contexts as tables
-of the model, and replies. There are as many buckets as the number of tokens asks for. A context that holds more than
-a quarter of a bucket is split by the word after it, and its parts are summed by themselves. With all replies a chunk
-evaluates each of its tokens from the highest order down.
+for their counts, and sends what it has of them; a bucket, about a million n-grams of chunks, sums them, writes contexts with their words
+and counts as a table of the model, and replies. There are as many buckets as the number of tokens asks for. A context that holds more
+than a quarter of a bucket is split by the word after it, and its parts are summed by themselves. With all replies a chunk
+evaluates each of its tokens from the lowest order up, as the next order backs off to it.
 """
 
 from __future__ import annotations
@@ -39,8 +39,9 @@ SHIFT = np.uint64(8)  # hashes of 56 bits
 BITS = 56
 #: Places for ids that are no word's: what was not seen in training, and what is before a text.
 UNKNOWN, START = -1, -2
-#: Distinct n-grams of chunks that one bucket is to have.
-BUCKET = 500_000
+TINY = 1e-300
+#: N-grams of chunks that one bucket has, at most; words of a chunk.
+BUCKET, CHUNK = 1_000_000, 1_000_000
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -93,11 +94,9 @@ class Unigrams:
         return np.where(c > 0, kept(self.d, c) / self.total, self.unknown)
 
 
-def left_over(d: tuple[float, ...], n: list[np.ndarray], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What contexts leave to unseen words, and what their counts are divided by, from n[r - 1] words seen r times after them."""
-    left = sum((1 - d[r]) * (r + 1) * n[r] for r in range(MOST))
-    total = count + (left == 0)
-    return np.where(left == 0, 1, left) / np.maximum(total, 1), total
+def left_of(d: tuple[float, ...], n: list[np.ndarray]) -> np.ndarray:
+    """What discounts take from contexts' counts, from n[r - 1] words seen r times after them."""
+    return sum((1 - d[r]) * (r + 1) * n[r] for r in range(MOST))
 
 
 def runs(*columns: np.ndarray) -> np.ndarray:
@@ -121,12 +120,12 @@ CHUNKS = "chunk long, info binary, words binary, tokens binary, n_words long, n_
 
 
 def tokenized(df: DataFrame, folds: int) -> DataFrame:
-    """Chunks of (id, text): info (ids, which are held out, numbers of tokens), words (hashes of distinct ones, the most frequent first,
-    with their numbers in training), tokens (places in words; each text ends with END)."""
+    """Chunks of (id, text): info (ids, which are held out, numbers of tokens), words (hashes of distinct ones, ascending, with their
+    numbers in training), tokens (each one's rank by frequency; each text ends with END; and the places of ranks in words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, task, c = Words(), TaskContext.get().partitionId(), 0
-        for ids, texts in chunked(batches):
+        for ids, texts in chunked(batches, CHUNK):
             split = [(t or "").encode().lower().split() for t in texts]
             n = np.fromiter(map(len, split), np.int64, len(split)) + 1
             w = np.full(n.sum(), END, np.uint64)
@@ -139,14 +138,14 @@ def tokenized(df: DataFrame, folds: int) -> DataFrame:
             order = np.argsort(-many, kind="stable")
             rank = np.empty_like(order)
             rank[order] = np.arange(len(order))
-            place = rank[place]
             trained = ~np.repeat(held, n)
-            learned = np.bincount(place[trained], minlength=len(w))
+            learned = np.bincount(place[trained], minlength=len(w)).astype(np.uint32)
+            place = rank[place]
             info = pa.BufferOutputStream()
             table = pa.table({"id": pa.array(ids), "held": held, "n": n})
             with pa.ipc.new_stream(info, table.schema) as out:
                 out.write_table(table)
-            row = [task << 24 | c, info.getvalue().to_pybytes(), squeezed(w[order].astype(np.int64), learned), squeezed(place.astype(np.uint32)), len(w), len(place), int(trained.sum()), int((~held).sum())]
+            row = [task << 24 | c, info.getvalue().to_pybytes(), squeezed(w, learned), squeezed(place.astype(np.uint32), order.astype(np.uint32)), len(w), len(place), int(trained.sum()), int((~held).sum())]
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [f.split()[0] for f in CHUNKS.split(", ")])
             c += 1
@@ -154,9 +153,9 @@ def tokenized(df: DataFrame, folds: int) -> DataFrame:
     return df.mapInArrow(run, CHUNKS)
 
 
-#: What buckets make. REPLIES go to chunks; NUMBERS are of n-grams by count; GRAMS are contexts with the words seen after them and their counts;
-#: CONTEXTS have numbers of words by count and the words' sum of lower probabilities; ASKED are split contexts that a chunk has.
-REPLIES, NUMBERS, GRAMS, CONTEXTS, ASKED = "replies", "numbers", "grams", "contexts", "asked"
+#: What buckets make. REPLIES go to chunks; NUMBERS are of n-grams by count; GRAMS are contexts with the words seen after them, their counts,
+#: and the sum of their lower probabilities; ASKED are split contexts that a chunk needs.
+REPLIES, NUMBERS, GRAMS, ASKED = "replies", "numbers", "grams", "asked"
 LONGS = T.ArrayType(T.LongType(), False)
 MET = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("chunk", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("context", T.LongType()),
@@ -183,30 +182,31 @@ def met(kind: str, n: int, **columns: object) -> pa.Table:
 
 
 def count_words(chunks: DataFrame, buckets: int) -> DataFrame:
-    """Counts of words by ranges of their hashes: a word's id is its place in its bucket times ``buckets``, plus the bucket."""
+    """Counts of words by ranges of their hashes: a word's id is its rank in its bucket times ``buckets``, plus the bucket."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w, n = unsqueezed(data)
-                order = np.argsort(w)
-                yield blobs(w[order].astype(np.uint64), [n[order].astype(np.uint32)], buckets, chunk, None, BITS)
+                yield blobs(w, [n], buckets, chunk, None, BITS)
 
     def count(table: pa.Table) -> pa.Table:
         rows = rows_of(table)
         bucket, own = rows[0]["bucket"], [unsqueezed(r["data"]) for r in rows]
         w, which = np.unique(np.concatenate([x[0] for x in own]), return_inverse=True)
         c = np.bincount(which, np.concatenate([x[1] for x in own]), len(w)).astype(np.int64)
+        rank = np.empty_like(c)
+        rank[np.argsort(-c, kind="stable")] = np.arange(len(c))  # so that frequent words have small ids
         replies, at = [], 0
         for x in own:
             i = which[at : at + len(x[0])]
             at += len(i)
-            replies.append(squeezed(c[i], i.astype(np.uint32)))
+            replies.append(squeezed(c[i], rank[i].astype(np.uint32)))
         seen = c > 0
         return pa.concat_tables([
             met(REPLIES, len(rows), chunk=[r["chunk"] for r in rows], bucket=[bucket] * len(rows), data=replies),
             met(NUMBERS, 1, counts=[np.bincount(np.minimum(c[seen], MOST + 2), minlength=MOST + 3).tolist()]),
-            met(GRAMS, 1, bucket=[bucket], words=lists(w[seen], np.array([seen.sum()])), counts=lists(c[seen], np.array([seen.sum()])), data=[squeezed(np.flatnonzero(seen) * buckets + bucket)]),
+            met(GRAMS, 1, bucket=[bucket], words=lists(w[seen], np.array([seen.sum()])), counts=lists(c[seen], np.array([seen.sum()])), data=[squeezed(rank[seen] * buckets + bucket)]),
         ])
 
     return chunks.select("chunk", "words").mapInArrow(send, BLOBS).groupBy("bucket").applyInArrow(count, MET)
@@ -227,17 +227,13 @@ class Chunk:
         self.uni, self.orders, self.table = uni, orders, table
         row = self.part(0)[0]
         self.chunk, self.info = row["chunk"], row["info"]
-        w, _ = unsqueezed(row["words"])
-        place = unsqueezed(row["data"])[0].astype(np.int64)
+        place, order = (x.astype(np.int64) for x in unsqueezed(row["data"]))
         replies = [(r["bucket"], *unsqueezed(r["data"])) for r in sorted(self.part(1), key=lambda r: r["bucket"])]
-        order = np.argsort(w)
-        c, ids = np.empty(len(w), np.int64), np.empty(len(w), np.int64)
-        c[order] = joined([x[1] for x in replies])
-        ids[order] = joined([x[2].astype(np.int64) * orders[0].buckets + x[0] for x in replies])
+        c = joined([x[1] for x in replies])[order]
+        ids = joined([x[2].astype(np.int64) * orders[0].buckets + x[0] for x in replies])[order]
         ids[c == 0] = UNKNOWN
         self.c, self.ids = c[place], ids[place]
-        ends = w[place] == END
-        self.first = np.append(True, ends[:-1])
+        self.first = np.append(True, order[place[:-1]] == 0)  # after an END, whose hash is the least
         self.count = self.c  # of the n-gram of the last order that ends at a token
         self.log = np.log10(uni.p(self.c))  # of the probability of the last order
         self.key = np.zeros(len(place), np.uint64)  # of the context of the last order
@@ -285,10 +281,12 @@ class Chunk:
             x, y = start[a], start[b] if b < len(start) else len(self.sent_key)
             own, head = np.flatnonzero(valid[x:y]) + x, start[a:b]
             followers = summed(valid[x:y].astype(np.uint32), head - x).astype(np.uint32)
-            word = self.sent_word[own]
+            word, first, short = np.unique(self.sent_word[own], return_index=True, return_inverse=True)
+            token = self.sent_token[head]
+            before = self.count[self.sent_token[own]]  # of the lower order: for words alone once a word
             data = squeezed(
-                self.sent_key[head], followers, self.seen[self.sent_token[head]], self.total[self.sent_token[head]], self.split[head],
-                word.astype(np.uint32) if not len(word) or word.max() < 1 << 32 else word, learned[own].astype(np.uint32), self.count[self.sent_token[own]],
+                self.sent_key[head], followers, self.seen[token], self.total[token] if k > 2 else self.total[:0], self.split[head], ~valid[head],
+                word.astype(np.uint64), short.astype(np.uint16 if len(word) < 1 << 16 else np.uint32), learned[own].astype(np.uint32), before if k > 2 else before[first],
             )
             out.append((int(self.sent_bucket[x]), data))
         return out
@@ -300,29 +298,29 @@ class Chunk:
         valid, start = self.sent_word >= 0, runs(self.sent_bucket, self.sent_key)
         r = np.zeros(len(self.sent_key), np.int64)
         r[valid] = joined([x[0] for x in replies])
-        n = [joined([x[1 + i] for x in replies]) for i in range(MOST)]
-        lower = joined([x[1 + MOST] for x in replies], np.float64)
-        if self.split.any():  # these have only a part of their context's numbers
-            rows = [x for x in self.part(-k) if x["context"] is not None]
-            rows.sort(key=lambda x: x["context"])
-            known, split = np.array([x["context"] for x in rows], np.uint64), self.split[start]
-            at = np.searchsorted(known, self.sent_key[start][split])
-            for i in range(MOST):
-                n[i][split] = np.array([x["counts"][i] for x in rows], np.int64)[at]
-            lower[split] = np.array([x["lower"] for x in rows])[at]
+        needed = np.flatnonzero(np.logical_or.reduceat(r == 0, start)) if len(start) else start  # contexts of unseen words
+        d, seen, split = self.orders[k - 1].d, self.seen[self.sent_token[start]], self.split[start]
+        whole = joined([x[1] for x in replies], bool)  # none of the context's counts is discounted: one more is left to unseen words
+        left, lower = left_of(d, [joined([x[2 + i] for x in replies]) for i in range(MOST)]), joined([x[2 + MOST] for x in replies], np.float64)
+        if split.any():  # of these a bucket has only a part
+            rows = sorted(self.part(-k), key=lambda x: x["context"])
+            known = np.array([x["context"] for x in rows], np.uint64)
+            taken, sums = np.array([x["taken"] for x in rows]), np.array([x["lower"] for x in rows])
+            whole[split] = taken[np.searchsorted(known, self.sent_key[start[split]])] == 0
+            at = np.searchsorted(known, self.sent_key[start[needed[split[needed]]]])
+            left[split[needed]], lower[split[needed]] = taken[at], sums[at]
+        total, alpha = seen + whole, np.zeros(len(start))
+        alpha[needed] = np.log10(np.where(whole[needed], 1, left) / np.maximum(total[needed], 1)) - np.log10(np.maximum(1 - lower, self.uni.unknown if k == 2 else TINY))
         size = np.diff(np.append(start, len(r)))
-        d = self.orders[k - 1].d
-        left, total = left_over(d, n, self.seen[self.sent_token[start]])
-        alpha = np.log10(left) - np.log10(np.maximum(1 - lower, self.uni.unknown if k == 2 else 1e-300))
-        count, log, totals = np.zeros(len(self.ids), np.int64), self.log.copy(), np.zeros(len(self.ids), np.int64)
         own, a, t = r[self.gram], np.repeat(alpha, size)[self.gram], np.repeat(total, size)[self.gram]
+        log, count, totals = self.log.copy(), np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), np.int64)
         with np.errstate(divide="ignore"):
             log[self.asks] = np.where(own > 0, np.log10(kept(d, own)) - np.log10(t), a + self.log[self.asks])
         count[self.asks], totals[self.asks] = own, t
         self.count, self.log, self.total = count, log, totals
 
 
-GROUPED = "chunk long, part int, bucket int, data binary, words binary, info binary, context long, lower double, counts array<long>"
+GROUPED = "chunk long, part int, bucket int, data binary, info binary, context long, lower double, taken double"
 
 
 def count_grams(grouped: DataFrame, k: int, uni: Unigrams, orders: list[Order]) -> DataFrame:
@@ -342,16 +340,15 @@ def count_grams(grouped: DataFrame, k: int, uni: Unigrams, orders: list[Order])
         own = [unsqueezed(r.pop("data")) for r in rows]
         sent = np.concatenate([x[0] for x in own])
         key, context = np.unique(sent, return_inverse=True)
-        of = joined([np.repeat(x[0], x[1]) for x in own], np.uint64)
-        of, word = np.searchsorted(key, of), joined([x[5] for x in own])
+        of = np.searchsorted(key, joined([np.repeat(x[0], x[1]) for x in own], np.uint64))
+        word, before = joined([x[6].astype(np.int64)[x[7]] for x in own]), joined([x[9] if k > 2 else x[9][x[7]] for x in own])
         order = np.lexsort((word, of))
         pair = runs(of[order], word[order])
         which = np.empty(len(word), np.int64)
         which[order] = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(word))))
         first = order[pair]
-        r = summed(joined([x[6] for x in own])[order], pair)
-        before = joined([x[7] for x in own])[first]  # counts of the lower order
-        of, word = of[first], word[first]
+        r = summed(joined([x[8] for x in own])[order], pair)
+        of, word, before = of[first], word[first], before[first]
         del order, first
         some = np.zeros(len(key), np.int64)
         some[context] = np.arange(len(sent))
@@ -360,21 +357,22 @@ def count_grams(grouped: DataFrame, k: int, uni: Unigrams, orders: list[Order])
         seen = np.flatnonzero(r > 0)
         n = [np.bincount(of[r == i], minlength=len(key)) for i in range(1, MOST + 1)]
         lower = np.bincount(of[seen], p[seen], len(key))
+        whole = sum(n) == 0
         replies, asked, at, place = [], [], 0, 0
         for row, x in zip(rows, own, strict=True):
-            i, j = which[at : at + len(x[5])], context[place : place + len(x[0])]
+            i, j = r[which[at : at + len(x[7])]], context[place : place + len(x[0])]
             at, place = at + len(i), place + len(j)
-            replies.append(squeezed(r[i], *(v[j].astype(np.uint32) for v in n), lower[j]))
+            unseen = x[5] | (np.bincount(np.repeat(np.arange(len(j)), x[1]), i == 0, len(j)) > 0)
+            needed = j[unseen]
+            replies.append(squeezed(i, whole[j], *(v[needed].astype(np.uint32) for v in n), lower[needed]))
             if x[4].any():
                 asked.append((row["chunk"], x[0][x[4]].astype(np.int64)))
         followers = np.bincount(of[seen], minlength=len(key))
-        has = followers > 0
-        keys = pa.array(key.astype(np.int64))
+        has = np.flatnonzero(followers)
         return pa.concat_tables([
             met(REPLIES, len(rows), chunk=[x["chunk"] for x in rows], bucket=[x["bucket"] for x in rows], data=replies),
             met(NUMBERS, 1, counts=[np.bincount(np.minimum(r[seen], MOST + 2), minlength=MOST + 3).tolist()]),
-            met(GRAMS, int(has.sum()), context=keys.filter(pa.array(has)), words=lists(word[seen], followers[has]), counts=lists(r[seen], followers[has])),
-            met(CONTEXTS, len(key), context=keys, total=pa.array(total), split=pa.array(split), lower=pa.array(lower), counts=lists(np.stack(n, 1).ravel(), np.full(len(key), MOST))),
+            met(GRAMS, len(has), context=pa.array(key[has].astype(np.int64)), total=pa.array(total[has]), split=pa.array(split[has]), lower=pa.array(lower[has]), words=lists(word[seen], followers[has]), counts=lists(r[seen], followers[has])),
             met(ASKED, len(asked), chunk=[c for c, _ in asked], words=lists(joined([x for _, x in asked]), np.array([len(x) for _, x in asked], np.int64))),
         ])
 
@@ -386,7 +384,7 @@ def stored(df: DataFrame, path: str) -> dict[str, DataFrame]:
     df.write.option("compression", "zstd").partitionBy("kind").parquet(path)
     schema = T.StructType([f for f in MET.fields if f.name != "kind"] + [MET["kind"]])
     table = df.sparkSession.read.schema(schema).parquet(path)
-    return {k: table.where(F.col("kind") == k) for k in (REPLIES, NUMBERS, GRAMS, CONTEXTS, ASKED)}
+    return {k: table.where(F.col("kind") == k) for k in (REPLIES, NUMBERS, GRAMS, ASKED)}
 
 
 def numbers(made: dict[str, DataFrame]) -> list[int]:
@@ -397,15 +395,14 @@ def numbers(made: dict[str, DataFrame]) -> list[int]:
     return out.tolist()
 
 
-def weighed(contexts: DataFrame, d: tuple[float, ...], least: float) -> DataFrame:
-    """Contexts, split ones summed, with their backoff weights."""
-    sums = [F.sum(F.col("counts")[i]).alias(f"n{i}") for i in range(MOST)]
-    whole = contexts.where("NOT split").select("context", "total", "lower", *[F.col("counts")[i].alias(f"n{i}") for i in range(MOST)])
-    split = contexts.where("split").groupBy("context").agg(F.first("total").alias("total"), F.sum("lower").alias("lower"), *sums)
-    left = sum(F.lit((1 - d[i]) * (i + 1)) * F.col(f"n{i}") for i in range(MOST))
-    out = whole.unionByName(split).withColumn("left", left).withColumn("divisor", F.col("total") + F.when(F.col("left") == 0, 1).otherwise(0))
-    left = F.when(F.col("left") == 0, 1.0).otherwise(F.col("left")) / F.col("divisor")
-    return out.select("context", "total", "divisor", (left / F.greatest(1 - F.col("lower"), F.lit(least))).alias("alpha"))
+def weighed(grams: DataFrame, d: tuple[float, ...], least: float) -> DataFrame:
+    """Contexts with what discounts take from their counts, the sum of their words' lower probabilities, and their backoff weights."""
+    off = F.create_map(*[F.lit(x) for r in range(MOST) for x in (r + 1, (1 - d[r]) * (r + 1))])
+    taken = F.aggregate("counts", F.lit(0.0), lambda a, r: a + F.coalesce(F.element_at(off, r.cast("int")), F.lit(0.0)))
+    own = grams.select("context", "total", "split", "lower", taken.alias("taken"))
+    split = own.where("split").groupBy("context").agg(F.first("total").alias("total"), F.first("split").alias("split"), F.sum("lower").alias("lower"), F.sum("taken").alias("taken"))
+    left = F.when(F.col("taken") == 0, 1.0 / (F.col("total") + 1)).otherwise(F.col("taken") / F.col("total"))
+    return own.where("NOT split").unionByName(split).withColumn("alpha", left / F.greatest(1 - F.col("lower"), F.lit(least)))
 
 
 def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, order: int = 2) -> DataFrame:
@@ -417,8 +414,8 @@ def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str
     each word is unknown, with probability 1. An empty table gives no rows. Words are told apart by 55-bit hashes, contexts of
     two words or more by 63-bit ones.
     model_path: where the model's tables are written, by default in the shared folder: ``order=k/kind=grams`` has contexts (for k = 1 none)
-    with the words seen after them and their counts, and ``weights/order=k`` contexts' totals, divisors and backoff weights; words of k = 1
-    are hashes, whose ids (unpacked from ``data``) are the words of higher orders.
+    with the words seen after them and their counts, and ``weights/order=k`` contexts' totals and backoff weights; words of k = 1 are hashes,
+    whose ids (unpacked from ``data``) are the words of higher orders. A context of two words or more is a hash of its ids; of one, the id + 3.
     """
     spark = df.sparkSession
     frugal(spark)
@@ -432,19 +429,19 @@ def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str
     of_count = numbers(made[0])
     uni = Unigrams.of(sizes["trained"], sizes["documents"], of_count, sum(of_count))
     orders[0] = Order(orders[0].buckets, uni.d)
-    none = {"words": "binary", "info": "binary", "context": "long", "lower": "double", "counts": "array<long>"}
+    none = {"info": "binary", "context": "long", "lower": "double", "taken": "double"}
     blank = lambda *names: [F.lit(None).cast(none[c]).alias(c) for c in names]
-    grouped = chunks.select("chunk", F.lit(0).alias("part"), F.lit(None).cast("int").alias("bucket"), F.col("tokens").alias("data"), "words", "info", *blank("context", "lower", "counts"))
+    grouped = chunks.select("chunk", F.lit(0).alias("part"), F.lit(None).cast("int").alias("bucket"), F.col("tokens").alias("data"), "info", *blank("context", "lower", "taken"))
     answers = lambda x, k: x.select("chunk", F.lit(k).alias("part"), "bucket", "data", *blank(*none))
     grouped = grouped.unionByName(answers(made[0][REPLIES], 1))
     for k in range(2, order + 1):
         orders.append(Order(max(least, -(-sizes["n_tokens"] // BUCKET))))
         now = stored(count_grams(grouped, k, uni, orders), f"{path}/order={k}")
         orders[-1] = Order(orders[-1].buckets, tuple(discounts(numbers(now))))
-        now[CONTEXTS].transform(weighed, orders[-1].d, uni.unknown if k == 2 else 1e-300).write.option("compression", "zstd").parquet(f"{path}/weights/order={k}")
-        parts = now[CONTEXTS].where("split").groupBy("context").agg(F.sum("lower").alias("lower"), F.array(*[F.sum(F.col("counts")[i]) for i in range(MOST)]).alias("counts"))
-        asked = now[ASKED].select("chunk", F.explode("words").alias("context")).distinct().join(parts, "context")
-        asked = asked.select("chunk", F.lit(-k).alias("part"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("data"), *blank("words", "info"), "context", "lower", "counts")
+        weights = now[GRAMS].transform(weighed, orders[-1].d, uni.unknown if k == 2 else TINY)
+        weights.select("context", "total", "alpha").write.option("compression", "zstd").parquet(f"{path}/weights/order={k}")
+        asked = now[ASKED].select("chunk", F.explode("words").alias("context")).distinct().join(weights.where("split"), "context")
+        asked = asked.select("chunk", F.lit(-k).alias("part"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("data"), *blank("info"), "context", "lower", "taken")
         grouped = grouped.unionByName(answers(now[REPLIES], k)).unionByName(asked)
     per_token = np.log10(uni.tokens + 0.1 * (uni.words + 1))
     from pyspark.sql.pandas.types import to_arrow_type

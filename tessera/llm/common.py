@@ -13,9 +13,11 @@ WHITE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), one of our own is set."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests on one machine, one of our own is set."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("tessera.shared.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("tessera.shared.dir", named)
     return named.rstrip("/")
@@ -34,6 +36,16 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, whose keys are unique, on ``key``. What ``hot`` has (some rows of ``table``, few) comes by broadcast, so
+    that only rows with other keys are shuffled, and those of one hot key don't meet in a task."""
+    names = [c for c in table.columns if c != key]
+    own = F.broadcast(hot.select(key, F.struct(*names).alias("_hot")))
+    seen = rows.join(own, key, "left")
+    rest = seen.where("_hot IS NULL").drop("_hot").join(table, key, how)
+    return seen.where("_hot IS NOT NULL").select(*rows.columns, "_hot.*").unionByName(rest.select(*rows.columns, *names))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder that ``new_path`` named."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

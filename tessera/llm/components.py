@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import joined, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,24 +44,29 @@ def components(links: DataFrame) -> DataFrame:
     """node, root for each node of the links (a, b): root is the least node of its component. Links may repeat or be loops.
 
     Each round hooks every node to its least neighbour, follows hooks twice, and renames the links' ends by them; links
-    within a node go. The number of nodes at least halves, so that rounds grow with the logarithm of the longest path.
+    within a node go. The number of nodes at least halves, so that rounds grow with the logarithm of the longest path. Nodes
+    that many links end at are looked up by broadcast.
     """
     left = written(thinned(links.where("a <> b")), "links")
     hooks = []
-    while not left.isEmpty():
+    while n := left.count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to"))
+        first = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to"), F.count(F.lit(1)).alias("links")), "first-hooks")
+        hot = first.where(F.col("links") > max(1000, n * 1e-3)).select("node", "to")  # fewer than 2000
+        hook = first.select("node", "to")
         for _ in range(2):
-            further = hook.select(F.col("a").alias("x"), F.col("to").alias("y"))
-            hook = hook.join(further, F.col("to") == F.col("x")).select("a", F.col("y").alias("to"))
-        hook = written(hook.withColumnRenamed("a", "node"), "hooks")
+            hook = joined(hook.withColumnRenamed("to", "end"), first.select(F.col("node").alias("end"), "to"), "end", hot.withColumnRenamed("node", "end")).select("node", "to")
+        hook = written(hook, "hooks")
         hooks.append(hook)
+        hot = hot.select("node").join(hook, "node")
         for c in ("a", "b"):
-            left = left.join(hook.select(F.col("node").alias(c), F.col("to").alias(f"new_{c}")), c)
-        left = written(thinned(left.select(F.col("new_a").alias("a"), F.col("new_b").alias("b")).where("a <> b").distinct()), "links")
+            left = joined(left.withColumnRenamed(c, "node"), hook, "node", hot).drop("node").withColumnRenamed("to", c)
+        left = written(thinned(left.where("a <> b").distinct()), "links")
     if not hooks:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = hooks[0].withColumnRenamed("to", "root")
     for hook in hooks[1:]:
-        out = out.join(hook.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        ends = out.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+        hot = ends.where(F.col("n") > max(1000, hooks[0].count() * 1e-3)).join(hook.withColumnRenamed("node", "root"), "root").select("root", "to")
+        out = joined(out, hook.withColumnRenamed("node", "root"), "root", hot, "left").select("node", F.coalesce("to", "root").alias("root"))
     return written(out, "components")

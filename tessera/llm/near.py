@@ -26,14 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, written
+from .common import joined, partitions, written
 from .components import components, forest
-from .exact import flagged, may_have, repeated_cells
+from .exact import MOST_CELLS, flagged, may_have, repeated_cells
 
 #: Shingles of a chunk: what a task holds at once.
 CHUNK = 500_000
 #: Bytes of sets that one block holds; larger ones are searched pair of parts by pair of parts.
 BLOCK_BYTES = 32 << 20
+#: Blocks of more than one part that are told by broadcast; others, of which each is a small share of the rest, by a join.
+LARGE = 10_000
 #: Bits of a hash that are compared in the first step.
 SHORT_BITS = 48
 CACHED_WORDS = 150_000
@@ -228,6 +230,8 @@ def candidate_sets(df: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
             out = []
             for i in np.flatnonzero(may.to_numpy(zero_copy_only=False)).tolist():
                 if keys[i] is not None and keys[i] not in seen:
+                    if len(seen) > 1_000_000:  # only saves sending a set twice
+                        seen.clear()
                     seen.add(keys[i])
                     out.append((keys[i], len(parts[i]), parts[i].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["key", "n", "hashes"])
@@ -413,7 +417,9 @@ def search_blocks(sets: DataFrame, roots: DataFrame, num: int, den: int) -> Data
     parts = roots.join(sets.select(F.col("key").alias("node"), "n"), "node").groupBy("root").agg(F.ceil(F.sum(F.col("n") * 8) / BLOCK_BYTES).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     others = F.expr("transform(sequence(0, parts - 1), j -> struct(least(j, part) AS low, greatest(j, part) AS high))")
-    dealt = known.join(parts, "root").withColumn("part", part).withColumn("pair", F.explode(others)).select("root", "pair.low", "pair.high", "key", "n", "hashes")
+    parts = written(parts, "parts")
+    large = parts.where("parts > 1").orderBy(F.desc("parts"), "root").limit(LARGE)
+    dealt = joined(known, parts, "root", large).withColumn("part", part).withColumn("pair", F.explode(others)).select("root", "pair.low", "pair.high", "key", "n", "hashes")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("n", "ascending"), ("key", "ascending")])
@@ -424,7 +430,7 @@ def search_blocks(sets: DataFrame, roots: DataFrame, num: int, den: int) -> Data
     return dealt.groupBy("root", "low", "high").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", filter_cells: int = 1 << 26) -> DataFrame:
+def jaccard_components(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", filter_cells: int = MOST_CELLS) -> DataFrame:
     """Per row: ``id_col``, n_shingles, component_id: the smallest id that links reach, itself included.
 
     Words are what is between white space (space, tab to return), A-Z lower-cased; a text's set are its distinct shingles
@@ -442,19 +448,18 @@ def jaccard_components(df: DataFrame, width: int = 5, num: int = 80, den: int =
     sets = written(candidate_sets(own, width, bits), "sets")
     roots = components(block_links(sets, num, den, buckets))
     found = components(search_blocks(sets, roots, num, den))
-    grouped = slim.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    found, many = found.withColumnRenamed("node", "key"), max(1000, slim.count() * 1e-3)
+    hot = slim.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > many).join(found, "key").select("key", "root")  # fewer than 1000
+    grouped = joined(slim, found, "key", hot, "left").withColumn("root", F.coalesce("root", "key"))
     grouped = written(grouped.select("id", "n", "root"), "grouped")
     least = grouped.where("n > 0").groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
     least = written(least, "least")
-    hot = least.where(F.col("size") > max(1000, slim.count() * 1e-3)).select("root", F.col("least").alias("hot"))  # fewer than 1000
-    seen = grouped.join(F.broadcast(hot), "root", "left")
-    rest = seen.where("hot IS NULL").join(least.select("root", "least"), "root", "left")
-    out = seen.where("hot IS NOT NULL").select("id", "n", F.col("hot").alias("least")).unionByName(rest.select("id", "n", "least"))
+    out = joined(grouped, least.select("root", "least"), "root", least.where(F.col("size") > many).select("root", "least"), "left")
     component = F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def without_near_copies(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", filter_cells: int = 1 << 26) -> DataFrame:
+def without_near_copies(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", filter_cells: int = MOST_CELLS) -> DataFrame:
     """One row of each component, with all columns: that of the smallest id. Rules as in ``jaccard_components``; ids name documents,
     so that rows with the same id stay or go together, and rows with null ids go if another row is in their component. Only
     rows that a Bloom filter of the ids that go may have are shuffled."""

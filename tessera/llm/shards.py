@@ -2,17 +2,21 @@
 
 An arrival is written as small shards. Shards of a tier (sizes within a factor of ``ratio``) are merged once there are
 ``fan_in`` of them, into files of about the target size; full files stay as they are. Each change writes a new manifest and
-commits it by a rename that fails if that version exists, so that readers see one version or the next, and of two writers
-one loses and tries again. All data work is DataFrame operations; the driver handles file names and sizes only.
+commits it by a rename that fails if that version exists, so that readers see one version or the next. Of two writers one
+loses, and makes its change again on what the other has committed. All data work is DataFrame operations; the driver handles file names
+and sizes only.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +65,19 @@ class ShardTable:
         self.context.rename(own, self.Path(f"{self.path}/manifests/v{base + 1:08d}.json"), self.renaming)
         return base + 1
 
+    def change(self, new: Callable[[list[Shard]], list[Shard] | None]) -> int | None:
+        """Commits what ``new`` makes of the last version's shards; as often as another writer is first, of that one's. None if it makes none."""
+        while True:
+            base = self.version()
+            shards = new(self.manifest(base))
+            if shards is None:
+                return None
+            try:
+                return self.commit(base, shards)
+            except Py4JJavaError:
+                if self.version() == base:  # not another writer's doing
+                    raise
+
     def write(self, df: DataFrame) -> list[Shard]:
         """New files of the rows, not committed yet."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
@@ -72,15 +89,16 @@ class ShardTable:
 
     def append(self, df: DataFrame) -> int:
         """Commits the rows as new shards, one for each partition that has rows; nothing is shuffled."""
-        shards, base = self.write(df.select(self.schema.fieldNames())), self.version()
-        return self.commit(base, [*self.manifest(base), *shards])
+        shards = self.write(df.select(self.schema.fieldNames()))
+        return self.change(lambda now: [*now, *shards])
 
     def tier(self, shard: Shard) -> int:
         """0 for full files, then by how often ``ratio`` goes into the rest."""
         return 0 if shard.bytes * 2 > self.target_bytes else 1 + int(math.log(self.target_bytes / max(1, shard.bytes), self.ratio))
 
     def compact(self) -> int:
-        """Merges tiers until none has ``fan_in`` shards below the target; each merge is a commit of its own."""
+        """Merges tiers until none has ``fan_in`` shards below the target; each merge is a commit of its own. If another writer
+        has taken some of a merge's shards meanwhile, what was merged is left to ``vacuum``."""
         while True:
             base = self.version()
             shards = self.manifest(base)
@@ -93,15 +111,18 @@ class ShardTable:
             runs = tiers[due[0]]
             files = max(1, round(sum(s.bytes for s in runs) / self.target_bytes))
             merged = self.write(self.spark.read.schema(self.schema).parquet(*[s.file for s in runs]).coalesce(files))
-            self.commit(base, [s for s in shards if s not in set(runs)] + merged)
+            gone = set(runs)
+            self.change(lambda now: [s for s in now if s not in gone] + merged if gone <= set(now) else None)  # noqa: B023
 
-    def vacuum(self) -> int:
-        """Deletes data files that the last version doesn't have; returns their number. Readers of older versions fail then."""
+    def vacuum(self, older_than: float = 86_400.0) -> int:
+        """Deletes data files that the last version doesn't have and that are older than so many seconds; returns their number. Readers of
+        older versions fail then; younger files may be of writers that haven't committed yet."""
+        before = (time.time() - older_than) * 1000
         kept, gone = {self.Path(s.file).toUri().getPath() for s in self.manifest()}, 0
         if self.fs.exists(self.Path(f"{self.path}/data")):
             for folder in self.fs.listStatus(self.Path(f"{self.path}/data")):
                 for s in self.fs.listStatus(folder.getPath()):
-                    if s.getPath().getName().startswith("part-") and s.getPath().toUri().getPath() not in kept:
+                    if s.getPath().getName().startswith("part-") and s.getModificationTime() <= before and s.getPath().toUri().getPath() not in kept:
                         gone += bool(self.fs.delete(s.getPath(), False))
         return gone
 
@@ -112,7 +133,7 @@ class ShardTable:
 
 
 def shard(df: DataFrame, path: str, arrivals: list[DataFrame] | None = None, **options: float) -> ShardTable:
-    """Appends ``arrivals`` (or ``df`` as one) to a new table at ``path``, compacts and vacuums it.
+    """Appends ``arrivals`` (or ``df`` as one) to a new table at ``path``, which no other writer knows yet, compacts and vacuums it.
 
     Rows are kept as they are, nulls, repeated ones and all columns included; an empty table commits a version without
     shards.
@@ -121,5 +142,5 @@ def shard(df: DataFrame, path: str, arrivals: list[DataFrame] | None = None, **o
     for some in arrivals or [df]:
         table.append(some)
     table.compact()
-    table.vacuum()
+    table.vacuum(older_than=0)
     return table

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ from .packing import with_end
 from .pieces import chunks
 
 NO_ID = -(2**63)
-READ_IDS = 1 << 20
+READ_IDS, READ_DOCS = 1 << 20, 1 << 16
+#: Bytes of text that a part has, about.
+PART_BYTES = 256 << 20
 
 
 def place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -33,13 +36,24 @@ def place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
 
 
-def mapped(path: str, kind: str) -> np.ndarray:
-    """A file as an array: memory-mapped if it is local, else read."""
-    fs, at = place(path)
+def slices(path: str, kind: str) -> Callable[[int, int], np.ndarray]:
+    """Reads a file's values from one place up to another: memory-mapped if it is local, else only the bytes of that range."""
+    (fs, at), width = place(path), np.dtype(kind).itemsize
     if isinstance(fs, pyarrow.fs.LocalFileSystem):
-        return np.memmap(at, kind, "r") if fs.get_file_info(at).size else np.zeros(0, kind)
-    with fs.open_input_file(at) as f:
-        return np.frombuffer(f.read_buffer(), kind)
+        whole = np.memmap(at, kind, "r") if fs.get_file_info(at).size else np.zeros(0, kind)
+        return lambda a, b: whole[a:b]
+    file = fs.open_input_file(at)
+    return lambda a, b: np.frombuffer(file.read_at((b - a) * width, a * width), kind)
+
+
+def put_in_place(fs: pyarrow.fs.FileSystem, own: str, name: str) -> None:
+    """Renames a whole file. Where another attempt at the task has put the same file there, and renaming doesn't replace it, that one stays."""
+    try:
+        fs.move(own, name)
+    except OSError:
+        if fs.get_file_info(name).type != pyarrow.fs.FileType.File:
+            raise
+        fs.delete_file(own)
 
 
 def bounds_of(df: DataFrame, id_col: str, parts: int) -> np.ndarray:
@@ -59,7 +73,9 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, end_id: int | None =
     """
     spark = df.sparkSession
     df = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = parts or partitions(spark)
+    if not parts:
+        size = df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        parts = max(partitions(spark), -(-size // PART_BYTES))
     bounds = bounds_of(df, "id", parts)
     from tokenizers import Tokenizer
 
@@ -80,26 +96,26 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, end_id: int | None =
                 yield pa.RecordBatch.from_arrays([pa.array(part), docs, pa.array(np.diff(offsets)), pa.array(data, pa.binary())], rows.names)
                 done += len(texts)
 
-    def put(part: int, docs: list, sizes: list, bin_name: str) -> tuple[int, int, int]:
+    def put(part: int, docs: array, sizes: array, bin_name: str) -> tuple[int, int, int]:
         there, to = place(path)
         for end, value in (("idx", np.append(0, np.cumsum(sizes)).astype("<u8")), ("doc", np.array(docs, "<i8"))):
             with there.open_output_stream(own := f"{to}/.{uuid.uuid4().hex}") as f:
                 f.write(value.tobytes())
-            there.move(own, f"{to}/part-{part:06d}.{end}")
-        there.move(bin_name, f"{to}/part-{part:06d}.bin")
+            put_in_place(there, own, f"{to}/part-{part:06d}.{end}")
+        put_in_place(there, bin_name, f"{to}/part-{part:06d}.bin")
         return part, len(docs), int(np.sum(sizes))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, to = place(path)
         codec, width = pa.Codec("zstd"), np.dtype(kind).itemsize
-        now, out, name, docs, sizes, done = None, None, "", [], [], []
+        now, out, name, docs, sizes, done = None, None, "", array("q"), array("q"), []
         for batch in batches:
             for part, doc, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != now:
                     if out:
                         out.close()
                         done.append(put(now, docs, sizes, name))
-                    now, name, docs, sizes = part, f"{to}/.{uuid.uuid4().hex}", [], []
+                    now, name, docs, sizes = part, f"{to}/.{uuid.uuid4().hex}", array("q"), array("q")
                     out = there.open_output_stream(name)
                 out.write(codec.decompress(data, decompressed_size=n * width) if n else b"")
                 docs.append(NO_ID if doc is None else doc)
@@ -133,20 +149,22 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, base, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 name = f"{path}/part-{part:06d}"
-                offsets, docs, ids = mapped(f"{name}.idx", "<u8").astype(np.int64), mapped(f"{name}.doc", "<i8"), mapped(f"{name}.bin", kind)
-                at = 0
-                while at < len(docs):
-                    to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + READ_IDS, "right")) - 1)
-                    data = ids[offsets[at] : offsets[to]].astype("<u4")
-                    ends = (offsets[at : to + 1] - offsets[at]) * 4
-                    lists = pa.Array.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(np.ascontiguousarray(ends)), pa.py_buffer(data)])
-                    own = np.array(docs[at:to])
-                    yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NO_ID), pa.array(base + offsets[at:to]), pa.array(np.diff(offsets[at : to + 1])), lists.cast(pa.binary())], schema.names)
-                    at = to
-
-    parts = [(p["part"], p["base"]) for p in manifest["parts"]]
-    return spark.createDataFrame(parts, "part int, base long").repartition(max(1, len(parts))).mapInArrow(read, schema)
+                index, names, flat = slices(f"{name}.idx", "<u8"), slices(f"{name}.doc", "<i8"), slices(f"{name}.bin", kind)
+                for first in range(0, n, READ_DOCS):
+                    last = min(n, first + READ_DOCS)
+                    offsets, docs, at = index(first, last + 1).astype(np.int64), names(first, last), 0
+                    while at < len(docs):
+                        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + READ_IDS, "right")) - 1)
+                        data = flat(int(offsets[at]), int(offsets[to])).astype("<u4")
+                        ends = (offsets[at : to + 1] - offsets[at]) * 4
+                        lists = pa.Array.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(np.ascontiguousarray(ends)), pa.py_buffer(data)])
+                        own = np.array(docs[at:to])
+                        yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NO_ID), pa.array(base + offsets[at:to]), pa.array(np.diff(offsets[at : to + 1])), lists.cast(pa.binary())], schema.names)
+                        at = to
+
+    parts = [(p["part"], p["base"], p["docs"]) for p in manifest["parts"]]
+    return spark.createDataFrame(parts, "part int, base long, docs long").repartition(max(1, len(parts))).mapInArrow(read, schema)
 
 

@@ -122,8 +122,10 @@ class Passages:
         same = np.zeros(len(words), bool)
         same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
         out[rows, -5] = share(same)
-        for k, place, own in ((1, -4, passage), (1, -3, doc), (4, -2, doc)):  # distinct words of the passage; new words and new runs of four of the document
-            g = h if k == 1 else h * np.uint64(3) + np.roll(h, -1) * np.uint64(5) + np.roll(h, -2) * np.uint64(7) + np.roll(h, -3) * np.uint64(11)
+        four = h * np.uint64(3)  # runs of four words; beyond a text's end there are none
+        for i, factor in ((1, 5), (2, 7), (3, 11)):
+            four += np.where(at + i < n[doc], np.roll(h, -i), np.uint64(0)) * np.uint64(factor)
+        for g, place, own in ((h, -4, passage), (h, -3, doc), (four, -2, doc)):  # distinct words of the passage; new words and new runs of four of the document
             out[rows, place] = share(first_seen(mixed(g ^ mixed(own.astype(np.uint64)))))
         out[rows, -1] = np.log1p(n[doc[begin]])
         return out, first

@@ -50,10 +50,41 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+OP3_SQL = """
+WITH RECURSIVE fine AS (
+    SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+    SELECT a.id AS a, b.id AS b FROM fine a JOIN fine b ON a.id <> b.id AND len(a.v) = len(b.v)
+    WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.95
+), reach AS (
+    SELECT a AS id, a AS root FROM link UNION SELECT link.b, root FROM reach JOIN link ON link.a = reach.id AND root < link.b
+), c AS (SELECT id, min(root) AS root FROM reach GROUP BY id), n AS (SELECT a AS id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(root, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(root, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.id = vec_id LEFT JOIN c ON c.id = vec_id
+"""
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.jaccard_components(documents(spark, sf_dir), width=4, num=85, den=100)
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS shingle FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+link AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT a AS id, a AS root FROM link UNION SELECT link.b, root FROM reach JOIN link ON link.a = reach.id AND root < link.b),
+c AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(root, doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = doc_id
+"""
+
+
 def op6_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each file of the table arrives by itself, in up to eight arrivals; the rows are read back by the manifest."""
     docs = documents(spark, sf_dir)
@@ -104,6 +135,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_multi_index": OP3_SQL,
     "op4_bloom_dedup": OP4_SQL,
+    "op5_ngram_join": OP5_SQL,
     "op6_tiered_shards": OP6_SQL,
 }

@@ -37,12 +37,56 @@ def test_shards(spark, tmp_path):
     assert before == 4 and len(table.manifest()) == 4
     assert table.compact() == 5 and len(table.manifest()) == 1
     assert table.read(before).count() == 100 and len(table.manifest(before)) == 4
-    assert table.vacuum() == 4 and sorted(table.read().collect()) == sorted(df.collect())
+    assert table.vacuum() == 0  # younger than a day
+    assert table.vacuum(older_than=0) == 4 and sorted(table.read().collect()) == sorted(df.collect())
     with pytest.raises(Exception):
         table.commit(4, [])  # version 5 is there
     assert shards.shard(df.limit(0), str(tmp_path / "e")).read().count() == 0
 
 
+def test_two_writers(spark, tmp_path):
+    """Each loses once: an append while another one commits, and a merge while a third commits."""
+    df = spark.createDataFrame([(i, "t") for i in range(60)], "id long, text string")
+    a, b = (shards.ShardTable(spark, str(tmp_path / "s"), df.schema, target_bytes=1 << 20, fan_in=3) for _ in range(2))
+    write, meanwhile = a.write, []
+
+    def slow_write(rows):
+        out = write(rows)
+        for some in meanwhile:
+            b.append(some)
+        meanwhile.clear()
+        return out
+
+    a.write = slow_write
+    meanwhile.append(df.where("id % 3 = 1").coalesce(1))
+    base = a.version
+    a.version = lambda: 0 if not meanwhile and base() == 1 and len(seen) == 0 and not seen.append(1) else base()  # reads the version before the other's commit
+    seen: list = []
+    a.append(df.where("id % 3 = 0").coalesce(1))
+    a.version = base
+    assert a.version() == 2 and a.read().count() == 40
+    a.append(df.where("id % 3 = 2 AND id < 30").coalesce(1))
+    meanwhile.append(df.where("id % 3 = 2 AND id >= 30").coalesce(1))
+    a.compact()
+    assert sorted(b.read().collect()) == sorted(df.collect()) and len(b.manifest()) == 2
+
+
+def test_filter_by_blocks(spark, monkeypatch):
+    """Many blocks, and a few cells, find all that repeats."""
+    monkeypatch.setattr(exact, "BLOCK", 64)
+    monkeypatch.setattr(exact, "BLOCKS", 32)
+    df = spark.createDataFrame([(i, f"text {i % 300}" if i % 2 else f"own {i}") for i in range(1200)], "doc_id long, text string").repartition(7)
+    want = Counter(t.replace(" ", "") for _, t in df.collect())
+    for cells in (1 << 16, 1 << 11, 64):
+        own = exact.digests(df, "doc_id", "text")
+        bits = exact.repeated_cells(own, cells)
+        flags = {bytes(r.digest): r.may_repeat for r in exact.flagged(own, bits).collect()}
+        from hashlib import sha256
+
+        assert all(flags[sha256(t.encode()).digest()] for t, n in want.items() if n > 1)
+    assert sum(exact.exact_groups(df, most_cells=1 << 11).where("kept").select("group_size").toPandas().group_size) == 1200
+
+
 def brute(rows, width, num, den):
     sets = {}
     for i, t in rows:
@@ -114,6 +158,21 @@ def test_divide_skip_finds_what_counting_finds():
         assert dict(near.merge_skip(lists, least)) == want
 
 
+def test_components_of_hubs(spark):
+    """Ends of more than a thousand links come by broadcast."""
+    rnd = random.Random(5)
+    links = [(5, x) for x in range(10, 2500)] + [(x, 9000) for x in range(3000, 4500)] + [(2499, 3000), (7000, 7001), (7001, 6999)]
+    rnd.shuffle(links)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()}
+    assert got == {x: (6999 if 6999 <= x <= 7001 else 5) for pair in links for x in pair}
+
+
+def test_many_copies_by_brute_force(spark):
+    rows = [(i, "one two three four five six") for i in range(1500)] + [(2000 + i, f"a b c d e f {i}") for i in range(5)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: (2, 0) if i < 1500 else (3, i) for i, _ in rows}
+
+
 def test_components(spark):
     rnd = random.Random(4)
     links = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 140)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)] + [(300, 300)]

@@ -41,6 +41,82 @@ def test_quality_gradients_are_the_losss():
         w[at] = before
 
 
+def plain_passages(text):
+    """Encodings of a text's passages, word by word."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ (x >> shift)) * factor) & full
+        return x ^ (x >> 31)
+
+    def kind(c):
+        return 0 if chr(c) in "abcdefghijklmnopqrstuvwxyz" or c > 127 else 1 if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 2 if chr(c) in "0123456789" else 3 if chr(c) in ".,;:!?" else 4
+
+    def word_row(w):
+        own = [kind(c) for c in w]
+        letters, upper, digits, marks = own.count(0) + own.count(1), own.count(1), own.count(2), own.count(3)
+        n = len(w)
+        out = [1, n, letters / n, upper / n, digits / n, marks / n, (n - letters - digits - marks) / n, n > 14, n <= 2, upper == n, letters == 0] + [0] * quality.SHAPES
+        shape, hashed = [], 0
+        for i, c in enumerate(w):
+            if i == 0 or own[i] >= 3 or own[i] != own[i - 1]:
+                shape.append((own[i] if own[i] < 3 else c) + 1)
+        for place, s in enumerate(shape):
+            hashed = (hashed + mix((s * 0x9E3779B97F4A7C15 + place) & full)) & full
+        out[11 + mix(hashed) % quality.SHAPES] = 1
+        return out
+
+    words = (text or "").encode().split()
+    if not words:
+        return [[0.0] * quality.WIDTH]
+    rows, seen, runs = [], set(), set()
+    for a in range(0, len(words), quality.PASSAGE):
+        own = words[a : a + quality.PASSAGE]
+        n = len(own)
+        row = [sum(x) / n for x in zip(*map(word_row, own))]
+        row[0] = math.log1p(n)
+        new_words = new_runs = 0
+        for i in range(a, a + n):
+            run = tuple(words[i : i + 4])
+            new_words, new_runs = new_words + (words[i] not in seen), new_runs + (run not in runs)
+            seen.add(words[i])
+            runs.add(run)
+        again = sum(i > 0 and words[i] == words[i - 1] for i in range(a, a + n))
+        rows.append(row + [again / n, len(set(own)) / n, new_words / n, new_runs / n, math.log1p(len(words))])
+    return rows
+
+
+def plain_score(model, rows):
+    """The forward pass by loops."""
+    w, b, v, u, a, c, d = (x.tolist() for x in model.weights)
+    dot = lambda x, m: [sum(p * q for p, q in zip(x, col)) for col in zip(*m)]
+    hidden, energy = [], []
+    for row in rows:
+        x = [min(6, max(-6, (p - q) / s)) for p, q, s in zip(row, model.mean.tolist(), model.scale.tolist())]
+        h = [math.tanh(p + q) for p, q in zip(dot(x, w), b)]
+        hidden.append(h)
+        energy.append(sum(math.tanh(t) / (1 + math.exp(-g)) * k for t, g, k in zip(dot(h, v), dot(h, u), a)))
+    top = max(energy)
+    weights = [math.exp(e - top) for e in energy]
+    z = [sum(p * h[k] for p, h in zip(weights, hidden)) / sum(weights) for k in range(len(b))]
+    return 1 / (1 + math.exp(-sum(p * q for p, q in zip(z, c)) - d[0]))
+
+
+def test_quality_query_by_brute_force(spark):
+    """Scores of the registered query are those of loops over each document alone, whatever is beside it."""
+    docs = queries.documents(spark, SMALL)
+    model = quality.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"), folds=5)
+    want = {r.doc_id: plain_score(model, plain_passages(r.text)) for r in docs.collect()}
+    for r in queries.op1_attention_quality(spark, SMALL).collect():
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-4)
+    odd = ["", None, "x x x x x", "x x x", "X1. y!! " * 70, "é 12 a,b"]
+    rows, first = quality.Passages()(odd)
+    for i, t in enumerate(odd):
+        own = rows[first[i] : first[i + 1] if i + 1 < len(odd) else None]
+        assert np.allclose(own, plain_passages(t), rtol=1e-4, atol=1e-5)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, "a b", 0.5), (1, "a b", None), (None, None, 1.0), (2, "", 2.0), (3, "x " * 30000, None)], "doc_id long, text string, weight double")
     none = spark.createDataFrame([], "doc_id long, quality int")

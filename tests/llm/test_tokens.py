@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+from pyarrow.fs import FileSystem, FileType, LocalFileSystem
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, library, packing, pieces, token_files
@@ -173,6 +174,48 @@ def test_token_file_edges(spark, tmp_path):
     assert token_files.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_files_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    """Where files can't be mapped, only ranges of them are read, and the rows are the same."""
+    df = spark.createDataFrame([(i, f"word {i} " * (i % 7)) for i in range(300)], "doc_id long, text string")
+    token_files.write_tokens(df, JSON, str(tmp_path / "t"), parts=3)
+    rows = sorted(map(tuple, token_files.read_tokens(spark, str(tmp_path / "t")).collect()))
+    for name in ("part-000000.bin", "part-000000.idx"):
+        kind = "<u2" if name.endswith("bin") else "<u8"
+        whole = np.fromfile(tmp_path / "t" / name, kind)
+        monkeypatch.setattr(token_files.pyarrow.fs, "LocalFileSystem", type("Other", (), {}))
+        monkeypatch.setattr(token_files, "place", lambda p: (FileSystem.from_uri(f"file://{p}")[0], p))
+        read = token_files.slices(str(tmp_path / "t" / name), kind)
+        monkeypatch.undo()
+        assert not isinstance(read(3, 20), np.memmap) and read(3, 20).tolist() == whole[3:20].tolist() and len(read(5, 5)) == 0
+    assert [r[0] for r in rows] == list(range(300))
+
+
+def test_another_attempt_has_put_the_file(tmp_path):
+    class NoReplace:
+        def __init__(self):
+            self.own = LocalFileSystem()
+
+        def move(self, a, b):
+            if self.get_file_info(b).type == FileType.File:
+                raise OSError("there")
+            self.own.move(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    for i in range(2):
+        (tmp_path / f".own{i}").write_bytes(b"x")
+        token_files.put_in_place(NoReplace(), str(tmp_path / f".own{i}"), str(tmp_path / "part"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["part"]
+
+
+def test_repeated_ids_over_parts(spark, tmp_path):
+    df = spark.createDataFrame([(7, f"t{i}") for i in range(40)] + [(None, "n")] * 3, "doc_id long, text string").repartition(4)
+    token_files.write_tokens(df, JSON, str(tmp_path / "t"), parts=4)
+    rows = sorted(token_files.read_tokens(spark, str(tmp_path / "t")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None] * 3 + [7] * 40 and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
+
+
 MARKED = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n", "it's <|endoftext|>'s <|endoftext", " \n <|endoftext|> \n ", "<|<|endoftext|>|>"]
 
 

@@ -100,7 +100,7 @@ def features(word: str) -> tuple[str, ...]:
 
 
 class Field:
-    """Weights of the conditional random field. Words with the same features are of one class."""
+    """Weights of the conditional random field. Words with the same known features are of one class."""
 
     def __init__(self, names: dict[str, int], seen: np.ndarray, moves: np.ndarray):
         self.names, self.seen, self.moves = names, seen, moves
@@ -108,21 +108,21 @@ class Field:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.of_features: dict[tuple[str, ...], int] = {}
+        self.of_features: dict[tuple[int, ...], int] = {}
         self.rows = np.zeros((0, 3, len(TAGS)))
         self.windows, self.decided = np.zeros(0, np.uint64), np.zeros(0, bool)
 
     def classes(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > 100_000:
+        if len(self.known) > 200_000:
             self.known = {}
         if len(self.of_features) > 20_000 or len(self.windows) > 2_000_000:
             self.clear()
         known, rows = self.known, []
         for w in set(words).difference(known):
-            own = features(w)
+            own = tuple(self.names[f] for f in features(w) if f in self.names)
             if (c := self.of_features.get(own)) is None:
                 c = self.of_features[own] = len(self.of_features)
-                rows.append(self.seen[[self.names[f] for f in own if f in self.names]].sum(0))
+                rows.append(self.seen[list(own)].sum(0))
             known[w] = c
         if rows:
             self.rows = np.concatenate([self.rows, np.stack(rows)])
@@ -322,6 +322,18 @@ def examples_table(spark: SparkSession) -> DataFrame:
 #: What a word is, by code point; all above 127 count as letters.
 BLACK = np.ones(129, bool)
 BLACK[[ord(c) for c in WHITE]] = False
+#: Letters of a kind, and digits, as one: words that are alike then have the same features, but for "at" and "dot".
+ALIKE = np.arange(129, dtype=np.uint8)
+ALIKE[97:123], ALIKE[128], ALIKE[65:91], ALIKE[48:58] = ord("x"), ord("x"), ord("X"), ord("0")
+SHORT = re.compile(r"[^A-Za-z]*[A-Za-z]{2,3}[^A-Za-z]*")
+
+
+def alike(joined: str, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+    """Words by what their features depend on."""
+    mapped = ALIKE[points].tobytes().decode("ascii")
+    words = [mapped[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    short = {w for w in set(words) if SHORT.fullmatch(w)}
+    return [joined[a:b] if w in short else w for w, a, b in zip(words, start.tolist(), end.tolist(), strict=True)] if short else words
 
 
 def valid(kind: int, text: str) -> bool:
@@ -344,7 +356,8 @@ def found_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int
     joined = "\n".join(texts)
     if not joined:
         return out
-    black = BLACK[np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 128)]
+    points = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 128)
+    black = BLACK[points]
     edge = np.diff(black.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
@@ -352,7 +365,7 @@ def found_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(size + 1) - size - 1
     doc = np.searchsorted(begin, start, "right") - 1
-    classes = field.classes([joined[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    classes = field.classes(alike(joined, points, start, end))
     sure = field.outside(classes, doc)
     at = np.flatnonzero(~sure)
     inner = np.append(False, doc[1:] == doc[:-1])  # words that follow one of the same text

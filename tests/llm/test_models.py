@@ -243,6 +243,16 @@ def test_field_decodes_whole_texts(spark, field):
     assert field.outside(field.classes(words), np.zeros(len(words), int)).mean() > 0.5  # most words decide by themselves
 
 
+def test_words_that_are_alike_have_the_same_features():
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abtdoATDOxé中09.@-()+[]:/,$%|") for _ in range(rnd.randrange(1, 9))) for _ in range(20000)] + ["at", "(at)", "dot", "[DOT]", "1234567", "x" * 40]
+    joined = " ".join(words)
+    points = np.minimum(np.frombuffer(joined.encode("utf-32-le"), np.uint32), 128)
+    size = np.array([len(w) for w in words])
+    start = np.cumsum(size + 1) - size - 1
+    assert [pii.features(w) for w in pii.alike(joined, points, start, start + size)] == [pii.features(w) for w in words]
+
+
 def test_white_space_between_words_takes_linear_time(field):
     began = time.perf_counter()
     pii.found_spans(["anna" + " " * 200_000 + "[at]" + "\n" * 200_000 + "mail.com", "a " * 100_000 + "@"], field)

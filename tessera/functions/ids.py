@@ -37,8 +37,11 @@ def trimmed(ids: Column, eos: int, pad: int) -> Column:
 
 
 def positions(mask: Column) -> Column:
-    """Running sum of the mask less one, at least 0."""
-    return F.transform(mask, lambda _, i: F.greatest(F.lit(0), F.aggregate(F.slice(mask, 1, i + 1), F.lit(0), lambda a, x: a + x) - 1))
+    """Running sum of the mask less one, at least 0. Zeros and then ones, as left padding has it, take linear time."""
+    first = F.array_position(mask, 1)
+    padded = F.transform(mask, lambda x, i: F.greatest(F.lit(0), (i + 1 - first).cast("int")) * x)
+    summed = F.transform(mask, lambda _, i: F.greatest(F.lit(0), F.aggregate(F.slice(mask, 1, i + 1), F.lit(0), lambda a, x: a + x) - 1))
+    return F.when(F.array_sort(mask) == mask, padded).otherwise(summed)
 
 
 def supervised(labels: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The code points that Python's str.strip removes, as a character class of Java's and RE2's regexes.
 STRIPPED = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same code points as one string.
+STRIPPED_CHARS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Line boundaries of Python's str.splitlines.
 LINE_ENDS = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 #: Special tokens of the chat template.
@@ -19,8 +21,8 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """As Python's str.strip; Spark's trim removes spaces only."""
-    return F.regexp_replace(col(c), rf"\A{STRIPPED}+|{STRIPPED}+\z", "")
+    """As Python's str.strip; Spark's trim alone removes spaces only."""
+    return F.btrim(col(c), F.lit(STRIPPED_CHARS))
 
 
 def optional(c: Column | str) -> Column:
@@ -40,7 +42,10 @@ def char_tokens(c: Column | str) -> Column:
 
 def char_count(c: Column | str) -> Column:
     """How many ``char_tokens`` there are, without making them."""
-    return F.char_length(F.regexp_replace(col(c), SPECIALS, "x"))
+    out = col(c)
+    for token in (BOS, EOS, PAD):
+        out = F.replace(out, F.lit(token), F.lit("x"))
+    return F.char_length(out)
 
 
 def char_ids(c: Column | str) -> Column:

@@ -54,5 +54,16 @@ def shuffled(df: DataFrame, order: str, seed: int, epoch: int) -> DataFrame:
     return ordinal(df.withColumn("_key", key), F.substring("_key", 1, DIGITS), [F.col("_key"), F.col(order)], "place").drop("_key")
 
 
+def buffer_shuffled(df: DataFrame, order: str, size: int, seed: str) -> DataFrame:
+    """Adds place: a shuffle within a buffer. Rows come in the order of the number ``order``, and each is held back by less than ``size``
+    rows, as its hash says, so that what was near stays near; up to a size of 1 the order stays."""
+    own = ordinal(df, order, [F.col(order)], "_ordinal")
+    if size <= 1:
+        return own.withColumnRenamed("_ordinal", "place")
+    back = F.conv(F.substring(hashed(seed, F.col(order)), 1, 8), 16, 10).cast("double") / 2.0**32 * size
+    own = own.withColumn("_when", F.col("_ordinal") + F.floor(back))
+    return ordinal(own, "_when", [F.col("_when"), F.col("_ordinal")], "place").drop("_when", "_ordinal")
+
+
 def weights_table(spark: SparkSession, rows: list[tuple[str, float, int | None, bool | None]]) -> DataFrame:
     return spark.createDataFrame(rows, "source string, weight double, sample_limit long, enabled boolean")

@@ -1,7 +1,8 @@
 """Ranks, running sums and exact picks over a whole table, without a window that has one partition for all rows.
 
-A block is a coarse key that orders as the rows do. Blocks are counted, their counts are summed in order (one row for each
-block), and rows are ranked within their block.
+A block is a coarse key that orders as the rows do; there are at most BLOCKS, whatever the number of rows and however sparse
+their ids are. Blocks are counted, their counts are summed in order (one row for each block), and rows are ranked within
+their block.
 """
 
 from __future__ import annotations
@@ -9,46 +10,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ids of a block where ids are dense numbers.
-BLOCK = 4096
 #: Hex digits that make a block where rows are ordered by a hash.
-DIGITS = 3
+DIGITS = 4
+#: Blocks of a table, at most.
+BLOCKS = 16**DIGITS
 
 
-def id_block(c: str) -> Column:
-    return F.floor(F.col(c) / BLOCK)
+def by_range(df: DataFrame, c: str, name: str = "_block") -> DataFrame:
+    """Adds the block of the number ``c``: its place between the least and the greatest, in BLOCKS steps. Nulls come first."""
+    ends = df.agg(F.min(c).alias("_least"), F.max(c).alias("_most"))
+    place = F.floor((F.col(c).cast("double") - F.col("_least")) / ((F.col("_most").cast("double") - F.col("_least")) + 1) * BLOCKS)
+    return df.crossJoin(F.broadcast(ends)).withColumn(name, F.coalesce(place, F.lit(-1))).drop("_least", "_most")
 
 
-def running(df: DataFrame, block: Column, order: list[Column], value: Column, name: str) -> DataFrame:
-    """Adds the sum of ``value`` over all rows before each."""
-    own = df.withColumn("_block", block).withColumn("_value", value)
+def running(df: DataFrame, block: Column | str, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before each. block: a key of at most BLOCKS values, or the name of a number that
+    rows are ordered by first."""
+    own = (by_range(df, block) if isinstance(block, str) else df.withColumn("_block", block)).withColumn("_value", value)
     sums = own.groupBy("_block").agg(F.sum("_value").alias("_sum"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # BLOCKS rows at most
     sums = sums.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = own.withColumn(name, F.coalesce(F.sum("_value").over(within), F.lit(0))).join(sums, "_block")
+    out = own.withColumn(name, F.coalesce(F.sum("_value").over(within), F.lit(0))).join(F.broadcast(sums), "_block")
     return out.withColumn(name, F.col(name) + F.col("_before")).drop("_block", "_value", "_before")
 
 
-def ordinal(df: DataFrame, block: Column, order: list[Column], name: str = "ordinal") -> DataFrame:
+def ordinal(df: DataFrame, block: Column | str, order: list[Column], name: str = "ordinal") -> DataFrame:
     """Adds each row's place, from 0."""
     return running(df, block, order, F.lit(1), name).withColumn(name, F.col(name).cast("long"))
 
 
 def pick_lowest(df: DataFrame, groups: list[str], key: str, wanted: DataFrame) -> DataFrame:
-    """Of each group the rows with the ``n`` lowest keys, exactly. wanted: groups and n; key: a column of lower-case hex digits.
+    """Of each group the rows with the ``n`` lowest keys, exactly. wanted: groups and n, small; key: a column of lower-case hex digits.
 
-    Blocks of keys are counted by group, so that all rows of lower blocks are in, and only those of the block that the limit
-    falls in are ranked: a group may be of any size.
+    Blocks of keys are counted by group. Rows of blocks before the one that the limit falls in are in, rows after it are not, and
+    only those of that block are shuffled and ranked: a group may be of any size.
     """
     df = df.withColumn("_block", F.substring(key, 1, DIGITS))
     counts = df.groupBy(*groups, "_block").agg(F.count(F.lit(1)).alias("_rows"))
     before = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     counts = counts.join(F.broadcast(wanted), groups) if groups else counts.crossJoin(F.broadcast(wanted))
-    counts = counts.where("_before < n").withColumn("_room", F.col("n") - F.col("_before")).select(*groups, "_block", "_rows", "_room")
-    near = df.join(counts, [*groups, "_block"])
-    whole, cut = near.where("_rows <= _room"), near.where("_rows > _room")
+    edge = F.max(F.struct("_block", "_rows", (F.col("n") - F.col("_before")).alias("_room")))
+    edges = F.broadcast(counts.where("_before < n").groupBy(*groups).agg(edge.alias("_edge")))  # one row for each of wanted
+    near = (df.join(edges, groups) if groups else df.crossJoin(edges)).where("_block <= _edge._block")
+    all_in = (F.col("_block") < F.col("_edge._block")) | (F.col("_edge._rows") <= F.col("_edge._room"))
     rank = F.row_number().over(Window.partitionBy(*groups, "_block").orderBy(key))
-    cut = cut.withColumn("_rank", rank).where("_rank <= _room").drop("_rank")
-    return whole.unionByName(cut).drop("_block", "_rows", "_room")
+    cut = near.where(~all_in).withColumn("_rank", rank).where("_rank <= _edge._room").drop("_rank")
+    return near.where(all_in).unionByName(cut).drop("_block", "_edge")

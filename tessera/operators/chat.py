@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import BOS, EOS, STRIPPED, char_count, char_ids, strip
+from tessera.functions.text import BOS, EOS, STRIPPED, char_count, strip
+from tessera.functions.tokenizers import CHAR, Tokenizer
 from tessera.functions.ids import IGNORED
 
 
@@ -23,6 +24,7 @@ class Template:
         return F.create_map(*[F.lit(x) for pair in self.roles.items() for x in pair])[role]
 
 
+#: Fixed value: the version that records of samples carry.
 TEMPLATES = {t.version: t for t in (Template("lpt-ds-v1"),)}
 DEFAULT = "lpt-ds-v1"
 
@@ -54,14 +56,20 @@ def text_segments(text: Column, version: str = DEFAULT) -> Column:
     return F.array(part(text), part(F.lit(TEMPLATES[version].end)))
 
 
-def encoded(parts: Column, most: int | None = None) -> Column:
-    """(input_ids, labels) of segments, each tokenized by itself into code points, up to ``most``."""
-    ids = F.flatten(F.transform(parts, lambda s: char_ids(s["text"])))
-    labels = F.flatten(F.transform(parts, lambda s: F.transform(char_ids(s["text"]), lambda x: F.when(s["supervise"], x).otherwise(IGNORED))))
+def encoded(parts: Column, most: int | None = None, tokenizer: Tokenizer = CHAR) -> Column:
+    """(input_ids, labels) of segments, each tokenized by itself, up to ``most``; empty segments have no ids."""
+    own = tokenizer.segments(F.transform(parts, lambda s: s["text"]))
+    ids = F.flatten(own)
+    labels = F.flatten(F.zip_with(parts, own, lambda s, x: F.when(s["supervise"], x).otherwise(F.array_repeat(F.lit(IGNORED), F.size(x)))))
     cut = (lambda a: F.slice(a, 1, most)) if most else (lambda a: a)
     return F.struct(cut(ids).alias("input_ids"), cut(labels).alias("labels"))
 
 
+def too_short(input_ids: Column) -> Column:
+    """An error for samples that predict nothing: fewer than two tokens."""
+    return F.when(F.size(input_ids) < 2, "too_few_tokens")
+
+
 def token_counts(parts: Column) -> Column:
     """(tokens, supervised) of segments, without making the ids; the first token can't be supervised."""
     count = lambda p: F.aggregate(F.transform(p, lambda s: char_count(s["text"])), F.lit(0), lambda a, x: a + x)

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import lines
+from tessera.functions.ids import IGNORED, padded_size, right_padded
 
 from .ordering import ordinal, running
 
 
-def length_scan(df: DataFrame, tokens: str, order: str, record_id: str) -> DataFrame:
-    """Number of samples, the longest, and the first record that long."""
-    return df.agg(F.count(F.lit(1)).alias("samples"), F.max(tokens).alias("max_tokens"), F.max_by(record_id, F.struct(F.col(tokens), -F.col(order))).alias("longest_id"))
+def length_scan(df: DataFrame, tokens: str, order: str, record_id: str, strict: bool = False) -> DataFrame:
+    """Number of samples, the longest, and the first record that long. One row; of no records, with ``strict``, an error."""
+    some = F.when(F.count(F.lit(1)) > 0, F.count(F.lit(1))).otherwise(F.raise_error(F.lit("no records to scan")).cast("long") if strict else 0)
+    return df.agg(some.alias("samples"), F.max(tokens).alias("max_tokens"), F.max_by(record_id, F.struct(F.col(tokens), -F.col(order))).alias("longest_id"))
 
 
 def batched(df: DataFrame, size: int, block: Column, order: list[Column]) -> DataFrame:
@@ -45,6 +46,33 @@ def packed(df: DataFrame, tokens: str, most: int) -> DataFrame:
     return out.select("batch_no", "p.batch_pos", F.col("p.n").alias("tokens"), "p.bin_no", "p.bin_pos", "p.position")
 
 
+def packed_arrays(df: DataFrame, ids: str, labels: str, most: int) -> DataFrame:
+    """A row for each bin of ``packed``: batch_no, bin_no, input_ids and labels of its samples one after another, position_ids that
+    start again with each, and segment_ids that count them from 1."""
+    bins = packed(df.withColumn("_n", F.size(ids)), "_n", most).select("batch_no", "batch_pos", "bin_no", "bin_pos")
+    own = df.join(bins, ["batch_no", "batch_pos"]).groupBy("batch_no", "bin_no").agg(F.array_sort(F.collect_list(F.struct("bin_pos", F.col(ids).alias("ids"), F.col(labels).alias("labels")))).alias("s"))
+    each = lambda f: F.flatten(F.transform("s", f))
+    some = lambda x, full: F.when(F.size(x["ids"]) > 0, full).otherwise(F.array().cast("array<int>"))
+    return own.select(
+        "batch_no", "bin_no", each(lambda x: x["ids"]).alias("input_ids"), each(lambda x: x["labels"]).alias("labels"),
+        each(lambda x: some(x, F.sequence(F.lit(0), F.size(x["ids"]) - 1))).alias("position_ids"), each(lambda x: F.array_repeat(x["bin_pos"] + 1, F.size(x["ids"]))).alias("segment_ids"),
+    )
+
+
+def padded_batches(df: DataFrame, pad_id: int, multiple: int = 1) -> DataFrame:
+    """Rows of batches (batch_no, input_ids, labels, and more arrays as in ``packed_arrays``), each padded to the longest of its batch, or
+    the next multiple: pad_id for ids, IGNORED for labels, 0 for the rest; attention_mask is 1 where a token is."""
+    longest = padded_size(F.max(F.size("input_ids")).over(Window.partitionBy("batch_no")), multiple)
+    own = df.withColumn("_size", longest).withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
+    fill = {"input_ids": pad_id, "labels": IGNORED, "attention_mask": 0, "position_ids": 0, "segment_ids": 0}
+    return own.withColumns({c: right_padded(F.col(c), F.col("_size"), v) for c, v in fill.items() if c in own.columns}).drop("_size")
+
+
+def collated(df: DataFrame, pad_id: int, most: int, pack: bool = False, multiple: int = 1) -> DataFrame:
+    """Batches (batch_no, batch_pos, input_ids, labels) as training takes them: padded sample by sample, or packed into bins first."""
+    return padded_batches(packed_arrays(df, "input_ids", "labels", most) if pack else df, pad_id, multiple)
+
+
 def windows(df: DataFrame, tokens: str, size: int, block: Column, order: list[Column], record_id: str, most: int | None = None) -> DataFrame:
     """Consecutive windows of ``size`` tokens over all records in order, an end after each that isn't empty: a row for each
     window and record in it, with the record's first token there and their number. The rest that fills no window is left out."""
@@ -58,37 +86,35 @@ def windows(df: DataFrame, tokens: str, size: int, block: Column, order: list[Co
     return out.select("window_no", record_id, first.alias("first_token"), (last - first).alias("window_tokens"))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def greedy_groups(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The group of each size: first the limit, then sizes; joined by one each, they fill a group up to the limit."""
-    for batch in sizes:
-        out = []
-        for values in batch:
-            limit, group, used, own = int(values[0]), -1, 0, []
-            for n in values[1:]:
-                if group < 0 or used + 1 + n > limit:
-                    group, used = group + 1, int(n)
-                else:
-                    used += 1 + int(n)
-                own.append(group)
-            out.append(own)
-        yield pd.Series(out)
+def chunks_of(text: str | None, most: int) -> Iterator[str]:
+    """Stripped lines that aren't blank, joined as long as ``most`` characters hold them; a longer line is cut every ``most``."""
+    group, used = [], 0
+    for line in (*(text or "").splitlines(), None):
+        line = line.strip() if line is not None else None
+        if line == "":
+            continue
+        if group and (line is None or used + 1 + len(line) > most):
+            whole = "\n".join(group)
+            yield from filter(None, (whole[i : i + most].strip() for i in range(0, len(whole), most))) if len(whole) > most else [whole]
+            group, used = [], 0
+        if line is not None:
+            used += len(line) + bool(group)
+            group.append(line)
 
 
 def line_chunks(df: DataFrame, text: str, most: int, keys: list[str]) -> DataFrame:
     """Chunks of whole lines up to ``most`` characters, as many lines as fit; longer lines are cut every ``most``. Rows: keys,
-    chunk_no, chunk."""
-    own = df.select(*keys, lines(text).alias("_lines"))
-    own = own.withColumn("_groups", greedy_groups(F.concat(F.array(F.lit(most)), F.transform("_lines", lambda x: F.char_length(x)))))
-    many = F.coalesce(F.array_max("_groups"), F.lit(-1))
-    own = own.select(*keys, F.posexplode(F.arrays_zip("_groups", "_lines")).alias("_no", "_x"), many.alias("_many"))
-    own = own.groupBy(*keys, F.col("_x._groups").alias("_group")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", F.col("_x._lines").alias("l")))), lambda s: s["l"]), "\n").alias("_text"))
-    size = F.char_length("_text")
-    own = own.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / most).cast("int"))))
-    from tessera.functions.text import strip
-
-    chunk = F.when(size <= most, F.col("_text")).otherwise(strip(F.substring(F.col("_text"), F.col("_part") * most + 1, F.lit(most))))
-    out = own.select(*keys, "_group", "_part", chunk.alias("chunk")).where("chunk <> ''")
-    from pyspark.sql import Window
-
-    return out.withColumn("chunk_no", F.row_number().over(Window.partitionBy(*keys).orderBy("_group", "_part"))).drop("_group", "_part")
+    chunk_no (from 1), chunk. A document's chunks are made in one pass over its row, so that nothing is shuffled."""
+    schema = T.StructType([T.StructField(f"c{i}", df.schema[k].dataType) for i, k in enumerate(keys)] + [T.StructField("chunk_no", T.IntegerType()), T.StructField("chunk", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                some = batch.slice(a, 512)
+                own = [list(chunks_of(t, most)) for t in some.column(len(keys)).to_pylist()]
+                at = pa.array([i for i, x in enumerate(own) for _ in x], pa.int64())
+                number = pa.array([n + 1 for x in own for n in range(len(x))], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in some.columns[:-1]), number, pa.array([c for x in own for c in x], pa.string())], schema.names)
+
+    out = df.select(*[F.col(k).alias(f"c{i}") for i, k in enumerate(keys)], F.col(text).alias("text")).mapInArrow(run, schema)
+    return out.withColumnsRenamed({f"c{i}": k for i, k in enumerate(keys)})

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.ids import IGNORED
+
 from .ordering import running
 
 #: Fixed value: losses from which a perplexity counts as too large.
@@ -24,6 +26,22 @@ def evaluation(df: DataFrame, groups: list[str], loss: str, tokens: str) -> Data
     return own.select(*groups, "batches", "tokens", mean.alias("eval_loss"), perplexity(mean, F.lit(math.inf)).alias("eval_ppl"))
 
 
+def language_model_loss(logits: Column, labels: Column) -> Column:
+    """(loss_sum, tokens, mean_loss) of a sequence: position t predicts label t + 1, and IGNORED labels don't count. logits are an array
+    for each position. The mean of no token is NaN."""
+    last = F.size(labels) - 1
+    pairs = F.when(last > 0, F.zip_with(F.slice(logits, 1, last), F.slice(labels, 2, last), lambda x, y: F.struct(x.alias("x"), y.alias("y"))))
+    used = F.coalesce(F.filter(pairs, lambda p: p["y"] != IGNORED), F.array())
+
+    def surprise(p: Column) -> Column:
+        top = F.array_max(p["x"]).cast("double")
+        total = F.aggregate(p["x"], F.lit(0.0), lambda a, v: a + F.exp(v.cast("double") - top))
+        return top + F.log(total) - F.get(p["x"], p["y"]).cast("double")
+
+    loss, n = F.aggregate(used, F.lit(0.0), lambda a, p: a + surprise(p)), F.size(used)
+    return F.struct(loss.alias("loss_sum"), n.alias("tokens"), F.when(n > 0, loss / n).otherwise(math.nan).alias("mean_loss"))
+
+
 def window_perplexity(df: DataFrame, size: str, nll: str, tokens: str) -> DataFrame:
     """By window size; null beyond the limit and without tokens."""
     own = df.groupBy(size).agg(F.sum(nll).alias("nll_sum"), F.sum(tokens).alias("tokens"), F.count(F.lit(1)).alias("windows"))

@@ -28,6 +28,19 @@ def placed(layers: DataFrame, devices: DataFrame) -> DataFrame:
     return both.groupBy(*layers.columns).agg(F.min_by("device", "ordinal").alias("device"))
 
 
+def placed_by_hand(layers: DataFrame, spec: DataFrame, visible: DataFrame) -> DataFrame:
+    """Adds device to layers (layer) from ``spec`` (layer, device); fails if a layer has none, if ``spec`` has layers that aren't there, or
+    a device isn't visible (device)."""
+    fail = lambda bad, said, fine: F.when(bad, F.raise_error(said).cast("string")).otherwise(fine)
+    own = layers.join(spec.withColumn("_spec", F.col("layer")), "layer", "full").join(visible.select("device", F.lit(True).alias("_seen")), "device", "left")
+    device = fail(F.col("device").isNull(), F.concat(F.lit("no device for layer "), F.col("layer").cast("string")), F.col("device"))
+    device = fail(F.col("device").isNotNull() & F.col("_seen").isNull(), F.concat(F.lit("device isn't visible: "), F.col("device")), device)
+    known = layers.select("layer", F.lit(True).alias("_layer"))
+    own = own.join(known, "layer", "left")
+    device = fail(F.col("_layer").isNull(), F.concat(F.lit("no such layer: "), F.col("layer").cast("string")), device)
+    return own.select(*[c for c in layers.columns], device.alias("device"))
+
+
 def ranges(df: DataFrame, order: str, value: str) -> DataFrame:
     """first, last and value of runs of equal values."""
     w = Window.partitionBy(F.lit(0)).orderBy(order)

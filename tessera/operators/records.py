@@ -23,6 +23,40 @@ def normalize_text(df: DataFrame, text: str = "text", record_id: Column | None =
     return out.withColumn("error_code", code)
 
 
+def dispatched(df: DataFrame, default_id: Column | None = None) -> DataFrame:
+    """Records of mixed types (type, id, text, messages, and the optional fields) as they are stored, each by the rules of its type:
+    what the type doesn't have is null, and error_code is null if the record is fine."""
+    kind = strip("type")
+    own = F.nullif(strip("id"), F.lit(""))
+    out = df.withColumns({"text": strip("text"), "messages": normalize_messages(F.col("messages")), "id": F.coalesce(own, strip(default_id.cast("string"))) if default_id is not None else own, "type": kind})
+    out = out.withColumns({c: optional(c) for c in ("source", "language", "split") if c in df.columns})
+    is_text, is_chat = F.col("type") == "text", F.col("type") == "chat"
+    text_error = F.when(F.col("text").isNull(), "text_missing").when(F.col("text") == "", "text_blank")
+    code = (
+        F.when(F.col("type").isNull() | ~(is_text | is_chat), "type_unknown").when(F.col("id").isNull() | (F.col("id") == ""), "id_missing")
+        .when(is_text, text_error).otherwise(messages_error(F.col("messages")))
+    )
+    return out.withColumns({"error_code": code, "text": F.when(is_text, F.col("text")), "messages": F.when(is_chat, F.col("messages"))})
+
+
+def with_defaults(df: DataFrame, **defaults: str) -> DataFrame:
+    """Fields that are missing, null or blank get their default."""
+    return df.withColumns({c: F.coalesce(optional(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})
+
+
+def made_id(source: Column | str, number: Column, chunk: Column | None = None, chunks: Column | None = None) -> Column:
+    """Source and a number of six digits or more; a record that was cut into more than one chunk adds the chunk's (from 1), of four."""
+    out = F.format_string("%s-%06d", F.col(source) if isinstance(source, str) else source, number)
+    return out if chunk is None else F.when(chunks > 1, F.concat(out, F.format_string("-%04d", chunk))).otherwise(out)
+
+
+def counting_text(df: DataFrame) -> Column:
+    """What a record's tokens are counted of: its text, or its messages as lines of role and content, or the first of the usual fields."""
+    joined = F.array_join(F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"])), "\n") if "messages" in df.columns else F.lit(None).cast("string")
+    usual = [F.col(c) for c in ("content", "prompt", "response") if c in df.columns]
+    return F.coalesce(*([F.col("text")] if "text" in df.columns else []), joined, *usual)
+
+
 def normalize_messages(messages: Column) -> Column:
     """Messages with role and stripped content only."""
     return F.transform(messages, lambda m: F.struct(m["role"].alias("role"), strip(m["content"]).alias("content")))

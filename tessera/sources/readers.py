@@ -8,19 +8,47 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import numbers, strip
+from tessera.operators.chat import instruction
+from tessera.operators.records import made_id, with_defaults
 
 
 def jsonl(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """file, line_no, record_index (blank lines not counted), value (variant), default_id. Bad lines fail, or are null if not ``strict``."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    order = Window.partitionBy("file").orderBy("_block", "_at")
-    out = raw.withColumn("line_no", F.row_number().over(order)).where(strip("value") != "")
-    out = out.withColumn("record_index", F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1)
+    """file, line_no, record_index (blank lines not counted), value (variant), default_id. Bad lines fail, or are null if not ``strict``.
+
+    Lines are numbered within the splits that Spark reads a file in, and splits by the numbers of lines before them, so that
+    no task has more than a split.
+    """
+    meta = lambda c: F.col(f"_metadata.{c}")
+    raw = spark.read.text(path).select("value", meta("file_path").alias("file"), meta("file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
+    raw = raw.withColumn("_full", (strip("value") != "").cast("int"))
+    earlier = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    splits = raw.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_lines"), F.sum("_full").alias("_records"))
+    splits = splits.select("file", "_split", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_lines", "_records")])
+    within = Window.partitionBy("file", "_split").orderBy("_at")
+    out = raw.withColumn("_line", F.row_number().over(within)).withColumn("_record", F.sum("_full").over(within)).where("_full = 1").join(splits, ["file", "_split"])
+    out = out.withColumn("line_no", F.col("_line") + F.col("_lines_before")).withColumn("record_index", F.col("_record") + F.col("_records_before") - 1)
     stem = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?\z", 1)
     parse = F.parse_json if strict else F.try_parse_json
     return out.select("file", "line_no", "record_index", parse("value").alias("value"), F.concat_ws(":", stem, F.col("line_no").cast("string")).alias("default_id"))
 
 
+def raw_texts(spark: SparkSession, path: str, content: str = "content", **defaults: str) -> DataFrame:
+    """Raw-text JSONL: line_no, record_index, text (the field ``content``), payload (all other fields, by name), source and split, which are
+    the payload's or the defaults. Texts that are missing or no strings are null."""
+    own = jsonl(spark, path)
+    fields = F.try_variant_get("value", "$", "map<string,variant>")
+    out = own.select("file", "line_no", "record_index", "default_id", string_field("value", content).alias("text"), F.map_filter(fields, lambda k, _: k != content).alias("payload"), *[string_field("value", c).alias(c) for c in ("source", "split")])
+    return with_defaults(out, **defaults)
+
+
+def instructions(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """Instruction JSONL (instruction, context, response, category) as chats: line_no, record_index, id, source, category, messages (null without a response)."""
+    own = jsonl(spark, path)
+    f = lambda c: string_field("value", c)
+    out = own.select("file", "line_no", "record_index", f("category").alias("category"), instruction(f("instruction"), f("context"), f("response")).alias("messages"))
+    return out.withColumn("source", F.lit(source)).withColumn("id", made_id("source", F.col("record_index") + 1))
+
+
 def string_field(value: str, name: str) -> Column:
     """A field that is a string, unconverted; null if it is missing or of another type."""
     own = F.variant_get(value, f"$.{name}", "variant")

@@ -22,6 +22,17 @@ def jsonl(df: DataFrame, path: str, files: int | None = None) -> Observation:
     return seen
 
 
+def one_file(df: DataFrame, path: str) -> None:
+    """A JSONL file for tools that read a single one: its rows, which one task writes, in their order."""
+    df.coalesce(1).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "true"}).alias("value")).write.mode("overwrite").text(f"{path}.parts")
+    spark = df.sparkSession
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = hadoop.Path(path).getFileSystem(conf)
+    part = next(s.getPath() for s in fs.listStatus(hadoop.Path(f"{path}.parts")) if s.getPath().getName().startswith("part-"))
+    fs.rename(part, hadoop.Path(path))
+    fs.delete(hadoop.Path(f"{path}.parts"), True)
+
+
 def metrics(df: DataFrame, path: str) -> None:
     """Appends metric events as JSON lines."""
     df.write.mode("append").json(path)

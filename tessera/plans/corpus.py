@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
 from tessera.functions.ids import padded_size
+from tessera.functions.tokenizers import CHAR
 from tessera.operators import chat, encode, metrics, mixing, records
-from tessera.operators.ordering import id_block
+
+from tessera.sources import readers, writers
+from tessera.sources.scratch import scratch
 
 from . import sql
 
@@ -230,7 +233,7 @@ def instruction_to_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     context = m.where("role = 'system'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
     own = user.join(reply, ["conv_id", "turn"]).join(context, ["conv_id", "turn"], "left")
     own = own.withColumn("messages", chat.instruction(F.col("text"), F.col("context"), F.col("reply"))).where("messages IS NOT NULL")
-    own = ordinal(own, id_block("conv_id"), [F.col("conv_id"), F.col("turn")])
+    own = ordinal(own, "conv_id", [F.col("conv_id"), F.col("turn")])
     joined = F.array_join(F.transform("messages", lambda x: x["content"]), "|")
     return own.select("conv_id", "turn", F.format_string("chat-%06d", F.col("ordinal") + 1).alias("id"), F.md5(joined).alias("messages_md5"))
 
@@ -249,7 +252,7 @@ def legacy_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = chat_tokens(spark, sf_dir).select("conv_id", F.least("tokens", F.lit(2048)).alias("tokens"), "supervised")
-    return encode.batched(own, 16, id_block("conv_id"), [F.col("conv_id")])
+    return encode.batched(own, 16, "conv_id", [F.col("conv_id")])
 
 
 BINS_SQL = f"""RECURSIVE {sql.CHAT_TOKENS},
@@ -324,10 +327,10 @@ FROM w WHERE window_no < full_
 """)
 def ppl_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = documents(spark, sf_dir).select("doc_id", big(t.char_count("text")).alias("tokens"))
-    return encode.windows(own, "tokens", 1024, id_block("doc_id"), [F.col("doc_id")], "doc_id")
+    return encode.windows(own, "tokens", 1024, "doc_id", [F.col("doc_id")], "doc_id")
 
 
-@query(f"""
+LINES_SQL = f"""
 WITH RECURSIVE l AS (
     SELECT doc_id, {sql.strip('x')} AS line, i FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '{sql.LINES}')) AS x, generate_subscripts(regexp_split_to_array(text, '{sql.LINES}'), 1) AS i FROM documents)
 ), k AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM l WHERE line <> ''),
@@ -340,7 +343,10 @@ f AS (
 c AS (SELECT doc_id, grp, unnest(range(0, (length(text) - 1) // 400 + 1)) AS part, text FROM g),
 d AS (SELECT doc_id, grp, part, CASE WHEN length(text) <= 400 THEN text ELSE {sql.strip('substring(text, CAST(part * 400 + 1 AS BIGINT), 400)')} END AS chunk FROM c)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY grp, part) AS INT) AS chunk_no, length(chunk) AS chars, md5(chunk) AS chunk_md5 FROM d WHERE chunk <> ''
-""")
+"""
+
+
+@query(LINES_SQL)
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode.line_chunks(documents(spark, sf_dir), "text", 400, ["doc_id"])
     return out.select("doc_id", "chunk_no", big(F.char_length("chunk")).alias("chars"), F.md5("chunk").alias("chunk_md5"))
@@ -368,3 +374,147 @@ SELECT page_id, md5(CASE WHEN body <> '' AND title <> '' THEN '标题：' || tit
 """)
 def titled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(chat.titled_text(F.col("html"), F.col("url"))).alias("text_md5"), t.optional("url").alias("paper_title"))
+
+
+@query(f"""
+WITH x AS ({LINES_SQL})
+SELECT printf('docs-%06d', doc_id) || CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1 THEN printf('-%04d', chunk_no) ELSE '' END AS id, chunk_md5 FROM x
+""")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of chunks: of the record alone where it has only one."""
+    out = line_chunks(spark, sf_dir)
+    chunks = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    return out.withColumn("chunks", chunks).select(records.made_id(F.lit("docs"), F.col("doc_id"), F.col("chunk_no"), F.col("chunks")).alias("id"), "chunk_md5")
+
+
+#: Ids and labels of good conversations by code points, up to 2048, in batches of 16.
+ARRAYS_SQL = f"""{BINS_SQL},
+seg AS (
+    SELECT conv_id, -1 AS turn, 0 AS part, '{sql.BOS}' AS text, false AS sup FROM t
+    UNION ALL SELECT conv_id, turn, 0, {sql.LABEL}, false FROM g
+    UNION ALL SELECT conv_id, turn, 1, content, role = 'assistant' FROM g
+    UNION ALL SELECT conv_id, turn, 2, '{sql.EOS}', true FROM g WHERE role = 'assistant'
+),
+one AS (SELECT conv_id, turn, part, sup, list_transform(regexp_extract_all(text, '(?s:{sql.SPECIAL}|.)'), lambda x: CASE x WHEN '{sql.BOS}' THEN 1114112 WHEN '{sql.EOS}' THEN 1114113 ELSE unicode(x) END) AS ids FROM seg JOIN t USING (conv_id)),
+e AS (
+    SELECT conv_id, flatten(list(ids ORDER BY turn, part))[1:2048] AS ids,
+        flatten(list(CASE WHEN sup THEN ids ELSE list_transform(ids, lambda x: -100) END ORDER BY turn, part))[1:2048] AS labels
+    FROM one GROUP BY conv_id
+)
+"""
+
+
+def chat_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = chat_tokens(spark, sf_dir).withColumn("e", chat.encoded(F.col("segments"), 2048)).select("conv_id", "e.input_ids", "e.labels")
+    return encode.batched(own, 16, "conv_id", [F.col("conv_id")])
+
+
+def arrays_md5(*names: str) -> list[Column]:
+    return [F.md5(F.array_join(F.col(c).cast("array<string>"), ",")).alias(c) for c in names]
+
+
+@query(f"""
+WITH {ARRAYS_SQL},
+w AS (SELECT conv_id, batch_no, ids, labels, CAST(ceil(max(len(ids)) OVER (PARTITION BY batch_no) / 8) * 8 AS BIGINT) AS size FROM s JOIN e USING (conv_id)),
+r AS (SELECT *, range(size - len(ids)) AS rest FROM w)
+SELECT conv_id, batch_no, size AS padded, md5(array_to_string(ids || list_transform(rest, lambda x: 1114114), ',')) AS input_ids, md5(array_to_string(labels || list_transform(rest, lambda x: -100), ',')) AS labels,
+    md5(array_to_string(list_transform(ids, lambda x: 1) || list_transform(rest, lambda x: 0), ',')) AS attention_mask FROM r
+""")
+def batch_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches padded to a multiple of 8, with labels and masks."""
+    out = encode.collated(chat_batches(spark, sf_dir), CHAR.special[t.PAD], 2048, multiple=8)
+    return out.select("conv_id", "batch_no", big(F.size("input_ids")).alias("padded"), *arrays_md5("input_ids", "labels", "attention_mask"))
+
+
+@query(f"""
+WITH {ARRAYS_SQL},
+b AS (
+    SELECT batch_no, bin_no, flatten(list(ids ORDER BY bin_pos)) AS ids, flatten(list(labels ORDER BY bin_pos)) AS labels,
+        flatten(list(CAST(range(n) AS BIGINT[]) ORDER BY bin_pos)) AS positions, flatten(list(list_transform(range(n), lambda x: bin_pos + 1) ORDER BY bin_pos)) AS segments
+    FROM f JOIN e USING (conv_id) GROUP BY ALL
+),
+r AS (SELECT *, range(max(len(ids)) OVER (PARTITION BY batch_no) - len(ids)) AS rest FROM b)
+SELECT batch_no, bin_no, CAST(len(ids) AS BIGINT) AS tokens, md5(array_to_string(ids || list_transform(rest, lambda x: 1114114), ',')) AS input_ids, md5(array_to_string(labels || list_transform(rest, lambda x: -100), ',')) AS labels,
+    md5(array_to_string(positions || list_transform(rest, lambda x: 0), ',')) AS position_ids, md5(array_to_string(segments || list_transform(rest, lambda x: 0), ',')) AS segment_ids FROM r
+""")
+def packed_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed bins with positions that start again and segments, padded to the longest of their batch."""
+    out = encode.collated(chat_batches(spark, sf_dir), CHAR.special[t.PAD], 2048, pack=True)
+    tokens = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
+    return out.select("batch_no", "bin_no", big(tokens).alias("tokens"), *arrays_md5("input_ids", "labels", "position_ids", "segment_ids"))
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, {sql.strip('text')} AS text FROM documents),
+i AS (SELECT doc_id, list_transform(regexp_extract_all(text, '(?s:{sql.SPECIAL}|.)'), lambda x: CASE x WHEN '{sql.BOS}' THEN 1114112 WHEN '{sql.EOS}' THEN 1114113 WHEN '{sql.PAD}' THEN 1114114 ELSE unicode(x) END) || [1114113] AS ids FROM r WHERE text <> '')
+SELECT doc_id, CAST(least(len(ids), 7680) AS BIGINT) AS tokens, md5(array_to_string(ids[1:7680], ',')) AS input_ids, md5(array_to_string(ids[1:7680], ',')) AS labels, CASE WHEN len(ids) < 2 THEN 'too_few_tokens' END AS error_code FROM i
+""")
+def text_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as samples: a text and its end, all supervised, cut at the training length."""
+    own = records.normalize_text(documents(spark, sf_dir), record_id=F.col("doc_id")).where("error_code IS NULL")
+    own = own.withColumn("e", chat.encoded(chat.text_segments(F.col("text")), 7680)).select("doc_id", "e.input_ids", "e.labels")
+    return own.select("doc_id", big(F.size("input_ids")).alias("tokens"), *arrays_md5("input_ids", "labels"), chat.too_short(F.col("input_ids")).alias("error_code"))
+
+
+@query("""
+WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
+w AS (SELECT doc_id, i, i + CAST(floor(CAST('0x' || left(md5('9:' || doc_id), 8) AS BIGINT) / 4294967296.0 * 2048) AS BIGINT) AS due FROM o)
+SELECT doc_id, row_number() OVER (ORDER BY due, i) - 1 AS place FROM w
+""")
+def buffer_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.buffer_shuffled(documents(spark, sf_dir).select("doc_id"), "doc_id", 2048, "9").select("doc_id", "place")
+
+
+@query(f"""
+WITH c AS (SELECT conv_id, list({{'role': role, 'content': {sql.strip('text')}}} ORDER BY turn) AS ms FROM conversations GROUP BY conv_id),
+r AS (
+    SELECT CASE WHEN doc_id % 17 = 0 THEN 'note' WHEN doc_id % 19 = 0 THEN NULL ELSE ' text ' END AS type, CASE WHEN doc_id % 5 = 0 THEN '  ' ELSE 'd' || doc_id END AS id, doc_id AS line, text, NULL AS ms, source FROM documents
+    UNION ALL SELECT 'chat', CASE WHEN conv_id % 7 <> 0 THEN 'c' || conv_id END, conv_id, NULL, ms, NULL FROM c
+),
+n AS (SELECT trim(type) AS type, coalesce(nullif(trim(id), ''), 'line:' || line) AS id, {sql.strip('text')} AS text, ms, coalesce(nullif({sql.strip('source')}, ''), 'mixed') AS source, 'train' AS split FROM r)
+SELECT type, id, source, split, CASE WHEN type = 'text' THEN md5(text) END AS text_md5, CAST(CASE WHEN type = 'chat' THEN len(ms) END AS BIGINT) AS messages,
+    CASE WHEN type IS NULL OR type NOT IN ('text', 'chat') THEN 'type_unknown' WHEN type = 'text' AND text IS NULL THEN 'text_missing' WHEN type = 'text' AND text = '' THEN 'text_blank'
+         WHEN type = 'chat' AND len(list_filter(ms, lambda m: coalesce(m.role NOT IN ('system', 'user', 'assistant', 'observation'), true))) > 0 THEN 'role_unknown'
+         WHEN type = 'chat' AND len(list_filter(ms, lambda m: coalesce(m.content = '', true))) > 0 THEN 'content_blank' END AS error_code
+FROM n
+""")
+def record_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table of mixed types, each record by the rules of its type; ids and fields that lack get defaults."""
+    key = F.col("doc_id")
+    kind = F.when(key % 17 == 0, "note").when(key % 19 == 0, None).otherwise(" text ")
+    own = F.when(key % 5 == 0, "  ").otherwise(F.concat(F.lit("d"), key.cast("string")))
+    texts = documents(spark, sf_dir).select(kind.alias("type"), own.alias("id"), key.alias("line"), "text", F.lit(None).cast("array<struct<role:string,content:string>>").alias("messages"), "source")
+    conv = chats(spark, sf_dir).select(F.lit("chat").alias("type"), F.when(F.col("conv_id") % 7 != 0, F.concat(F.lit("c"), F.col("conv_id").cast("string"))).alias("id"), F.col("conv_id").alias("line"), F.lit(None).cast("string").alias("text"), "messages", F.lit(None).cast("string").alias("source"))
+    out = records.with_defaults(records.dispatched(texts.unionByName(conv), F.concat(F.lit("line:"), F.col("line").cast("string"))), source="mixed", split="train")
+    return out.select("type", "id", "source", "split", F.md5("text").alias("text_md5"), big(F.size("messages")).alias("messages"), "error_code")
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), o AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM r)
+SELECT n AS line_no, n - 1 AS record_index, 'docs:' || n AS default_id, md5(text) AS text_md5, 'corpus' AS source, CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, CAST(1 AS BIGINT) AS others FROM o
+""")
+def raw_text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a JSONL file (in order of ids), read back as raw texts: numbers, the rest of the payload, defaults."""
+    path = f"{scratch(spark)}/docs.jsonl"
+    own = documents(spark, sf_dir).where("text IS NOT NULL").select(F.col("text").alias("content"), "doc_id", F.when(F.col("doc_id") % 3 == 0, "test").alias("split")).orderBy("doc_id")
+    writers.one_file(own, path)
+    out = readers.raw_texts(spark, path, source="corpus", split="train")
+    others = F.size(F.map_filter("payload", lambda k, _: k != "split"))
+    return out.select(big(F.col("line_no")).alias("line_no"), big(F.col("record_index")).alias("record_index"), "default_id", F.md5("text").alias("text_md5"), "source", "split", big(others).alias("others"))
+
+
+@query(f"""
+WITH m AS (SELECT conv_id, turn, role, text FROM conversations),
+u AS (SELECT a.conv_id, a.turn, {sql.strip('a.text')} AS ask, {sql.strip('b.text')} AS reply, row_number() OVER (ORDER BY a.conv_id, a.turn) AS n
+      FROM m a JOIN m b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' WHERE a.role = 'user' AND {sql.strip('a.text')} <> '')
+SELECT printf('turns-%06d', n) AS id, 'turns' AS source, CASE WHEN reply <> '' THEN md5(ask || '|' || reply) END AS messages_md5 FROM u
+""")
+def instruction_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as instruction JSONL, read back as chats."""
+    path = f"{scratch(spark)}/turns.jsonl"
+    m = table(spark, sf_dir, "conversations")
+    reply = m.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
+    own = m.where("role = 'user'").where(t.strip("text") != "").join(reply, ["conv_id", "turn"]).orderBy("conv_id", "turn")
+    writers.one_file(own.select(F.col("text").alias("instruction"), "response", F.lit("chat").alias("category")), path)
+    joined = F.array_join(F.transform("messages", lambda x: x["content"]), "|")
+    return readers.instructions(spark, path, "turns").select("id", "source", F.md5(joined).alias("messages_md5"))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import ids
+from tessera.functions.ids import IGNORED
 from tessera.functions import text as t
 from tessera.operators import chat, configs, decoding, longctx, metrics, planning
-from tessera.operators.ordering import id_block, ordinal
+from tessera.operators.ordering import ordinal
 
 from . import sql
 from .corpus import documents, table
@@ -33,7 +34,7 @@ def rounded(c: str | Column, name: str, digits: int = 6) -> Column:
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as training batches: 500 to an epoch, a loss, tokens, samples."""
-    own = ordinal(table(spark, sf_dir, "events"), id_block("event_id"), [F.col("event_id")])
+    own = ordinal(table(spark, sf_dir, "events"), "event_id", [F.col("event_id")])
     own = own.withColumn("epoch", F.floor(F.col("ordinal") / 500)).withColumn("batch", F.col("ordinal") % 500 + 1)
     return own.select("event_id", "epoch", "batch", "event_type", F.abs(F.coalesce("value", F.lit(0.0))).alias("loss"), (F.col("event_id") % 7 * 10 + 5).alias("tokens"), (F.col("event_id") % 3 + 1).alias("samples"))
 
@@ -84,7 +85,7 @@ WITH {BATCHES}
 SELECT event_id, CAST(sum(tokens) OVER (ORDER BY event_id) AS BIGINT) AS tokens_seen, CAST(sum(samples) OVER (ORDER BY event_id) AS BIGINT) AS samples_seen FROM e
 """)
 def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.running_totals(batches(spark, sf_dir), id_block("event_id"), [F.col("event_id")], ["tokens", "samples"]).select("event_id", "tokens_seen", "samples_seen")
+    return metrics.running_totals(batches(spark, sf_dir), "event_id", [F.col("event_id")], ["tokens", "samples"]).select("event_id", "tokens_seen", "samples_seen")
 
 
 @query(f"""
@@ -144,7 +145,8 @@ def retrieval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Predictions are documents, expected answers the first words of benchmark items in turn.
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", F.substring_index("text", " ", 3).alias("expected"))
-    own = documents(spark, sf_dir).withColumn("item_id", F.col("doc_id") % 40)
+    count = items.agg(F.count(F.lit(1)).alias("n"))  # items are numbered from 0
+    own = documents(spark, sf_dir).crossJoin(F.broadcast(count)).withColumn("item_id", F.col("doc_id") % F.col("n")).drop("n")
     own = own.join(items, "item_id").withColumn("matched", longctx.matched("text", "expected"))
     return own.select("doc_id", "item_id", "lang", "matched", F.when(F.col("doc_id") % 11 == 0, "error").otherwise("ok").alias("status"), (F.col("n_chars") / 1000).alias("latency"))
 
@@ -152,7 +154,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANSWERS = f"""
 a AS (SELECT doc_id, item_id, d.lang, contains({sql.answer('d.text')}, {sql.answer("array_to_string(string_split(b.text, ' ')[1:3], ' ')")}) AS matched,
     CASE WHEN doc_id % 11 = 0 THEN 'error' ELSE 'ok' END AS status, n_chars / 1000 AS latency
-    FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)
+    FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
 """
 
 
@@ -346,7 +348,7 @@ def left_padded_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators.encode import batched
 
     own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    own = batched(own, 8, id_block("conv_id"), [F.col("conv_id")]).withColumn("longest", F.max("n").over(Window.partitionBy("batch_no")))
+    own = batched(own, 8, "conv_id", [F.col("conv_id")]).withColumn("longest", F.max("n").over(Window.partitionBy("batch_no")))
     mask = ids.left_padded(F.array_repeat(F.lit(1), F.col("n")), F.col("longest"), 0)
     return own.select("conv_id", F.array_join(ids.positions(mask).cast("array<string>"), ",").alias("positions"))
 
@@ -367,12 +369,12 @@ def role_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT 'v' || vec_id AS name, list_transform(embedding, lambda x: round(1 + abs(x::DOUBLE), 4)) AS f, 'explicit' AS source, 0 AS part FROM embeddings WHERE label = 0
+WITH c AS (SELECT 'v' || vec_id AS name, list_transform(embedding, lambda x: round(1 + abs(x::DOUBLE), 4)) AS f, 'explicit' AS source, 0 AS part FROM embeddings
     UNION ALL SELECT 'u' || r_regionkey, list_transform(range(0, 32), lambda i: 2.0 + r_regionkey), 'uniform', 1 FROM region)
 SELECT name, source, part, len(f) AS factors, list_min(f) AS least, list_max(f) AS most FROM c
 """)
 def factor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = table(spark, sf_dir, "embeddings").where("label = 0").select(F.concat(F.lit("v"), "vec_id").alias("name"), F.transform("embedding", lambda x: F.round(1 + F.abs(x.cast("double")), 4)).alias("long_factors"), F.lit("explicit").alias("source"))
+    given = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("name"), F.transform("embedding", lambda x: F.round(1 + F.abs(x.cast("double")), 4)).alias("long_factors"), F.lit("explicit").alias("source"))
     key = F.col("r_regionkey")
     uniform = table(spark, sf_dir, "region").select(F.concat(F.lit("u"), key.cast("string")).alias("name"), F.array_repeat(2.0 + key, 32).alias("long_factors"), F.lit("uniform").alias("source"))
     return configs.candidates(given, uniform).select("name", "source", "part", F.size("long_factors").cast("long").alias("factors"), F.array_min("long_factors").alias("least"), F.array_max("long_factors").alias("most"))
@@ -424,3 +426,24 @@ def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain relational coverage: joins of four tables."""
     own = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     return own.join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_name").agg(F.countDistinct("o_orderkey").alias("orders"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+
+
+#: Sequences of embeddings: 8 positions of 8 logits, with labels by a rule; of some sequences no label counts.
+LOSS_SQL = """
+WITH r AS (
+    SELECT vec_id, list_transform(range(8), lambda t: embedding[t * 8 + 1 : t * 8 + 8]) AS logits,
+        list_transform(range(8), lambda t: CASE WHEN vec_id % 13 = 0 OR (vec_id * 7 + t * 3) % 9 = 8 THEN -100 ELSE (vec_id * 7 + t * 3) % 9 END) AS labels FROM embeddings
+), p AS (SELECT vec_id, t, logits[t] AS x, labels[t + 1] AS y FROM r, range(1, 8) s(t)),
+l AS (SELECT vec_id, CASE WHEN y <> -100 THEN ln(list_sum(list_transform(x, lambda v: exp(v::DOUBLE)))) - x[y + 1]::DOUBLE END AS loss FROM p)
+SELECT vec_id, count(loss) AS tokens, round(coalesce(sum(loss), 0), 6) AS loss_sum, round(avg(loss), 6) AS mean_loss, count(loss) = 0 AS no_mean FROM l GROUP BY vec_id
+"""
+
+
+@query(LOSS_SQL)
+def lm_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = lambda p: (F.col("vec_id") * 7 + p * 3) % 9
+    places = F.sequence(F.lit(0), F.lit(7))
+    label = lambda p: F.when((F.col("vec_id") % 13 == 0) | (rule(p) == 8), IGNORED).otherwise(rule(p)).cast("int")
+    own = table(spark, sf_dir, "embeddings").select("vec_id", metrics.language_model_loss(F.transform(places, lambda p: F.slice("embedding", p * 8 + 1, 8)), F.transform(places, label)).alias("x"))
+    mean = F.when(~F.isnan("x.mean_loss"), F.col("x.mean_loss"))
+    return own.select("vec_id", F.col("x.tokens").cast("long").alias("tokens"), F.round("x.loss_sum", 6).alias("loss_sum"), F.round(mean, 6).alias("mean_loss"), F.isnan("x.mean_loss").alias("no_mean"))

@@ -1,6 +1,6 @@
 """Pieces of DuckDB SQL that several oracles share."""
 
-from tessera.functions.text import BOS, EOS, LINE_ENDS, SPECIALS, STRIPPED
+from tessera.functions.text import BOS, EOS, LINE_ENDS, PAD, SPECIALS, STRIPPED
 
 SPECIAL = SPECIALS
 
@@ -39,3 +39,4 @@ t AS (
 PROMPT = f"'{BOS}' || string_agg({LABEL} || content || {END}, '' ORDER BY turn)"
 UNIFORM = "CAST('0x' || left({}, 8) AS BIGINT)"
 LINES = LINE_ENDS
+__all__ = ["BOS", "EOS", "PAD"]

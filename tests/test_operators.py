@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from tessera.functions import ids
 from tessera.functions import text as t
 from tessera.operators import chat, decoding, encode, longctx, metrics, mixing, planning, records
-from tessera.operators.ordering import id_block
 
 
 def value(spark, column, **cols):
@@ -82,7 +81,7 @@ def test_packing_is_next_fit(spark):
 @pytest.mark.parametrize("parts", [1, 7])
 def test_windows_cross_records(spark, parts):
     df = spark.createDataFrame([(1, 8), (2, 8), (3, 0)], "id long, n long").repartition(parts)
-    out = encode.windows(df, "n", 6, id_block("id"), [F.col("id")], "id", most=2)
+    out = encode.windows(df, "n", 6, "id", [F.col("id")], "id", most=2)
     assert sorted(map(tuple, out.collect())) == [(0, 1, 0, 6), (1, 1, 6, 3), (1, 2, 0, 3)]
 
 

@@ -26,6 +26,11 @@ def batched(df: DataFrame, size: int, block: Column, order: list[Column]) -> Dat
     return out.withColumn("batch_no", F.floor(F.col("ordinal") / size)).withColumn("batch_pos", F.col("ordinal") % size).drop("ordinal")
 
 
+def first_batches(df: DataFrame, most: int | None) -> DataFrame:
+    """Rows of the first ``most`` batches; all without a limit."""
+    return df if most is None else df.where(F.col("batch_no") < most)
+
+
 def packed(df: DataFrame, tokens: str, most: int) -> DataFrame:
     """Next-fit packing within each batch: batch_no, batch_pos, bin_no, bin_pos, position (first token's place in the bin).
 

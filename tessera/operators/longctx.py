@@ -80,3 +80,32 @@ def retrieval_cases(cases: DataFrame) -> DataFrame:
 def matched(predicted: Column | str, expected: Column | str) -> Column:
     """The answer, both cleaned, is or holds what is expected."""
     return F.contains(short_answer(predicted), short_answer(expected))
+
+
+#: Names of tasks; what a suite's seed is raised by for retrieval.
+NEEDLE_TASK, RETRIEVAL_TASK, RETRIEVAL_SEED = "needle_in_a_haystack", "qa_retrieval", 1000
+
+
+def suite_cases(spark: SparkSession, lengths: list[int], depths: list[float], retrieval_lengths: list[int], seed: int = 42) -> DataFrame:
+    """All cases of a suite: task_name, case_no, target, depth (null for retrieval), seed, expected_answer, prompt_text."""
+    needle = needle_cases(grid(spark, lengths, depths, seed)).withColumn("task_name", F.lit(NEEDLE_TASK))
+    retrieval = retrieval_cases(grid(spark, retrieval_lengths, [0.0], seed + RETRIEVAL_SEED)).withColumns({"task_name": F.lit(RETRIEVAL_TASK), "depth": F.lit(None).cast("double")})
+    names = ["task_name", "case_no", "target", "depth", "seed", "expected_answer", "prompt_text"]
+    return needle.select(names).unionByName(retrieval.select(names))
+
+
+def suite_samples(cases: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Cases with what a model said of them (task_name, case_no, prediction, latency, error): status and matched. A case without a
+    prediction, or with an error, has failed, and the others count all the same."""
+    own = cases.join(predictions, ["task_name", "case_no"], "left")
+    ok = F.col("error").isNull() & F.col("prediction").isNotNull()
+    return own.withColumns({"status": F.when(ok, "ok").otherwise("failed"), "matched": F.coalesce(ok & matched("prediction", "expected_answer"), F.lit(False))})
+
+
+def sweep_results(rates: DataFrame, perplexities: DataFrame) -> DataFrame:
+    """Of candidates' rates (name, task_name, samples, succeeded, exact_match_rate) and perplexities (name, window_size, perplexity) what a
+    sweep's report shows: name, status (failed if no sample succeeded), needle, retrieval, ppl. One that fails doesn't stop the others."""
+    rate = lambda task: F.max(F.when(F.col("task_name") == task, F.col("exact_match_rate")))
+    own = rates.groupBy("name").agg(F.when(F.sum("succeeded") > 0, "ok").otherwise("failed").alias("status"), rate(NEEDLE_TASK).alias("needle"), rate(RETRIEVAL_TASK).alias("retrieval"))
+    ppl = perplexities.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("window_size", "perplexity"))).alias("ppl"))
+    return own.join(ppl, "name", "left").withColumn("ppl", F.coalesce("ppl", F.array().cast("array<struct<window_size:int,perplexity:double>>")))

@@ -447,3 +447,19 @@ def lm_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "embeddings").select("vec_id", metrics.language_model_loss(F.transform(places, lambda p: F.slice("embedding", p * 8 + 1, 8)), F.transform(places, label)).alias("x"))
     mean = F.when(~F.isnan("x.mean_loss"), F.col("x.mean_loss"))
     return own.select("vec_id", F.col("x.tokens").cast("long").alias("tokens"), F.round("x.loss_sum", 6).alias("loss_sum"), F.round(mean, 6).alias("mean_loss"), F.isnan("x.mean_loss").alias("no_mean"))
+
+
+@query("""
+WITH c(task_name, case_no, depth) AS (VALUES ('needle_in_a_haystack', 0, 0.2), ('needle_in_a_haystack', 1, 0.5), ('needle_in_a_haystack', 2, 0.8), ('needle_in_a_haystack', 3, 0.2), ('needle_in_a_haystack', 4, 0.5), ('needle_in_a_haystack', 5, 0.8), ('qa_retrieval', 0, NULL), ('qa_retrieval', 1, NULL)),
+s AS (SELECT *, case_no % 4 = 3 OR (task_name = 'qa_retrieval' AND case_no = 1) AS failed, case_no % 4 < 2 AS hit, (case_no + 1) / 10.0 AS latency FROM c)
+SELECT task_name, count(*) AS samples, count(*) FILTER (NOT failed) AS succeeded, count(*) FILTER (failed) AS failed, round(count(*) FILTER (NOT failed AND hit) / count(*), 6) AS exact_match_rate, round(avg(CASE WHEN NOT failed THEN latency END), 6) AS avg_latency FROM s GROUP BY task_name
+""")
+def long_context_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A suite's rates: predictions are the answer, a sentence with it, another word, an error, in turn; one case has none."""
+    cases = longctx.suite_cases(spark, [2048, 4096], [0.2, 0.5, 0.8], [2048, 4096])
+    turn = F.col("case_no") % 4
+    said = F.when(turn == 0, F.col("expected_answer")).when(turn == 1, F.concat(F.lit("答案是 "), "expected_answer", F.lit("。"))).otherwise("unknown")
+    own = cases.where(~((F.col("task_name") == longctx.RETRIEVAL_TASK) & (F.col("case_no") == 1)))
+    predictions = own.select("task_name", "case_no", said.alias("prediction"), ((F.col("case_no") + 1) / 10).alias("latency"), F.when(turn == 3, "stopped").alias("error"))
+    out = metrics.generation_rates(longctx.suite_samples(cases, predictions), ["task_name"])
+    return out.select("task_name", "samples", "succeeded", "failed", rounded("exact_match_rate", "exact_match_rate"), rounded("avg_latency", "avg_latency"))

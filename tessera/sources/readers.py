@@ -118,3 +118,10 @@ def load_manifest(spark: SparkSession, path: str, seed: str = "42") -> DataFrame
     if plans.where("base * copies + extra > 0").isEmpty():
         raise ValueError("the manifest selects no records")
     return mixed(union, plans, "source", "record_index", seed)
+
+
+def manifest_report(spark: SparkSession, path: str, seed: str = "42") -> DataFrame:
+    """How many records of each type and source a manifest's mix has: kind, name, records."""
+    from tessera.operators.records import summary
+
+    return summary(load_manifest(spark, path, seed).select(string_field("value", "type").alias("type"), "source"))

@@ -46,5 +46,13 @@ def report(df: DataFrame, path: str, formats: str = "both") -> None:
         df.select("markdown").coalesce(1).write.mode("overwrite").text(f"{path}/markdown")
 
 
+def sweep_report(rows: DataFrame, path: str) -> None:
+    """A sweep's cells (name, status, needle, retrieval, ppl): as JSON lines, and as a Markdown table by name."""
+    from tessera.operators.metrics import markdown_table
+
+    rows.coalesce(1).write.mode("overwrite").json(f"{path}/sweep")
+    report(markdown_table(rows, ["name", "status", "needle", "retrieval", "ppl"], "name"), path, "markdown")
+
+
 def tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True)

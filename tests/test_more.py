@@ -120,6 +120,27 @@ def test_converters(spark, tmp_path):
     assert read(tmp_path / "o7")[0]["messages"] == [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}]
 
 
+def test_sweep_report(spark, tmp_path):
+    from tessera.operators import configs, longctx
+    from tessera.sources import writers
+
+    rates = spark.createDataFrame([("a", "needle_in_a_haystack", 2, 2, 0.5), ("a", "qa_retrieval", 1, 1, 1.0), ("b", "qa_retrieval", 1, 0, 0.0)], "name string, task_name string, samples long, succeeded long, exact_match_rate double")
+    ppl = spark.createDataFrame([("a", 2048, None), ("a", 1024, 3.25)], "name string, window_size int, perplexity double")
+    rows = configs.sweep_rows(longctx.sweep_results(rates, ppl))
+    assert sorted(map(tuple, rows.collect())) == [("a", "ok", "0.5", "1", "1024:3.25, 2048:overflow"), ("b", "failed", "-", "-", "-")]
+    writers.sweep_report(rows, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r/sweep")).count() == 2
+    assert [r.value for r in spark.read.text(str(tmp_path / "r/markdown")).collect()][2:] == ["| a | ok | 0.5 | 1 | 1024:3.25, 2048:overflow |", "| b | failed | - | - | - |"]
+    batches = spark.range(4).selectExpr("id div 2 AS batch_no")
+    assert encode.first_batches(batches, 1).count() == 2 and encode.first_batches(batches, None).count() == 4
+
+
+def test_manifest_report(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps({"type": t, "text": "x"}) for t in ("text", "text", "chat")))
+    (tmp_path / "m.json").write_text(json.dumps({"datasets": [{"name": "a", "path": "a.jsonl", "weight": 2}]}))
+    assert sorted(map(tuple, readers.manifest_report(spark, str(tmp_path / "m.json")).collect())) == [("source", "a", 6), ("type", "chat", 2), ("type", "text", 4)]
+
+
 def test_devices_by_hand(spark):
     layers, visible = spark.range(3).select(F.col("id").alias("layer")), spark.createDataFrame([("cuda:0",), ("cuda:1",)], "device string")
     spec = lambda *rows: spark.createDataFrame(list(rows), "layer long, device string")

@@ -97,7 +97,10 @@ def fit(x: np.ndarray, cosine: float, k: int, recall: float, seed: int = 7) -> M
     found = []
     for i in range(0, len(x), 1024):
         p, q = np.nonzero(x[i : i + 1024] @ x.T >= cosine)
-        p, q = p[p + i < q][:4096] + i, q[p + i < q][:4096]
+        p, q = p[p + i < q] + i, q[p + i < q]
+        if len(p) > 4096:
+            some = rng.choice(len(p), 4096, replace=False)
+            p, q = p[some], q[some]
         found.append(excess(x[p], x[q]))
     if sum(map(len, found)):
         slacks.append(np.quantile(np.concatenate(found), recall))

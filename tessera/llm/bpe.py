@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pieces import PieceEncoder, chunks
@@ -186,7 +187,7 @@ def encode_texts(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
     A null text is empty; empty texts have no ids. Repeated rows are encoded each; other columns don't count; an empty
     table gives no rows. ranks: a tiktoken rank file that each machine has."""
     decoded = [T.StructField(decoded_col, T.BinaryType())] if decoded_col else []
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), *decoded])
+    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), *decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks)
@@ -199,7 +200,8 @@ def encode_texts(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(texts)), lists, *back], schema.names)
                 done += len(texts)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    out = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return out.withColumnRenamed("_id", id_col)
 
 
 def decode_ids(df: DataFrame, ranks: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

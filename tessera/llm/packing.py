@@ -51,7 +51,7 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[
 
 def pieces_of(df: DataFrame, tokenizer: str, capacity: int, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
     """Pieces with their ids, the worker (task) that cut them and their rank among its pieces of the same length."""
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "task", "rank")] + [T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "task", "rank")] + [T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rest, task = text_encoder(tokenizer), cuts(capacity), TaskContext.get().partitionId()
@@ -80,7 +80,7 @@ def pieces_of(df: DataFrame, tokenizer: str, capacity: int, end_id: int | None,
                 )
                 done += len(texts)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,6 +117,6 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None
         .when(off + size <= capacity, F.array(part(seq, off, start, size)))
         .otherwise(F.array(part(seq, off, start, room), part(seq + 1, F.lit(0), start + room, size - room)))
     )
-    out = placed.select(id_col, "doc_tokens", "ids", F.col("start").alias("from"), F.explode(parts).alias("p"))
+    out = placed.select("_id", "doc_tokens", "ids", F.col("start").alias("from"), F.explode(parts).alias("p"))
     ids = F.expr("substring(ids, CAST((p.start - `from`) * 4 + 1 AS INT), CAST(p.length * 4 AS INT))")
-    return out.select(id_col, "p.start", "p.length", "doc_tokens", "p.sequence_id", "p.offset", ids.alias("ids"))
+    return out.select(F.col("_id").alias(id_col), "p.start", "p.length", "doc_tokens", "p.sequence_id", "p.offset", ids.alias("ids"))

@@ -23,9 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Paths that this driver has named, in order.
+PATHS: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    PATHS.append(f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}")
+    return PATHS[-1]
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -52,6 +57,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def marked() -> int:
+    """How many paths have been named so far."""
+    return len(PATHS)
+
+
+def drop_since(spark: SparkSession, first: int, last: int) -> None:
+    """Deletes what was written to the paths named from one mark to another: tables that a result, written since, came from."""
+    for path in PATHS[first:last]:
+        drop_path(spark, path)
+
+
 def remainder(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n

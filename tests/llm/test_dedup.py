@@ -203,6 +203,17 @@ def test_vectors_by_brute_force(spark):
         assert [rows[i].component_id for i in range(len(x))] == want.tolist()
 
 
+def test_recall_on_the_table(spark):
+    """The registered query finds what comparing all with all finds."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x = np.stack(rows.embedding.to_numpy()).astype(float)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    found = {r.vec_id: r.n_links for r in queries.op3_multi_index(spark, "/root/testdata/sf0.01").collect()}
+    assert all(found[i] <= n for i, n in zip(rows.vec_id, link.sum(1))) and sum(found.values()) >= 0.99 * link.sum()
+
+
 def test_vector_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (7, [1.0, 0.01]), (7, [1.0, 0.01]), (8, [None, 1.0]), (9, []), (10, [1.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -47,3 +47,15 @@ def test_stages_take_nulls_and_no_rows(spark):
             out = stage(spark, own, SF)
             assert name == "packing" or out.columns == docs.columns
             assert out.agg(F.count(F.lit(1))).first()[0] <= (100 if own is docs else 0)
+
+
+def test_whole_run_leaves_only_results(spark):
+    from pathlib import Path
+
+    from tessera.llm import common
+
+    first = common.marked()
+    rows = corpus_pipeline.run(spark, SF)
+    assert rows.count() > 0 and {r.doc_id for r in rows.select("doc_id").distinct().collect()}
+    left = [p for p in common.PATHS[first:] if Path(p).exists()]
+    assert len(left) == len(corpus_pipeline.STAGES)

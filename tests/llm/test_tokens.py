@@ -149,6 +149,18 @@ def test_packing_edges(spark, tokenizer):
     assert all(len(r.ids) == 4 * r.length for r in rows)
     assert packing.pack(df.limit(0), JSON).count() == 0
     assert packing.pack(df.where("text is null"), JSON, end_id=None).count() == 0
+    named = df.select("doc_id", "text").toDF("start", "ids")
+    assert packing.pack(named, JSON, capacity=64, id_col="start", text_col="ids").count() == len(rows)
+    assert bpe.encode_texts(named.toDF("ids", "text"), RANKS, id_col="ids").count() == len(ROWS)
+
+
+def test_plan_beyond_broadcast_packs_alike(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"word {i} " * (i % 40)) for i in range(200)], "doc_id long, text string").repartition(3)
+    want = sorted(map(tuple, packing.pack(df, JSON, capacity=32).collect()))
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    got = sorted(map(tuple, packing.pack(df, JSON, capacity=32).collect()))
+    # the same documents in the same tasks have the same pieces in the same places
+    assert got == want
 
 
 def test_query_of_token_files(spark, tokenizer):

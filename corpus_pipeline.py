@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact, near, packing, pii, quality
-from tessera.llm.common import frugal, written
+from tessera.llm.common import drop_since, frugal, marked, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -72,8 +72,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; what a stage wrote on its way is deleted when its result is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = marked()
+        out = stage(spark, docs, sf_dir)
+        on_the_way = marked()
+        docs = written(out, name.replace(" ", "-"))
+        drop_since(spark, before, on_the_way)
     return docs

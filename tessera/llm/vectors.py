@@ -108,8 +108,9 @@ def fit(x: np.ndarray, cosine: float, k: int, recall: float, seed: int = 7) -> M
 
 
 def distinct_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id, vec (null if it can't link) of all rows."""
-    v = F.col(vec_col).cast("array<double>")
+    """id, vec (null if it can't link; floats stay floats, which are sent at half the size) of all rows."""
+    own = df.schema[vec_col].dataType
+    v = F.col(vec_col) if own.simpleString() == "array<float>" else F.col(vec_col).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
     return df.select(F.col(id_col).cast("long").alias("id"), F.when(fine, v).alias("vec"))
@@ -157,7 +158,7 @@ def links_of(groups: DataFrame, dim: int, cosine: float, codewords: int | None,
     index = spark.sparkContext.broadcast(fit(x / np.linalg.norm(x, axis=1, keepdims=True), cosine, k, recall))
 
     def unit(column: pa.Array) -> np.ndarray:
-        x = np.asarray(column.flatten()).reshape(-1, dim)
+        x = np.asarray(column.flatten(), float).reshape(-1, dim)
         x = x / np.abs(x).max(1, keepdims=True)
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -167,9 +168,10 @@ def links_of(groups: DataFrame, dim: int, cosine: float, codewords: int | None,
             if batch.num_rows:
                 x = unit(batch.column(2))
                 home, seen = own.cells(x), own.visits(x)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(home, pa.int64()), pa.array(seen, pa.list_(pa.int64())), pa.array(list(x), pa.list_(pa.float64()))], ["num", "copies", "home", "cells", "unit"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(home, pa.int64()), pa.array(seen, pa.list_(pa.int64())), batch.column(2)], ["num", "copies", "home", "cells", "vec"])
 
-    placed = written(groups.select("num", "copies", "vec").mapInArrow(visit, "num long, copies long, home long, cells array<long>, unit array<double>"), "placed")
+    kind = groups.schema["vec"].dataType.simpleString()
+    placed = written(groups.select("num", "copies", "vec").mapInArrow(visit, f"num long, copies long, home long, cells array<long>, vec {kind}"), "placed")
     # cells are cut so that no task compares more than SIDE indexed vectors with about SIDE queries
     asked = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("query_parts"))
     cells = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("index_parts")).join(asked, "cell")
@@ -177,13 +179,13 @@ def links_of(groups: DataFrame, dim: int, cosine: float, codewords: int | None,
     part = lambda n: F.pmod(F.xxhash64("num"), F.col(n)).cast("int")
     indexed = placed.withColumn("cell", F.col("home")).join(cells, "cell").withColumn("i", part("index_parts")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
     queries = placed.withColumn("cell", F.explode("cells")).join(cells, "cell").withColumn("j", part("query_parts")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("index_parts") - 1)))
-    cols = ["cell", "i", "j", "num", "copies", "home", "cells", "unit"]
-    dealt = indexed.select(*cols, F.lit(False).alias("asks")).unionByName(queries.select(*cols[:-2], F.lit(None).cast("array<long>").alias("cells"), "unit", F.lit(True).alias("asks")))
+    cols = ["cell", "i", "j", "num", "copies", "home", "cells", "vec"]
+    dealt = indexed.select(*cols, F.lit(False).alias("asks")).unionByName(queries.select(*cols[:-2], F.lit(None).cast("array<long>").alias("cells"), "vec", F.lit(True).alias("asks")))
 
     def compare(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
         num, copies, home = (table.column(c).to_numpy() for c in ("num", "copies", "home"))
-        x = np.asarray(table.column("unit").combine_chunks().flatten()).reshape(-1, dim)
+        x = unit(table.column("vec").combine_chunks())
         q, y = np.flatnonzero(asks), np.flatnonzero(~asks)
         homes, home_of = np.unique(home, return_inverse=True)
         mutual = np.zeros((len(num), len(homes)), bool)  # an indexed vector visits a query's cell, and so finds the link as well

@@ -85,3 +85,26 @@ def rotary(positions: Column, factors: list[float], head: int, base: float = 100
         return F.struct(x["dim"].alias("dim"), (F.cos(angle) * size).alias("cos"), (F.sin(angle) * size).alias("sin"))
 
     return F.transform(own, of)
+
+
+def dynamic_factors(factors: Column, length: Column, original: int, longest: int) -> Column:
+    """Factors for a sequence of some length: none of their effect at the original length, all of it at the longest."""
+    share = (length / original - 1) / (longest / original - 1)
+    return F.transform(factors, lambda f: 1 + (f - 1) * share)
+
+
+def rotary_mixed(positions: Column, factors: list[float], head: int, start: int, **options: float) -> Column:
+    """As ``rotary``, but positions before ``start`` keep the unscaled tables."""
+    plain = rotary(positions, [1.0] * len(factors), head, base=options.get("base", 10000.0))
+    return F.when(positions < start, plain).otherwise(rotary(positions, factors, head, **options))
+
+
+def relative_decay(head: Column, heads: int, distance: Column) -> Column:
+    """How much of a token a head keeps over a distance; nothing of later tokens. Rates are 1 - 2 ** -n, n from 5 to 9 over the heads."""
+    rate = 1 - F.pow(F.lit(2.0), -5.0 - head * (4.0 / max(1, heads - 1)))
+    return F.when(distance >= 0, F.pow(rate, distance)).otherwise(0.0)
+
+
+def position_scale(positions: Column, pair: Column, size: int, base: float = 512.0, down: bool = False) -> Column:
+    """What a pair of dimensions of queries is scaled by at a position (keys: ``down``). 0.4 and 1.4."""
+    return F.pow((2.0 * pair + 0.4 * size) / (1.4 * size), (-1.0 if down else 1.0) * positions / base)

@@ -463,3 +463,26 @@ def long_context_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     predictions = own.select("task_name", "case_no", said.alias("prediction"), ((F.col("case_no") + 1) / 10).alias("latency"), F.when(turn == 3, "stopped").alias("error"))
     out = metrics.generation_rates(longctx.suite_samples(cases, predictions), ["task_name"])
     return out.select("task_name", "samples", "succeeded", "failed", rounded("exact_match_rate", "exact_match_rate"), rounded("avg_latency", "avg_latency"))
+
+
+@query("""
+WITH p AS (SELECT i AS pos, d AS dim, 1 + (1 + d / 4 - 1) * (6144 / 4096 - 1) / (16384 / 4096 - 1) AS dynamic FROM range(0, 128) r(i), range(0, 8) s(d)),
+a AS (SELECT pos, dim, dynamic, pos / ((1 + dim / 4) * pow(10000, 2 * dim / 16)) AS scaled, pos / pow(10000, 2 * dim / 16) AS plain FROM p)
+SELECT pos, dim, round(dynamic, 6) AS dynamic, round(CASE WHEN pos < 16 THEN cos(plain) ELSE cos(scaled) * sqrt(1 + ln(4) / ln(4096)) END, 6) AS cos, round(CASE WHEN pos < 16 THEN sin(plain) ELSE sin(scaled) * sqrt(1 + ln(4) / ln(4096)) END, 6) AS sin FROM a
+""")
+def rotary_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factors of a length between the original and the longest, and tables that keep the first positions unscaled."""
+    factors = [1 + d / 4 for d in range(8)]
+    dynamic = planning.dynamic_factors(F.array(*map(F.lit, factors)), F.lit(6144.0), 4096, 16384)
+    own = spark.range(128).select(F.col("id").alias("pos"), dynamic.alias("f"), F.explode(planning.rotary_mixed(F.col("id"), factors, 16, 16, scale=4.0, original=4096)).alias("r"))
+    return own.select("pos", F.col("r.dim").cast("long").alias("dim"), rounded(F.get("f", F.col("r.dim")), "dynamic"), rounded("r.cos", "cos"), rounded("r.sin", "sin"))
+
+
+@query("""
+SELECT h AS head, i AS distance, round(CASE WHEN i >= 0 THEN pow(1 - pow(2, -5 - h * 4 / 7), i) ELSE 0 END, 6) AS kept, round(pow((2 * h + 6.4) / 22.4, abs(i) / 512), 6) AS up, round(pow((2 * h + 6.4) / 22.4, -abs(i) / 512), 6) AS down FROM range(0, 8) r(h), range(-8, 64) s(i)
+""")
+def decay_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decay by head and distance, and scales of pairs of 16 dimensions by position."""
+    own = spark.range(8).select(F.col("id").alias("head"), F.explode(F.sequence(F.lit(-8).cast("long"), F.lit(63).cast("long"))).alias("distance"))
+    scale = lambda down, name: rounded(planning.position_scale(F.abs("distance"), F.col("head"), 16, down=down), name)
+    return own.select("head", "distance", rounded(planning.relative_decay(F.col("head"), 8, F.col("distance")), "kept"), scale(False, "up"), scale(True, "down"))

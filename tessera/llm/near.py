@@ -34,6 +34,8 @@ from .exact import MOST_CELLS, flagged, may_have, repeated_cells
 CHUNK = 500_000
 #: Bytes of sets that one block holds; larger ones are searched pair of parts by pair of parts.
 BLOCK_BYTES = 32 << 20
+#: Bytes of text whose shingles one bucket counts.
+BUCKET_BYTES = 16 << 20
 #: Blocks of more than one part that are told by broadcast; others, of which each is a small share of the rest, by a join.
 LARGE = 10_000
 #: Bits of a hash that are compared in the first step.
@@ -439,8 +441,9 @@ def jaccard_components(df: DataFrame, width: int = 5, num: int = 80, den: int =
     null ids the component's is that of other rows, or null. An empty table gives no rows. Sets and shingles are told apart
     by 64-bit hashes. Only ``id_col`` and ``text_col`` are read.
     """
-    buckets = partitions(df.sparkSession)
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(partitions(df.sparkSession), -(-size // BUCKET_BYTES))  # so that a bucket doesn't grow with the table
     slim = written(shared_counts(own, width, buckets), "shared")
     wanted = slim.where((F.col("n") > 0) & (F.col("shared") * den >= F.col("n") * num)).select("key")
     cells = min(filter_cells, 1 << max(16, (16 * wanted.count()).bit_length()))

@@ -18,9 +18,10 @@ evaluates each of its tokens from the lowest order up, as the next order backs o
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -133,7 +134,7 @@ def tokenized(df: DataFrame, folds: int) -> DataFrame:
             inner[np.cumsum(n) - 1] = False
             w[inner] = (hashes([x for s in split for x in s]) >> SHIFT) | np.uint64(4)
             del split
-            held = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % folds == 0 for i in ids])
+            held = np.array([folds > 0 and zlib.crc32(b"" if i is None else str(i).encode()) % folds == 0 for i in ids])
             w, place, many = np.unique(w, return_inverse=True, return_counts=True)
             order = np.argsort(-many, kind="stable")
             rank = np.empty_like(order)
@@ -159,11 +160,11 @@ REPLIES, NUMBERS, GRAMS, ASKED = "replies", "numbers", "grams", "asked"
 LONGS = T.ArrayType(T.LongType(), False)
 MET = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("chunk", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("context", T.LongType()),
-    T.StructField("total", T.LongType()), T.StructField("split", T.BooleanType()), T.StructField("lower", T.DoubleType()), T.StructField("words", LONGS), T.StructField("counts", LONGS),
+    T.StructField("total", T.LongType()), T.StructField("split", T.BooleanType()), T.StructField("lower", T.DoubleType()), T.StructField("words", LONGS), T.StructField("counts", LONGS), T.StructField("ids", LONGS),
 ])
 ARROW = pa.schema([
     ("kind", pa.string()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("context", pa.int64()), ("total", pa.int64()), ("split", pa.bool_()), ("lower", pa.float64()),
-    ("words", pa.list_(pa.field("element", pa.int64(), False))), ("counts", pa.list_(pa.field("element", pa.int64(), False))),
+    *[(c, pa.list_(pa.field("element", pa.int64(), False))) for c in ("words", "counts", "ids")],
 ])
 
 
@@ -181,8 +182,8 @@ def met(kind: str, n: int, **columns: object) -> pa.Table:
     return pa.Table.from_arrays(arrays, schema=ARROW)
 
 
-def count_words(chunks: DataFrame, buckets: int) -> DataFrame:
-    """Counts of words by ranges of their hashes: a word's id is its rank in its bucket times ``buckets``, plus the bucket."""
+def asked_words(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Each chunk's distinct words, by ranges of their hashes."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,6 +191,12 @@ def count_words(chunks: DataFrame, buckets: int) -> DataFrame:
                 w, n = unsqueezed(data)
                 yield blobs(w, [n], buckets, chunk, None, BITS)
 
+    return chunks.select("chunk", "words").mapInArrow(send, BLOBS)
+
+
+def count_words(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Counts of words by ranges of their hashes: a word's id is its rank in its bucket times ``buckets``, plus the bucket."""
+
     def count(table: pa.Table) -> pa.Table:
         rows = rows_of(table)
         bucket, own = rows[0]["bucket"], [unsqueezed(r["data"]) for r in rows]
@@ -206,10 +213,10 @@ def count_words(chunks: DataFrame, buckets: int) -> DataFrame:
         return pa.concat_tables([
             met(REPLIES, len(rows), chunk=[r["chunk"] for r in rows], bucket=[bucket] * len(rows), data=replies),
             met(NUMBERS, 1, counts=[np.bincount(np.minimum(c[seen], MOST + 2), minlength=MOST + 3).tolist()]),
-            met(GRAMS, 1, bucket=[bucket], words=lists(w[seen], np.array([seen.sum()])), counts=lists(c[seen], np.array([seen.sum()])), data=[squeezed(rank[seen] * buckets + bucket)]),
+            met(GRAMS, 1, bucket=[bucket], words=lists(w[seen], np.array([seen.sum()])), counts=lists(c[seen], np.array([seen.sum()])), ids=lists(rank[seen] * buckets + bucket, np.array([seen.sum()]))),
         ])
 
-    return chunks.select("chunk", "words").mapInArrow(send, BLOBS).groupBy("bucket").applyInArrow(count, MET)
+    return asked_words(chunks, buckets).groupBy("bucket").applyInArrow(count, MET)
 
 
 @dataclass(frozen=True)
@@ -323,9 +330,8 @@ class Chunk:
 GROUPED = "chunk long, part int, bucket int, data binary, info binary, context long, lower double, taken double"
 
 
-def count_grams(grouped: DataFrame, k: int, uni: Unigrams, orders: list[Order]) -> DataFrame:
-    """Counts of the n-grams of order k, by buckets of their contexts."""
-    lower_d = orders[k - 2].d
+def asked_grams(grouped: DataFrame, k: int, uni: Unigrams, orders: list[Order]) -> DataFrame:
+    """Each chunk's distinct n-grams of order k, by buckets of their contexts."""
 
     def send(table: pa.Table) -> pa.Table:
         own = Chunk(table, uni, orders)
@@ -335,6 +341,13 @@ def count_grams(grouped: DataFrame, k: int, uni: Unigrams, orders: list[Order])
         rows = own.ask(k, ~np.repeat(info.column("held").to_numpy(zero_copy_only=False), info.column("n").to_numpy()))
         return pa.table([pa.array([b for b, _ in rows], pa.int32()), pa.array([own.chunk] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary()), pa.nulls(len(rows), pa.binary())], BLOBS.names)
 
+    return grouped.groupBy("chunk").applyInArrow(send, BLOBS)
+
+
+def count_grams(grouped: DataFrame, k: int, uni: Unigrams, orders: list[Order]) -> DataFrame:
+    """Counts of the n-grams of order k, by buckets of their contexts."""
+    lower_d = orders[k - 2].d
+
     def count(table: pa.Table) -> pa.Table:
         rows = rows_of(table)
         own = [unsqueezed(r.pop("data")) for r in rows]
@@ -372,11 +385,64 @@ def count_grams(grouped: DataFrame, k: int, uni: Unigrams, orders: list[Order])
         return pa.concat_tables([
             met(REPLIES, len(rows), chunk=[x["chunk"] for x in rows], bucket=[x["bucket"] for x in rows], data=replies),
             met(NUMBERS, 1, counts=[np.bincount(np.minimum(r[seen], MOST + 2), minlength=MOST + 3).tolist()]),
-            met(GRAMS, len(has), context=pa.array(key[has].astype(np.int64)), total=pa.array(total[has]), split=pa.array(split[has]), lower=pa.array(lower[has]), words=lists(word[seen], followers[has]), counts=lists(r[seen], followers[has])),
+            met(GRAMS, len(has), bucket=[rows[0]["bucket"]] * len(has), context=pa.array(key[has].astype(np.int64)), total=pa.array(total[has]), split=pa.array(split[has]), lower=pa.array(lower[has]), words=lists(word[seen], followers[has]), counts=lists(r[seen], followers[has])),
             met(ASKED, len(asked), chunk=[c for c, _ in asked], words=lists(joined([x for _, x in asked]), np.array([len(x) for _, x in asked], np.int64))),
         ])
 
-    return grouped.groupBy("chunk").applyInArrow(send, BLOBS).groupBy("bucket").applyInArrow(count, MET)
+    return asked_grams(grouped, k, uni, orders).groupBy("bucket").applyInArrow(count, MET)
+
+
+def look_up_words(asks: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
+    """Replies to chunks from the stored counts of words."""
+
+    def look(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        rows = rows_of(asked)
+        kept_rows = rows_of(stored)
+        w, c, ids = (joined([np.array(r[x], np.int64) for r in kept_rows]) for x in ("words", "counts", "ids"))
+        replies = []
+        for r in rows:
+            h = unsqueezed(r["data"])[0].astype(np.int64)
+            at = np.minimum(np.searchsorted(w, h), max(0, len(w) - 1))
+            hit = w[at] == h if len(w) else np.zeros(len(h), bool)
+            replies.append(squeezed(np.where(hit, c[at], 0) if len(w) else np.zeros(len(h), np.int64), (np.where(hit, ids[at] // buckets, 0) if len(w) else np.zeros(len(h))).astype(np.uint32)))
+        return met(REPLIES, len(rows), chunk=[r["chunk"] for r in rows], bucket=[r["bucket"] for r in rows], data=replies)
+
+    return asks.groupBy("bucket").cogroup(grams.select("bucket", "words", "counts", "ids").groupBy("bucket")).applyInArrow(look, MET)
+
+
+def look_up_grams(asks: DataFrame, grams: DataFrame) -> DataFrame:
+    """Replies to chunks, as ``count_grams`` gives them, from stored contexts with their words and counts."""
+
+    def look(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        stored = stored.sort_by("context").combine_chunks()
+        key = stored.column("context").to_numpy().astype(np.uint64)
+        lower = stored.column("lower").to_numpy()
+        flat = {c: joined([x.flatten().to_numpy() for x in stored.column(c).chunks]) for c in ("words", "counts")}
+        size = joined([x.value_lengths().to_numpy() for x in stored.column("words").chunks])
+        of = np.repeat(np.arange(len(key)), size)
+        n = [np.bincount(of[flat["counts"] == i], minlength=len(key)) for i in range(1, MOST + 1)]
+        whole = sum(n) == 0
+        pairs = of.astype(np.uint64) << np.uint64(40) | flat["words"].astype(np.uint64)
+        replies, asked_split, rows = [], [], rows_of(asked)
+        for row in rows:
+            x = unsqueezed(row["data"])
+            at = np.searchsorted(key, x[0])  # each context that is asked for was seen
+            there = np.append(key, np.uint64(0))[at] == x[0]  # of a split one maybe not in this part
+            place = np.minimum(at, max(0, len(key) - 1))
+            wanted = np.repeat(place, x[1]).astype(np.uint64) << np.uint64(40) | x[6][x[7]]
+            i = np.minimum(np.searchsorted(pairs, wanted), max(0, len(pairs) - 1))
+            r = np.where((pairs[i] == wanted) & np.repeat(there, x[1]), flat["counts"][i], 0) if len(pairs) else np.zeros(len(wanted), np.int64)
+            unseen = x[5] | (np.bincount(np.repeat(np.arange(len(at)), x[1]), r == 0, len(at)) > 0)
+            of_context = lambda v: np.where(there, v[place], 0) if len(key) else np.zeros(len(at))  # noqa: B023, E731
+            replies.append(squeezed(r.astype(np.int64), of_context(whole).astype(bool), *(of_context(v)[unseen].astype(np.uint32) for v in n), of_context(lower)[unseen].astype(float)))
+            if x[4].any():
+                asked_split.append((row["chunk"], x[0][x[4]].astype(np.int64)))
+        return pa.concat_tables([
+            met(REPLIES, len(rows), chunk=[r["chunk"] for r in rows], bucket=[r["bucket"] for r in rows], data=replies),
+            met(ASKED, len(asked_split), chunk=[c for c, _ in asked_split], words=lists(joined([x for _, x in asked_split]), np.array([len(x) for _, x in asked_split], np.int64))),
+        ])
+
+    return asks.groupBy("bucket").cogroup(grams.select("bucket", "context", "lower", "words", "counts").groupBy("bucket")).applyInArrow(look, MET)
 
 
 def stored(df: DataFrame, path: str) -> dict[str, DataFrame]:
@@ -405,6 +471,50 @@ def weighed(grams: DataFrame, d: tuple[float, ...], least: float) -> DataFrame:
     return own.where("NOT split").unionByName(split).withColumn("alpha", left / F.greatest(1 - F.col("lower"), F.lit(least)))
 
 
+#: Columns of a chunk's rows that only some of them have.
+BLANK = {"info": "binary", "context": "long", "lower": "double", "taken": "double"}
+
+
+def blank(*names: str) -> list:
+    return [F.lit(None).cast(BLANK[c]).alias(c) for c in names]
+
+
+def rows_of_chunks(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk", F.lit(0).alias("part"), F.lit(None).cast("int").alias("bucket"), F.col("tokens").alias("data"), "info", *blank("context", "lower", "taken"))
+
+
+def answers(replies: DataFrame, k: int) -> DataFrame:
+    return replies.select("chunk", F.lit(k).alias("part"), "bucket", "data", *blank(*BLANK))
+
+
+def split_answers(asked: DataFrame, splits: DataFrame, k: int) -> DataFrame:
+    """Of split contexts what their chunks need."""
+    own = asked.select("chunk", F.explode("words").alias("context")).distinct().join(splits, "context")
+    return own.select("chunk", F.lit(-k).alias("part"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("data"), *blank("info"), "context", "lower", "taken")
+
+
+def evaluated(grouped: DataFrame, uni: Unigrams, orders: list[Order], id_type: T.DataType, id_col: str) -> DataFrame:
+    """Each chunk's documents, scored with all replies."""
+    per_token = np.log10(uni.tokens + 0.1 * (uni.words + 1))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    out_id = to_arrow_type(id_type)
+
+    def evaluate(table: pa.Table) -> pa.Table:
+        own = Chunk(table, uni, orders)
+        for k in range(2, len(orders) + 1):
+            own.hear(k)
+        info = pa.ipc.open_stream(own.info).read_all()
+        n = info.column("n").to_numpy()
+        of = lambda x: np.add.reduceat(x, np.cumsum(n) - n)
+        base = of(np.log10(own.c + 0.1)) - n * per_token
+        return pa.table([info.column("id").cast(out_id), info.column("held"), pa.array(n), pa.array(of((own.c > 0).astype(np.int64))), pa.array(np.full(len(n), uni.tokens)), pa.array(base), pa.array(of(own.log))], out_names)
+
+    out_names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in out_names[2:5]], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    return grouped.groupBy("chunk").applyInArrow(evaluate, schema).withColumnRenamed("id", id_col)
+
+
 def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, order: int = 2) -> DataFrame:
     """Per row: ``id_col``, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
@@ -415,7 +525,7 @@ def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str
     two words or more by 63-bit ones.
     model_path: where the model's tables are written, by default in the shared folder: ``order=k/kind=grams`` has contexts (for k = 1 none)
     with the words seen after them and their counts, and ``weights/order=k`` contexts' totals and backoff weights; words of k = 1 are hashes,
-    whose ids (unpacked from ``data``) are the words of higher orders. A context of two words or more is a hash of its ids; of one, the id + 3.
+    whose ids are the words of higher orders. ``score_by`` scores other texts with them. A context of two words or more is a hash of its ids; of one, the id + 3.
     """
     spark = df.sparkSession
     frugal(spark)
@@ -429,35 +539,39 @@ def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str
     of_count = numbers(made[0])
     uni = Unigrams.of(sizes["trained"], sizes["documents"], of_count, sum(of_count))
     orders[0] = Order(orders[0].buckets, uni.d)
-    none = {"info": "binary", "context": "long", "lower": "double", "taken": "double"}
-    blank = lambda *names: [F.lit(None).cast(none[c]).alias(c) for c in names]
-    grouped = chunks.select("chunk", F.lit(0).alias("part"), F.lit(None).cast("int").alias("bucket"), F.col("tokens").alias("data"), "info", *blank("context", "lower", "taken"))
-    answers = lambda x, k: x.select("chunk", F.lit(k).alias("part"), "bucket", "data", *blank(*none))
-    grouped = grouped.unionByName(answers(made[0][REPLIES], 1))
+    grouped = rows_of_chunks(chunks).unionByName(answers(made[0][REPLIES], 1))
     for k in range(2, order + 1):
         orders.append(Order(max(least, -(-sizes["n_tokens"] // BUCKET))))
         now = stored(count_grams(grouped, k, uni, orders), f"{path}/order={k}")
         orders[-1] = Order(orders[-1].buckets, tuple(discounts(numbers(now))))
         weights = now[GRAMS].transform(weighed, orders[-1].d, uni.unknown if k == 2 else TINY)
         weights.select("context", "total", "alpha").write.option("compression", "zstd").parquet(f"{path}/weights/order={k}")
-        asked = now[ASKED].select("chunk", F.explode("words").alias("context")).distinct().join(weights.where("split"), "context")
-        asked = asked.select("chunk", F.lit(-k).alias("part"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("data"), *blank("info"), "context", "lower", "taken")
-        grouped = grouped.unionByName(answers(now[REPLIES], k)).unionByName(asked)
-    per_token = np.log10(uni.tokens + 0.1 * (uni.words + 1))
-    from pyspark.sql.pandas.types import to_arrow_type
+        weights.where("split").select("context", "lower", "taken").write.parquet(f"{path}/splits/order={k}")
+        splits = spark.read.schema("context long, lower double, taken double").parquet(f"{path}/splits/order={k}")
+        grouped = grouped.unionByName(answers(now[REPLIES], k)).unionByName(split_answers(now[ASKED], splits, k))
+    told = json.dumps({"uni": asdict(uni), "orders": [asdict(o) for o in orders], "bucket": BUCKET})
+    spark.createDataFrame([(told,)], "value string").coalesce(1).write.text(f"{path}/model")
+    return evaluated(grouped, uni, orders, id_type, id_col)
 
-    out_id = to_arrow_type(id_type)
-
-    def evaluate(table: pa.Table) -> pa.Table:
-        own = Chunk(table, uni, orders)
-        for k in range(2, order + 1):
-            own.hear(k)
-        info = pa.ipc.open_stream(own.info).read_all()
-        n = info.column("n").to_numpy()
-        of = lambda x: np.add.reduceat(x, np.cumsum(n) - n)
-        base = of(np.log10(own.c + 0.1)) - n * per_token
-        return pa.table([info.column("id").cast(out_id), info.column("held"), pa.array(n), pa.array(of((own.c > 0).astype(np.int64))), pa.array(np.full(len(n), uni.tokens)), pa.array(base), pa.array(of(own.log))], out_names)
 
-    out_names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in out_names[2:5]], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return grouped.groupBy("chunk").applyInArrow(evaluate, schema).withColumnRenamed("id", id_col)
+def score_by(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows as ``score`` gives them (held_out is false), of texts that the model at ``model_path`` need not have seen, from its tables alone."""
+    spark = df.sparkSession
+    frugal(spark)
+    told = json.loads(spark.read.text(f"{model_path}/model").first()[0])
+    if told["bucket"] != BUCKET:
+        raise ValueError("the model was made with another size of buckets")
+    uni = Unigrams(**{k: tuple(v) if isinstance(v, list) else v for k, v in told["uni"].items()})
+    orders = [Order(o["buckets"], tuple(o["d"])) for o in told["orders"]]
+    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chunks = written(tokenized(own, 0), "chunks")
+    grouped = rows_of_chunks(chunks)
+    for k in range(1, len(orders) + 1):
+        grams = spark.read.schema(MET).parquet(f"{model_path}/order={k}").where(F.col("kind") == GRAMS)
+        asks = asked_words(chunks, orders[0].buckets) if k == 1 else asked_grams(grouped, k, uni, orders)
+        found = written(look_up_words(asks, grams, orders[0].buckets) if k == 1 else look_up_grams(asks, grams), "found")
+        grouped = grouped.unionByName(answers(found.where(F.col("kind") == REPLIES), k))
+        if k > 1:
+            splits = spark.read.schema("context long, lower double, taken double").parquet(f"{model_path}/splits/order={k}")
+            grouped = grouped.unionByName(split_answers(found.where(F.col("kind") == ASKED), splits, k))
+    return evaluated(grouped, uni, orders, own.schema.fields[0].dataType, id_col)

@@ -148,6 +148,22 @@ def test_near_edges(spark):
     assert near.without_near_copies(df).columns == df.columns
 
 
+def test_very_long_texts(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(120_000))
+    df = spark.createDataFrame([(1, long), (2, long + " x"), (3, "short text"), (4, long.replace(" ", "\n"))], "doc_id long, text string")
+    assert sorted(map(tuple, near.jaccard_components(df).collect())) == [(1, 119_996, 1), (2, 119_997, 1), (3, 1, 3), (4, 119_996, 1)]
+    assert sorted((r.doc_id, r.keep_id) for r in exact.exact_groups(df).collect()) == [(1, 1), (2, 2), (3, 3), (4, 1)]
+    assert sorted(shards.shard(df, str(tmp_path / "s")).read().collect()) == sorted(df.collect())
+
+
+def test_bucket_count_follows_the_size(spark, monkeypatch):
+    """With more buckets than tasks the rows are the same."""
+    monkeypatch.setattr(near, "BUCKET_BYTES", 500)
+    rows = corpus(7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85, 100).collect()}
+    assert got == brute(rows, 4, 85, 100)
+
+
 def test_divide_skip_finds_what_counting_finds():
     rnd = random.Random(3)
     for _ in range(300):

@@ -367,6 +367,14 @@ def test_scores_by_brute_force(spark, monkeypatch, tmp_path, order, bucket):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(c[(w,)] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[(w,)] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel=1e-9)
         assert r.score == pytest.approx(sum(cache[g] for g in own.grams(t, order)), rel=1e-9)
+    if bucket != 500_000:  # other texts from the tables alone, and some that the model hasn't seen
+        again = {r.doc_id: r for r in lm.score_by(docs.repartition(3), str(tmp_path / "model")).collect()}
+        assert all(again[r.doc_id].score == pytest.approx(r.score, rel=1e-12) and again[r.doc_id].base_score == pytest.approx(r.base_score, rel=1e-12) and not again[r.doc_id].held_out for r in rows)
+        new = [("und the never zzz und", 1), ("", 2), (None, 3)]
+        for r in lm.score_by(spark.createDataFrame(new, "text string, doc_id int"), str(tmp_path / "model")).collect():
+            t = (new[r.doc_id - 1][0] or "").encode().split() + [None]
+            assert r.score == pytest.approx(sum(math.log10(own.p(g)) for g in own.grams(t, order)), rel=1e-9)
+        assert lm.score_by(docs.limit(0), str(tmp_path / "model")).count() == 0
     if bucket == 2000:  # the model's tables have all counts and weights
         for k in (2, 3):
             grams = spark.read.parquet(str(tmp_path / f"model/order={k}/kind=grams")).selectExpr("explode(counts) AS r").groupBy("r").count()

@@ -28,12 +28,26 @@ def plan(df: DataFrame, weights: DataFrame, corpus: str) -> DataFrame:
 
 
 def mixed(df: DataFrame, plans: DataFrame, corpus: str, order: str, seed: str) -> DataFrame:
-    """Rows with copy_no; copies are made last. Picks of limit and of share are by different hashes."""
-    plans = F.broadcast(plans)
-    limited = pick_lowest(df.withColumn("_key", hashed(f"{seed}:limit", F.col(corpus), F.col(order))), [corpus], "_key", plans.select(corpus, F.col("base").alias("n"))).drop("_key")
-    whole = limited.join(plans.where("copies > 0").select(corpus, "copies"), corpus).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
-    some = pick_lowest(limited.withColumn("_key", hashed(f"{seed}:extra", F.col(corpus), F.col(order))), [corpus], "_key", plans.where("extra > 0").select(corpus, F.col("extra").alias("n"))).drop("_key")
-    return whole.unionByName(some.withColumn("copy_no", F.lit(0)))
+    """Rows with copy_no; copies are made last. Picks of limit and of share are by different hashes. plans: as ``plan`` gives them, a row for
+    each corpus that weights name; they are made once, and tell which corpora need a pick at all."""
+    spark, rows = df.sparkSession, plans.select(corpus, "rows", "base", "copies", "extra").collect()
+    schema = plans.select(corpus, F.col("base").alias("n")).schema
+
+    def wanted(some: list[tuple]) -> DataFrame:
+        return F.broadcast(spark.createDataFrame(some, schema))
+
+    def picked(rows_: DataFrame, name: str, some: list[tuple]) -> DataFrame:
+        key = hashed(f"{seed}:{name}", F.col(corpus), F.col(order))
+        return pick_lowest(rows_.withColumn("_key", key), [corpus], "_key", wanted(some)).drop("_key")
+
+    limited = df.join(wanted([(r[0], r["base"]) for r in rows if r["base"] == r["rows"]]), corpus).select(df.columns)
+    if cut := [(r[0], r["base"]) for r in rows if r["base"] < r["rows"]]:
+        limited = limited.unionByName(picked(df, "limit", cut))
+    copies = wanted([(r[0], r["copies"]) for r in rows if r["copies"] > 0])
+    out = limited.join(copies, corpus).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
+    if extra := [(r[0], r["extra"]) for r in rows if r["extra"] > 0]:
+        out = out.unionByName(picked(limited, "extra", extra).withColumn("copy_no", F.lit(0)))
+    return out
 
 
 def sample(df: DataFrame, n: int, order: str, seed: str) -> DataFrame:

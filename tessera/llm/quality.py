@@ -126,7 +126,7 @@ class Passages:
         for i, factor in ((1, 5), (2, 7), (3, 11)):
             four += np.where(at + i < n[doc], np.roll(h, -i), np.uint64(0)) * np.uint64(factor)
         for g, place, own in ((h, -4, passage), (h, -3, doc), (four, -2, doc)):  # distinct words of the passage; new words and new runs of four of the document
-            out[rows, place] = share(first_seen(mixed(g ^ mixed(own.astype(np.uint64)))))
+            out[rows, place] = share(first_seen(mixed(g ^ mixed(own.astype(np.uint64) + np.uint64(1 << 40)))))  # numbers that no word has
         out[rows, -1] = np.log1p(n[doc[begin]])
         return out, first
 

@@ -103,13 +103,15 @@ def plain_score(model, rows):
     return 1 / (1 + math.exp(-sum(p * q for p, q in zip(z, c)) - d[0]))
 
 
-def test_quality_query_by_brute_force(spark):
-    """Scores of the registered query are those of loops over each document alone, whatever is beside it."""
+def test_quality_query_by_brute_force(spark, monkeypatch):
+    """Scores of the registered query are those of loops over each document alone, whatever is beside it. Both have one model: sums in
+    training may differ in their last digits from run to run."""
     docs = queries.documents(spark, SMALL)
     model = quality.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"), folds=5)
+    monkeypatch.setattr(quality, "fit", lambda *_, **__: model)
     want = {r.doc_id: plain_score(model, plain_passages(r.text)) for r in docs.collect()}
     for r in queries.op1_attention_quality(spark, SMALL).collect():
-        assert r.score == pytest.approx(want[r.doc_id], abs=1e-4)
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-5)
     odd = ["", None, "x x x x x", "x x x", "X1. y!! " * 70, "é 12 a,b"]
     rows, first = quality.Passages()(odd)
     for i, t in enumerate(odd):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact, lm, near, packing, pii, quality, shards, token_files, vectors
+from . import bpe, common, exact, lm, near, packing, phrases, pii, quality, shards, token_files, vectors
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +121,33 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir), most_words=3, least=10, most=2000, covered=50)
+
+
+OP13_SQL = r"""
+WITH piece AS (
+    SELECT doc_id, lang, generate_subscripts(p, 1) AS no, unnest(p) AS piece FROM (
+        SELECT doc_id, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents)
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+run AS (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) AS t(k) WHERE len(w) >= k
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM run GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+inner_ AS (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE k = 3),
+best AS (SELECT lang, phrase, max(a) AS best FROM inner_ GROUP BY ALL),
+free AS (SELECT c.* FROM c LEFT JOIN best USING (lang, phrase) WHERE best IS NULL OR 100 * best < 50 * a),
+cut AS (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1 : k], ' ') AS y FROM free, (VALUES (1), (2)) AS t(cut) WHERE cut < k),
+scored AS (
+    SELECT cut.lang, cut.phrase, cut, a, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score
+    FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y
+), weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM weakest JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_attention_quality": op1_attention_quality,
     "op2_crf_pii": op2_crf_pii,
@@ -132,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_katz_scores": op9_katz_scores,
     "op10_token_files": op10_token_files,
+    "op13_phrase_automata": op13_phrase_automata,
 }
 
 ORACLES: dict[str, str] = {
@@ -139,4 +167,5 @@ ORACLES: dict[str, str] = {
     "op4_bloom_dedup": OP4_SQL,
     "op5_ngram_join": OP5_SQL,
     "op6_tiered_shards": OP6_SQL,
+    "op13_phrase_automata": OP13_SQL,
 }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact, lm, near, packing, phrases, pii, quality, shards, token_files, vectors
+from . import bpe, centroids, common, exact, lm, near, packing, phrases, pii, quality, shards, token_files, vectors
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +122,39 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, final = centroids.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10, width=64, scale=1024, seed=3)
+    hashes = [(k, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for k, c in enumerate(final.tolist())]
+    named = spark.createDataFrame(hashes, "cluster int, centroid_sha256 string")
+    sums = own.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia")).join(F.broadcast(named), "cluster")  # a row for each centroid
+    sums = sums.crossJoin(F.broadcast(own.agg(F.sum("distance").alias("inertia"))))
+    out = own.join(F.broadcast(sums), "cluster")
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_sql(rounds: int = 10) -> str:
+    """Each round is a query of its own: assignment, then the floor of each component's mean."""
+    nearest = """a{i} AS MATERIALIZED (
+    SELECT rid, q, k, d FROM (SELECT rid, v.q AS q, k, list_sum(list_transform(range(1, 65), lambda j: (v.q[j] - c.q[j]) * (v.q[j] - c.q[j])))::BIGINT AS d FROM v, c{i} c)
+    QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, k) = 1
+)"""
+    means = """s{i} AS (SELECT k, j, sum(q[j]) AS s, count(*) AS n FROM a{i}, range(1, 65) t(j) GROUP BY k, j),
+c{next} AS MATERIALIZED (
+    SELECT k, coalesce(m.q, c.q) AS q FROM c{i} c LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS q FROM s{i} GROUP BY k) m USING (k)
+)"""
+    start = """WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), q) - 1 AS k, q FROM v QUALIFY k < 8)"""
+    steps = [x.format(i=i, next=i + 1) for i in range(rounds) for x in (nearest, means)]
+    end = f"""SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} c USING (k)"""
+    return ",\n".join([start, *steps, nearest.format(i=rounds)]) + "\n" + end
+
+
+OP12_SQL = op12_sql()
+
+
 def op13_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir), most_words=3, least=10, most=2000, covered=50)
 
@@ -159,6 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_katz_scores": op9_katz_scores,
     "op10_token_files": op10_token_files,
+    "op12_hamerly_clusters": op12_hamerly_clusters,
     "op13_phrase_automata": op13_phrase_automata,
 }
 
@@ -167,5 +202,6 @@ ORACLES: dict[str, str] = {
     "op4_bloom_dedup": OP4_SQL,
     "op5_ngram_join": OP5_SQL,
     "op6_tiered_shards": OP6_SQL,
+    "op12_hamerly_clusters": OP12_SQL,
     "op13_phrase_automata": OP13_SQL,
 }

@@ -5,11 +5,13 @@ state for each class of word runs that end at the same places. Suffix links make
 that states, links and the numbers of their end places come from grouping end places by the word before, level by level, and
 joining a run with its suffix where both have as many ends. A walk over the states gives each run with its count; Spark sums the
 counts of shards, scores runs by their weakest cut and drops those that a longer one explains, which it reaches by its link and
-by the mirrored one.
+by the mirrored one. Longer runs than two words are counted in a second pass, over pieces cut where two words beside each other aren't
+frequent: no frequent run crosses such a place. Which pairs are frequent is asked of a filter of bounded size that may say yes too often.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +21,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined, written
+from .common import frugal, joined, written
+from .near import mixed
+from .pieces import keys
 
 #: Bytes of text of a shard, about; a longer text is a shard of its own.
 SHARD_BYTES = 8 << 20
@@ -29,6 +33,8 @@ ROWS = 100_000
 PIECE_ENDS, WORD_ENDS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Lower case, piece ends as line feeds, word ends as spaces.
 PLAIN = bytes(10 if c in PIECE_ENDS else 32 if c in WORD_ENDS else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Cells of the filter of frequent pairs, for each pair and at most (32 MB of bits, as it is broadcast), and of a block of it.
+CELLS, MOST_CELLS, BLOCK = 16, 1 << 28, 1 << 16
 #: Parts that a language's candidates are ranked in before its first ones are.
 PARTS = 64
 
@@ -100,8 +106,48 @@ class Automaton:
             yield k, self.end[own], self.ends[own]
 
 
-def counted(docs: DataFrame, depth: int, lang_col: str, text_col: str) -> DataFrame:
-    """Of each shard: lang, k, phrase, f, for the runs of up to ``depth`` words. k = 0 has all words."""
+def hashed(words: pa.StringArray) -> np.ndarray:
+    """A number of 64 bits for each word; words aren't empty."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return keys(np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0])
+
+
+def cells_of(langs: pa.StringArray, left: np.ndarray, right: np.ndarray, cells: int) -> np.ndarray:
+    """The filter's cell of each pair of words, given by their hashes."""
+    of = np.fromiter((zlib.crc32(x.encode()) for x in langs.dictionary.to_pylist()), np.uint64, len(langs.dictionary))
+    lang = of[langs.indices.to_numpy(zero_copy_only=False)] if len(of) else np.zeros(len(left), np.uint64)
+    return (mixed(mixed(left ^ mixed(lang + np.uint64(1))) + right) & np.uint64(cells - 1)).astype(np.int64)
+
+
+def pair_filter(pairs: DataFrame, most_cells: int) -> np.ndarray:
+    """Bits of the cells that pairs (lang, phrase) have. What comes to the driver has ``most_cells`` bits at most, whatever the number of pairs."""
+    cells = min(most_cells, 1 << max(16, (CELLS * pairs.count()).bit_length()))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = np.unique(cells_of(batch.column(0).dictionary_encode(), hashed(batch.column(1)), hashed(batch.column(2)), cells))
+            start = np.flatnonzero(np.diff(hit // BLOCK, prepend=-1))
+            parts = np.split((hit % BLOCK).astype(np.uint16), start[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(hit[start] // BLOCK, pa.int32()), pa.array([x.tobytes() for x in parts] if len(start) else [], pa.binary())], ["block", "hits"])
+
+    def total(table: pa.Table) -> pa.Table:
+        own = np.zeros(BLOCK, bool)
+        for x in table.column("hits"):
+            own[np.frombuffer(x.as_buffer(), np.uint16)] = True
+        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
+
+    bits = np.zeros(cells // 8, np.uint8)
+    words = pairs.select("lang", first_words(F.col("phrase"), F.lit(1)).alias("l"), first_words(F.col("phrase"), F.lit(-1)).alias("r"))
+    for row in words.mapInArrow(send, "block int, hits binary").groupBy("block").applyInArrow(total, "block int, bits binary").collect():
+        bits[row["block"] * (BLOCK // 8) :][: BLOCK // 8] = np.frombuffer(row["bits"], np.uint8)
+    return bits
+
+
+def counted(docs: DataFrame, lengths: range, lang_col: str, text_col: str, bits: np.ndarray | None = None) -> DataFrame:
+    """Of each shard: lang, k, phrase, f, for runs of so many words; k = 0 has all words. With a filter's bits, pieces are cut where a pair isn't in it."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
 
     def shards(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
@@ -111,6 +157,12 @@ def counted(docs: DataFrame, depth: int, lang_col: str, text_col: str) -> DataFr
             yield batch.slice(a, b - a)
             a = b
 
+    def cut(piece: np.ndarray, ids: np.ndarray, langs: pa.DictionaryArray, words: pa.StringArray) -> np.ndarray:
+        own, h = shared.value, hashed(words)[ids]
+        cell = cells_of(pa.DictionaryArray.from_arrays(langs.indices[1:], langs.dictionary), h[:-1], h[1:], 8 * len(own))
+        there = (own[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+        return np.append(0, np.cumsum((piece[1:] != piece[:-1]) | ~there))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in shards(batch):
@@ -118,8 +170,10 @@ def counted(docs: DataFrame, depth: int, lang_col: str, text_col: str) -> DataFr
                 words, piece, text = words_of(shard.column(1).to_pylist())
                 ids = words.indices.to_numpy(zero_copy_only=False)
                 group = langs.indices.to_numpy(zero_copy_only=False)[text]
-                for k, end, ends in Automaton.of(ids, piece, group, depth).runs():
-                    for i in range(0, len(end), ROWS):
+                if shared and len(ids):
+                    piece = cut(piece, ids, pa.DictionaryArray.from_arrays(pa.array(group), langs.dictionary), words.dictionary)
+                for k, end, ends in Automaton.of(ids, piece, group, lengths[-1]).runs():
+                    for i in range(0, len(end) if k in lengths else 0, ROWS):
                         e = end[i : i + ROWS]
                         own = [words.dictionary.take(pa.array(ids[e - j])) for j in range(k - 1, -1, -1)]
                         phrase = pc.binary_join_element_wise(*own, " ") if own else pa.array([""] * len(e))
@@ -129,6 +183,13 @@ def counted(docs: DataFrame, depth: int, lang_col: str, text_col: str) -> DataFr
     return own.mapInArrow(run, "lang string, k int, phrase string, f long")
 
 
+def summed(shards: DataFrame, least: int) -> DataFrame:
+    """Counts over all shards, of runs that occur ``least`` times or more (and of k = 0). A shard has each run once, so that another sum before the
+    shuffle would hold much and save little."""
+    sums = shards.repartition("lang", "k", "phrase").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+    return sums.where((F.col("f") >= least) | (F.col("k") == 0))
+
+
 def first_words(phrase: Column, k: Column) -> Column:
     return F.call_function("substring_index", phrase, F.lit(" "), k)
 
@@ -140,11 +201,14 @@ def collocations(docs: DataFrame, most_words: int = 3, least: int = 10, most: in
     Texts are lower-cased (A-Z only); phrases don't reach over piece ends. A phrase is dropped if a longer candidate that
     contains it occurs ``covered`` percent as often or more. Ranks go by score and count, both descending, then by the bytes of the
     phrase, so that there are no ties. Null and empty texts have no words; repeated rows count each; an empty table gives no rows.
-    Other columns aren't read. Sums are made by Spark before and after the shuffle; words that many phrases have
-    are looked up by broadcast.
+    Other columns aren't read. Counts are summed by shard before the shuffle; words that many phrases have are looked up by broadcast.
     """
-    sums = counted(docs, most_words, lang_col, text_col).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
-    counts = written(sums.where((F.col("f") >= least) | (F.col("k") == 0)), "phrase-counts")
+    frugal(docs.sparkSession)
+    counts = written(summed(counted(docs, range(3), lang_col, text_col), least), "phrase-counts")
+    if most_words > 2:
+        bits = pair_filter(counts.where("k = 2"), MOST_CELLS)
+        more = written(summed(counted(docs, range(3, most_words + 1), lang_col, text_col, bits), least), "phrase-counts")
+        counts = counts.unionByName(more)
     totals = counts.where("k = 0").select("lang", F.col("f").alias("n"))
     everything = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     known = counts.where("k > 0").select(F.struct("lang", "phrase").alias("key"), "f")

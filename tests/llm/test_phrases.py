@@ -97,10 +97,22 @@ def test_counts_beyond_64_bits(spark, monkeypatch):
     big = 3 * 10**12 + 1
     schema = "lang string, k int, phrase string, f long"
     rows = [("en", 0, "", 7 * big), ("en", 1, "a", big), ("en", 1, "b", big + 2), ("en", 2, "a b", big - 5)]
-    monkeypatch.setattr(phrases, "counted", lambda docs, *_: docs.sparkSession.createDataFrame(rows, schema))
+    monkeypatch.setattr(phrases, "counted", lambda docs, lengths, *_: docs.sparkSession.createDataFrame([r for r in rows if r[1] in lengths], schema))
     (r,) = phrases.collocations(spark.range(0)).collect()
     assert r.score == 10**6 * (big - 5) ** 2 // (big * (big + 2)) and (r.l, r.r, r.n) == (big, big + 2, 7 * big)
 
 
+def test_pairs_in_the_filter(spark):
+    """No pair is lost, also where cells are few."""
+    words = ["a", "b", "é", "long-word"]
+    pairs = spark.createDataFrame([(g, f"{a} {b}") for g in ("en", "", "x") for a in words for b in words if a <= b], "lang string, phrase string")
+    bits = phrases.pair_filter(pairs, 1 << 16)
+    docs = spark.createDataFrame([(g, "a b é é. long-word long-word") for g in ("en", "", "x")], "lang string, text string")
+    some = {(r.lang, r.phrase): r.f for r in phrases.counted(docs, range(3, 5), "lang", "text", bits).groupBy("lang", "phrase").agg({"f": "sum"}).withColumnRenamed("sum(f)", "f").collect()}
+    assert some == {(g, p): 1 for g in ("en", "", "x") for p in ("a b é", "b é é", "a b é é")}
+    none = phrases.pair_filter(pairs.limit(0), 1 << 16)
+    assert not none.any() and phrases.counted(docs, range(3, 5), "lang", "text", none).count() == 0
+
+
 def test_query_has_the_rows_of_its_sql(spark):
     same(spark, queries.op13_phrase_automata, queries.OP13_SQL, SMALL)

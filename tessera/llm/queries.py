@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, common, exact, lm, near, packing, phrases, pii, quality, shards, token_files, vectors
+from . import bpe, centroids, common, exact, lm, near, packing, phrases, pii, quality, shards, token_files, toxicity, vectors
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +122,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (common.remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op12_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, final = centroids.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10, width=64, scale=1024, seed=3)
     hashes = [(k, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for k, c in enumerate(final.tolist())]
@@ -193,6 +200,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_katz_scores": op9_katz_scores,
     "op10_token_files": op10_token_files,
+    "op11_noisy_channel_toxicity": op11_noisy_channel_toxicity,
     "op12_hamerly_clusters": op12_hamerly_clusters,
     "op13_phrase_automata": op13_phrase_automata,
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pieces import PieceEncoder, chunks
+from .pieces import PieceEncoder, chunks, classes_by
 
 NO_RANK = np.int32(2**31 - 1)
 WIDTHS = (4, 8, 12, 16, 24, 32, 64)
@@ -152,10 +152,32 @@ class Merger:
         return out, counts
 
 
+@cache
+def library_classes() -> np.ndarray:
+    """The classes that tiktoken goes by, asked with a vocabulary of bytes and of pairs that lie across two characters: within a piece all such
+    pairs merge, so that tokens begin at characters only where pieces do."""
+    import public_tokenizers
+    import tiktoken
+
+    leads, ends = range(0xC2, 0xF5), [10, 35, 49, 97, *range(0x80, 0xC0)]
+    ranks = [bytes([b]) for b in range(256)] + [bytes([a, b]) for a in ends for b in leads]
+    own = tiktoken.Encoding("classes", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(ranks)}, special_tokens={})
+    size = np.fromiter(map(len, ranks), np.int64, len(ranks))
+
+    def starts(text: str) -> np.ndarray:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        n = size[np.array(own.encode_ordinary(text), np.int64)]
+        token = np.zeros(len(raw), bool)
+        token[np.cumsum(n) - n] = True
+        return np.flatnonzero(token[(raw & 0xC0) != 0x80])
+
+    return classes_by(starts)
+
+
 @lru_cache(2)
 def encoder(path: str) -> PieceEncoder:
     """One of each worker, kept from task to task."""
-    return PieceEncoder(Merger(load_ranks(path)))
+    return PieceEncoder(Merger(load_ranks(path)), kinds=library_classes())
 
 
 @lru_cache(2)

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 
-from .pieces import PieceEncoder
+from .pieces import PieceEncoder, classes_by
 
 #: Pieces that go to the library as one pretokenised text.
 TOGETHER = 512
@@ -78,10 +78,19 @@ class TextEncoder:
         return np.insert(ids, followed, tokens), np.append(0, offsets[last] + np.cumsum(many))
 
 
+@cache
+def library_classes(path: str) -> np.ndarray:
+    """The classes that the file's splitter goes by."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path).pre_tokenizer
+    return classes_by(lambda text: np.array([a for _, (a, _) in own.pre_tokenize_str(text)], np.int64))
+
+
 @lru_cache(2)
 def encoder(path: str) -> PieceEncoder:
     """One of each worker, kept from task to task."""
-    return PieceEncoder(LibraryMerger(path))
+    return PieceEncoder(LibraryMerger(path), kinds=library_classes(path))
 
 
 @lru_cache(2)

@@ -29,9 +29,13 @@ ONE_LETTER, TWO_LETTERS = ["s", "t", "m", "d"], ["re", "ve", "ll"]
 CHUNK_CHARS = 500_000
 
 
+#: Code points that Python's tables don't know are asked about in runs of so many; only of runs that aren't one piece each is asked about.
+ASKED = 64
+
+
 @cache
 def classes() -> np.ndarray:
-    """The class of each code point."""
+    """The class of each code point by Python's tables, which may be older than a library's."""
     kinds = {"L": LETTER, "N": NUMBER}
     out = np.fromiter((kinds.get(unicodedata.category(chr(i))[0], OTHER) for i in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
     out[WHITE_POINTS] = WHITE
@@ -39,6 +43,26 @@ def classes() -> np.ndarray:
     return out
 
 
+def classes_by(starts: Callable[[str], np.ndarray]) -> np.ndarray:
+    """The class of each code point, as a library has it. starts: where the library's pieces of a text start. What Python's tables have no class for
+    is a letter if it joins a letter before it, and a number if it joins a number."""
+    unknown = np.array([i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Cn"], np.uint32)
+    as_text = lambda points: points.astype("<u4").tobytes().decode("utf-32-le")
+    rows = [np.append([10, 35], unknown[i : i + ASKED]) for i in range(0, len(unknown), ASKED)]  # a line feed, a sign, and so many
+    own = np.concatenate(rows)
+    begins = np.bincount(starts(as_text(own)), minlength=len(own))
+    first = np.cumsum([0, *map(len, rows[:-1])])
+    mixed = np.add.reduceat(begins, first) != 2
+    asked = np.concatenate([r[2:] for r, m in zip(rows, mixed.tolist(), strict=True) if m] or [np.zeros(0, np.uint32)])
+    out = classes().copy()
+    for sign, kind in (("a", LETTER), ("1", NUMBER)):
+        own = np.full(3 * len(asked), ord(sign), np.uint32)
+        own[::3], own[2::3] = 10, asked
+        begins = np.bincount(starts(as_text(own)), minlength=len(own))
+        out[asked[begins[2::3] == 0]] = kind
+    return out
+
+
 def step(state: int, symbol: int) -> tuple[int, bool]:
     """The next state, and whether a piece starts at this symbol."""
     if symbol >= FIRST:
@@ -127,9 +151,9 @@ def states(symbols: np.ndarray, width: int = 64) -> np.ndarray:
     return out.T.reshape(-1)[: len(symbols)]
 
 
-def starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """Where pieces start. points: code points of texts without a gap; firsts: where the non-empty texts start."""
-    kind = classes()[points]
+def starts(points: np.ndarray, firsts: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
+    """Where pieces start. points: code points of texts without a gap; firsts: where the non-empty texts start; kinds: the class of each code point."""
+    kind = (classes() if kinds is None else kinds)[points]
     white = (kind == WHITE) | (kind == SPACE)
     ends = np.zeros(len(points), bool)  # the last characters of texts
     ends[firsts[1:] - 1] = True
@@ -199,15 +223,16 @@ def appended(store: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece. merge: gets distinct pieces, gives all their ids in one array, and how many each has.
+    """Encodes texts piece by piece. merge: gets distinct pieces, gives all their ids in one array, and how many each has. kinds: the class of
+    each code point; Python's without it.
 
     Of the pieces seen, ``most`` are kept with their ids in arrays sorted by key; beyond that the cache starts anew. Keys only
     say where to look: each piece is compared, character by character, with the one whose ids it would get, and is merged by
     itself if they differ.
     """
 
-    def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 500_000):
-        self.merge, self.most = merge, most
+    def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 500_000, kinds: np.ndarray | None = None):
+        self.merge, self.most, self.kinds = merge, most, kinds
         self.clear()
 
     def clear(self) -> None:
@@ -240,7 +265,7 @@ class PieceEncoder:
         joined = "".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         bounds = np.concatenate([[0], np.cumsum(lengths)])
-        begin = starts(points, bounds[:-1][lengths > 0])
+        begin = starts(points, bounds[:-1][lengths > 0], self.kinds)
         length = np.diff(np.append(begin, len(points)))
         distinct, first, which = np.unique(keys(points, begin), return_index=True, return_inverse=True)
         odd = ~alike(points, begin, length, points, begin[first][which], length[first][which])

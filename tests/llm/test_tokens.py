@@ -65,6 +65,15 @@ def test_ids_are_the_librarys(reference, tokenizer):
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [encode(t) for t in texts]
 
 
+def test_every_code_point(reference, tokenizer):
+    """Doubled, and after a letter, a number, a sign, a space and letters of another script: no code point has other ids than the library gives."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for own, encode in ((bpe.encoder(RANKS), reference.encode_ordinary), (library.text_encoder(JSON), lambda t: tokenizer.encode(t, add_special_tokens=False).ids)):
+        for a in range(0, len(points), 1 << 13):
+            text = "\n".join(f"a{c}1{c}#{c} {c}{c}\u6992{c}\uc000" for c in points[a : a + (1 << 13)])
+            assert np.array_equal(own.encode([text])[0], encode(text)), hex(a)
+
+
 def test_cache_starts_anew(reference):
     own = pieces.PieceEncoder(bpe.Merger(bpe.load_ranks(RANKS)), most=50)
     for t in odd_texts(200):

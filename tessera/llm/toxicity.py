@@ -36,7 +36,7 @@ READINGS = 3
 #: Characters of a lattice, at most: longer words are read in parts, as no word is that long.
 LONGEST = 512
 #: Words that are remembered, and lattices that are decoded side by side.
-CACHED_WORDS, SIDE_BY_SIDE = 200_000, 256
+CACHED_WORDS, SIDE_BY_SIDE = 500_000, 256
 #: Labelled documents that the lexicon and the score are learned from, at most.
 SAMPLE = 20_000
 #: Lengths of beginnings of words in the lexicon; entries, at most; how sure an entry must be, in standard deviations.
@@ -80,8 +80,6 @@ def odd(word: str) -> bool:
     """Whether a word can be disguised: letters and something else, or letters that are repeated, most of them or one more than twice."""
     if not word.isalpha():
         return any(map(str.isalpha, word))
-    if not TWICE.search(word):
-        return False
     twice = [a == b for a, b in zip(word, word[1:])]
     return any(a and b for a, b in zip(twice, twice[1:])) or 3 * sum(twice) > len(word)
 
@@ -198,11 +196,13 @@ def side_by_side(words: list[str], model: np.ndarray) -> list[str]:
 
 def read(words: list[str], model: np.ndarray) -> list[str]:
     """What words, as they stand in a text, are read as: a word, or several with spaces between them, in letters that aren't repeated."""
-    own = [bare(w) for w in words]
-    parts = {w: [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)] for w in own if odd(w)}
+    out = [bare(w) for w in words]
+    some = [i for i, w in enumerate(out) if not w.isalpha() or TWICE.search(w)]
+    parts = {i: [out[i][j : j + LONGEST] for j in range(0, len(out[i]), LONGEST)] for i in some if odd(out[i])}
     done = iter(decoded([p for x in parts.values() for p in x], model))
-    found = {w: " ".join(next(done) for _ in x) for w, x in parts.items()}
-    return [TWICE.sub(r"\1", found.get(w, w)) for w in own]
+    for i in some:
+        out[i] = TWICE.sub(r"\1", " ".join(next(done) for _ in parts[i]) if i in parts else out[i])
+    return out
 
 
 class Reader:
@@ -246,24 +246,26 @@ class Scorer:
         self.heads = {e[: BEGINNINGS[0]] for e in model.lexicon}
 
     def weight(self, found: str) -> float:
-        likely = [w for w in found.split() if w[: BEGINNINGS[0]] in self.heads]
-        return max((self.model.lexicon.get(e, 0.0) for w in likely for e in entries(w)), default=0.0)
-
-    def numbers(self, text: str | None) -> np.ndarray:
-        """1, logarithms of hits, of their weights and of words, the largest weight, and whether hits are more than a hundredth of the words."""
-        words = words_of(text)
-        missing = list(set(words).difference(self.known))
-        if missing:
-            if len(self.known) + len(missing) > CACHED_WORDS:
-                self.known, missing = {}, list(set(words))
-            self.known.update(zip(missing, map(self.weight, read(missing, self.model.letters)), strict=True))
-        hits = [w for w in map(self.known.__getitem__, words) if w]
-        return np.array([1, math.log1p(len(hits)), math.log1p(math.fsum(hits)), math.log1p(len(words)), max(hits, default=0.0), len(hits) * 100 > len(words)])
+        if " " not in found and found[: BEGINNINGS[0]] not in self.heads:
+            return 0.0
+        return max((self.model.lexicon.get(e, 0.0) for w in found.split() for e in entries(w)), default=0.0)
+
+    def numbers(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text: 1, logarithms of hits, of their weights and of words, the largest weight, and whether hits are more than a
+        hundredth of the words. What is new in all texts is read together."""
+        split = [words_of(t) for t in texts]
+        missing = list(set().union(*split).difference(self.known))
+        if len(self.known) + len(missing) > CACHED_WORDS:
+            self.known, missing = {}, list(set().union(*split))
+        self.known.update(zip(missing, map(self.weight, read(missing, self.model.letters)), strict=True))
+        out = np.zeros((len(texts), NUMBERS))
+        for i, words in enumerate(split):
+            hits = [w for w in map(self.known.__getitem__, words) if w]
+            out[i] = 1, math.log1p(len(hits)), math.log1p(math.fsum(hits)), math.log1p(len(words)), max(hits, default=0.0), len(hits) * 100 > len(words)
+        return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(np.stack([self.numbers(t) for t in texts]) @ self.model.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.numbers(texts) @ self.model.weights, -30, 30)))
 
 
 def letters(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -275,7 +277,7 @@ def letters(docs: DataFrame, text_col: str) -> np.ndarray:
             for texts in chunks(batch.column(0).to_pylist()):
                 for t in texts:
                     words.update(words_of(t))
-                if len(words) > CACHED_WORDS:
+                if len(words) > CACHED_WORDS // 2:
                     total, words = total + letter_counts(words), Counter()
         total += letter_counts(words)
         own = np.flatnonzero(total)
@@ -305,7 +307,7 @@ def lexicon(sample: DataFrame, model: np.ndarray) -> dict[str, float]:
                 own = found[int(label)]
                 own.update({e for found_as in set(reader(list(set(words_of(text))))) for w in found_as.split() for e in entries(w)})
                 own[""] += 1
-                if len(found[0]) + len(found[1]) > CACHED_WORDS:
+                if len(found[0]) + len(found[1]) > CACHED_WORDS // 2:
                     yield out()
         yield out()
 
@@ -343,9 +345,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([scorer.numbers(t).tolist() for t in batch.column(0).to_pylist()]), batch.column(1)], ["x", "label"])
+        for whole in batches:
+            for batch in (whole.slice(a, 256) for a in range(0, whole.num_rows, 256)):
+                yield pa.RecordBatch.from_arrays([pa.array(scorer.numbers(batch.column(0).to_pylist()).tolist()), batch.column(1)], ["x", "label"])
 
     rows = own.mapInArrow(run, "x array<double>, label int").orderBy(F.xxhash64("x"), "x", "label").limit(2 * sample).collect()
     if rows:

@@ -44,6 +44,23 @@ def test_shards(spark, tmp_path):
     assert shards.shard(df.limit(0), str(tmp_path / "e")).read().count() == 0
 
 
+def test_arrivals_are_merged_whatever_the_files(spark, tmp_path, monkeypatch):
+    """The registered query, over a table of one file: each arrival is a version, and merges follow."""
+    made = []
+    plain = shards.shard
+    monkeypatch.setattr(shards, "shard", lambda *a, **k: made.append(plain(*a, **k)) or made[-1])
+    rows = queries.op6_tiered_shards(spark, SF).collect()
+    table = made[0]
+    versions = [table.manifest(v) for v in range(1, table.version() + 1)]
+    assert len(versions) > 8 and [len(v) for v in versions[:8]] == list(range(1, 9)) and len(versions[-1]) < 4
+    assert all(sum(s.rows for s in v) <= len(rows) for v in versions[:8]) and sum(s.rows for s in versions[-1]) == len(rows) == rows[0].manifest_rows
+    own = spark.range(200_000, numPartitions=4).selectExpr("id", "sha2(CAST(id AS STRING), 256) AS arrival0", "IF(id % 7 = 0, NULL, id) AS arrival1")
+    table = plain(own, str(tmp_path / "t"), arrivals=6, target_bytes=1 << 20, fan_in=3)
+    full = [s.bytes for s in table.manifest() if table.tier(s) == 0]
+    assert table.version() > 6 and len(full) > 5 and all((1 << 19) <= x <= (1 << 21) for x in full) and len(table.manifest()) - len(full) < 8
+    assert sum(s.rows for s in table.manifest()) == 200_000 and table.read().exceptAll(own).isEmpty()
+
+
 def test_two_writers(spark, tmp_path):
     """Each loses once: an append while another one commits, and a merge while a third commits."""
     df = spark.createDataFrame([(i, "t") for i in range(60)], "id long, text string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.ids import IGNORED, padded_size, right_padded
+from tessera.functions.tokenizers import loaded
 
 from .ordering import ordinal, running
 
@@ -81,7 +82,7 @@ def collated(df: DataFrame, pad_id: int, most: int, pack: bool = False, multiple
 def windows(df: DataFrame, tokens: str, size: int, block: Column, order: list[Column], record_id: str, most: int | None = None) -> DataFrame:
     """Consecutive windows of ``size`` tokens over all records in order, an end after each that isn't empty: a row for each
     window and record in it, with the record's first token there and their number. The rest that fills no window is left out."""
-    own = running(df.where(F.col(tokens) > 0), block, order, F.col(tokens) + 1, "start")
+    own = running(df.where(F.col(tokens) > 0), block, order, {"start": F.col(tokens) + 1})
     total = own.agg(F.floor(F.coalesce(F.max(F.col("start") + F.col(tokens) + 1), F.lit(0)) / size).alias("full"))
     parts = own.withColumn("window_no", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col(tokens)) / size))))
     out = parts.crossJoin(F.broadcast(total)).where("window_no < full").drop("full")
@@ -91,6 +92,58 @@ def windows(df: DataFrame, tokens: str, size: int, block: Column, order: list[Co
     return out.select("window_no", record_id, first.alias("first_token"), (last - first).alias("window_tokens"))
 
 
+def id_windows(df: DataFrame, ids: str, end_id: int, size: int, block: Column | str, order: list[Column], most: int | None = None) -> DataFrame:
+    """window_no and ids of consecutive windows of exactly ``size`` ids over all records in order, an end after each that has ids. A record gives each
+    window only the ids that lie there, so that what is shuffled is each id once, and a long record isn't repeated. The rest that fills no window is left out."""
+    own = running(df.where(F.size(ids) > 0).select("*", F.concat(ids, F.array(F.lit(end_id))).alias("_ids")), block, order, {"_start": F.size(ids) + 1})
+    first, last = F.floor(F.col("_start") / size), F.floor((F.col("_start") + F.size("_ids") - 1) / size)
+
+    def part(w: Column) -> Column:
+        begin = F.greatest(w * size - F.col("_start"), F.lit(0)).cast("int")
+        return F.struct(w.alias("window_no"), F.greatest(F.col("_start") - w * size, F.lit(0)).alias("at"), F.slice("_ids", begin + 1, F.least((w + 1) * size - F.col("_start"), F.size("_ids")).cast("int") - begin).alias("ids"))
+
+    parts = own.select(F.explode(F.transform(F.sequence(first, last), part)).alias("p")).select("p.*")
+    parts = parts.where(F.col("window_no") < most) if most else parts
+    whole = parts.groupBy("window_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return whole.where(F.size("ids") == size)
+
+
+def visible_blocks(df: DataFrame, bins: list[str], start: str, tokens: str, size: int) -> DataFrame:
+    """What attention sees of packed segments, block by block: for each pair of query and key blocks of ``size`` tokens with something visible, the
+    number of visible pairs of tokens, and whether all of them are (full), or only those within segments and not after the query (edge).
+    Segments are intervals, so that a bin costs its block pairs and not its pairs of tokens."""
+    begin, end = F.col(start).cast("long"), (F.col(start) + F.col(tokens)).cast("long")
+    queries = df.where(F.col(tokens) > 0).select(*bins, begin.alias("_a"), end.alias("_b"), F.explode(F.sequence(F.floor(begin / size), F.floor((end - 1) / size))).alias("query_block"))
+    pairs = queries.withColumn("key_block", F.explode(F.sequence(F.floor(F.col("_a") / size), F.col("query_block"))))
+    inside = lambda c: F.least("_b", (F.col(c) + 1) * size) - F.greatest("_a", F.col(c) * size)
+    q, k = inside("query_block"), inside("key_block")
+    seen = F.when(F.col("query_block") == F.col("key_block"), (q * (q + 1) / 2).cast("long")).otherwise(q * k)
+    sums = pairs.groupBy(*bins, "query_block", "key_block").agg(F.sum(seen).alias("visible"))
+    return sums.withColumn("kind", F.when(F.col("visible") == size * size, "full").otherwise("edge"))
+
+
+def token_chunks_of(text: str | None, most: int, encode: Callable[[str], list[int]], decode: Callable[[list[int]], str]) -> Iterator[str]:
+    """Stripped lines that aren't blank, joined as long as ``most`` tokens hold them; a longer line is cut by its ids. Tokens of joined lines aren't the
+    sum of the lines', so that the number of lines is searched for, by doubling steps and then by halving: this takes for granted that another line
+    makes no text shorter in tokens."""
+    own = [x for x in map(str.strip, (text or "").splitlines()) if x]
+    at, guess = 0, 1
+    while at < len(own):
+        fits = lambda n: n == 1 or len(encode("\n".join(own[at : at + n]))) <= most  # noqa: B023, E731
+        low, high, step = 1, len(own) - at + 1, max(1, guess // 2)
+        while low + step < high:
+            if not fits(low + step):
+                high = low + step
+                break
+            low, step = low + step, 2 * step
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if fits(middle) else (low, middle)
+        whole, at, guess = "\n".join(own[at : at + low]), at + low, low
+        ids = encode(whole)
+        yield from [whole] if len(ids) <= most else filter(None, (decode(ids[i : i + most]).strip() for i in range(0, len(ids), most)))
+
+
 def chunks_of(text: str | None, most: int) -> Iterator[str]:
     """Stripped lines that aren't blank, joined as long as ``most`` characters hold them; a longer line is cut every ``most``."""
     group, used = [], 0
@@ -107,19 +160,37 @@ def chunks_of(text: str | None, most: int) -> Iterator[str]:
             group.append(line)
 
 
-def line_chunks(df: DataFrame, text: str, most: int, keys: list[str]) -> DataFrame:
-    """Chunks of whole lines up to ``most`` characters, as many lines as fit; longer lines are cut every ``most``. Rows: keys,
-    chunk_no (from 1), chunk. A document's chunks are made in one pass over its row, so that nothing is shuffled."""
+def chunked_rows(df: DataFrame, text: str, keys: list[str], start: Callable[[], Callable[[str | None], Iterator[str]]]) -> DataFrame:
+    """Rows: keys, chunk_no (from 1), chunk. start: called once a task, gives what makes a text's chunks. A document's chunks are made in one pass
+    over its row, so that nothing is shuffled."""
     schema = T.StructType([T.StructField(f"c{i}", df.schema[k].dataType) for i, k in enumerate(keys)] + [T.StructField("chunk_no", T.IntegerType()), T.StructField("chunk", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = start()
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 some = batch.slice(a, 512)
-                own = [list(chunks_of(t, most)) for t in some.column(len(keys)).to_pylist()]
+                own = [list(chunks(t)) for t in some.column(len(keys)).to_pylist()]
                 at = pa.array([i for i, x in enumerate(own) for _ in x], pa.int64())
                 number = pa.array([n + 1 for x in own for n in range(len(x))], pa.int32())
                 yield pa.RecordBatch.from_arrays([*(c.take(at) for c in some.columns[:-1]), number, pa.array([c for x in own for c in x], pa.string())], schema.names)
 
     out = df.select(*[F.col(k).alias(f"c{i}") for i, k in enumerate(keys)], F.col(text).alias("text")).mapInArrow(run, schema)
     return out.withColumnsRenamed({f"c{i}": k for i, k in enumerate(keys)})
+
+
+def line_chunks(df: DataFrame, text: str, most: int, keys: list[str]) -> DataFrame:
+    """Chunks of whole lines up to ``most`` characters, as many lines as fit; longer lines are cut every ``most``."""
+    return chunked_rows(df, text, keys, lambda: lambda t: chunks_of(t, most))
+
+
+def token_line_chunks(df: DataFrame, text: str, most: int, keys: list[str], tokenizer: str) -> DataFrame:
+    """Chunks of whole lines up to ``most`` tokens of a file of the tokenizers library that each machine has, as many lines as fit; longer lines
+    are cut every ``most`` ids and decoded."""
+
+    def start() -> Callable[[str | None], Iterator[str]]:
+        own = loaded(tokenizer)
+        encode = lambda x: own.encode(x, add_special_tokens=False).ids
+        return lambda t: token_chunks_of(t, most, encode, lambda ids: own.decode(ids, skip_special_tokens=False))
+
+    return chunked_rows(df, text, keys, start)

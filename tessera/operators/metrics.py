@@ -70,9 +70,8 @@ def logged(df: DataFrame, epoch: str, step: str, every: int, values: list[str])
 
 def running_totals(df: DataFrame, block: Column, order: list[Column], values: list[str]) -> DataFrame:
     """Adds <value>_seen: the sum up to each row, itself included."""
-    for v in values:
-        df = running(df, block, order, F.col(v), f"{v}_seen").withColumn(f"{v}_seen", F.col(f"{v}_seen") + F.col(v))
-    return df
+    own = running(df, block, order, {f"{v}_seen": F.col(v) for v in values})
+    return own.withColumns({f"{v}_seen": F.col(f"{v}_seen") + F.col(v) for v in values})
 
 
 def norm(values: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ordering import DIGITS, ordinal, pick_lowest
@@ -79,5 +79,26 @@ def buffer_shuffled(df: DataFrame, order: str, size: int, seed: str) -> DataFram
     return ordinal(own, "_when", [F.col("_when"), F.col("_ordinal")], "place").drop("_when", "_ordinal")
 
 
+def slot_shuffled(df: DataFrame, order: str, size: int, seed: str) -> DataFrame:
+    """Adds place: a shuffle through a buffer of ``size`` rows. Rows come in the order of the number ``order`` and fill the buffer; each further one draws a
+    slot, takes the place of the row there, and that one leaves. What is left at the end leaves shuffled. Up to a size of 1 the order stays.
+
+    A row leaves when its slot is drawn next, so that no task replays the buffer: rows of a slot follow one another, and there are ``size`` slots.
+    Draws are by hash of seed and ordinal.
+    """
+    own = ordinal(df, order, [F.col(order)], "_ordinal")
+    if size <= 1:
+        return own.withColumnRenamed("_ordinal", "place")
+    key = hashed(seed, F.col("_ordinal"))
+    drawn = F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / 2.0**32 * size)
+    own = own.withColumns({"_slot": F.when(F.col("_ordinal") < size, F.col("_ordinal")).otherwise(drawn), "_key": key})
+    own = own.withColumn("_next", F.lead("_ordinal").over(Window.partitionBy("_slot").orderBy("_ordinal")))
+    first = F.col("_next") - size
+    left = own.where("_next IS NULL").select("_ordinal", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_key", "_ordinal")) - 1).alias("_rank"))  # ``size`` rows at most
+    rows = df.agg(F.greatest(F.count(F.lit(1)) - size, F.lit(0)).alias("_before"))
+    out = own.join(F.broadcast(left), "_ordinal", "left").crossJoin(F.broadcast(rows))
+    return out.withColumn("place", F.coalesce(first, F.col("_before") + F.col("_rank"))).drop("_ordinal", "_slot", "_key", "_next", "_rank", "_before")
+
+
 def weights_table(spark: SparkSession, rows: list[tuple[str, float, int | None, bool | None]]) -> DataFrame:
     return spark.createDataFrame(rows, "source string, weight double, sample_limit long, enabled boolean")

@@ -1,7 +1,7 @@
 """Ranks, running sums and exact picks over a whole table, without a window that has one partition for all rows.
 
-A block is a coarse key that orders as the rows do; there are at most BLOCKS, whatever the number of rows and however sparse
-their ids are. Blocks are counted, their counts are summed in order (one row for each block), and rows are ranked within
+A block is a coarse key that orders as the rows do; there are at most BLOCKS, whatever the number of rows and however uneven their
+ids are. Blocks are counted, their counts are summed in order (one row for each block), and rows are ranked within
 their block.
 """
 
@@ -14,30 +14,42 @@ from pyspark.sql import functions as F
 DIGITS = 4
 #: Blocks of a table, at most.
 BLOCKS = 16**DIGITS
+#: Parts of a table that quantiles bound, a power of two; each is cut into BLOCKS / PARTS equal steps.
+PARTS = 1024
 
 
 def by_range(df: DataFrame, c: str, name: str = "_block") -> DataFrame:
-    """Adds the block of the number ``c``: its place between the least and the greatest, in BLOCKS steps. Nulls come first."""
-    ends = df.agg(F.min(c).alias("_least"), F.max(c).alias("_most"))
-    place = F.floor((F.col(c).cast("double") - F.col("_least")) / ((F.col("_most").cast("double") - F.col("_least")) + 1) * BLOCKS)
-    return df.crossJoin(F.broadcast(ends)).withColumn(name, F.coalesce(place, F.lit(-1))).drop("_least", "_most")
+    """Adds the block of the number ``c``. Quantiles, from one pass that merges sketches, bound PARTS parts of about as many rows each, and a part is cut into
+    equal steps between its bounds: an id far off stretches the steps of its own part alone. Rows with one value are in one block; nulls come first."""
+    cuts = [i / PARTS for i in range(PARTS + 1)]
+    bounds = df.agg(F.percentile_approx(c, cuts, 10 * PARTS).alias("_bounds"))
+    own = df.crossJoin(F.broadcast(bounds))
+    steps = F.array(*[F.lit(PARTS >> i) for i in range(1, PARTS.bit_length())])
+    part = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get("_bounds", at + s) <= F.col(c), at + s).otherwise(at))  # a binary search
+    least, most = F.get("_bounds", F.col("_part")).cast("double"), F.get("_bounds", F.col("_part") + 1).cast("double")
+    step = F.floor((F.col(c).cast("double") - least) / (most - least + 1) * (BLOCKS // PARTS))
+    place = F.col("_part") * (BLOCKS // PARTS) + F.greatest(F.lit(0), F.least(step, F.lit(BLOCKS // PARTS - 1)))
+    return own.withColumn("_part", part).withColumn(name, F.coalesce(F.when(F.col(c).isNotNull(), place), F.lit(-1))).drop("_bounds", "_part")
 
 
-def running(df: DataFrame, block: Column | str, order: list[Column], value: Column, name: str) -> DataFrame:
-    """Adds the sum of ``value`` over all rows before each. block: a key of at most BLOCKS values, or the name of a number that
-    rows are ordered by first."""
-    own = (by_range(df, block) if isinstance(block, str) else df.withColumn("_block", block)).withColumn("_value", value)
-    sums = own.groupBy("_block").agg(F.sum("_value").alias("_sum"))
+def running(df: DataFrame, block: Column | str, order: list[Column], values: dict[str, Column] | Column, name: str = "running") -> DataFrame:
+    """Adds, by their names, the sums of ``values`` (or of one, as ``name``) over all rows before each, in one pass. block: a key of at most BLOCKS values, or the name of a
+    number that rows are ordered by first."""
+    values = values if isinstance(values, dict) else {name: values}
+    own = (by_range(df, block) if isinstance(block, str) else df.withColumn("_block", block)).withColumns({f"_value{i}": v for i, v in enumerate(values.values())})
+    every = range(len(values))
+    sums = own.groupBy("_block").agg(*[F.sum(f"_value{i}").alias(f"_sum{i}") for i in every])
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # BLOCKS rows at most
-    sums = sums.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    sums = sums.select("_block", *[F.coalesce(F.sum(f"_sum{i}").over(before), F.lit(0)).alias(f"_before{i}") for i in every])
     within = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = own.withColumn(name, F.coalesce(F.sum("_value").over(within), F.lit(0))).join(F.broadcast(sums), "_block")
-    return out.withColumn(name, F.col(name) + F.col("_before")).drop("_block", "_value", "_before")
+    out = own.withColumns({f"_sum{i}": F.coalesce(F.sum(f"_value{i}").over(within), F.lit(0)) for i in every}).join(F.broadcast(sums), "_block")
+    out = out.withColumns({n: F.col(f"_sum{i}") + F.col(f"_before{i}") for i, n in enumerate(values)})
+    return out.drop("_block", *[f"{x}{i}" for x in ("_value", "_sum", "_before") for i in every])
 
 
 def ordinal(df: DataFrame, block: Column | str, order: list[Column], name: str = "ordinal") -> DataFrame:
     """Adds each row's place, from 0."""
-    return running(df, block, order, F.lit(1), name).withColumn(name, F.col(name).cast("long"))
+    return running(df, block, order, {name: F.lit(1)}).withColumn(name, F.col(name).cast("long"))
 
 
 def pick_lowest(df: DataFrame, groups: list[str], key: str, wanted: DataFrame) -> DataFrame:

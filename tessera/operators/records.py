@@ -50,11 +50,42 @@ def made_id(source: Column | str, number: Column, chunk: Column | None = None, c
     return out if chunk is None else F.when(chunks > 1, F.concat(out, F.format_string("-%04d", chunk))).otherwise(out)
 
 
-def counting_text(df: DataFrame) -> Column:
-    """What a record's tokens are counted of: its text, or its messages as lines of role and content, or the first of the usual fields."""
-    joined = F.array_join(F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"])), "\n") if "messages" in df.columns else F.lit(None).cast("string")
-    usual = [F.col(c) for c in ("content", "prompt", "response") if c in df.columns]
-    return F.coalesce(*([F.col("text")] if "text" in df.columns else []), joined, *usual)
+#: Fields that are counted where there is neither text nor messages, in this order.
+COUNTED = ["instruction", "context", "input", "output", "response", "content"]
+
+
+#: String literals of JSON, and what is between them.
+JSON_PARTS = r'"(?:[^"\\]|\\.)*+"|[^"]++'
+
+
+def sorted_json(v: Column) -> Column:
+    """A variant as JSON with sorted keys at every depth, and a space after commas and colons. Variants keep their keys sorted; what lies
+    between string literals gets the spaces."""
+    parts = F.regexp_extract_all(F.to_json(v), F.lit(JSON_PARTS), 0)
+    spaced = F.transform(parts, lambda x: F.when(F.startswith(x, F.lit('"')), x).otherwise(F.replace(F.replace(x, F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": "))))
+    return F.array_join(spaced, "")
+
+
+def counting_text(v: Column) -> Column:
+    """What a record's tokens are counted of: a string itself; an object's text; its messages as lines of role and content, without blank ones; what isn't blank of
+    the usual fields, as lines; and else the record as sorted JSON. v: a variant; null gives null."""
+
+    def text(x: Column, name: str) -> Column:
+        own = F.try_variant_get(x, f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(own) == "STRING", F.try_variant_get(x, f"$.{name}", "string"))
+
+    def shown(x: Column, name: str) -> Column:
+        return strip(F.coalesce(F.try_variant_get(x, f"$.{name}", "string"), F.lit("")))
+
+    def line(m: Column) -> Column:
+        role, content = shown(m, "role"), shown(m, "content")
+        return F.when(content == "", F.lit("")).when(role == "", content).otherwise(F.concat(role, F.lit(": "), content))
+
+    joined = lambda xs: F.nullif(F.array_join(F.filter(xs, lambda x: x.isNotNull() & (x != "")), "\n"), F.lit(""))
+    messages = joined(F.transform(F.try_variant_get(v, "$.messages", "array<variant>"), line))
+    usual = joined(F.array(*[strip(text(v, c)) for c in COUNTED]))
+    alone = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.coalesce(alone, text(v, "text"), messages, usual, sorted_json(v))
 
 
 def normalize_messages(messages: Column) -> Column:

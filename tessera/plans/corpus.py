@@ -465,6 +465,16 @@ def buffer_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.buffer_shuffled(documents(spark, sf_dir).select("doc_id"), "doc_id", 2048, "9").select("doc_id", "place")
 
 
+@query("""
+WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
+s AS (SELECT *, md5('9:' || i) AS key, CASE WHEN i < 128 THEN i ELSE CAST(floor(CAST('0x' || left(md5('9:' || i), 8) AS BIGINT) / 4294967296.0 * 128) AS BIGINT) END AS slot FROM o),
+w AS (SELECT *, lead(i) OVER (PARTITION BY slot ORDER BY i) AS next FROM s)
+SELECT doc_id, CASE WHEN next IS NOT NULL THEN next - 128 ELSE greatest(n - 128, 0) + row_number() OVER (PARTITION BY next IS NULL ORDER BY key, i) - 1 END AS place FROM w
+""")
+def slot_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.slot_shuffled(documents(spark, sf_dir).select("doc_id"), "doc_id", 128, "9").select("doc_id", "place")
+
+
 @query(f"""
 WITH c AS (SELECT conv_id, list({{'role': role, 'content': {sql.strip('text')}}} ORDER BY turn) AS ms FROM conversations GROUP BY conv_id),
 r AS (
@@ -518,3 +528,64 @@ def instruction_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     writers.one_file(own.select(F.col("text").alias("instruction"), "response", F.lit("chat").alias("category")), path)
     joined = F.array_join(F.transform("messages", lambda x: x["content"]), "|")
     return readers.instructions(spark, path, "turns").select("id", "source", F.md5(joined).alias("messages_md5"))
+
+
+@query(f"""
+WITH i AS (
+    SELECT doc_id, list_transform(regexp_extract_all(text, '(?s:{sql.SPECIAL}|.)'), lambda x: CASE x WHEN '{sql.BOS}' THEN 1114112 WHEN '{sql.EOS}' THEN 1114113 WHEN '{sql.PAD}' THEN 1114114 ELSE unicode(x) END) AS ids
+    FROM documents WHERE text <> ''
+), a AS (SELECT doc_id, k, unnest(list_append(ids, 1114113)) AS id, generate_subscripts(list_append(ids, 1114113), 1) AS j FROM (SELECT doc_id, ids, row_number() OVER (ORDER BY doc_id) AS k FROM i)),
+p AS (SELECT id, row_number() OVER (ORDER BY k, j) - 1 AS place, count(*) OVER () // 1024 AS full_ FROM a)
+SELECT place // 1024 AS window_no, count(*) AS size, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY place)) AS ids_md5 FROM p WHERE place // 1024 < full_ GROUP BY ALL
+""")
+def ppl_id_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the windows themselves."""
+    own = documents(spark, sf_dir).select("doc_id", F.coalesce(CHAR.ids(F.col("text")), F.array().cast("array<int>")).alias("ids"))
+    out = encode.id_windows(own, "ids", CHAR.special[t.EOS], 1024, "doc_id", [F.col("doc_id")])
+    return out.select("window_no", big(F.size("ids")).alias("size"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
+
+
+@query(f"""
+WITH {BINS_SQL},
+x AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY batch_no, bin_no ORDER BY bin_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM f),
+q AS (SELECT batch_no, bin_no, start, unnest(range(start, start + CAST(n AS BIGINT))) AS q FROM x),
+k AS (SELECT batch_no, bin_no, q, unnest(range(start, q + 1)) AS k FROM q)
+SELECT batch_no, bin_no, q // 128 AS query_block, k // 128 AS key_block, count(*) AS visible, CASE WHEN count(*) = 128 * 128 THEN 'full' ELSE 'edge' END AS kind FROM k GROUP BY ALL
+""")
+def packed_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block pairs that attention sees in packed bins; the SQL expands the mask."""
+    bins = encode.packed(chat_bins(spark, sf_dir), "tokens", 2048)
+    return encode.visible_blocks(bins, ["batch_no", "bin_no"], "position", "tokens", 128)
+
+
+@query(f"""
+WITH r AS (
+    SELECT doc_id AS id, 'text' AS kind, text AS x FROM documents WHERE doc_id % 4 = 0
+    UNION ALL SELECT doc_id, 'sorted', '{{"a": {{"k": ' || doc_id || ', "z": [1, {{"b": null, "y": true}}]}}, "lang": ' || to_json(lang) || ', "source": ' || to_json(source) || '}}' FROM documents WHERE doc_id % 4 = 1
+    UNION ALL SELECT doc_id, 'usual', {sql.strip('source')} || E'\n' || {sql.strip('lang')} FROM documents WHERE doc_id % 4 = 2
+    UNION ALL SELECT doc_id, 'string', text FROM documents WHERE doc_id % 4 = 3
+    UNION ALL SELECT conv_id, 'messages', string_agg({sql.strip('role')} || ': ' || {sql.strip('text')}, E'\n' ORDER BY turn) FROM conversations WHERE {sql.strip('text')} <> '' GROUP BY conv_id
+)
+SELECT id, kind, md5(x) AS text_md5, CAST({sql.chars('x')} AS BIGINT) AS tokens FROM r WHERE x IS NOT NULL
+""")
+def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is counted of records of any shape."""
+    docs, k = documents(spark, sf_dir).where("text IS NOT NULL"), F.col("doc_id")
+    nested = F.concat(F.lit('{"source": '), F.expr("substring(to_json(named_struct('v', source)), 6, length(to_json(named_struct('v', source))) - 6)"), F.lit(', "lang":'), F.expr("substring(to_json(named_struct('v', lang)), 6, length(to_json(named_struct('v', lang))) - 6)"), F.lit(', "a": {"z": [1, {"y": true, "b": null}], "k": '), k.cast("string"), F.lit("}}"))
+    usual = F.to_json(F.struct(F.col("lang").alias("content"), F.col("source").alias("instruction"), F.lit(" ").alias("output"), F.lit(3).alias("input")))
+    line = F.when(k % 4 == 0, F.to_json(F.struct("text", F.lit("no").alias("content")))).when(k % 4 == 1, nested).when(k % 4 == 2, usual)
+    line = F.coalesce(line, F.expr("substring(to_json(named_struct('v', text)), 6, length(to_json(named_struct('v', text))) - 6)"))
+    kind = F.when(k % 4 == 0, "text").when(k % 4 == 1, "sorted").when(k % 4 == 2, "usual").otherwise("string")
+    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
+    rows = docs.select(k.alias("id"), kind.alias("kind"), line.alias("line")).unionByName(talks.select(F.col("conv_id").alias("id"), F.lit("messages").alias("kind"), F.to_json(F.struct("messages")).alias("line")))
+    out = rows.select("id", "kind", records.counting_text(F.parse_json("line")).alias("x"))
+    return out.select("id", "kind", F.md5("x").alias("text_md5"), big(t.char_count("x")).alias("tokens"))
+
+
+@query()
+def token_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of whole lines up to 256 tokens of a library's file; no SQL has its ids."""
+    import public_tokenizers
+
+    out = encode.token_line_chunks(documents(spark, sf_dir), "text", 256, ["doc_id"], public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "chunk_no", big(F.char_length("chunk")).alias("chars"), F.md5("chunk").alias("chunk_md5"))

@@ -160,37 +160,48 @@ def chunks_of(text: str | None, most: int) -> Iterator[str]:
             group.append(line)
 
 
-def chunked_rows(df: DataFrame, text: str, keys: list[str], start: Callable[[], Callable[[str | None], Iterator[str]]]) -> DataFrame:
-    """Rows: keys, chunk_no (from 1), chunk. start: called once a task, gives what makes a text's chunks. A document's chunks are made in one pass
+def chunked_rows(df: DataFrame, text: str, keys: list[str], start: Callable[[], Callable[[str | None], Iterator[str]]], total: bool = False) -> DataFrame:
+    """Rows: keys, chunk_no (from 1), chunk; with ``total`` also how many chunks the text has, where one without any has a null chunk. start: called once a task, gives what makes a text's chunks. A document's chunks are made in one pass
     over its row, so that nothing is shuffled."""
-    schema = T.StructType([T.StructField(f"c{i}", df.schema[k].dataType) for i, k in enumerate(keys)] + [T.StructField("chunk_no", T.IntegerType()), T.StructField("chunk", T.StringType())])
+    schema = T.StructType([T.StructField(f"c{i}", df.schema[k].dataType) for i, k in enumerate(keys)] + [T.StructField("chunk_no", T.IntegerType()), T.StructField("chunk", T.StringType())] + [T.StructField("chunks", T.IntegerType())] * total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = start()
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 some = batch.slice(a, 512)
-                own = [list(chunks(t)) for t in some.column(len(keys)).to_pylist()]
+                own = [list(chunks(t)) or [None] * total for t in some.column(len(keys)).to_pylist()]
+                many = [pa.array([len(x) for x in own for _ in x], pa.int32())] * total
                 at = pa.array([i for i, x in enumerate(own) for _ in x], pa.int64())
                 number = pa.array([n + 1 for x in own for n in range(len(x))], pa.int32())
-                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in some.columns[:-1]), number, pa.array([c for x in own for c in x], pa.string())], schema.names)
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in some.columns[:-1]), number, pa.array([c for x in own for c in x], pa.string()), *many], schema.names)
 
     out = df.select(*[F.col(k).alias(f"c{i}") for i, k in enumerate(keys)], F.col(text).alias("text")).mapInArrow(run, schema)
     return out.withColumnsRenamed({f"c{i}": k for i, k in enumerate(keys)})
 
 
-def line_chunks(df: DataFrame, text: str, most: int, keys: list[str]) -> DataFrame:
-    """Chunks of whole lines up to ``most`` characters, as many lines as fit; longer lines are cut every ``most``."""
-    return chunked_rows(df, text, keys, lambda: lambda t: chunks_of(t, most))
+Chunker = Callable[[], Callable[[str | None], Iterator[str]]]
 
 
-def token_line_chunks(df: DataFrame, text: str, most: int, keys: list[str], tokenizer: str) -> DataFrame:
-    """Chunks of whole lines up to ``most`` tokens of a file of the tokenizers library that each machine has, as many lines as fit; longer lines
-    are cut every ``most`` ids and decoded."""
+def line_chunker(most: int) -> Chunker:
+    return lambda: lambda t: chunks_of(t, most)
+
 
+def token_chunker(most: int, tokenizer: str) -> Chunker:
     def start() -> Callable[[str | None], Iterator[str]]:
         own = loaded(tokenizer)
         encode = lambda x: own.encode(x, add_special_tokens=False).ids
         return lambda t: token_chunks_of(t, most, encode, lambda ids: own.decode(ids, skip_special_tokens=False))
 
-    return chunked_rows(df, text, keys, start)
+    return start
+
+
+def line_chunks(df: DataFrame, text: str, most: int, keys: list[str]) -> DataFrame:
+    """Chunks of whole lines up to ``most`` characters, as many lines as fit; longer lines are cut every ``most``."""
+    return chunked_rows(df, text, keys, line_chunker(most))
+
+
+def token_line_chunks(df: DataFrame, text: str, most: int, keys: list[str], tokenizer: str) -> DataFrame:
+    """Chunks of whole lines up to ``most`` tokens of a file of the tokenizers library that each machine has, as many lines as fit; longer lines
+    are cut every ``most`` ids and decoded."""
+    return chunked_rows(df, text, keys, token_chunker(most, tokenizer))

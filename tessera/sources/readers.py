@@ -13,7 +13,8 @@ from tessera.operators.records import made_id, with_defaults
 
 
 def jsonl(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """file, line_no, record_index (blank lines not counted), value (variant), default_id. Bad lines fail, or are null if not ``strict``.
+    """file, line_no, record_index (blank lines not counted), value (variant), default_id, and n, the line's number over all files in order of their
+    names. Bad lines fail, or are null if not ``strict``; strict reading fails also where there is no record at all.
 
     Lines are numbered within the splits that Spark reads a file in, and splits by the numbers of lines before them, so that
     no task has more than a split.
@@ -21,32 +22,45 @@ def jsonl(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     meta = lambda c: F.col(f"_metadata.{c}")
     raw = spark.read.text(path).select("value", meta("file_path").alias("file"), meta("file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
     raw = raw.withColumn("_full", (strip("value") != "").cast("int"))
+    if strict and raw.where("_full = 1").isEmpty():
+        raise ValueError(f"no records in {path}")
     earlier = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    over_all = Window.orderBy("file", "_split").rowsBetween(Window.unboundedPreceding, -1)
     splits = raw.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_lines"), F.sum("_full").alias("_records"))
-    splits = splits.select("file", "_split", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_lines", "_records")])
+    before = [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(name) for c, w, name in (("_lines", earlier, "_lines_before"), ("_records", earlier, "_records_before"), ("_lines", over_all, "_all_before"))]
+    splits = splits.select("file", "_split", *before)
     within = Window.partitionBy("file", "_split").orderBy("_at")
     out = raw.withColumn("_line", F.row_number().over(within)).withColumn("_record", F.sum("_full").over(within)).where("_full = 1").join(splits, ["file", "_split"])
-    out = out.withColumn("line_no", F.col("_line") + F.col("_lines_before")).withColumn("record_index", F.col("_record") + F.col("_records_before") - 1)
+    out = out.withColumns({"line_no": F.col("_line") + F.col("_lines_before"), "record_index": F.col("_record") + F.col("_records_before") - 1, "n": F.col("_line") + F.col("_all_before")})
     stem = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?\z", 1)
     parse = F.parse_json if strict else F.try_parse_json
-    return out.select("file", "line_no", "record_index", parse("value").alias("value"), F.concat_ws(":", stem, F.col("line_no").cast("string")).alias("default_id"))
+    return out.select("file", "line_no", "record_index", parse("value").alias("value"), F.concat_ws(":", stem, F.col("line_no").cast("string")).alias("default_id"), "n")
 
 
 def raw_texts(spark: SparkSession, path: str, content: str = "content", **defaults: str) -> DataFrame:
-    """Raw-text JSONL: line_no, record_index, text (the field ``content``), payload (all other fields, by name), source and split, which are
+    """Raw-text JSONL: line_no, record_index, n, text (the field ``content``), payload (all other fields, by name), source and split, which are
     the payload's or the defaults. Texts that are missing or no strings are null."""
     own = jsonl(spark, path)
     fields = F.try_variant_get("value", "$", "map<string,variant>")
-    out = own.select("file", "line_no", "record_index", "default_id", string_field("value", content).alias("text"), F.map_filter(fields, lambda k, _: k != content).alias("payload"), *[string_field("value", c).alias(c) for c in ("source", "split")])
+    out = own.select("file", "line_no", "record_index", "n", "default_id", string_field("value", content).alias("text"), F.map_filter(fields, lambda k, _: k != content).alias("payload"), *[string_field("value", c).alias(c) for c in ("source", "split")])
     return with_defaults(out, **defaults)
 
 
 def instructions(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Instruction JSONL (instruction, context, response, category) as chats: line_no, record_index, id, source, category, messages (null without a response)."""
+    """Instruction JSONL (instruction, context, response, category) as chats: line_no, record_index, n, id (of source and n), source, category, messages (null
+    without a response)."""
     own = jsonl(spark, path)
     f = lambda c: string_field("value", c)
-    out = own.select("file", "line_no", "record_index", f("category").alias("category"), instruction(f("instruction"), f("context"), f("response")).alias("messages"))
-    return out.withColumn("source", F.lit(source)).withColumn("id", made_id("source", F.col("record_index") + 1))
+    out = own.select("file", "line_no", "record_index", "n", f("category").alias("category"), instruction(f("instruction"), f("context"), f("response")).alias("messages"))
+    return out.withColumn("source", F.lit(source)).withColumn("id", made_id("source", F.col("n")))
+
+
+def over_files(rows: DataFrame, no: str, first: int) -> DataFrame:
+    """Adds n, from 1 over all files in order of their names, to rows (file, ...) that ``no`` numbers within each file from ``first``."""
+    counts = rows.groupBy("file").agg(F.max(no).alias("_last"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    before = counts.select("file", F.coalesce(F.sum(F.col("_last") + (1 - first)).over(earlier), F.lit(0)).alias("_before"))
+    return rows.join(before, "file").withColumn("n", F.col("_before") + F.col(no) + (1 - first)).drop("_before")
 
 
 def string_field(value: str, name: str) -> Column:
@@ -65,7 +79,7 @@ def csv(spark: SparkSession, path: str, body: str, title: str | None = None) ->
 
 
 def parquet_texts(spark: SparkSession, path: str, text: str = "text") -> DataFrame:
-    """row_no (from 1, within each file) and text; no other column is read."""
+    """file, row_no (from 1, within each file) and text; no other column is read."""
     df = spark.read.parquet(path)
     if text not in df.columns:
         raise ValueError(f"no column {text} in {path}")

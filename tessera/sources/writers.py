@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 OPTIONAL = ["source", "language", "split"]
 
 
+def record_line(own: list[str], some: list[str], rest: str | None = None) -> Column:
+    """A row as a JSON object: ``own`` fields, nulls too; of ``some`` those that aren't null; then the fields of the JSON object ``rest``."""
+    parts = [F.to_json(F.struct(*own), {"ignoreNullFields": "false"}), F.to_json(F.struct(*some)) if some else F.lit("{}"), F.coalesce(F.col(rest), F.lit("{}")) if rest else F.lit("{}")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = F.when(p == "{}", out).otherwise(F.concat(F.substring(out, F.lit(1), F.char_length(out) - 1), F.lit(","), F.substring(p, F.lit(2), F.char_length(p))))
+    return out
+
+
 def jsonl(df: DataFrame, path: str, files: int | None = None) -> Observation:
     """One JSON object a line. Null extras are written; source, language and split aren't when they are null. Returns what
     was counted: records."""

@@ -33,10 +33,10 @@ def chunked(df: DataFrame, most: int | None, tokenizer: str | None = None) -> Da
     return out.withColumnRenamed("chunk", "text")
 
 
-def texts(df: DataFrame, output: str, most: int | None, tokenizer: str | None, extra: list[str] | None = None) -> dict[str, int]:
-    """Writes text records of (n, text, source, split, and own_id, language and rest where they are there); ids are own_id, or made of source and n."""
+def texts(df: DataFrame, output: str, name: str, most: int | None, tokenizer: str | None, extra: list[str] | None = None) -> dict[str, int]:
+    """Writes text records of (n, text, source, split, and own_id, language and rest where they are there); ids are own_id, or made of ``name`` and n."""
     own = chunked(df, most, tokenizer)
-    made = records.made_id("source", F.col("n"))
+    made = records.made_id(F.lit(name), F.col("n"))
     suffix = F.when(F.col("chunks") > 1, F.format_string("-%04d", "chunk_no")).otherwise("")
     out = records.normalize_text(own, record_id=F.concat(F.coalesce("own_id", made) if "own_id" in df.columns else made, suffix))
     line = writers.record_line(["id", "type", "text", *(extra or [])], [c for c in ("source", "split", "language") if c in out.columns], "rest" if "rest" in df.columns else None)
@@ -54,12 +54,12 @@ def raw_text(spark: SparkSession, path: str, output: str, source: str, content:
     own = readers.raw_texts(spark, path, content, source=source, split=SPLIT)
     field = lambda c: optional(F.try_variant_get(F.col("payload")[c], "$", "string"))
     rest = F.to_json(F.map_filter("payload", lambda k, _: ~k.isin(OWN)))
-    return texts(own.select("n", "text", "source", "split", field("id").alias("own_id"), field("language").alias("language"), rest.alias("rest")), output, most, tokenizer)
+    return texts(own.select("n", "text", "source", "split", field("id").alias("own_id"), field("language").alias("language"), rest.alias("rest")), output, source, most, tokenizer)
 
 
 def table_text(df: DataFrame, output: str, source: str, most: int | None, tokenizer: str | None, extra: list[str] | None = None) -> dict[str, int]:
     """Rows (n, text, and ``extra`` fields)."""
-    return texts(df.withColumns({"source": F.lit(source), "split": F.lit(SPLIT)}), output, most, tokenizer, extra)
+    return texts(df.withColumns({"source": F.lit(source), "split": F.lit(SPLIT)}), output, source, most, tokenizer, extra)
 
 
 def csv(spark: SparkSession, path: str, output: str, source: str, body: str = "body", title: str = "title", most: int | None = None, tokenizer: str | None = None) -> dict[str, int]:

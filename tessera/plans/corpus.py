@@ -10,7 +10,8 @@ from tessera.functions.ids import padded_size
 from tessera.functions.tokenizers import CHAR
 from tessera.operators import chat, encode, metrics, mixing, records
 
-from tessera.sources import readers, writers
+from tessera import convert
+from tessera.sources import mixture, readers, sink, writers
 from tessera.sources.scratch import scratch
 
 from . import sql
@@ -504,13 +505,14 @@ WITH r AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), o AS (SEL
 SELECT n AS line_no, n - 1 AS record_index, 'docs:' || n AS default_id, md5(text) AS text_md5, 'corpus' AS source, CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, CAST(1 AS BIGINT) AS others FROM o
 """)
 def raw_text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a JSONL file (in order of ids), read back as raw texts: numbers, the rest of the payload, defaults."""
-    path = f"{scratch(spark)}/docs.jsonl"
-    own = documents(spark, sf_dir).where("text IS NOT NULL").select(F.col("text").alias("content"), "doc_id", F.when(F.col("doc_id") % 3 == 0, "test").alias("split")).orderBy("doc_id")
-    writers.one_file(own, path)
+    """Documents as a folder of JSONL files (in order of ids), read back as raw texts: numbers over all files, the rest of the payload, defaults."""
+    path = f"{scratch(spark)}/docs"
+    own = documents(spark, sf_dir).where("text IS NOT NULL").select(F.col("text").alias("content"), "doc_id", F.when(F.col("doc_id") % 3 == 0, "test").alias("split"))
+    writers.in_order(own, path, "doc_id")
     out = readers.raw_texts(spark, path, source="corpus", split="train")
     others = F.size(F.map_filter("payload", lambda k, _: k != "split"))
-    return out.select(big(F.col("line_no")).alias("line_no"), big(F.col("record_index")).alias("record_index"), "default_id", F.md5("text").alias("text_md5"), "source", "split", big(others).alias("others"))
+    n = big(F.col("n"))
+    return out.select(n.alias("line_no"), (n - 1).alias("record_index"), F.concat(F.lit("docs:"), n.cast("string")).alias("default_id"), F.md5("text").alias("text_md5"), "source", "split", big(others).alias("others"))
 
 
 @query(f"""
@@ -520,12 +522,12 @@ u AS (SELECT a.conv_id, a.turn, {sql.strip('a.text')} AS ask, {sql.strip('b.text
 SELECT printf('turns-%06d', n) AS id, 'turns' AS source, CASE WHEN reply <> '' THEN md5(ask || '|' || reply) END AS messages_md5 FROM u
 """)
 def instruction_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as instruction JSONL, read back as chats."""
-    path = f"{scratch(spark)}/turns.jsonl"
+    """Turns as a folder of instruction JSONL files, read back as chats."""
+    path = f"{scratch(spark)}/turns"
     m = table(spark, sf_dir, "conversations")
     reply = m.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
-    own = m.where("role = 'user'").where(t.strip("text") != "").join(reply, ["conv_id", "turn"]).orderBy("conv_id", "turn")
-    writers.one_file(own.select(F.col("text").alias("instruction"), "response", F.lit("chat").alias("category")), path)
+    own = m.where("role = 'user'").where(t.strip("text") != "").join(reply, ["conv_id", "turn"])
+    writers.in_order(own.select("conv_id", "turn", F.col("text").alias("instruction"), "response", F.lit("chat").alias("category")), path, "conv_id", "turn")
     joined = F.array_join(F.transform("messages", lambda x: x["content"]), "|")
     return readers.instructions(spark, path, "turns").select("id", "source", F.md5(joined).alias("messages_md5"))
 
@@ -589,3 +591,83 @@ def token_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = encode.token_line_chunks(documents(spark, sf_dir), "text", 256, ["doc_id"], public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "chunk_no", big(F.char_length("chunk")).alias("chars"), F.md5("chunk").alias("chunk_md5"))
+
+
+@query(f"""
+WITH o AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM documents)
+SELECT CASE WHEN doc_id % 3 = 0 THEN 'd' || doc_id ELSE printf('docs-%06d', n) END AS id, md5({sql.strip('text')}) AS text_md5, lang AS language, doc_id AS doc, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'docs' END AS source, 'train' AS split
+FROM o WHERE {sql.strip('text')} <> ''
+""")
+def converted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as several raw files, through the converter and its sink, and read again: payload and language are kept, ids are unique over files."""
+    folder, k = scratch(spark), F.col("doc_id")
+    own = documents(spark, sf_dir).select(k, F.col("text").alias("content"), F.col("lang").alias("language"), k.alias("doc"), F.when(k % 3 == 0, F.concat(F.lit("d"), k.cast("string"))).alias("id"), F.when(k % 2 == 0, "even").alias("source"))
+    writers.in_order(own, f"{folder}/raw", "doc_id")
+    convert.raw_text(spark, f"{folder}/raw", f"{folder}/out", "docs")
+    out = spark.read.schema("id string, text string, language string, doc long, source string, split string").json(f"{folder}/out")
+    return out.select("id", F.md5("text").alias("text_md5"), "language", "doc", "source", "split")
+
+
+@query(f"""
+WITH x AS ({LINES_SQL})
+SELECT printf('docs-%06d', n) || CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1 THEN printf('-%04d', chunk_no) ELSE '' END AS id, chunk_md5
+FROM x JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) USING (doc_id)
+""")
+def converted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Parquet files, converted in chunks of 400 characters."""
+    folder = scratch(spark)
+    documents(spark, sf_dir).select("doc_id", "text").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{folder}/p")
+    convert.parquet(spark, f"{folder}/p", f"{folder}/out", "docs", most=400)
+    return spark.read.schema("id string, text string").json(f"{folder}/out").select("id", F.md5("text").alias("chunk_md5"))
+
+
+@query(f"""
+WITH a AS (
+    SELECT {sql.strip('a.text')} AS ask, {sql.strip('b.text')} AS reply, row_number() OVER (ORDER BY a.conv_id, a.turn) AS n
+    FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' WHERE a.role = 'user' AND {sql.strip('a.text')} <> ''
+), g AS (SELECT *, row_number() OVER (ORDER BY md5('7:' || n)) AS pick FROM a WHERE reply <> '')
+SELECT printf('turns-%06d', n) AS id, pick <= 20 AS held, md5(ask || '|' || reply) AS messages_md5 FROM g
+""")
+def converted_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as instruction files, converted into chats, 20 of them held out."""
+    folder, m = scratch(spark), table(spark, sf_dir, "conversations")
+    reply = m.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
+    own = m.where("role = 'user'").where(t.strip("text") != "").join(reply, ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("instruction"), "response")
+    writers.in_order(own, f"{folder}/raw", "conv_id", "turn")
+    convert.instructions(spark, f"{folder}/raw", f"{folder}/kept", "turns", held=20, held_output=f"{folder}/held", seed="7")
+    read = lambda name: spark.read.schema("id string, messages array<struct<role:string,content:string>>").json(f"{folder}/{name}").withColumn("held", F.lit(name == "held"))
+    joined = F.array_join(F.transform("messages", lambda x: x["content"]), "|")
+    return read("kept").unionByName(read("held")).select("id", "held", F.md5(joined).alias("messages_md5"))
+
+
+@query("""
+WITH w(source, weight, most) AS (VALUES ('en', 0.5, NULL), ('fr', 2.25, NULL), ('de', 1.0, 20), ('es', 1.3, 33)),
+n AS (SELECT lang AS source, count(*) AS n FROM documents GROUP BY ALL),
+b AS (SELECT source, weight, least(n, coalesce(most, n)) AS base FROM n JOIN w USING (source)),
+e AS (SELECT source, base, CAST(floor(weight) AS BIGINT) AS copies, CASE WHEN weight > floor(weight) THEN greatest(1, CAST(round_even(base * (weight - floor(weight)), 0) AS BIGINT)) ELSE 0 END AS extra FROM b)
+SELECT source, base * copies + extra AS records, CASE WHEN copies > 0 THEN base ELSE extra END AS distinct_records, copies + CASE WHEN extra > 0 THEN 1 ELSE 0 END AS most_copies FROM e
+""")
+def manifest_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by language as corpora of a manifest, mixed by weights and limits through the data source. Which records a share has is the source's choice."""
+    folder = scratch(spark)
+    documents(spark, sf_dir).select("lang", F.to_json(F.struct("doc_id", "text")).alias("value")).write.partitionBy("lang").text(folder + "/corpora")
+    entries = [{"name": n, "path": f"corpora/lang={n}", "weight": w, "sample_limit": m} for n, w, m in (("en", 0.5, None), ("fr", 2.25, None), ("de", 1.0, 20), ("es", 1.3, 33))]
+    manifest = F.to_json(F.struct(F.array(*[F.struct(F.lit(e["name"]).alias("name"), F.lit(e["path"]).alias("path"), F.lit(e["weight"]).alias("weight"), F.lit(e["sample_limit"]).cast("long").alias("sample_limit")) for e in entries]).alias("datasets")))
+    spark.range(1).coalesce(1).select(manifest.alias("value")).write.text(folder + "/manifest")
+    own = mixture.load(spark, folder + "/manifest", base=folder, columns=["source", "record_index", "copy_no"])
+    out = own.groupBy("source", "record_index").agg(F.count(F.lit(1)).alias("copies"))
+    return out.groupBy("source").agg(F.sum("copies").alias("records"), F.count(F.lit(1)).alias("distinct_records"), F.max("copies").alias("most_copies"))
+
+
+@query(f"""
+SELECT CASE WHEN text IS NULL THEN 'text_missing' WHEN {sql.strip('text')} = '' THEN 'text_blank' WHEN n_chars < 200 THEN 'short' ELSE 'converted' END AS outcome, count(*) AS records FROM documents GROUP BY ALL
+""")
+def sink_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the committing sink counts, and what the files have that it wrote in the same pass."""
+    path = f"{scratch(spark)}/out"
+    own = records.normalize_text(documents(spark, sf_dir), record_id=F.col("doc_id"))
+    code = F.coalesce("error_code", F.when(F.col("n_chars") < 200, "short"))
+    sink.save(own.select(F.to_json(F.struct("id", "text")).alias("value"), code.alias("error_code")), path)
+    good = spark.read.text(path).select(F.lit("converted").alias("outcome"))
+    bad = spark.read.schema("error_code string").json(f"{path}/_skipped").select(F.col("error_code").alias("outcome"))
+    return good.unionByName(bad).groupBy("outcome").agg(F.count(F.lit(1)).alias("records"))

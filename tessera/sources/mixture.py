@@ -181,14 +181,14 @@ class ManifestSource(DataSource):
         return ManifestReader(dict(self.options), schema)
 
 
-def load(spark: SparkSession, path: str, seed: str = "42", split: int = SPLIT, columns: list[str] | None = None) -> DataFrame:
+def load(spark: SparkSession, path: str, seed: str = "42", split: int = SPLIT, columns: list[str] | None = None, base: str | None = None) -> DataFrame:
     """source (the entry's name), record_index (from 0, over its files in order of their names), copy_no (from 1) and value (the line) of all records that the
-    manifest selects; with ``columns`` only these. Entries that aren't enabled don't count; a manifest that selects nothing fails. The same seed
+    manifest selects; with ``columns`` only these. Relative paths are below ``base``, or the manifest's folder. Entries that aren't enabled don't count; a manifest that selects nothing fails. The same seed
     picks the same records, whatever the splits are."""
     from .scratch import scratch
 
     spark.dataSource.register(ManifestSource)
-    entries = [e for e in readers.manifest(spark, path) if e["enabled"]]
+    entries = [e for e in readers.manifest(spark, path, base) if e["enabled"]]
     source = spark.read.format("tessera_manifest").option("entries", json.dumps(entries)).option("split", str(split)).option("seed", seed)
     rows = [tuple(r) for r in source.load().collect()]  # a row for each split
     total = [sum(n for k, _, _, n in rows if k == i) for i in range(len(entries))]

@@ -101,13 +101,13 @@ def factors(spark: SparkSession, path: str) -> DataFrame:
     return text_files(spark, path).select("file", numbers("text").alias("factors"))
 
 
-def manifest(spark: SparkSession, path: str) -> list[dict]:
-    """Entries of a manifest, which is small: name, path (beside the manifest if it is relative), weight, sample_limit, enabled."""
+def manifest(spark: SparkSession, path: str, base: str | None = None) -> list[dict]:
+    """Entries of a manifest, which is small: name, path (below ``base`` or beside the manifest if it is relative), weight, sample_limit, enabled."""
     text = spark.read.text(path, wholetext=True).first()[0]
     entries = json.loads(text).get("datasets")
     if not isinstance(entries, list) or not entries:
         raise ValueError("a manifest needs datasets")
-    folder = path.rsplit("/", 1)[0]
+    folder = base or path.rsplit("/", 1)[0]
     out = []
     for e in entries:
         weight = float(e.get("weight", 1.0))

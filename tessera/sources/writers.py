@@ -31,6 +31,12 @@ def jsonl(df: DataFrame, path: str, files: int | None = None) -> Observation:
     return seen
 
 
+def in_order(df: DataFrame, path: str, *order: str) -> None:
+    """A folder of JSONL files whose names follow the order of the columns ``order``, as the rows in them do; these columns are written too."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "true"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def one_file(df: DataFrame, path: str) -> None:
     """A JSONL file for tools that read a single one: its rows, which one task writes, in their order."""
     df.coalesce(1).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "true"}).alias("value")).write.mode("overwrite").text(f"{path}.parts")

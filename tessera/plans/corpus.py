@@ -13,6 +13,7 @@ from tessera.operators import chat, encode, metrics, mixing, records
 from tessera import convert
 from tessera.sources import mixture, readers, sink, writers
 from tessera.sources.scratch import scratch
+from tessera.streaming import sessions
 
 from . import sql
 
@@ -671,3 +672,19 @@ def sink_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = spark.read.text(path).select(F.lit("converted").alias("outcome"))
     bad = spark.read.schema("error_code string").json(f"{path}/_skipped").select(F.col("error_code").alias("outcome"))
     return good.unionByName(bad).groupBy("outcome").agg(F.count(F.lit(1)).alias("records"))
+
+
+@query(f"""
+WITH x AS (SELECT conv_id, turn, CAST({sql.chars('text')} AS BIGINT) AS tokens FROM conversations WHERE text IS NOT NULL),
+s AS (SELECT *, CAST(sum(tokens) OVER w AS BIGINT) AS total, row_number() OVER w AS turns FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, CAST(turn AS BIGINT) AS turn, tokens, total, turns, total > 512 AND total - tokens <= 512 AS crossed FROM s
+""")
+def session_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a stream of files in three steps; the state of each conversation goes from step to step."""
+    folder = scratch(spark)
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", big(t.char_count("text")).alias("tokens"))
+    for step in range(3):
+        part = F.least(F.lit(2), F.floor(F.col("turn") / 2))
+        turns.where(part == step).coalesce(2).write.mode("append").parquet(f"{folder}/turns")
+        sessions.follow(spark, f"{folder}/turns", f"{folder}/out", f"{folder}/checkpoint", 512).awaitTermination()
+    return spark.read.schema(sessions.OUT).parquet(f"{folder}/out")

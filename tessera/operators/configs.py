@@ -111,6 +111,13 @@ def missing_devices(wanted: DataFrame, visible: DataFrame) -> DataFrame:
     return wanted.join(visible, "device", "left_anti")
 
 
+def visible_only(wanted: DataFrame, visible: DataFrame) -> DataFrame:
+    """The devices that are wanted; fails on one that isn't visible."""
+    own = wanted.join(visible.select("device", F.lit(True).alias("_seen")).distinct(), "device", "left")
+    fine = F.when(F.col("_seen"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("device isn't visible: "), F.coalesce("device", F.lit("none")))).cast("boolean"))
+    return own.where(fine).select(wanted.columns)
+
+
 def state_slots(layers: DataFrame) -> DataFrame:
     """How many groups of layers keep a state."""
     return layers.agg(F.countDistinct("group_id").alias("slots"))

@@ -68,6 +68,14 @@ def logged(df: DataFrame, epoch: str, step: str, every: int, values: list[str])
     return df.groupBy(epoch, F.ceil(F.col(step) / every).alias("log_no")).agg(F.max(step).alias("last_step"), F.count(F.lit(1)).alias("steps"), *[F.avg(v).alias(f"mean_{v}") for v in values])
 
 
+def log_rates(df: DataFrame, epoch: str, step: str, every: int, seconds: Column, amounts: list[str]) -> DataFrame:
+    """What goes through between logs: for each of ``amounts`` its sum and its sum a second (``<amount>_per_sec``), over the same steps as ``logged``. seconds: what
+    a step took; an interval counts a microsecond at least."""
+    took = F.greatest(F.lit(1e-6), F.sum(seconds))
+    out = df.groupBy(epoch, F.ceil(F.col(step) / every).alias("log_no"))
+    return out.agg(F.max(step).alias("last_step"), took.alias("seconds"), *[F.sum(a).alias(a) for a in amounts], *[(F.sum(a) / took).alias(f"{a}_per_sec") for a in amounts])
+
+
 def running_totals(df: DataFrame, block: Column, order: list[Column], values: list[str]) -> DataFrame:
     """Adds <value>_seen: the sum up to each row, itself included."""
     own = running(df, block, order, {f"{v}_seen": F.col(v) for v in values})

@@ -27,6 +27,12 @@ def plan(df: DataFrame, weights: DataFrame, corpus: str) -> DataFrame:
     return own.withColumn("extra", F.when((part > 0) & (F.col("base") > 0), share).otherwise(0)).select(corpus, "rows", "base", "copies", "extra")
 
 
+def weighted_summary(mix: DataFrame, kinds: list[str]) -> DataFrame:
+    """How many records of a mix there are by each of ``kinds`` (type, source), copies included, in one pass: kind, name, records."""
+    named = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(k, F.lit("<unknown>")).alias("name")) for k in kinds])
+    return mix.select(F.explode(named).alias("_k")).groupBy("_k.kind", "_k.name").agg(F.count(F.lit(1)).alias("records"))
+
+
 def mixed(df: DataFrame, plans: DataFrame, corpus: str, order: str, seed: str) -> DataFrame:
     """Rows with copy_no; copies are made last. Picks of limit and of share are by different hashes. plans: as ``plan`` gives them, a row for
     each corpus that weights name; they are made once, and tell which corpora need a pick at all."""

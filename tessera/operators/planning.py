@@ -41,6 +41,36 @@ def placed_by_hand(layers: DataFrame, spec: DataFrame, visible: DataFrame) -> Da
     return own.select(*[c for c in layers.columns], device.alias("device"))
 
 
+def device_maps(specs: DataFrame, key: str, spec: str, layers: str, strict: bool = False) -> DataFrame:
+    """Placements of device maps of any shape: ``key``, part (a layer's number or a module's name), device, error. A map (a variant) is a list of devices, or an object whose
+    layers are a list or an object by number, with devices of modules by name, and of embedding, lm_head and final_norm. A map that doesn't fit the
+    number of ``layers`` is one row with its error, or fails with ``strict``; so does a device that isn't a string."""
+    own = specs.select(key, F.col(spec).alias("_v"), F.col(layers).cast("int").alias("_n"))
+    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
+    get = lambda name: F.try_variant_get("_v", f"$.{name}", "variant")
+    own = own.withColumn("_layers", F.when(kind("_v") == "ARRAY", F.col("_v")).when(kind("_v") == "OBJECT", get("layers")))
+    as_list, as_map = F.try_variant_get("_layers", "$", "array<variant>"), F.try_variant_get("_layers", "$", "map<string,variant>")
+    numbers = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array().cast("array<int>"))
+    missing = F.filter(numbers, lambda i: ~F.map_contains_key(as_map, i.cast("string")))
+    error = (
+        F.when(F.col("_v").isNull() | ~kind("_v").isin("ARRAY", "OBJECT"), "neither a list nor an object").when(F.col("_layers").isNull() | (kind("_layers") == "VOID"), "no layers")
+        .when((kind("_layers") == "ARRAY") & (F.size(as_list) != F.col("_n")), F.concat(F.size(as_list).cast("string"), F.lit(" devices for "), F.col("_n").cast("string"), F.lit(" layers")))
+        .when((kind("_layers") == "OBJECT") & (F.size(missing) > 0), F.concat(F.lit("no device for layers "), F.array_join(missing.cast("array<string>"), ", ")))
+        .when(~kind("_layers").isin("ARRAY", "OBJECT"), "layers are neither a list nor an object")
+    )
+    one = lambda part, v: F.struct(part.alias("part"), v.alias("v"))
+    parts = F.when(kind("_layers") == "ARRAY", F.transform(as_list, lambda v, i: one(i.cast("string"), v))).otherwise(F.transform(numbers, lambda i: one(i.cast("string"), F.element_at(as_map, i.cast("string")))))
+    named = F.transform(F.map_entries(F.coalesce(F.try_variant_get("_v", "$.modules", "map<string,variant>"), F.create_map().cast("map<string,variant>"))), lambda e: one(e["key"], e["value"]))
+    more = F.filter(F.array(*[one(F.lit(c), get(c)) for c in ("embedding", "lm_head", "final_norm")]), lambda x: x["v"].isNotNull())
+    named = F.concat(F.filter(named, lambda x: ~F.exists(more, lambda y: y["part"] == x["part"])), more)
+    out = own.withColumn("error", error).select(key, "error", F.explode_outer(F.when(F.col("error").isNull(), F.concat(parts, F.when(kind("_v") == "OBJECT", named).otherwise(F.filter(named, lambda _: F.lit(False)))))).alias("p"))
+    text = F.when(kind("p.v") == "STRING", F.trim(F.try_variant_get("p.v", "$", "string")))
+    said = F.coalesce("error", F.when(text.isNull() | (text == ""), F.concat(F.lit("no device: "), F.col("p.part"))))
+    out = out.select(key, F.col("p.part").alias("part"), F.when(said.isNull(), text).alias("device"), said.alias("error"))
+    fine = F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("error")).cast("boolean"))
+    return out.where(fine) if strict else out
+
+
 def ranges(df: DataFrame, order: str, value: str) -> DataFrame:
     """first, last and value of runs of equal values."""
     w = Window.partitionBy(F.lit(0)).orderBy(order)

@@ -486,3 +486,34 @@ def decay_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(8).select(F.col("id").alias("head"), F.explode(F.sequence(F.lit(-8).cast("long"), F.lit(63).cast("long"))).alias("distance"))
     scale = lambda down, name: rounded(planning.position_scale(F.abs("distance"), F.col("head"), 16, down=down), name)
     return own.select("head", "distance", rounded(planning.relative_decay(F.col("head"), 8, F.col("distance")), "kept"), scale(False, "up"), scale(True, "down"))
+
+
+@query(f"""
+WITH {BATCHES}, s AS (SELECT epoch, CAST(ceil(batch / 10) AS BIGINT) AS log_no, max(batch) AS last_step, sum(samples * 0.25) AS seconds, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(samples) AS BIGINT) AS samples FROM e GROUP BY ALL)
+SELECT epoch, log_no, last_step, CAST(seconds AS DOUBLE) AS seconds, tokens, samples, round(tokens / seconds, 6) AS tokens_per_sec, round(samples / seconds, 6) AS samples_per_sec FROM s
+""")
+def log_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Throughput between logs, a step taking a quarter of a second for each sample."""
+    out = metrics.log_rates(batches(spark, sf_dir), "epoch", "batch", 10, F.col("samples") * 0.25, ["tokens", "samples"])
+    return out.select("epoch", "log_no", "last_step", "seconds", "tokens", "samples", rounded("tokens_per_sec", "tokens_per_sec"), rounded("samples_per_sec", "samples_per_sec"))
+
+
+@query("""
+WITH c AS (SELECT n_regionkey AS id, count(*) AS n, list('gpu' || n_nationkey % 3 ORDER BY n_nationkey) AS d FROM nation GROUP BY ALL),
+p AS (SELECT id, 'list' AS shape, unnest(range(CAST(n AS BIGINT))) AS i, d FROM c UNION ALL SELECT id, 'layers', unnest(range(CAST(n AS BIGINT))), d FROM c UNION ALL SELECT id, 'numbers', unnest(range(CAST(n AS BIGINT))), d FROM c)
+SELECT id, shape, CAST(i AS VARCHAR) AS part, d[i + 1] AS device, NULL AS error FROM p
+UNION ALL SELECT id, 'layers', 'embedding', d[1], NULL FROM c UNION ALL SELECT id, 'numbers', 'norm', d[2], NULL FROM c
+UNION ALL SELECT id, 'short', NULL, NULL, n - 1 || ' devices for ' || n || ' layers' FROM c UNION ALL SELECT id, 'none', NULL, NULL, 'no layers' FROM c
+""")
+def device_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of each region's nations as layers, in five shapes, two of which don't fit."""
+    own = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat(F.lit("gpu"), (F.col("n_nationkey") % 3).cast("string")).alias("d")))).alias("x"))
+    d = F.transform("x", lambda y: y["d"])
+    by_number = F.map_from_arrays(F.transform(F.sequence(F.lit(0), F.size(d) - 1), lambda i: i.cast("string")), d)
+    shapes = {
+        "list": F.to_json(d), "layers": F.to_json(F.struct(d.alias("layers"), d[0].alias("embedding"))), "numbers": F.to_json(F.struct(by_number.alias("layers"), F.struct(d[1].alias("norm")).alias("modules"))),
+        "short": F.to_json(F.slice(d, 1, F.size(d) - 1)), "none": F.lit('{"modules": {}}'),
+    }
+    rows = own.select("id", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("shape"), v.alias("spec")) for k, v in shapes.items()])).alias("s"))
+    specs = rows.select(F.struct("id", "s.shape").alias("key"), "n", F.parse_json("s.spec").alias("v"))
+    return planning.device_maps(specs, "key", "v", "n").select("key.id", "key.shape", "part", "device", "error")

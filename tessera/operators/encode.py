@@ -32,31 +32,34 @@ def first_batches(df: DataFrame, most: int | None) -> DataFrame:
     return df if most is None else df.where(F.col("batch_no") < most)
 
 
-def packed(df: DataFrame, tokens: str, most: int) -> DataFrame:
-    """Next-fit packing within each batch: batch_no, batch_pos, bin_no, bin_pos, position (first token's place in the bin).
+def packed(df: DataFrame, tokens: str, most: int, carried: list[str] | None = None) -> DataFrame:
+    """Next-fit packing within each batch: batch_no, batch_pos, bin_no, bin_pos, position (first token's place in the bin), and the columns ``carried``.
 
     A bin closes when the next sample doesn't fit; samples are never cut, and one longer than ``most`` fails. Batches are small
     (a parameter of the loader), so that a fold over a batch is bounded.
     """
-    own = df.groupBy("batch_no").agg(F.array_sort(F.collect_list(F.struct("batch_pos", F.col(tokens).cast("int").alias("n")))).alias("samples"))
-    start = F.expr("CAST(struct(0 AS bin_no, 0 AS used, 0 AS bin_pos, array() AS placed) AS struct<bin_no:int,used:int,bin_pos:int,placed:array<struct<batch_pos:bigint,n:int,bin_no:int,bin_pos:int,position:int>>>)")
+    kept = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carried or [])]
+    own = df.groupBy("batch_no").agg(F.sort_array(F.collect_list(F.struct("batch_pos", F.struct(F.col(tokens).cast("int").alias("n"), *kept).alias("x")))).alias("samples"))
+    start = F.expr("CAST(struct(0 AS bin_no, 0 AS used, 0 AS bin_pos, array() AS placed) AS struct<bin_no:int,used:int,bin_pos:int,placed:array<struct<n:int,bin_no:int,bin_pos:int,position:int>>>)")
 
-    def step(a: Column, x: Column) -> Column:
-        fits = (a["used"] + x["n"] <= most) | (a["used"] == 0)
-        n = F.when(x["n"] <= most, x["n"]).otherwise(F.raise_error(F.lit(f"a sample has more than {most} tokens")).cast("int"))
+    def step(a: Column, n: Column) -> Column:
+        fits = (a["used"] + n <= most) | (a["used"] == 0)
+        n = F.when(n <= most, n).otherwise(F.raise_error(F.lit(f"a sample has more than {most} tokens")).cast("int"))
         bin_no, at, pos = F.when(fits, a["bin_no"]).otherwise(a["bin_no"] + 1), F.when(fits, a["used"]).otherwise(0), F.when(fits, a["bin_pos"]).otherwise(0)
-        one = F.struct(x["batch_pos"].alias("batch_pos"), n.alias("n"), bin_no.alias("bin_no"), pos.alias("bin_pos"), at.alias("position"))
+        one = F.struct(n.alias("n"), bin_no.alias("bin_no"), pos.alias("bin_pos"), at.alias("position"))
         return F.struct(bin_no.alias("bin_no"), (at + n).alias("used"), (pos + 1).alias("bin_pos"), F.concat(a["placed"], F.array(one)).alias("placed"))
 
-    out = own.select("batch_no", F.explode(F.aggregate("samples", start, step)["placed"]).alias("p"))
-    return out.select("batch_no", "p.batch_pos", F.col("p.n").alias("tokens"), "p.bin_no", "p.bin_pos", "p.position")
+    placed = F.aggregate(F.transform("samples", lambda s: s["x"]["n"]), start, step)["placed"]
+    out = own.select("batch_no", F.explode(F.arrays_zip(placed.alias("p"), F.col("samples").alias("s"))).alias("z")).select("batch_no", F.col("z")["p"].alias("p"), F.col("z")["s"].alias("s"))
+    more = [F.col(f"s.x._c{i}").alias(c) for i, c in enumerate(carried or [])]
+    return out.select("batch_no", "s.batch_pos", F.col("p.n").alias("tokens"), "p.bin_no", "p.bin_pos", "p.position", *more)
 
 
 def packed_arrays(df: DataFrame, ids: str, labels: str, most: int) -> DataFrame:
     """A row for each bin of ``packed``: batch_no, bin_no, input_ids and labels of its samples one after another, position_ids that
-    start again with each, and segment_ids that count them from 1."""
-    bins = packed(df.withColumn("_n", F.size(ids)), "_n", most).select("batch_no", "batch_pos", "bin_no", "bin_pos")
-    own = df.join(bins, ["batch_no", "batch_pos"]).groupBy("batch_no", "bin_no").agg(F.array_sort(F.collect_list(F.struct("bin_pos", F.col(ids).alias("ids"), F.col(labels).alias("labels")))).alias("s"))
+    start again with each, and segment_ids that count them from 1. Ids go along with the fold, so that samples are made once."""
+    bins = packed(df.withColumn("_n", F.size(ids)), "_n", most, [ids, labels])
+    own = bins.groupBy("batch_no", "bin_no").agg(F.array_sort(F.collect_list(F.struct("bin_pos", F.col(ids).alias("ids"), F.col(labels).alias("labels")))).alias("s"))
     each = lambda f: F.flatten(F.transform("s", f))
     some = lambda x, full: F.when(F.size(x["ids"]) > 0, full).otherwise(F.array().cast("array<int>"))
     return own.select(

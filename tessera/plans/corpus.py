@@ -10,7 +10,7 @@ from tessera.functions.ids import padded_size
 from tessera.functions.tokenizers import CHAR
 from tessera.operators import chat, encode, metrics, mixing, records
 
-from tessera import convert
+from tessera import convert, options
 from tessera.sources import mixture, readers, sink, writers
 from tessera.sources.scratch import scratch
 from tessera.streaming import sessions
@@ -43,6 +43,9 @@ def big(c: Column) -> Column:
     return c.cast("long")
 
 
+#: Lengths and the profile of chats that the queries take; their SQL has the values.
+LENGTHS, CHAT = options.Lengths(), options.PROFILES["chat_sft"]
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -132,7 +135,7 @@ c AS (SELECT conv_id, list_transform(regexp_extract_all(text, '(?s:{sql.SPECIAL}
 SELECT conv_id, len(ids) AS tokens, md5(array_to_string(ids[1:7680], ',')) AS ids_md5 FROM c
 """)
 def encode_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = chat_tokens(spark, sf_dir).select("conv_id", "tokens", chat.encoded(F.col("segments"), 7680)["input_ids"].cast("array<string>").alias("ids"))
+    own = chat_tokens(spark, sf_dir).select("conv_id", "tokens", chat.encoded(F.col("segments"), LENGTHS.train)["input_ids"].cast("array<string>").alias("ids"))
     return own.select("conv_id", "tokens", F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
 
@@ -149,7 +152,7 @@ def truncate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = records.normalize_text(documents(spark, sf_dir), record_id=F.col("doc_id")).where("error_code IS NULL")
     n = big(t.char_count("text"))
     both = texts.select(F.lit("text").alias("kind"), (n + 1).alias("tokens"), n.alias("supervised")).unionByName(chat_tokens(spark, sf_dir).select(F.lit("chat").alias("kind"), "tokens", "supervised"))
-    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("samples"), F.sum("tokens").alias("tokens"), F.sum("supervised").alias("supervised"), F.sum(F.least("tokens", F.lit(7680))).alias("kept_tokens"), F.count_if(F.col("tokens") > 7680).alias("truncated"))
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("samples"), F.sum("tokens").alias("tokens"), F.sum("supervised").alias("supervised"), F.sum(F.least("tokens", F.lit(LENGTHS.train))).alias("kept_tokens"), F.count_if(F.col("tokens") > LENGTHS.train).alias("truncated"))
 
 
 @query(f"""
@@ -254,7 +257,7 @@ def legacy_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = chat_tokens(spark, sf_dir).select("conv_id", F.least("tokens", F.lit(2048)).alias("tokens"), "supervised")
-    return encode.batched(own, 16, "conv_id", [F.col("conv_id")])
+    return encode.batched(own, CHAT.batch_size, "conv_id", [F.col("conv_id")])
 
 
 BINS_SQL = f"""RECURSIVE {sql.CHAT_TOKENS},
@@ -287,7 +290,7 @@ def pad_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     bins = encode.packed(chat_bins(spark, sf_dir), "tokens", 2048).groupBy("batch_no", "bin_no").agg(F.count(F.lit(1)).alias("samples"), F.sum("tokens").alias("used"))
-    return bins.withColumn("padded", big(padded_size(F.max("used").over(Window.partitionBy("batch_no")), 8)))
+    return bins.withColumn("padded", big(padded_size(F.max("used").over(Window.partitionBy("batch_no")), LENGTHS.pad_to_multiple_of)))
 
 
 @query(f"""
@@ -408,7 +411,7 @@ e AS (
 
 def chat_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = chat_tokens(spark, sf_dir).withColumn("e", chat.encoded(F.col("segments"), 2048)).select("conv_id", "e.input_ids", "e.labels")
-    return encode.batched(own, 16, "conv_id", [F.col("conv_id")])
+    return encode.batched(own, CHAT.batch_size, "conv_id", [F.col("conv_id")])
 
 
 def arrays_md5(*names: str) -> list[Column]:
@@ -424,7 +427,7 @@ SELECT conv_id, batch_no, size AS padded, md5(array_to_string(ids || list_transf
 """)
 def batch_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches padded to a multiple of 8, with labels and masks."""
-    out = encode.collated(chat_batches(spark, sf_dir), CHAR.special[t.PAD], 2048, multiple=8)
+    out = encode.collated(chat_batches(spark, sf_dir), CHAR.special[t.PAD], 2048, multiple=LENGTHS.pad_to_multiple_of)
     return out.select("conv_id", "batch_no", big(F.size("input_ids")).alias("padded"), *arrays_md5("input_ids", "labels", "attention_mask"))
 
 
@@ -454,7 +457,7 @@ SELECT doc_id, CAST(least(len(ids), 7680) AS BIGINT) AS tokens, md5(array_to_str
 def text_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as samples: a text and its end, all supervised, cut at the training length."""
     own = records.normalize_text(documents(spark, sf_dir), record_id=F.col("doc_id")).where("error_code IS NULL")
-    own = own.withColumn("e", chat.encoded(chat.text_segments(F.col("text")), 7680)).select("doc_id", "e.input_ids", "e.labels")
+    own = own.withColumn("e", chat.encoded(chat.text_segments(F.col("text")), LENGTHS.train)).select("doc_id", "e.input_ids", "e.labels")
     return own.select("doc_id", big(F.size("input_ids")).alias("tokens"), *arrays_md5("input_ids", "labels"), chat.too_short(F.col("input_ids")).alias("error_code"))
 
 
@@ -464,7 +467,7 @@ w AS (SELECT doc_id, i, i + CAST(floor(CAST('0x' || left(md5('9:' || doc_id), 8)
 SELECT doc_id, row_number() OVER (ORDER BY due, i) - 1 AS place FROM w
 """)
 def buffer_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.buffer_shuffled(documents(spark, sf_dir).select("doc_id"), "doc_id", 2048, "9").select("doc_id", "place")
+    return mixing.buffer_shuffled(documents(spark, sf_dir).select("doc_id"), "doc_id", LENGTHS.shuffle_buffer, "9").select("doc_id", "place")
 
 
 @query("""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import options
 from tessera.functions import ids
 from tessera.functions.ids import IGNORED
 from tessera.functions import text as t
@@ -76,7 +77,7 @@ WITH {BATCHES}
 SELECT epoch, CAST(ceil(batch / 10) AS BIGINT) AS log_no, max(batch) AS last_step, count(*) AS steps, round(avg(loss), 6) AS mean_loss, round(avg(tokens), 6) AS mean_tokens FROM e GROUP BY ALL
 """)
 def log_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = metrics.logged(batches(spark, sf_dir), "epoch", "batch", 10, ["loss", "tokens"])
+    out = metrics.logged(batches(spark, sf_dir), "epoch", "batch", options.Training().log_interval, ["loss", "tokens"])
     return out.select("epoch", "log_no", "last_step", "steps", rounded("mean_loss", "mean_loss"), rounded("mean_tokens", "mean_tokens"))
 
 
@@ -494,7 +495,7 @@ SELECT epoch, log_no, last_step, CAST(seconds AS DOUBLE) AS seconds, tokens, sam
 """)
 def log_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Throughput between logs, a step taking a quarter of a second for each sample."""
-    out = metrics.log_rates(batches(spark, sf_dir), "epoch", "batch", 10, F.col("samples") * 0.25, ["tokens", "samples"])
+    out = metrics.log_rates(batches(spark, sf_dir), "epoch", "batch", options.Training().log_interval, F.col("samples") * 0.25, ["tokens", "samples"])
     return out.select("epoch", "log_no", "last_step", "seconds", "tokens", "samples", rounded("tokens_per_sec", "tokens_per_sec"), rounded("samples_per_sec", "samples_per_sec"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Hex digits that make a block where rows are ordered by a hash.
 DIGITS = 4
@@ -19,17 +20,20 @@ PARTS = 1024
 
 
 def by_range(df: DataFrame, c: str, name: str = "_block") -> DataFrame:
-    """Adds the block of the number ``c``. Quantiles, from one pass that merges sketches, bound PARTS parts of about as many rows each, and a part is cut into
-    equal steps between its bounds: an id far off stretches the steps of its own part alone. Rows with one value are in one block; nulls come first."""
-    cuts = [i / PARTS for i in range(PARTS + 1)]
-    bounds = df.agg(F.percentile_approx(c, cuts, 10 * PARTS).alias("_bounds"))
-    own = df.crossJoin(F.broadcast(bounds))
+    """Adds the block of the number ``c``. Quantiles bound PARTS parts of about as many rows each, and a part is cut into equal steps between its bounds: an id far off
+    stretches the steps of its own part alone. Rows with one value are in one block; nulls come first. The quantiles are taken at once, in one pass
+    over ``c`` that merges sketches, and are PARTS + 1 numbers."""
+    cuts = ", ".join(f"{i / PARTS!r}D" for i in range(PARTS + 1))
+    found = df.select(F.col(c).alias("c")).agg(F.expr(f"percentile_approx(c, array({cuts}), {10 * PARTS})")).first()[0]
+    if found is None:
+        return df.withColumn(name, F.lit(-1).cast("long"))
+    bounds = F.split(F.lit(" ".join(map(str, found))), " ").cast(T.ArrayType(df.schema[c].dataType))
     steps = F.array(*[F.lit(PARTS >> i) for i in range(1, PARTS.bit_length())])
-    part = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get("_bounds", at + s) <= F.col(c), at + s).otherwise(at))  # a binary search
-    least, most = F.get("_bounds", F.col("_part")).cast("double"), F.get("_bounds", F.col("_part") + 1).cast("double")
+    part = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(bounds, at + s) <= F.col(c), at + s).otherwise(at))  # a binary search
+    least, most = F.get(bounds, F.col("_part")).cast("double"), F.get(bounds, F.col("_part") + 1).cast("double")
     step = F.floor((F.col(c).cast("double") - least) / (most - least + 1) * (BLOCKS // PARTS))
     place = F.col("_part") * (BLOCKS // PARTS) + F.greatest(F.lit(0), F.least(step, F.lit(BLOCKS // PARTS - 1)))
-    return own.withColumn("_part", part).withColumn(name, F.coalesce(F.when(F.col(c).isNotNull(), place), F.lit(-1))).drop("_bounds", "_part")
+    return df.withColumn("_part", part).withColumn(name, F.coalesce(F.when(F.col(c).isNotNull(), place), F.lit(-1))).drop("_part")
 
 
 def running(df: DataFrame, block: Column | str, order: list[Column], values: dict[str, Column] | Column, name: str = "running") -> DataFrame:

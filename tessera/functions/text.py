@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 STRIPPED = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: The same code points as one string.
 STRIPPED_CHARS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: White space as Unicode has it; ``STRIPPED_CHARS`` has four separators more.
+WHITE_CHARS = "".join(c for c in STRIPPED_CHARS if not "\x1c" <= c <= "\x1f")
 #: Line boundaries of Python's str.splitlines.
 LINE_ENDS = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 #: Special tokens of the chat template.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.ids import IGNORED, padded_size, right_padded
-from tessera.functions.tokenizers import loaded
+from tessera.functions.tokenizers import Units, loaded, units
 
 from .ordering import ordinal, running
 
@@ -144,7 +144,24 @@ def token_chunks_of(text: str | None, most: int, encode: Callable[[str], list[in
             low, high = (middle, high) if fits(middle) else (low, middle)
         whole, at, guess = "\n".join(own[at : at + low]), at + low, low
         ids = encode(whole)
-        yield from [whole] if len(ids) <= most else filter(None, (decode(ids[i : i + most]).strip() for i in range(0, len(ids), most)))
+        yield from [whole] if len(ids) <= most else cut_by_ids(ids, most, decode)
+
+
+def cut_by_ids(ids: list[int], most: int, decode: Callable[[list[int]], str]) -> Iterator[str]:
+    return filter(None, (decode(ids[i : i + most]).strip() for i in range(0, len(ids), most)))
+
+
+def summed_chunks_of(text: str | None, most: int, own: Units, decode: Callable[[list[int]], str]) -> Iterator[str]:
+    """As ``token_chunks_of`` where joined lines have the lines' tokens and ``feed`` for each line feed, so that each line is read once."""
+    lines = [x for x in map(str.strip, (text or "").splitlines()) if x]
+    group, used = [], 0
+    for line, n in zip((*lines, None), (*own.counts(lines), 0), strict=True):
+        if group and (line is None or used + own.feed + n > most):
+            yield from ["\n".join(group)] if used <= most else cut_by_ids(own.ids(group[0]), most, decode)
+            group, used = [], 0
+        if line is not None:
+            used += n + own.feed * bool(group)
+            group.append(line)
 
 
 def chunks_of(text: str | None, most: int) -> Iterator[str]:
@@ -194,7 +211,8 @@ def token_chunker(most: int, tokenizer: str) -> Chunker:
     def start() -> Callable[[str | None], Iterator[str]]:
         own = loaded(tokenizer)
         encode = lambda x: own.encode(x, add_special_tokens=False).ids
-        return lambda t: token_chunks_of(t, most, encode, lambda ids: own.decode(ids, skip_special_tokens=False))
+        decode, apart = lambda ids: own.decode(ids, skip_special_tokens=False), units(tokenizer)
+        return (lambda t: summed_chunks_of(t, most, apart, decode)) if apart else lambda t: token_chunks_of(t, most, encode, decode)
 
     return start
 

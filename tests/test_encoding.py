@@ -147,3 +147,43 @@ def test_sorted_json_is_pythons(spark):
 def test_queries_without_sql(spark):
     assert plans.QUERIES["token_line_chunks"](spark, SMALL).count() > 0 and "token_line_chunks" not in plans.ORACLES
     same(spark, plans.QUERIES["packed_visibility"], plans.ORACLES["packed_visibility"], SMALL)
+
+
+def test_lines_are_read_once(monkeypatch):
+    """Where a line's tokens don't depend on its neighbours no text goes to the library more than once, and ids and chunks are those of the untouched library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessera.functions import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(path), tokenizers.Units(Tokenizer.from_file(path))
+    ids, decode = lambda x: plain.encode(x, add_special_tokens=False).ids, lambda x: plain.decode(x, skip_special_tokens=False)
+    assert tokenizers.units(path) is not None
+    rnd = random.Random(3)
+    signs = ["a", "Zoë", "'s", "1", "!", ".", "\t", "  ", " ", "\xa0", "\x1c", "　", "中文", "，", "<|endoftext|>", "\n", "\r\n", "́", "�", "🙂"]
+    for _ in range(400):
+        text, most = "".join(rnd.choice(signs) for _ in range(rnd.randint(0, 60))), rnd.randint(1, 12)
+        assert list(encode.summed_chunks_of(text, most, own, decode)) == plain_token_chunks(text, most, ids, decode)
+        lines = [x for x in map(str.strip, text.splitlines()) if x]
+        assert own.counts(lines) == [len(ids(x)) for x in lines] and [own.ids(x) for x in lines] == [ids(x) for x in lines]
+    read = []
+    real = tokenizers.Units.learn
+    monkeypatch.setattr(tokenizers.Units, "learn", lambda self, some: (read.extend(some), real(self, some)))
+    monkeypatch.setattr(encode, "loaded", lambda _: type("None", (), {"decode": plain.decode, "encode": None}))
+    tokenizers.units.cache_clear()
+    text = "\n".join(f"word{i} and more of it" for i in range(2000))
+    assert len(list(encode.token_chunker(100, path)()(text))) > 50 and len(read) == len(set(read)) == 2004
+
+
+def test_tokenizers_whose_lines_are_not_apart(tmp_path):
+    import public_tokenizers
+
+    from tessera.functions import tokenizers
+
+    file = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    token = file["added_tokens"][0]
+    changes = [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": file["pre_tokenizer"] | {"add_prefix_space": True}}, {"pre_tokenizer": file["pre_tokenizer"] | {"use_regex": False}}, {"added_tokens": [token | {"lstrip": True}]}, {"added_tokens": [token | {"content": "a\nb", "id": len(file["model"]["vocab"])}]}, {"pre_tokenizer": None}]
+    for i, change in enumerate(changes):
+        (tmp_path / f"{i}.json").write_text(json.dumps(file | change), encoding="utf-8")
+        assert tokenizers.units(str(tmp_path / f"{i}.json")) is None

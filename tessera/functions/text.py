@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ LINE_ENDS = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 #: Special tokens of the chat template.
 BOS, EOS, PAD = "<｜begin▁of▁sentence｜>", "<｜end▁of▁sentence｜>", "<｜▁pad▁｜>"
 SPECIALS = f"{BOS}|{EOS}|{PAD}"
+#: What they all begin with: other texts have none.
+BEGIN = os.path.commonprefix([BOS, EOS, PAD])
 
 
 def col(c: Column | str) -> Column:
@@ -47,11 +51,11 @@ def char_count(c: Column | str) -> Column:
     out = col(c)
     for token in (BOS, EOS, PAD):
         out = F.replace(out, F.lit(token), F.lit("x"))
-    return F.char_length(out)
+    return F.char_length(F.when(F.contains(col(c), F.lit(BEGIN)), out).otherwise(col(c)))
 
 
 def char_ids(c: Column | str) -> Column:
-    """Ids of ``char_tokens``: code points, and special tokens beyond them."""
+    """Ids of ``char_tokens``: code points, and special tokens beyond them. Only texts that may have such a token go through a regex."""
     special = {t: 0x110000 + i for i, t in enumerate((BOS, EOS, PAD))}
 
     def one(t: Column) -> Column:
@@ -60,7 +64,8 @@ def char_ids(c: Column | str) -> Column:
             out = F.when(t == token, F.lit(i)).otherwise(out)
         return out
 
-    return F.transform(char_tokens(c), one)
+    plain = (col(c) != "") & ~F.contains(col(c), F.lit(BEGIN))
+    return F.when(plain, F.transform(F.split(col(c), ""), F.ascii)).otherwise(F.transform(char_tokens(c), one))
 
 
 def space_tokens(c: Column | str) -> Column:

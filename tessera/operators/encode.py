@@ -95,10 +95,13 @@ def windows(df: DataFrame, tokens: str, size: int, block: Column, order: list[Co
     return out.select("window_no", record_id, first.alias("first_token"), (last - first).alias("window_tokens"))
 
 
-def id_windows(df: DataFrame, ids: str, end_id: int, size: int, block: Column | str, order: list[Column], most: int | None = None) -> DataFrame:
+def id_windows(df: DataFrame, ids: Column | str, end_id: int, size: int, block: Column | str, order: list[Column], most: int | None = None, tokens: Column | None = None) -> DataFrame:
     """window_no and ids of consecutive windows of exactly ``size`` ids over all records in order, an end after each that has ids. A record gives each
-    window only the ids that lie there, so that what is shuffled is each id once, and a long record isn't repeated. The rest that fills no window is left out."""
-    own = running(df.where(F.size(ids) > 0).select("*", F.concat(ids, F.array(F.lit(end_id))).alias("_ids")), block, order, {"_start": F.size(ids) + 1})
+    window only the ids that lie there, so that what is shuffled is each id once, and a long record isn't repeated. The rest that fills no window is left out.
+    tokens: how many ids a record has, where that is known without making them: ``ids`` may then be an expression, and is made once, when records have their places."""
+    ids = F.col(ids) if isinstance(ids, str) else ids
+    own = df.withColumn("_tokens", F.coalesce((F.size(ids) if tokens is None else tokens).cast("int"), F.lit(0))).where("_tokens > 0")
+    own = running(own, block, order, {"_start": F.col("_tokens") + 1}).select("_start", F.concat(ids, F.array(F.lit(end_id))).alias("_ids"))
     first, last = F.floor(F.col("_start") / size), F.floor((F.col("_start") + F.size("_ids") - 1) / size)
 
     def part(w: Column) -> Column:

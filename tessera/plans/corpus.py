@@ -546,8 +546,8 @@ SELECT place // 1024 AS window_no, count(*) AS size, md5(string_agg(CAST(id AS V
 """)
 def ppl_id_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the windows themselves."""
-    own = documents(spark, sf_dir).select("doc_id", F.coalesce(CHAR.ids(F.col("text")), F.array().cast("array<int>")).alias("ids"))
-    out = encode.id_windows(own, "ids", CHAR.special[t.EOS], 1024, "doc_id", [F.col("doc_id")])
+    own = documents(spark, sf_dir).select("doc_id", "text")
+    out = encode.id_windows(own, CHAR.ids(F.col("text")), CHAR.special[t.EOS], 1024, "doc_id", [F.col("doc_id")], tokens=t.char_count("text"))
     return out.select("window_no", big(F.size("ids")).alias("size"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
 
 

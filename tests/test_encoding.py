@@ -187,3 +187,36 @@ def test_tokenizers_whose_lines_are_not_apart(tmp_path):
     for i, change in enumerate(changes):
         (tmp_path / f"{i}.json").write_text(json.dumps(file | change), encoding="utf-8")
         assert tokenizers.units(str(tmp_path / f"{i}.json")) is None
+
+
+def test_windows_make_ids_once(spark):
+    """Ids are made once, after records have their places, and by no regex where there is no special token; counts don't make them."""
+    from tessera.functions import text as t
+    from tessera.functions.tokenizers import CHAR
+
+    special = {x: i for i, x in enumerate((t.BOS, t.EOS, t.PAD), 0x110000)}
+    texts = ["", None, "aé中🙂\n\x00", t.BOS + "x" + t.PAD, "<｜", t.EOS[:-1], t.EOS * 2, "plain " * 30]
+
+    def ids(x):
+        out = []
+        while x:
+            token = next((s for s in special if x.startswith(s)), x[0])
+            out.append(special.get(token, ord(token[0])))
+            x = x[len(token) :]
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    rows = df.select("text", CHAR.ids(F.col("text")).alias("ids"), t.char_count("text").alias("n")).collect()
+    assert [(r.ids, r.n) for r in rows] == [(None, None) if r.text is None else (ids(r.text), len(ids(r.text))) for r in rows]
+    joined = [i for x in texts if x for i in [*ids(x), special[t.EOS]]]
+    for size in (1, 4, 7):
+        made = spark.sparkContext.accumulator(0)
+
+        @F.udf("array<int>")
+        def slow(x):
+            made.add(1)  # noqa: B023
+            return ids(x)
+
+        out = encode.id_windows(df, slow("text"), special[t.EOS], size, "k", [F.col("k")], tokens=t.char_count("text")).collect()
+        assert {r.window_no: r.ids for r in out} == {i: joined[i * size : (i + 1) * size] for i in range(len(joined) // size)}
+        assert made.value == sum(1 for x in texts if x)

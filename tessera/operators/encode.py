@@ -117,14 +117,23 @@ def id_windows(df: DataFrame, ids: Column | str, end_id: int, size: int, block:
 def visible_blocks(df: DataFrame, bins: list[str], start: str, tokens: str, size: int) -> DataFrame:
     """What attention sees of packed segments, block by block: for each pair of query and key blocks of ``size`` tokens with something visible, the
     number of visible pairs of tokens, and whether all of them are (full), or only those within segments and not after the query (edge).
-    Segments are intervals, so that a bin costs its block pairs and not its pairs of tokens."""
+    Segments are intervals, so that a bin costs its block pairs and not its pairs of tokens. A bin's segments are one row, and its pairs are made from it
+    one after another, so that a task holds segments and never pairs."""
     begin, end = F.col(start).cast("long"), (F.col(start) + F.col(tokens)).cast("long")
-    queries = df.where(F.col(tokens) > 0).select(*bins, begin.alias("_a"), end.alias("_b"), F.explode(F.sequence(F.floor(begin / size), F.floor((end - 1) / size))).alias("query_block"))
-    pairs = queries.withColumn("key_block", F.explode(F.sequence(F.floor(F.col("_a") / size), F.col("query_block"))))
-    inside = lambda c: F.least("_b", (F.col(c) + 1) * size) - F.greatest("_a", F.col(c) * size)
-    q, k = inside("query_block"), inside("key_block")
-    seen = F.when(F.col("query_block") == F.col("key_block"), (q * (q + 1) / 2).cast("long")).otherwise(q * k)
-    sums = pairs.groupBy(*bins, "query_block", "key_block").agg(F.sum(seen).alias("visible"))
+    own = df.where(F.col(tokens) > 0).groupBy(*bins).agg(F.collect_list(F.struct(begin.alias("a"), end.alias("b"))).alias("_s"))
+    block = lambda x: F.floor(x / size)
+    ends = F.sequence(block(F.array_min("_s.a")), block(F.array_max("_s.b") - 1))
+    queries = own.select("*", F.explode(ends).alias("query_block"))
+    queries = queries.withColumn("_s", F.filter("_s", lambda x: (x["a"] < (F.col("query_block") + 1) * size) & (x["b"] > F.col("query_block") * size))).where(F.size("_s") > 0)
+    pairs = queries.select("*", F.explode(F.sequence(block(F.array_min("_s.a")), F.col("query_block"))).alias("key_block"))
+
+    def seen(x: Column) -> Column:
+        inside = lambda c: F.greatest(F.lit(0), F.least(x["b"], (F.col(c) + 1) * size) - F.greatest(x["a"], F.col(c) * size))
+        q, k = inside("query_block"), inside("key_block")
+        return F.when(F.col("query_block") == F.col("key_block"), (q * (q + 1) / 2).cast("long")).otherwise(q * k)
+
+    visible = F.aggregate("_s", F.lit(0).cast("long"), lambda n, x: n + seen(x))
+    sums = pairs.select(*bins, "query_block", "key_block", visible.alias("visible")).where("visible > 0")
     return sums.withColumn("kind", F.when(F.col("visible") == size * size, "full").otherwise("edge"))
 
 

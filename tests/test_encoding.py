@@ -220,3 +220,16 @@ def test_windows_make_ids_once(spark):
         out = encode.id_windows(df, slow("text"), special[t.EOS], size, "k", [F.col("k")], tokens=t.char_count("text")).collect()
         assert {r.window_no: r.ids for r in out} == {i: joined[i * size : (i + 1) * size] for i in range(len(joined) // size)}
         assert made.value == sum(1 for x in texts if x)
+
+
+def test_visible_blocks_hold_no_pairs(spark):
+    """Pairs are made row by row and never grouped; segments that overlap or leave gaps count as by the mask."""
+    segments = [(None, 0, 9), (None, 6, 10), (1, 2, 1), (1, 20, 11), (1, 40, 0), (2, 3, 2), (2, 0, 3)]
+    df = encode.visible_blocks(spark.createDataFrame(segments, "bin int, a int, n int"), ["bin"], "a", "n", 4)
+    want: dict = {}
+    for b, a, n in segments:
+        for q in range(a, a + n):
+            for k in range(a, q + 1):
+                want[b, q // 4, k // 4] = want.get((b, q // 4, k // 4), 0) + 1
+    assert sorted(map(repr, ((r.bin, r.query_block, r.key_block, r.visible) for r in df.collect()))) == sorted(repr((*k, v)) for k, v in want.items())
+    assert not [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in x and "_block" in x]

@@ -618,9 +618,9 @@ SELECT printf('docs-%06d', n) || CASE WHEN count(*) OVER (PARTITION BY doc_id) >
 FROM x JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) USING (doc_id)
 """)
 def converted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as Parquet files, converted in chunks of 400 characters."""
-    folder = scratch(spark)
-    documents(spark, sf_dir).select("doc_id", "text").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{folder}/p")
+    """Documents as Parquet files, five or as many as splits that they are read in, converted in chunks of 400 characters."""
+    folder, own = scratch(spark), documents(spark, sf_dir).select("doc_id", "text")
+    own.repartitionByRange(max(5, own.rdd.getNumPartitions()), "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{folder}/p")
     convert.parquet(spark, f"{folder}/p", f"{folder}/out", "docs", most=400)
     return spark.read.schema("id string, text string").json(f"{folder}/out").select("id", F.md5("text").alias("chunk_md5"))
 

@@ -56,11 +56,12 @@ def instructions(spark: SparkSession, path: str, source: str) -> DataFrame:
 
 
 def over_files(rows: DataFrame, no: str, first: int) -> DataFrame:
-    """Adds n, from 1 over all files in order of their names, to rows (file, ...) that ``no`` numbers within each file from ``first``."""
+    """Adds n, from 1 over all files in order of their names, to rows (file, ...) that ``no`` numbers within each file from ``first``. Rows stay where
+    they are read: what is joined has a row for each file, and a shuffle by file would give a task a whole file."""
     counts = rows.groupBy("file").agg(F.max(no).alias("_last"))
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     before = counts.select("file", F.coalesce(F.sum(F.col("_last") + (1 - first)).over(earlier), F.lit(0)).alias("_before"))
-    return rows.join(before, "file").withColumn("n", F.col("_before") + F.col(no) + (1 - first)).drop("_before")
+    return rows.join(F.broadcast(before), "file").withColumn("n", F.col("_before") + F.col(no) + (1 - first)).drop("_before")
 
 
 def string_field(value: str, name: str) -> Column:

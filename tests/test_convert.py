@@ -116,3 +116,26 @@ def test_manifest_source(spark, tmp_path):
 
 def test_shares():
     assert [(s.base, s.copies, s.extra) for s in (mixture.share(n, w, m, "") for n, w, m in [(10, 0.25, None), (10, 0.35, None), (1, 0.01, None), (0, 2.5, None), (10, 3, 4), (10, 1.5, 0), (5, 0, None)])] == [(10, 0, 2), (10, 0, 4), (1, 0, 1), (0, 2, 0), (4, 3, 0), (0, 1, 0), (5, 0, 0)]
+
+
+def test_no_task_reads_a_whole_file(spark, tmp_path, monkeypatch):
+    """Numbers over files come without a shuffle of texts, and there are more files where documents are read in more splits."""
+    from tessera.plans import corpus
+    from tessera.sources import readers
+
+    spark.createDataFrame([(f"t{i}",) for i in range(40)], "text string").repartition(3).write.parquet(str(tmp_path / "p"))
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "0"}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        rows = readers.over_files(readers.parquet_texts(spark, str(tmp_path / "p")), "row_no", 1)
+        assert sorted(r.n for r in rows.select("n").collect()) == list(range(1, 41))
+        assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(corpus, "scratch", lambda _: str(tmp_path / "s"))
+        found = corpus.converted_chunks(spark, "/root/testdata/sf0.001")
+        assert len([f for f in os.listdir(tmp_path / "s" / "p") if f.endswith(".parquet")]) > 5
+        ids = [r.id for r in found.select("id").collect()]
+        assert len(set(ids)) == len(ids) > 200
+    finally:
+        for k in names:
+            spark.conf.unset(k)

@@ -38,6 +38,8 @@ class Written(WriterCommitMessage):
 class RecordWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.run = path.rstrip("/"), overwrite, uuid.uuid4().hex
+        files, base = opened(self.path)
+        files.create_dir(f"{base}/.run-{self.run}")  # once, so that a task that outlives an abort can't make it again
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -54,7 +56,6 @@ class RecordWriter(DataSourceArrowWriter):
                     if not rows.num_rows:
                         continue
                     if kind not in out:
-                        files.create_dir(folder)
                         out[kind] = files.open_output_stream(f"{folder}/{name}.{kind}")
                     values = rows.column("value").to_pylist()
                     if kind == "bad":

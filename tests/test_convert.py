@@ -139,3 +139,20 @@ def test_no_task_reads_a_whole_file(spark, tmp_path, monkeypatch):
     finally:
         for k in names:
             spark.conf.unset(k)
+
+
+def test_a_task_that_outlives_an_abort_leaves_nothing(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyspark
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda _: type("Own", (), {"partitionId": lambda _: 0, "taskAttemptId": lambda _: 0})()))
+    batch = pa.RecordBatch.from_pydict({"value": pa.array(["a"]), "error_code": pa.array([None], pa.string())})
+    own = sink.RecordWriter(str(tmp_path / "o"), True)
+
+    def late():
+        own.abort([])
+        yield batch
+
+    with pytest.raises(OSError):
+        own.write(late())
+    assert os.listdir(tmp_path / "o") == []

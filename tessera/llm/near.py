@@ -4,10 +4,10 @@
    shingles with any others; documents that share fewer are done. A chunk sends a shingle once, however many hold it there.
 2. Distinct sets of the rest are counted again, by themselves. Each document orders its shingles rarest first; two that link
    must share one among the first of each (prefixes by size). What shares such a shingle, at sizes that allow it, makes blocks.
-3. In a block, documents are searched for by the inverted lists of a query's shingles: the short lists are merged by a heap
-   that skips (documents below T - L occurrences), the L longest are probed by binary search, and those that reach the
-   overlap link. Queries are what pivots (documents compared with the whole block at once) haven't joined to the largest
-   component, so that a block of copies costs its size.
+3. In a block, documents are searched for by the inverted lists of a query's shingles: the short lists are counted (documents
+   below T - L occurrences go), the L long ones are bitmaps that are probed for the rest, and those that reach the overlap
+   link. Documents that the largest component has by then are no queries. ``divide_skip`` is the same search with a heap and
+   binary search; it takes a time for each list, which blocks of near copies don't allow.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ BUCKET_BYTES = 16 << 20
 LARGE = 10_000
 #: Bits of a hash that are compared in the first step.
 SHORT_BITS = 48
+#: Lists that one of so many sets of a block is in, or more, are bitmaps: a quarter of the sets' bytes at most.
+DENSE = 16
 CACHED_WORDS = 150_000
 DIVIDE = 0.01
 
@@ -355,61 +357,76 @@ def divide_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]
             yield value, count
 
 
+def bitmaps(doc: np.ndarray, column: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Words of 64 columns by places: the columns that each of ``n`` places has; ``doc`` is ascending."""
+    words = -(-width // 64)
+    out = np.zeros((n, 8 * words), np.uint8)
+    step = max(1, (4 << 20) // max(1, 64 * words))
+    for at in range(0, n, step):
+        low, high = np.searchsorted(doc, [at, at + step])
+        flat = np.zeros((min(step, n - at), 64 * words), bool)
+        flat[doc[low:high] - at, column[low:high]] = True
+        out[at : at + step] = np.packbits(flat, axis=1)
+    return np.ascontiguousarray(out.view(np.uint64).T)
+
+
 def search(sets: list[np.ndarray], num: int, den: int) -> tuple[list[int], list[int]]:
-    """Links between places in ``sets`` that give the components of all links; sets are ordered by size."""
-    size = np.array([len(s) for s in sets])
-    begin = np.cumsum(size) - size
+    """Links between places in ``sets`` that give the components of all links; sets are ordered by size.
+
+    Lists that one of DENSE sets or more are in are the long ones: all queries share them as bitmaps. A query counts its short
+    lists, and probes the long ones of what has T less the number of long ones or more. All sets are queries but those that
+    the largest component has by then: what they link to outside of it is a query itself.
+    """
+    n, size = len(sets), np.array([len(s) for s in sets])
     _, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    parent = list(range(len(sets)))
+    doc, held = np.repeat(np.arange(n, dtype=np.int32), size), df[code]
+    central = np.add.reduceat(held, np.cumsum(size) - size) / size
+    long = df >= max(2, n / DENSE)
+    dense = long[code]
+    bits = bitmaps(doc[dense], (np.cumsum(long) - 1)[code[dense]], n, int(long.sum()))
+    n_long = np.bincount(doc[dense], minlength=n)
+    sparse = (held > 1) & ~dense
+    code, doc = code[sparse].astype(np.int32), doc[sparse]
+    n_short = np.bincount(doc, minlength=n)
+    ends = np.cumsum(n_short)
+    listed, df = doc[np.argsort(code, kind="stable")], np.where(long | (df < 2), 0, df)
+    start = np.cumsum(df) - df
+    del held, dense, sparse, doc
+
+    def partners(x: int) -> np.ndarray:
+        least = -(-num * size[x] // den)
+        low, high = np.searchsorted(size, least), np.searchsorted(size, den * size[x] // num, "right")
+        if n_long[x] + n_short[x] < least:
+            return np.zeros(0, np.int64)
+        if n_short[x]:
+            own = code[ends[x] - n_short[x] : ends[x]]
+            at = np.repeat(start[own] + df[own] - np.cumsum(df[own]), df[own]) + np.arange(df[own].sum())
+            count = np.bincount(listed[at], minlength=n)[low:high]
+        else:
+            count = np.zeros(high - low, np.int64)
+        needed = -(-num * (size[x] + size[low:high]) // (num + den))
+        may = np.flatnonzero(count + np.minimum(n_long[x], n_long[low:high]) >= needed)
+        words = np.flatnonzero(bits[:, x])
+        probed = bits[words, low:high] if len(may) == high - low else bits[np.ix_(words, low + may)]
+        overlap = count[may] + np.bitwise_count(probed & bits[words, x][:, None]).sum(0, dtype=np.int64)
+        return low + may[overlap >= needed[may]]
+
+    label, asked, main = np.arange(n), np.zeros(n, bool), 0
     a: list[int] = []
     b: list[int] = []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def link(x: int, y: int) -> None:
-        if (p := root(x)) != (q := root(y)):
-            parent[max(p, q)] = min(p, q)
-            a.append(x)
-            b.append(y)
-
-    def outside() -> list[int]:
-        """What isn't in the largest component."""
-        roots = np.array([root(i) for i in range(len(sets))])
-        return np.flatnonzero(roots != np.bincount(roots).argmax()).tolist()
-
-    left, tried, idle = list(range(len(sets))), set(), 0
-    central = np.add.reduceat(df[code], begin) / size
-    while len(left) > 8 and idle < 4:
-        free = [x for x in left if x not in tried]
-        if not free:
-            break
-        pivot = max(free, key=lambda x: central[x])
-        tried.add(pivot)
-        own = np.zeros(len(df), bool)
-        own[code[begin[pivot] : begin[pivot] + size[pivot]]] = True
-        overlap = np.add.reduceat(own[code].astype(np.int64), begin)
-        for x in np.flatnonzero(overlap * (num + den) >= num * (size + size[pivot])).tolist():
-            link(x, pivot)
-        now = outside()
-        idle = 0 if len(now) < len(left) - 1 else idle + 1
-        left = now
-    order = np.argsort(code, kind="stable")
-    doc = np.repeat(np.arange(len(sets)), size)[order]
-    ends = np.cumsum(df)
-    for x in left:
-        low, high = np.searchsorted(size, -(-num * size[x] // den)), np.searchsorted(size, den * size[x] // num, "right")
-        lists = []
-        for c in code[begin[x] : begin[x] + size[x]].tolist():
-            if df[c] > 1:
-                own = doc[ends[c] - df[c] : ends[c]]
-                lists.append(own[np.searchsorted(own, low) : np.searchsorted(own, high)].tolist())
-        for y, overlap in divide_skip(lists, int(-(-num * size[x] // den))):
-            if y != x and overlap * (num + den) >= num * (size[x] + size[y]):
-                link(x, y)
+    while len(left := np.flatnonzero(~asked & (label != main))) and not (len(left) == 1 and asked.sum() == n - 1):  # the last one's links are known
+        for x in left[np.argsort(-central[left], kind="stable")].tolist():
+            if label[x] == main:
+                continue
+            asked[x] = True
+            y = partners(x)
+            others, first = np.unique(label[y], return_index=True)
+            apart = others != label[x]
+            if apart.any():
+                a += [x] * int(apart.sum())
+                b += y[first[apart]].tolist()
+                label[np.isin(label, others)] = label[x]
+                main = np.bincount(label).argmax()
     return a, b
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -191,6 +192,63 @@ def test_divide_skip_finds_what_counting_finds():
         assert dict(near.merge_skip(lists, least)) == want
 
 
+def roots_of(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in links:
+        p, q = find(x), find(y)
+        root[max(p, q)] = min(p, q)
+    return [find(i) for i in range(n)]
+
+
+def linked(sets, num, den):
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    has = np.zeros((len(sets), code.max() + 1), np.float32)
+    has[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), code] = 1
+    both, size = has @ has.T, has.sum(1)
+    return den * both >= num * (size[:, None] + size - both)
+
+
+@pytest.mark.parametrize("dense", [16, 1, 100])
+def test_search_by_brute_force(monkeypatch, dense):
+    """Blocks of families with words that many share, by bitmaps and by short lists."""
+    monkeypatch.setattr(near, "DENSE", dense)
+    rng = np.random.default_rng(dense)
+    for t in range(60):
+        families = [rng.integers(0, 1 << 63, rng.integers(1, 60)).astype(np.uint64) for _ in range(rng.integers(1, 9))]
+        common, sets = rng.integers(0, 1 << 63, 20).astype(np.uint64), []
+        for _ in range(rng.integers(1, 100)):
+            own = families[rng.integers(len(families))].copy()
+            k = rng.integers(0, 1 + len(own) // 4)
+            own[rng.integers(0, len(own), k)] = rng.choice(common, k) if rng.random() < 0.5 else rng.integers(0, 1 << 63, k).astype(np.uint64)
+            sets.append(np.unique(own))
+        sets.sort(key=len)
+        num, den = [(85, 100), (80, 100), (60, 100), (1, 1), (30, 100)][t % 5]
+        a, b = near.search(sets, num, den)
+        link = linked(sets, num, den)
+        assert link[a, b].all() and len(a) < len(sets)
+        assert roots_of(len(sets), zip(a, b, strict=True)) == roots_of(len(sets), np.argwhere(link))
+
+
+def test_near_copies_that_hardly_link_are_searched_in_little_time():
+    """1500 copies of a passage, of which many link with none: walking the lists of each takes minutes, and four times that for twice as many."""
+    rng = np.random.default_rng(2)
+    base, sets = rng.integers(0, 1 << 63, 400).astype(np.uint64), []
+    for _ in range(1500):
+        own, k = base.copy(), rng.integers(4, 50)
+        own[rng.choice(400, k, replace=False)] = rng.integers(0, 1 << 63, k).astype(np.uint64)
+        sets.append(np.unique(own))
+    began = time.process_time()
+    a, b = near.search(sets, 85, 100)
+    assert time.process_time() - began < 10
+    assert roots_of(1500, zip(a, b, strict=True)) == roots_of(1500, np.argwhere(linked(sets, 85, 100)))
+
+
 def test_components_of_hubs(spark):
     """Ends of more than a thousand links come by broadcast."""
     rnd = random.Random(5)

@@ -12,7 +12,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import math
 from bisect import bisect_left
@@ -22,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +31,8 @@ from .exact import MOST_CELLS, flagged, may_have, repeated_cells
 
 #: Shingles of a chunk: what a task holds at once.
 CHUNK = 500_000
+#: Shingles of the chunks that go to buckets together.
+GROUP = 4 * CHUNK
 #: Bytes of sets that one block holds; larger ones are searched pair of parts by pair of parts.
 BLOCK_BYTES = 32 << 20
 #: Bytes of text whose shingles one bucket counts.
@@ -72,6 +73,7 @@ def shingles(texts: list[str | None], width: int, words: Words) -> tuple[np.ndar
     split = [(t or "").encode().lower().split() for t in texts]
     n = np.fromiter(map(len, split), np.int64, len(split))
     w = words([x for s in split for x in s])
+    del split
     docs, ends = np.repeat(np.arange(len(texts)), n), np.repeat(np.cumsum(n), n)
     at = np.arange(len(w))
     first = at == ends - np.repeat(n, n)
@@ -94,17 +96,31 @@ def chunked(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[tu
     """Ids and texts, by chunks of about ``most`` words of six characters."""
     ids, texts, n = [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if texts and (n + len(t or "") > 6 * most or len(texts) >= 60_000):
-                yield ids, texts
-                ids, texts, n = [], [], 0
-            ids.append(i)
-            texts.append(t)
-            n += len(t or "")
+        for at in range(0, len(batch), 200):  # not a whole batch's texts twice
+            few = batch.slice(at, 200)
+            for i, t in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True):
+                if texts and (n + len(t or "") > 6 * most or len(texts) >= 60_000):
+                    yield ids, texts
+                    ids, texts, n = [], [], 0
+                ids.append(i)
+                texts.append(t)
+                n += len(t or "")
     if texts:
         yield ids, texts
 
 
+def grouped(chunks: Iterator[tuple[np.ndarray, pa.Table]], most: int = GROUP) -> Iterator[list[tuple[np.ndarray, pa.Table]]]:
+    """Chunks by groups of ``most`` shingles and 65,000 texts, so that there are fewer rows for each bucket to meet and none is short."""
+    parts: list[tuple[np.ndarray, pa.Table]] = []
+    for chunk in chunks:
+        if parts and (sum(len(p[0]) for p in parts) + len(chunk[0]) > most or sum(len(p[1]) for p in parts) + len(chunk[1]) > 65_000):
+            yield parts
+            parts = []
+        parts.append(chunk)
+    if parts:
+        yield parts
+
+
 CODEC = "zstd"
 
 
@@ -168,26 +184,41 @@ def key_of(own: np.ndarray) -> int:
 
 def shared_counts(df: DataFrame, width: int, buckets: int) -> DataFrame:
     """Per row of (id, text): id, n (shingles), key (hash of the set), shared: how many of them others hold too."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     id_type = df.schema.fields[0].dataType
+    id_arrow = to_arrow_type(id_type)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task, c = Words(), TaskContext.get().partitionId(), 0
-        for ids, texts in chunked(batches):
-            h, docs = shingles(texts, width, words)
-            flat, bounds = sets_of(h, docs, len(texts))
-            keys = [key_of(flat[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            h >>= np.uint64(64 - SHORT_BITS)
+        words, task = Words(), TaskContext.get().partitionId()
+        for c, parts in enumerate(grouped(sets(batches, words))):
+            about = pa.concat_tables([p[1] for p in parts])
+            for p, at in zip(parts, np.cumsum([0, *(len(p[1]) for p in parts)]).tolist(), strict=False):
+                p[0][:] += np.uint64(at)
+            pairs = np.concatenate([p[0] for p in parts])
+            parts.clear()
+            pairs.sort()
+            h, docs = pairs >> np.uint64(64 - SHORT_BITS), pairs.astype(np.uint16)
+            del pairs
             new = np.ones(len(h), bool)
             new[1:] = h[1:] != h[:-1]
-            first = np.flatnonzero(new)
-            many = np.diff(np.append(first, len(h))) > 1
-            local = np.bincount(docs[np.repeat(many, np.diff(np.append(first, len(h))))], minlength=len(texts))
+            many = ~new
+            many[:-1] |= ~new[1:]
+            local = np.bincount(docs[many], minlength=len(about))
+            h, docs = h[new], np.where(many, np.uint16(65535), docs)[new]
             info = pa.BufferOutputStream()
-            table = pa.table({"id": pa.array(ids), "n": np.diff(bounds), "key": pa.array(keys, pa.int64()), "local": local})
+            table = about.append_column("local", pa.array(local))
             with pa.ipc.new_stream(info, table.schema) as w:
                 w.write_table(table)
-            yield blobs(h[first], [np.where(many, 65535, docs[first]).astype(np.uint16)], buckets, task << 24 | c, info.getvalue().to_pybytes(), SHORT_BITS)
-            c += 1
+            yield blobs(h, [docs], buckets, task << 24 | c, info.getvalue().to_pybytes(), SHORT_BITS)
+
+    def sets(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[tuple[np.ndarray, pa.Table]]:
+        """By chunks: a hash's first bits and, below them, the place of a text that has it; id, n and key of each text."""
+        for ids, texts in chunked(batches):
+            h, docs = shingles(texts, width, words)
+            flat, bounds = sets_of(h, docs, len(texts))
+            keys = [key_of(flat[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield h >> np.uint64(64 - SHORT_BITS) << np.uint64(64 - SHORT_BITS) | docs.astype(np.uint64), pa.table({"id": pa.array(ids, id_arrow), "n": np.diff(bounds), "key": pa.array(keys, pa.int64())})
 
     def meet(table: pa.Table) -> pa.Table:
         rows = rows_of(table)
@@ -210,37 +241,40 @@ def shared_counts(df: DataFrame, width: int, buckets: int) -> DataFrame:
         for r in rows:
             place, n = unsqueezed(r["data"])
             shared[place] += n.astype(np.int64)
-        return pa.table([info.column("id").cast(out_id), info.column("n"), info.column("key"), pa.array(shared)], ["id", "n", "key", "shared"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
+        return pa.table([info.column("id"), info.column("n"), info.column("key"), pa.array(shared)], ["id", "n", "key", "shared"])
 
-    out_id = to_arrow_type(id_type)
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("shared", T.LongType())])
     met = df.mapInArrow(send, BLOBS).groupBy("bucket").applyInArrow(meet, "chunk long, data binary, info binary")
     return met.groupBy("chunk").applyInArrow(gather, schema)
 
 
+def digest(column: str) -> Column:
+    """What a filter is asked about an id of any type; null is as the empty text."""
+    return F.unhex(F.sha2(F.coalesce(F.col(column).cast("string"), F.lit("")), 256)).alias("digest")
+
+
 def candidate_sets(df: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
-    """key, n and hashes of the sets whose keys the filter ``wanted`` may have, each once."""
+    """key, n and hashes of the sets of rows (id, text) whose ids the filter ``wanted`` may have, each once."""
     shared = df.sparkSession.sparkContext.broadcast(wanted)
 
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(may_have(shared.value, batch.column(2)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Words(), set()
-        for _, texts in chunked(batches):
+        for _, texts in chunked(picked(batches)):
             flat, bounds = sets_of(*shingles(texts, width, words), len(texts))
-            parts = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            keys = [key_of(p) if len(p) else None for p in parts]
-            may = may_have(shared.value, pa.array([hashlib.sha256(b"%d" % (k or 0)).digest() for k in keys]))
             out = []
-            for i in np.flatnonzero(may.to_numpy(zero_copy_only=False)).tolist():
-                if keys[i] is not None and keys[i] not in seen:
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if x < y and (key := key_of(flat[x:y])) not in seen:
                     if len(seen) > 1_000_000:  # only saves sending a set twice
                         seen.clear()
-                    seen.add(keys[i])
-                    out.append((keys[i], len(parts[i]), parts[i].tobytes()))
+                    seen.add(key)
+                    out.append((key, y - x, flat[x:y].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["key", "n", "hashes"])
 
-    return df.mapInArrow(run, "key long, n long, hashes binary").dropDuplicates(["key"])
+    return df.select("id", "text", digest("id")).mapInArrow(run, "key long, n long, hashes binary").dropDuplicates(["key"])
 
 
 def prefixes(n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -462,9 +496,9 @@ def jaccard_components(df: DataFrame, width: int = 5, num: int = 80, den: int =
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(partitions(df.sparkSession), -(-size // BUCKET_BYTES))  # so that a bucket doesn't grow with the table
     slim = written(shared_counts(own, width, buckets), "shared")
-    wanted = slim.where((F.col("n") > 0) & (F.col("shared") * den >= F.col("n") * num)).select("key")
+    wanted = slim.where((F.col("n") > 0) & (F.col("shared") * den >= F.col("n") * num)).select(digest("id"))
     cells = min(filter_cells, 1 << max(16, (16 * wanted.count()).bit_length()))
-    bits = repeated_cells(wanted.select(F.unhex(F.sha2(F.col("key").cast("string"), 256)).alias("digest")), cells, 1)
+    bits = repeated_cells(wanted, cells, 1)
     sets = written(candidate_sets(own, width, bits), "sets")
     roots = components(block_links(sets, num, den, buckets))
     found = components(search_blocks(sets, roots, num, den))
@@ -485,7 +519,6 @@ def without_near_copies(df: DataFrame, width: int = 5, num: int = 80, den: int =
     rows that a Bloom filter of the ids that go may have are shuffled."""
     found = written(jaccard_components(df, width, num, den, id_col, text_col, filter_cells), "components")
     gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone")).distinct()
-    digest = lambda c: F.unhex(F.sha2(F.coalesce(F.col(c).cast("string"), F.lit("")), 256)).alias("digest")
     cells = min(filter_cells, 1 << max(16, (16 * gone.count()).bit_length()))
     bits = repeated_cells(gone.select(digest("gone")), cells, 1)
     names = {f"c{i}": c for i, c in enumerate(df.columns)}

@@ -67,6 +67,7 @@ FROM embeddings LEFT JOIN n ON n.id = vec_id LEFT JOIN c ON c.id = vec_id
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.frugal(spark)
     return near.jaccard_components(documents(spark, sf_dir), width=4, num=85, den=100)
 
 

@@ -249,6 +249,20 @@ def test_near_copies_that_hardly_link_are_searched_in_little_time():
     assert roots_of(1500, zip(a, b, strict=True)) == roots_of(1500, np.argwhere(linked(sets, 85, 100)))
 
 
+def test_texts_are_read_again_by_id(spark):
+    """Sets are made of rows that the filter of ids may have, equal ones once; no other text is cut into shingles again."""
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "A b c d e"), (3, "p q r s t"), (None, "u v w x"), (4, None)], "id long, text string").coalesce(1)
+    wanted = exact.repeated_cells(df.where("id IS NULL OR id IN (1, 2, 4)").select(near.digest("id")), 1 << 16, 1)
+    assert sorted(r.n for r in near.candidate_sets(df, 4, wanted).collect()) == [1, 2]
+
+
+def test_chunks_go_to_buckets_together():
+    """What tasks send has a row a bucket for some chunks, not for each."""
+    chunks = [(np.zeros(n, np.uint64), list(range(texts))) for n, texts in [(3, 1), (4, 1), (4, 1), (20, 1), (1, 40_000), (1, 30_000)]]
+    assert [[len(p[0]) for p in parts] for parts in near.grouped(iter(chunks), 10)] == [[3, 4], [4], [20], [1], [1]]
+    assert list(near.grouped(iter([]))) == [] and near.GROUP >= 4 * near.CHUNK
+
+
 def test_components_of_hubs(spark):
     """Ends of more than a thousand links come by broadcast."""
     rnd = random.Random(5)
